@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cross_polytope, mixing, va_file
+from . import bpe, chosen_path, cross_polytope, mixing, va_file
 from .common import read
 
 #: Where the public vocabularies lie if the package that names them is absent.
@@ -32,6 +32,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.search(read(spark, sf_dir, "embeddings"))
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_bpe": op2_bpe,
+        "op4_chosen_path": op4_chosen_path,
         "op5_cross_polytope": op5_cross_polytope,
         "op10_va_file": op10_va_file,
     }
@@ -83,6 +88,23 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
 FROM c
 """
 
+#: Sets of five-word shingles, all pairs that share one, links at 85 percent, and what each document reaches.
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS sh
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n c ON c.doc_id = x JOIN n d ON d.doc_id = y WHERE 100 * both >= 85 * (c.n + d.n - both)),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.other)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT doc_id, min(other) AS c FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id
+"""
+
 #: floor(64 x) as integers, every pair of a query and another row, the twenty best.
 OP10_SQL = """
 WITH v AS (
@@ -98,4 +120,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op10_va_file": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_chosen_path": OP4_SQL, "op10_va_file": OP10_SQL}
