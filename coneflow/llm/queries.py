@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chosen_path, cross_polytope, mixing, va_file
+from . import bpe, chosen_path, cross_polytope, mixing, va_file, warc
 from .common import read
 
 #: Where the public vocabularies lie if the package that names them is absent.
@@ -32,6 +32,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, read(spark, sf_dir, "pages"))
+
+
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_bpe": op2_bpe,
+        "op3_warc": op3_warc,
         "op4_chosen_path": op4_chosen_path,
         "op5_cross_polytope": op5_cross_polytope,
         "op10_va_file": op10_va_file,
@@ -88,6 +93,16 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
 FROM c
 """
 
+#: Payload digests, and the smallest page of equal payloads of 100 bytes or more.
+OP3_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
 #: Sets of five-word shingles, all pairs that share one, links at 85 percent, and what each document reaches.
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
@@ -97,8 +112,8 @@ s AS (
   SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS sh
   FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS i FROM w WHERE len(ws) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT x, y FROM p JOIN n c ON c.doc_id = x JOIN n d ON d.doc_id = y WHERE 100 * both >= 85 * (c.n + d.n - both)),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n c ON c.doc_id = x JOIN n d ON d.doc_id = y WHERE 100 * common >= 85 * (c.n + d.n - common)),
 r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.other)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
@@ -120,4 +135,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op4_chosen_path": OP4_SQL, "op10_va_file": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op4_chosen_path": OP4_SQL, "op10_va_file": OP10_SQL}
