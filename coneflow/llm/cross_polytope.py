@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .vectors import best, matrix, merged, one_row_per_id
 
-TABLES, PROBES, GROUPS, BLOCK = 4, 0.23, 8, 2048
+TABLES, PROBES, GROUPS, BLOCK = 4, 0.23, 8, 16384
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
