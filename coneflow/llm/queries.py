@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chosen_path, cross_polytope, mixing, suffix_dedup, va_file, warc
+from . import bpe, chosen_path, cross_polytope, mixing, quality, suffix_dedup, toxicity, va_file, warc
 from .common import read
 
 #: Where the public vocabularies lie if the package that names them is absent.
@@ -44,10 +44,18 @@ def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.search(read(spark, sf_dir, "embeddings"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_file.top_k(read(spark, sf_dir, "embeddings"))
 
@@ -59,7 +67,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_chosen_path": op4_chosen_path,
         "op5_cross_polytope": op5_cross_polytope,
+        "op6_quality": op6_quality,
         "op8_suffix_array": op8_suffix_array,
+        "op9_toxicity": op9_toxicity,
         "op10_va_file": op10_va_file,
     }
 
