@@ -34,16 +34,20 @@ from pyspark.sql import functions as F
 
 from .common import shared_folder, stored
 from .components import components
-from .shingles import COORDINATES, Groups, minhash, set_key, shared, shingle_set
+from .shingles import COORDINATES, Groups, minhash, set_key, shingle_set
 
-TREES, BRANCHES, LEVELS, SMALL, BLOCK = 4, 2, 4, 48, 192
+TREES, BRANCHES, LEVELS, SMALL, BLOCK = 4, 2, 4, 256, 192
 #: Share of equal coordinates below which a pair is not looked at further: 4.5 deviations under 0.85.
 ALIKE = 0.65
+#: In large nodes members join a pivot's cluster from this share on: a wider cluster costs comparisons, never a link.
+NEAR = 0.4
+#: Rows that one group of the confirming step holds, about.
+PACK = 1000
 _SIG = "sig array<int>"
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set) and minhash signature of every row."""
+    """doc_id, n_shingles, set_key (null for an empty set), minhash signature and its low bytes of every row."""
 
     def run(batches):
         for batch in batches:
@@ -57,9 +61,10 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     sigs.append(minhash(s))
                 flat = np.concatenate(sigs) if sigs else np.empty(0, np.int32)
                 sig = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, COORDINATES, dtype=np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), sig], names=["doc_id", "n_shingles", "set_key", "sig"])
+                code = pa.array([m.astype(np.uint8).tobytes() for m in sigs], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), sig, code], names=["doc_id", "n_shingles", "set_key", "sig", "code"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id bigint, n_shingles bigint, set_key binary, {_SIG}")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id bigint, n_shingles bigint, set_key binary, {_SIG}, code binary")
 
 
 def whole_groups(batches, key: str):
@@ -85,19 +90,19 @@ def whole_groups(batches, key: str):
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
 
 def compared(rows: DataFrame) -> DataFrame:
     """Edges (a, b) that span the similar members of each node, all of a node's pairs being compared.
 
-    ``rows``: node, rep, label, sig; nodes have a bounded number of members.
+    ``rows``: node, rep, label, code; nodes have a bounded number of members.
     Members that bear the same label are known to belong together.
     """
 
     def run(batches):
         for table in whole_groups(batches, "node"):
-            node, rep, label, sig = table["node"].to_numpy(), table["rep"].to_numpy(), table["label"].to_numpy(), _matrix(table["sig"])
+            node, rep, label, sig = table["node"].to_numpy(), table["rep"].to_numpy(), table["label"].to_numpy(), _matrix(table["code"])
             start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
             size = np.diff(np.r_[start, len(node)])
             out_a, out_b = [], []
@@ -120,7 +125,7 @@ def compared(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rep[a[new]], pa.int64()), pa.array(rep[b[new]], pa.int64())], names=["a", "b"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.select("node", "rep", "label", "sig").repartition(n, "node").sortWithinPartitions("node")
+    ordered = rows.select("node", "rep", "label", "code").repartition(n, "node").sortWithinPartitions("node")
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -137,7 +142,7 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
 
 
 def candidates(reps: DataFrame, folder: str) -> DataFrame:
-    """Edges (a, b) that join all classes which some tree finds alike. ``reps``: rep, sig."""
+    """Edges (a, b) that join all classes which some tree finds alike. ``reps``: rep, sig, code."""
     roots = F.array(*[F.xxhash64(F.lit(k // BRANCHES), F.lit(k), F.get("sig", F.lit(k))) for k in range(TREES * BRANCHES)])
     rows = reps.select(F.explode(roots).alias("node"), "rep", F.col("rep").alias("label"))
     found = []
@@ -146,27 +151,30 @@ def candidates(reps: DataFrame, folder: str) -> DataFrame:
         by_hash = F.struct(F.xxhash64("rep", F.lit(level)).alias("h"), F.col("rep").alias("r"))
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(by_hash)["r"].alias("p1"), F.max(by_hash)["r"].alias("p2"))
         nodes = stored(nodes.filter("low < high").drop("low", "high"), folder, f"nodes{level}")
-        members = rows.join(nodes, "node").join(reps, "rep")
-        found.append(stored(compared(members.filter(F.col("n") <= SMALL)), folder, f"small{level}"))
+        members = rows.join(nodes, "node")
+        coded = members.join(reps.select("rep", "code"), "rep")
+        found.append(stored(compared(coded.filter(F.col("n") <= SMALL)), folder, f"small{level}"))
         large = nodes.filter(F.col("n") > SMALL)
         if not large.take(1):
             break
         if level > LEVELS:  # the exact way for what is left: every pair of blocks
             blocks = F.ceil(F.col("n") / (SMALL // 2)).cast("int")
             mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-            wide = members.filter(F.col("n") > SMALL).withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+            wide = coded.filter(F.col("n") > SMALL).withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
             wide = wide.withColumn("node", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")))
             found.append(stored(compared(wide), folder, "rest"))
             break
         asked = reps.select(F.col("rep").alias("p"), F.col("sig").alias("psig"))
         pivots = [large.select("node", F.col(p).alias("p")).join(asked, "p").select("node", F.col("p").alias(p), F.col("psig").alias(f"{p}_sig")) for p in ("p1", "p2")]
-        same = lambda p: F.size(F.filter(F.zip_with("sig", f"{p}_sig", lambda x, y: x == y), lambda z: z)) >= ALIKE * COORDINATES
-        big = members.filter(F.col("n") > SMALL).drop("p1", "p2").join(pivots[0], "node").join(pivots[1], "node")
+        same = lambda p: F.size(F.filter(F.zip_with("sig", f"{p}_sig", lambda x, y: x == y), lambda z: z)) >= NEAR * COORDINATES
+        big = members.filter(F.col("n") > SMALL).drop("p1", "p2").join(reps.select("rep", "sig"), "rep").join(pivots[0], "node").join(pivots[1], "node")
         big = stored(big.select("node", "rep", "label", "sig", "p1", "p2", same("p1").alias("like1"), same("p2").alias("like2")), folder, f"big{level}")
         for p, like in (("p1", "like1"), ("p2", "like2")):
             found.append(big.filter(F.col(like) & (F.col("rep") != F.col(p)) & (F.col("label") != F.col(p))).select(F.col("rep").alias("a"), F.col(p).alias("b")))
         label = F.when(F.col("like1"), F.col("p1")).when(F.col("like2"), F.col("p2")).otherwise(F.col("label"))
-        rows = _children(big.withColumn("label", label), level)
+        big = big.withColumn("label", label)
+        mixed = big.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("node")
+        rows = _children(big.join(mixed, "node", "left_semi"), level)
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
@@ -181,24 +189,48 @@ def confirmed(docs: DataFrame, placed: DataFrame, words: int, percent: int) -> D
     differ in ``comp``.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    bins = max(1, -(-placed.count() // PACK))
 
     def run(group: pa.Table) -> pa.Table:
-        rep, asks, comp = group["rep"].to_pylist(), group["asks"].to_pylist(), group["comp"].to_pylist()
-        sets = [shingle_set(t, words) for t in group["text"].to_pylist()]
-        groups, order = Groups(len(rep)), sorted(range(len(rep)), key=rep.__getitem__)
-        pairs = [(i, j) for n, i in enumerate(order) for j in order[n + 1 :]] if asks[0] is None else [(i, j) for i in order if asks[i] for j in order if i != j and comp[i] != comp[j]]
+        grp = group["grp"].to_numpy()
+        order = np.argsort(grp, kind="stable")
         a, b = [], []
-        for i, j in pairs:
-            x, y = sets[i], sets[j]
-            if rep[i] == rep[j] or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or groups.find(i) == groups.find(j):
-                continue
-            both = shared(x, y)
-            if 100 * both >= percent * (len(x) + len(y) - both) and groups.join(i, j):
-                a.append(rep[i])
-                b.append(rep[j])
+        for rows in np.split(order, np.flatnonzero(np.diff(grp[order])) + 1):
+            own = group.take(pa.array(rows))
+            rep = own["rep"].to_numpy()
+            link = linked([shingle_set(t, words) for t in own["text"].to_pylist()], percent)
+            asks = own["asks"].to_pylist()
+            if asks[0] is not None:
+                comp, asks = own["comp"].to_numpy(), np.array(asks)
+                link &= (asks[:, None] | asks[None, :]) & (comp[:, None] != comp[None, :])
+            groups = Groups(len(rows))
+            for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(link, 1)))):
+                if groups.join(i, j) and rep[i] != rep[j]:
+                    a.append(int(rep[i]))
+                    b.append(int(rep[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return placed.join(texts, "rep").select("grp", "rep", "asks", "comp", "text").groupBy("grp").applyInArrow(run, "a bigint, b bigint")
+    rows = placed.join(texts, "rep").select("grp", "rep", "asks", "comp", "text")
+    return rows.withColumn("bin", F.pmod(F.xxhash64("grp"), F.lit(bins))).groupBy("bin").applyInArrow(run, "a bigint, b bigint")
+
+
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For every pair of sets whether 100 * intersection >= percent * union, by products of blocks of the incidence matrix."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    row = np.repeat(np.arange(n), sizes)
+    row, column = row[count[column] > 1], column[count[column] > 1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    column = np.cumsum(np.r_[0, column[1:] != column[:-1]]) if len(column) else column
+    both = np.zeros((n, n))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+        lo, hi = np.searchsorted(column, [at, at + 8192])
+        x = np.zeros((n, min(8192, int(column[hi - 1]) - at + 1)), np.float32)
+        x[row[lo:hi], column[lo:hi] - at] = 1
+        both += x @ x.T
+    return 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
@@ -206,7 +238,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     folder = shared_folder(docs.sparkSession)
     signed = stored(signatures(docs, words), folder, "signed")
     classes = stored(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), folder, "classes")
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"])
+    reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").select(F.col("doc_id").alias("rep"), "sig", "code").dropDuplicates(["rep"])
     reps = stored(reps, folder, "reps")
     near = components(candidates(reps, folder), folder, "near")
     near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
