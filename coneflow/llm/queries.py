@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chosen_path, cross_polytope, mixing, quality, suffix_dedup, toxicity, va_file, warc
+from . import bpe, chosen_path, cross_polytope, lm_scoring, mixing, quality, suffix_dedup, toxicity, va_file, warc
 from .common import read
 
 #: Where the public vocabularies lie if the package that names them is absent.
@@ -48,6 +48,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(read(spark, sf_dir, "documents"))
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(read(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chosen_path": op4_chosen_path,
         "op5_cross_polytope": op5_cross_polytope,
         "op6_quality": op6_quality,
+        "op7_gru": op7_gru,
         "op8_suffix_array": op8_suffix_array,
         "op9_toxicity": op9_toxicity,
         "op10_va_file": op10_va_file,
