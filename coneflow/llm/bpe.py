@@ -20,7 +20,9 @@ import json
 import re
 import uuid
 from array import array
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -126,10 +128,10 @@ _codecs: dict[str, Codec] = {}
 
 def encode(docs: DataFrame, vocabulary_path: str, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """``keep`` columns, n_tokens, ids_sha256 and decoded_sha256 of every text; ``with_ids`` adds the ids and the decoded text."""
-    keep = keep or ["doc_id"]
+    keep = [c for c in (keep or ["doc_id"]) if c not in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")]
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))
     key = uuid.uuid4().hex
-    extra = ", ids array<bigint>, decoded string" if with_ids else ""
+    extra = ", ids array<int>, decoded string" if with_ids else ""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
@@ -146,12 +148,14 @@ def encode(docs: DataFrame, vocabulary_path: str, keep: list[str] | None = None,
                     ids.append(sha(packed))
                     decoded.append(sha(back.encode("utf-8")))
                     if with_ids:
-                        raw.append(list(memoryview(packed).cast("I")))
+                        raw.append(packed)
                         plain.append(back)
                 columns = [batch.column(k).slice(at, 256) for k in range(len(keep))] + [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
                 names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns += [pa.array(raw, pa.list_(pa.int64())), pa.array(plain, pa.string())]
+                    offsets = pa.array([0, *accumulate(n)], pa.int32())
+                    values = pa.array(np.frombuffer(b"".join(raw), np.int32))
+                    columns += [pa.ListArray.from_arrays(offsets, values), pa.array(plain, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

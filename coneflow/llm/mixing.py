@@ -9,7 +9,8 @@ budget ends is refined, and no row is ever sorted.
 Defined results: null text has size 0; null sources form one source, last in
 order; a document without words is taken with size 0; rows that repeat a doc_id
 share its hash and so are taken or left together; an empty table gives an empty
-mix. Extra columns are carried by :func:`mix` and ignored by the thresholds.
+mix. Extra columns are ignored; carried columns that bear the name of a result
+are left out.
 """
 
 from __future__ import annotations
@@ -100,13 +101,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     in the mix. Reruns agree: everything hangs on (seed, doc_id).
     """
     folder = shared_folder(docs.sparkSession)
-    sized = docs.withColumns({"size": word_count(F.col("text")), "hash": document_hash(F.col("doc_id"), seed)})
+    carry = [c for c in (carry or ["doc_id"]) if c not in ("size", "source_size", "target", "copies", "taken")]
+    sized = docs.select(F.struct(*carry).alias("kept"), "doc_id", "source", word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id"), seed).alias("hash"))
     slim = stored(sized.select("doc_id", "source", "size", "hash"), folder, "slim")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     cut = stored(thresholds(slim, source_targets(sizes, weights, share, most, folder), folder), folder, "cut")
     cut = cut.withColumnRenamed("source", "of")
-    carry = carry or ["doc_id"]
-    rows = slim if set(carry) <= {"doc_id", "source"} else sized.select(*dict.fromkeys([*carry, "source", "size", "hash"]))
+    rows = slim.withColumn("kept", F.struct(*carry)) if set(carry) <= {"doc_id", "source"} else sized
     below = F.coalesce((F.col("hash") < F.col("edge")) | ((F.col("hash") == F.col("edge")) & F.col("whole")), F.lit(False))
     joined = rows.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("copies", F.col("full") + below.cast("long"))
-    return joined.select(*carry, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return joined.select("kept.*", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))

@@ -271,7 +271,7 @@ def kept_text(data: bytes, cuts: list[tuple[int, int]]) -> str:
 def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
     """``keep`` columns (doc_id by default), n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` adds spans and kept_text."""
     folder = shared_folder(docs.sparkSession)
-    keep = keep or ["doc_id"]
+    keep = [c for c in (keep or ["doc_id"]) if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text")]
     text = F.coalesce(F.col("text"), F.lit(""))
     marked = docs.select(F.struct(*keep).alias("kept"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.hash(text).alias("mark"), text.alias("text"))
     found = stored(spans(marked, folder, length), folder, "spans")

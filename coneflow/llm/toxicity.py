@@ -13,7 +13,8 @@ one narrow pass over all texts.
 
 Defined results: null and empty texts have no sentences and score 0; without
 labelled documents of both kinds every score is 0; texts of any length are read
-whole. Extra columns are ignored.
+whole. Extra columns are ignored;
+kept columns that bear the name of a result are left out.
 """
 
 from __future__ import annotations
@@ -160,7 +161,7 @@ def judged(text: str, weights: Weights, bias: float) -> tuple[float, list[float]
 def score(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, keep: list[str] | None = None, with_spans: bool = False) -> DataFrame:
     """``keep`` columns, held_out, score, predicted, toxic_sentences; ``with_spans`` adds the offending sentences' byte
     ranges within the lower-cased text and the sentences."""
-    keep = keep or ["doc_id"]
+    keep = [c for c in (keep or ["doc_id"]) if c not in ("held_out", "score", "predicted", "toxic_sentences", "offending")]
     by_feature, bias = train(docs, labels, mod, held)
     shared = docs.sparkSession.sparkContext.broadcast(by_feature)
     rows = docs.select(F.struct(*keep).alias("kept"), (remainder(mod) == held).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
