@@ -1,0 +1,4 @@
+"""Registered queries over the derived views."""
+
+from . import jet_queries, selection_queries  # noqa: F401
+from .catalogue import QUERIES, SQL  # noqa: F401
