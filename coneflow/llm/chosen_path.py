@@ -27,6 +27,8 @@ one document. Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,11 +38,13 @@ from .common import shared_folder, stored
 from .components import components
 from .shingles import COORDINATES, Groups, minhash, set_key, shingle_set
 
-TREES, BRANCHES, LEVELS, SMALL, BLOCK = 4, 2, 4, 256, 192
+TREES, BRANCHES, LEVELS, SMALL, BLOCK = 4, 2, 4, 4096, 192
 #: Share of equal coordinates below which a pair is not looked at further: 4.5 deviations under 0.85.
 ALIKE = 0.65
 #: In large nodes members join a pivot's cluster from this share on: a wider cluster costs comparisons, never a link.
 NEAR = 0.4
+#: Nodes up to this size are compared many at a time.
+PAIRWISE = 64
 #: Rows that one group of the confirming step holds, about.
 PACK = 1000
 _SIG = "sig array<int>"
@@ -106,29 +110,58 @@ def compared(rows: DataFrame) -> DataFrame:
             start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
             size = np.diff(np.r_[start, len(node)])
             out_a, out_b = [], []
-            for g in np.unique(size[size > 1]):
+            for at, n in zip(start[size > PAIRWISE], size[size > PAIRWISE]):
+                own = slice(at, at + n)
+                root = spanned(sig[own])
+                joined = np.flatnonzero(root != np.arange(n))
+                out_a.append(rep[own][joined])
+                out_b.append(rep[own][root[joined]])
+            left, right = [], []
+            for g in np.unique(size[(size > 1) & (size <= PAIRWISE)]):
                 i, j = np.triu_indices(g, 1)
                 at = start[size == g]
                 step = max(1, 100_000 // len(i))
                 for k in range(0, len(at), step):
-                    left = (at[k : k + step, None] + i).ravel()
-                    right = (at[k : k + step, None] + j).ravel()
-                    differ = label[left] != label[right]
-                    left, right = left[differ], right[differ]
-                    alike = (sig[left] == sig[right]).sum(axis=1) >= ALIKE * COORDINATES
-                    out_a.append(left[alike])
-                    out_b.append(right[alike])
-            a = np.concatenate(out_a) if out_a else np.empty(0, int)
-            b = np.concatenate(out_b) if out_b else np.empty(0, int)
+                    x = (at[k : k + step, None] + i).ravel()
+                    y = (at[k : k + step, None] + j).ravel()
+                    differ = label[x] != label[y]
+                    x, y = x[differ], y[differ]
+                    alike = (sig[x] == sig[y]).sum(axis=1) >= ALIKE * COORDINATES
+                    left.extend(x[alike].tolist())
+                    right.extend(y[alike].tolist())
             groups = Groups(len(node))
-            new = np.fromiter((groups.join(x, y) for x, y in zip(a.tolist(), b.tolist())), bool, len(a))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[a[new]], pa.int64()), pa.array(rep[b[new]], pa.int64())], names=["a", "b"])
+            for x, y in zip(left, right):
+                groups.join(x, y)
+            member = np.unique(np.array(left + right, int))
+            root = np.array([groups.find(i) for i in member.tolist()], int)
+            out_a.append(rep[member[root != member]])
+            out_b.append(rep[root[root != member]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a), pa.int64()), pa.array(np.concatenate(out_b), pa.int64())], names=["a", "b"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.select("node", "rep", "label", "code").repartition(n, "node").sortWithinPartitions("node")
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
+def spanned(sig: np.ndarray) -> np.ndarray:
+    """For each member of one node the first member that it is connected with by similar pairs."""
+    n = len(sig)
+    equal = np.zeros((n, n), np.uint8)
+    for column in sig.T:
+        equal += column[:, None] == column[None, :]
+    alike = equal >= ALIKE * COORDINATES
+    root, seen = np.arange(n), np.zeros(n, bool)
+    for i in range(n):
+        if not seen[i]:
+            edge = np.zeros(n, bool)
+            edge[i] = seen[i] = True
+            while edge.any():
+                edge = alike[edge].any(axis=0) & ~seen
+                seen |= edge
+                root[edge] = i
+    return root
+
+
 def _children(rows: DataFrame, level: int) -> DataFrame:
     """Branch every row (node, rep, label, sig) on BRANCHES coordinates of this level's range, chosen by the node."""
     first = TREES * BRANCHES
@@ -158,27 +191,30 @@ def candidates(reps: DataFrame, folder: str) -> DataFrame:
         if not large.take(1):
             break
         if level > LEVELS:  # the exact way for what is left: every pair of blocks
-            blocks = F.ceil(F.col("n") / (SMALL // 2)).cast("int")
+            blocks = F.ceil(F.col("n") / max(1, SMALL // 2)).cast("int")
             mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
             wide = coded.filter(F.col("n") > SMALL).withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
             wide = wide.withColumn("node", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")))
             found.append(stored(compared(wide), folder, "rest"))
             break
-        asked = reps.select(F.col("rep").alias("p"), F.col("sig").alias("psig"))
-        pivots = [large.select("node", F.col(p).alias("p")).join(asked, "p").select("node", F.col("p").alias(p), F.col("psig").alias(f"{p}_sig")) for p in ("p1", "p2")]
+        big = members.filter(F.col("n") > SMALL).join(reps, "rep").select("node", "rep", "label", "sig", "code", "p1", "p2")
+        big = stored(big, folder, f"big{level}")
+        pivots = [big.filter(F.col("rep") == F.col(p)).select("node", F.col("sig").alias(f"{p}_sig")).dropDuplicates(["node"]) for p in ("p1", "p2")]
         same = lambda p: F.size(F.filter(F.zip_with("sig", f"{p}_sig", lambda x, y: x == y), lambda z: z)) >= NEAR * COORDINATES
-        big = members.filter(F.col("n") > SMALL).drop("p1", "p2").join(reps.select("rep", "sig"), "rep").join(pivots[0], "node").join(pivots[1], "node")
-        big = stored(big.select("node", "rep", "label", "sig", "p1", "p2", same("p1").alias("like1"), same("p2").alias("like2")), folder, f"big{level}")
-        for p, like in (("p1", "like1"), ("p2", "like2")):
-            found.append(big.filter(F.col(like) & (F.col("rep") != F.col(p)) & (F.col("label") != F.col(p))).select(F.col("rep").alias("a"), F.col(p).alias("b")))
-        label = F.when(F.col("like1"), F.col("p1")).when(F.col("like2"), F.col("p2")).otherwise(F.col("label"))
-        big = big.withColumn("label", label)
+        near = big.join(pivots[0].join(pivots[1], "node"), "node").select("rep", F.explode(F.array(*[F.when(same(p) & (F.col("rep") != F.col(p)), F.col(p)) for p in ("p1", "p2")])).alias("b"))
+        found.append(stored(near.filter("b is not null").select(F.col("rep").alias("a"), "b"), folder, f"near{level}"))
+        # nodes whose members all belong together by now are done
+        roots = components(_all(found), folder, f"labels{level}_")
+        big = big.drop("label").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("root", "rep"))
+        big = stored(big.select("node", "rep", "label", "sig", "code"), folder, f"labelled{level}")
         mixed = big.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("node")
         rows = _children(big.join(mixed, "node", "left_semi"), level)
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    return edges
+        reps = stored(big.select("rep", "sig", "code").dropDuplicates(["rep"]), folder, f"reps{level}")
+    return _all(found)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 def confirmed(docs: DataFrame, placed: DataFrame, words: int, percent: int) -> DataFrame:
@@ -205,9 +241,11 @@ def confirmed(docs: DataFrame, placed: DataFrame, words: int, percent: int) -> D
                 link &= (asks[:, None] | asks[None, :]) & (comp[:, None] != comp[None, :])
             groups = Groups(len(rows))
             for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(link, 1)))):
-                if groups.join(i, j) and rep[i] != rep[j]:
-                    a.append(int(rep[i]))
-                    b.append(int(rep[j]))
+                groups.join(i, j)
+            root = np.array([groups.find(i) for i in range(len(rows))])
+            own = np.flatnonzero(rep != rep[root])
+            a.extend(rep[own].tolist())
+            b.extend(rep[root[own]].tolist())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     rows = placed.join(texts, "rep").select("grp", "rep", "asks", "comp", "text")
