@@ -47,6 +47,8 @@ NEAR = 0.4
 PAIRWISE = 64
 #: Rows that one group of the confirming step holds, about.
 PACK = 1000
+#: Places of at most so many texts (about 40 bytes each) are broadcast to the texts.
+BROADCAST_ROWS = 1 << 20
 _SIG = "sig array<int>"
 
 
@@ -225,7 +227,10 @@ def confirmed(docs: DataFrame, placed: DataFrame, words: int, percent: int) -> D
     differ in ``comp``.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    bins = max(1, -(-placed.count() // PACK))
+    n = placed.count()
+    bins = max(1, -(-n // PACK))
+    if n <= BROADCAST_ROWS:  # else texts and places meet by a shuffle
+        placed = F.broadcast(placed)
 
     def run(group: pa.Table) -> pa.Table:
         grp = group["grp"].to_numpy()
