@@ -131,12 +131,12 @@ def f01_f02_distances(spark: SparkSession, d: str) -> DataFrame:
     return t.join(n, ["event_id", "idx"]).select("event_id", "idx", r6(K.delta_r(*c)).alias("wrapped"), r6(K.delta_r(*c, wrap=False)).alias("plain"))
 
 
-@query("SELECT event_id, idx, round(pt * cos(phi), 6) AS px, round(pt * sin(phi), 6) AS py, round(pt * (exp(eta) - exp(-eta)) / 2, 6) + 0.0 AS pz, round(sqrt(pt * pt + pow(pt * (exp(eta) - exp(-eta)) / 2, 2) + 0.139 * 0.139), 6) AS e, round(pt, 6) AS pt, round(eta, 6) + 0.0 AS eta FROM tracks", "tracks")
+@query("SELECT event_id, idx, round(pt * cos(phi), 6) + 0.0 AS px, round(pt * sin(phi), 6) + 0.0 AS py, round(pt * (exp(eta) - exp(-eta)) / 2, 6) + 0.0 AS pz, round(sqrt(pt * pt + pow(pt * (exp(eta) - exp(-eta)) / 2, 2) + 0.139 * 0.139), 6) AS e, round(pt, 6) AS pt, round(eta, 6) + 0.0 AS eta FROM tracks", "tracks")
 def f03_four_vectors(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     v = view(spark, d, "tracks").withColumn("p", K.cartesian(c("pt"), c("eta"), c("phi"), F.lit(K.PION_MASS)))
     back = v.withColumn("b", K.polar(c("p.px"), c("p.py"), c("p.pz"), c("p.e")))
-    return back.select("event_id", "idx", *[r6(f"p.{x}").alias(x) for x in ("px", "py", "e")], (r6("p.pz") + 0.0).alias("pz"), r6("b.pt").alias("pt"), (r6("b.eta") + 0.0).alias("eta"))
+    return back.select("event_id", "idx", *[(r6(f"p.{x}") + 0.0).alias(x) for x in ("px", "py", "e")], (r6("p.pz") + 0.0).alias("pz"), r6("b.pt").alias("pt"), (r6("b.eta") + 0.0).alias("eta"))
 
 
 @query("SELECT jet_id, round(exp(-0.5 * (true_jet_pt - 50) * (true_jet_pt - 50) / 400), 6) AS gaus, round(1e6 * pow(0.5 * true_jet_pt, -3.5), 6) AS power_law FROM jets", "jets")

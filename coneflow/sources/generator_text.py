@@ -16,7 +16,7 @@ _PARTICLE = ["particle_id int", "status tinyint", "e float", "px float", "py flo
 def _records(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", "#").text(path)
     rows = raw.select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n", 2).alias("parts"))
-    header = F.split(F.trim(F.get("parts", F.lit(0))), r"\t")
+    header = F.split(F.regexp_replace(F.get("parts", F.lit(0)), r"^\s+|\s+$", ""), r"\t")
     return rows.select("file", header.alias("header"), F.coalesce(F.get("parts", F.lit(1)), F.lit("")).alias("body")).filter("header[0] <> ''")
 
 
