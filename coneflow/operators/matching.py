@@ -144,3 +144,18 @@ def prong_codes(jets: DataFrame, shares: DataFrame, key: str = "jet_id") -> Data
     wide = shares.groupBy(key).agg(has("leading", "leading").alias("ll"), has("leading", "subleading").alias("ls"), has("subleading", "leading").alias("sl"), has("subleading", "subleading").alias("ss"))
     code = lambda proper, swapped: F.when(~F.col("has_measured"), -1).when(~F.col("has_generated"), 0).when(F.coalesce(proper, F.lit(False)), 1).when(F.coalesce(swapped, F.lit(False)), 2).otherwise(3)
     return jets.join(wide, key, "left").select(key, code(F.col("ll"), F.col("ls")).alias("leading"), code(F.col("ss"), F.col("sl")).alias("subleading"))
+
+
+def prong_flags(shares: DataFrame, key: str = "jet_id") -> DataFrame:
+    """The older rule: proper and mistag of each prong as flags that may both hold, contained by sums of pt on either side."""
+    has = lambda p, o: F.coalesce(F.max(F.when((F.col("prong") == p) & (F.col("other") == o), F.col("share") > 0.5)), F.lit(False))
+    pairs = {"leading_proper": ("leading", "leading"), "leading_mistag": ("leading", "subleading"), "subleading_proper": ("subleading", "subleading"), "subleading_mistag": ("subleading", "leading")}
+    return shares.groupBy(key).agg(*[has(*p).alias(n) for n, p in pairs.items()])
+
+
+def with_side_table(skim: DataFrame, side: DataFrame, key: str = "jet_id") -> DataFrame:
+    """Columns of a side table on a stable jet key; a name that the skim has already is refused."""
+    twice = set(skim.columns) & set(side.columns) - {key}
+    if twice:
+        raise ValueError(f"columns of both tables: {sorted(twice)}")
+    return skim.join(side, key, "left")

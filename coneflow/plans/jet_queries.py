@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grooming, jetfinding, matching
+from ..operators import drivers, grooming, jetfinding, matching
 from ..operators.histograms import Regular, histogram, normalized, same_edges
 from ..sources.event_tables import event_tree
 from .catalogue import query, r6, rounded
-from .views import view
+from .views import table, view
 
 _PID = "CASE h4 % 6 WHEN 0 THEN 211 WHEN 1 THEN -211 WHEN 2 THEN 321 WHEN 3 THEN -321 WHEN 4 THEN 2212 ELSE 22 END"
 #: Masses in MeV of the species that the views hold; the photon is left to the default.
@@ -282,3 +282,43 @@ def flagship_kt_spectrum(spark: SparkSession, d: str) -> DataFrame:
     picked = grooming.groomed(rows, "leading_kt_z_cut_02").select("jet_id", "kt").join(view(spark, d, "jets"), "jet_id")
     hist = histogram(picked, {"pt_bin": (F.col("true_jet_pt"), _FLAGSHIP_AXES["pt_bin"]), "kt_bin": (F.col("kt"), _FLAGSHIP_AXES["kt_bin"])}, F.col("scale_factor"))
     return rounded(normalized(hist, 0.5, ["pt_bin"]), "sumw", "sumw2", "value")
+
+
+@query(f"SELECT jet_id, max(prong = 'leading' AND other = 'leading' AND share > 0.5) AS leading_proper, max(prong = 'leading' AND other = 'subleading' AND share > 0.5) AS leading_mistag, max(prong = 'subleading' AND other = 'subleading' AND share > 0.5) AS subleading_proper, max(prong = 'subleading' AND other = 'leading' AND share > 0.5) AS subleading_mistag FROM ({_SHARES}) s GROUP BY jet_id", "splittings")
+def j17_prong_flags(spark: SparkSession, d: str) -> DataFrame:
+    return matching.prong_flags(matching.contained(_constituents(spark, d, 0), _constituents(spark, d, 2)))
+
+
+@query("SELECT k.jet_id, k.hybrid_kt, j.o_custkey FROM skim k LEFT JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0) j ON j.o_orderkey = k.jet_id", "skim")
+def j12_side_table(spark: SparkSession, d: str) -> DataFrame:
+    side = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("jet_id"), "o_custkey")
+    return matching.with_side_table(view(spark, d, "skim").select("jet_id", "hybrid_kt"), side)
+
+
+@query("SELECT jet_id, lvl, CAST(count(*) AS INT) AS n, round(sum(kt), 6) AS sum_kt FROM splittings WHERE idx % 3 = 0 GROUP BY jet_id, lvl", "splittings")
+def j13_gathered(spark: SparkSession, d: str) -> DataFrame:
+    rows = grooming.nested(view(spark, d, "splittings"))
+    index = F.filter("splittings.idx", lambda i: i % 3 == 0)
+    return rows.select("jet_id", "lvl", matching.gathered(F.col("splittings"), index).alias("g")).select("jet_id", "lvl", F.size("g").alias("n"), r6(F.aggregate("g", F.lit(0.0), lambda s, x: s + x["kt"])).alias("sum_kt"))
+
+
+@query("SELECT event_id, round(greatest(a, b), 6) AS leading, round(least(a, b), 6) AS subleading FROM (SELECT event_id, sqrt(power(sum(CASE WHEN idx % 2 = 0 THEN pt * cos(phi) END), 2) + power(sum(CASE WHEN idx % 2 = 0 THEN pt * sin(phi) END), 2)) AS a, sqrt(power(sum(CASE WHEN idx % 2 = 1 THEN pt * cos(phi) END), 2) + power(sum(CASE WHEN idx % 2 = 1 THEN pt * sin(phi) END), 2)) AS b FROM tracks GROUP BY event_id) t", "tracks")
+def j14_subjets(spark: SparkSession, d: str) -> DataFrame:
+    """Even and odd particles as the two subjets of one splitting."""
+    parts = jetfinding.nested(view(spark, d, "tracks"))
+    half = lambda k: F.struct(F.lit(0).alias("parent_splitting_index"), F.filter("particles", lambda p: p["index"] % 2 == k).alias("constituents"))
+    rows = parts.select("event_id", F.array(half(0), half(1)).alias("subjets"))
+    pair = matching.subjets_of(F.col("subjets"), F.lit(0))
+    return rows.select("event_id", r6(matching.subjet_pt(pair["leading"]["constituents"])).alias("leading"), r6(matching.subjet_pt(pair["subleading"]["constituents"])).alias("subleading"))
+
+
+@query()
+def k12_mc_analysis(spark: SparkSession, d: str) -> DataFrame:
+    out = drivers.analyze_mc(view(spark, d, "det_tracks"), view(spark, d, "tracks"))
+    return rounded(out, *[c for c, t in out.dtypes if t == "double"])
+
+
+@query()
+def k08_k12_embedding_analysis(spark: SparkSession, d: str) -> DataFrame:
+    out = drivers.analyze_embedding(view(spark, d, "tracks"), view(spark, d, "det_tracks"), view(spark, d, "background"))
+    return rounded(out, *[c for c, t in out.dtypes if t == "double"])
