@@ -219,7 +219,8 @@ def spans(docs: DataFrame, folder: str, length: int = LENGTH, piece: int = PIECE
     """(id, mark, start, end): byte ranges that repeated windows cover, not yet merged. ``docs``: id, mark, text."""
     cut = _cut(docs, length, piece)
     anchors = cut.groupBy("anchor").agg(F.count("*").alias("n"), F.min("segment").alias("s1"), F.max("segment").alias("s2"))
-    anchors = anchors.filter("n > 1").select("anchor", (F.col("s1") != F.col("s2")).alias("unequal"))
+    # stored, so that the join below is one of two plain shuffles, whose hot partitions Spark can split
+    anchors = stored(anchors.filter("n > 1").select("anchor", (F.col("s1") != F.col("s2")).alias("unequal")), folder, "anchors")
     seen = stored(cut.join(anchors, "anchor"), folder, "seen")
     end = (F.col("first") + F.col("count") - 1 + length).cast("int").alias("end")
     whole = seen.filter("not unequal").select("id", "mark", F.col("first").alias("start"), end)
@@ -228,7 +229,7 @@ def spans(docs: DataFrame, folder: str, length: int = LENGTH, piece: int = PIECE
     segments = stored(segments, folder, "segments")
     copied = segments.filter("copies > 1").select("anchor", "segment")
     again = unequal.join(copied, ["anchor", "segment"], "left_semi").select("id", "mark", F.col("first").alias("start"), end)
-    variants = segments.groupBy("anchor").agg(F.count("*").alias("variants"))
+    variants = stored(segments.groupBy("anchor").agg(F.count("*").alias("variants")), folder, "variants")
     fetched = stored(_fetched(segments.join(variants, "anchor"), docs, length), folder, "fetched")
     total = fetched.filter(F.col("variants") <= HOT).agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     out = whole.unionByName(again).unionByName(_sorted_shards(fetched.filter(F.col("variants") <= HOT), max(1, -(-total // SHARD_BYTES)), length))
