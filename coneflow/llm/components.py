@@ -25,9 +25,10 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
             return now.select(a.alias("node"), b.alias("root"))
         turn += 1
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        # minima are stored before they are joined: a hub is then a hot key of a plain join, which Spark can split
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), folder, f"{name}{turn}_least")
         large = both.join(least, "a").filter(b > a).select(b.alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), folder, f"{name}{turn}_next")
         # (a, m) of every node, and (b, m) of its other neighbours; what repeats falls away in the last grouping
         small = large.join(least, "a").filter(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         now = stored(small, folder, f"{name}{turn}")

@@ -95,7 +95,9 @@ def write(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFram
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
     long_enough = F.octet_length("html") >= min_bytes
+    # stored, so that a payload which very many pages share is a hot key of a plain join, which Spark can split
     firsts = rows.filter(long_enough).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    firsts = stored(firsts, folder, "firsts")
     rows = rows.join(firsts, "digest", "left").select("page_id", "url", "html", "first")
 
     def run(batches):
