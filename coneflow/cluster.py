@@ -1,4 +1,4 @@
-"""Make the package importable in Python workers, wherever they run."""
+"""Make the package importable in Python workers, and rows fixed where lost executors may ask for them again."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -21,3 +21,11 @@ def ship_package(spark: SparkSession) -> None:
             z.write(source, source.relative_to(root.parent))
     context.addPyFile(str(target))
     context._coneflow_shipped = True
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows as they are now, in the folder that spark.checkpoint.dir names (a temporary one where it is unset)."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

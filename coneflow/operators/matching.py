@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..cluster import checkpointed
 from ..functions.kinematics import delta_r
 
 
@@ -29,10 +30,12 @@ def complete_events(events: DataFrame, *tracks: DataFrame, keys: tuple[str, ...]
 def numbered(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
     """Dense row numbers in a global order, without a window over all rows.
 
-    Rows are sorted in ranges; a count for each range gives its offset.
+    Rows are sorted in ranges; a count for each range gives its offset. The
+    ranges come from samples, so they are fixed by a checkpoint before both uses.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
     ranged = ranged.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
+    ranged = checkpointed(ranged)
     counts = ranged.groupBy("__part").count()  # one row for each partition
     before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("__part", before.alias("__before"))
