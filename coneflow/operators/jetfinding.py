@@ -122,9 +122,14 @@ def ghosts(most_rapidity: float, area: float) -> np.ndarray:
 
 
 def nested(tracks: DataFrame, event: str = "event_id", mass: float = 0.139) -> DataFrame:
-    """One row per event with its particles (index, pt, eta, phi, m) in the order of their index."""
+    """One row per event with its particles (index, pt, eta, phi, m) in the order of their index.
+
+    The number of partitions is set, so that Spark does not join small ones:
+    what follows costs time, not space.
+    """
+    n = int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     particle = F.struct(F.col("idx").cast("int").alias("index"), "pt", "eta", "phi", F.lit(mass).alias("m"))
-    return tracks.groupBy(event).agg(F.array_sort(F.collect_list(particle)).alias("particles"))
+    return tracks.repartition(n, event).groupBy(event).agg(F.array_sort(F.collect_list(particle)).alias("particles"))
 
 
 def _vectors(particles: list[dict]) -> np.ndarray:
