@@ -1,4 +1,4 @@
 """Registered queries over the derived views."""
 
-from . import analysis_queries, jet_queries, selection_queries  # noqa: F401
+from . import analysis_queries, jet_queries, selection_queries, source_queries  # noqa: F401
 from .catalogue import QUERIES, SQL  # noqa: F401
