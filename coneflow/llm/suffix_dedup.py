@@ -91,23 +91,24 @@ def _cut(docs: DataFrame, length: int, piece: int) -> DataFrame:
     return docs.select("id", "mark", "text").mapInArrow(run, "anchor bigint, segment bigint, id bigint, mark int, first int, count smallint, place smallint")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """Texts as compressed bytes, which is what they cross the network as."""
+def _packed(docs: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` columns and the text as compressed bytes, which is what crosses the network."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                data = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(data, pa.binary())], names=["id", "mark", "packed"])
+                data = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in part.column(len(keep)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(data, pa.binary())], names=[*keep, "packed"])
 
-    return docs.select("id", "mark", "text").mapInArrow(run, "id bigint, mark int, packed binary")
+    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, packed binary")
 
 
 def _fetched(samples: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """Add the bytes of each sample segment (anchor, segment, copies, variants, id, mark, first, count, place)."""
     wanted = samples.groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "copies", "variants", "first", "count", "place")).alias("want"))
-    rows = _packed(docs).join(wanted, ["id", "mark"])
+    rows = _packed(docs, "id", "mark").join(wanted, ["id", "mark"])
 
     def run(batches):
         for batch in batches:
@@ -277,7 +278,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None,
     marked = docs.select(F.struct(*keep).alias("kept"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.hash(text).alias("mark"), text.alias("text"))
     found = stored(spans(marked, folder, length), folder, "spans")
     ranges = found.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    sent = marked.mapInArrow(_pack_all, f"kept {marked.schema['kept'].dataType.simpleString()}, id bigint, mark int, packed binary")
+    sent = _packed(marked, "kept", "id", "mark")
     joined = sent.join(ranges, ["id", "mark"], "left").select("kept", "packed", "ranges")
 
     def run(batches):
@@ -299,11 +300,3 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None,
     names = ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + (["spans", "kept_text"] if with_text else [])
     schema = f"kept {marked.schema['kept'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", spans array<array<int>>, kept_text string" if with_text else "")
     return joined.mapInArrow(run, schema).select("kept.*", *names[1:])
-
-
-def _pack_all(batches):
-    for batch in batches:
-        for lo in range(0, max(1, batch.num_rows), 256):
-            part = batch.slice(lo, 256)
-            data = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in part.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(data, pa.binary())], names=["kept", "id", "mark", "packed"])
