@@ -7,7 +7,6 @@ folded into the totals in the state store, whose size is the number of bins.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.histograms import Axis, histogram
