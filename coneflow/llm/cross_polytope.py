@@ -10,7 +10,9 @@ Axes are grouped, and groups with many rows are cut into salted blocks of a
 bounded size, so a hot axis or one vector repeated many times fills several
 tasks. A query sends its vector once to each block it probes and gets back k
 rows. On vectors without any structure the probes needed for recall 0.9 reach
-about half of all rows (see the README); clustered vectors need fewer.
+about half of all rows (see the README); clustered vectors need fewer. A query
+whose probes met fewer than k rows is compared with all rows of its length, so
+its list is short only if there are no more candidates.
 
 Defined results: vectors that are null, zero, or hold nulls or numbers that
 aren't finite take no part, nor do rows without an id; rows that repeat an id
@@ -25,9 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_folder, stored
 from .vectors import best, matrix, merged, one_row_per_id
 
 TABLES, PROBES, GROUPS, BLOCK = 4, 0.23, 8, 16384
+#: In place of a table's number: all rows of a group are compared.
+WHOLE = -1
+#: Products that one task holds at once.
+SCORES = 1 << 22
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -80,7 +87,8 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
 
     ``tables`` and ``probe_share`` (of the signed axes, in each table) set the recall.
     """
-    rows = one_row_per_id(table, id_col, vec_col).filter(F.exists("vec", lambda x: x != 0.0))
+    folder = shared_folder(table.sparkSession)
+    rows = stored(one_row_per_id(table, id_col, vec_col).filter(F.exists("vec", lambda x: x != 0.0)), folder, "rows")
     longest = rows.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 1.0
     count = lambda dim: max(1, round(probe_share * 2 * padded(dim)))
 
@@ -112,14 +120,9 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                 yield pa.RecordBatch.from_arrays([pa.array(dims[take], pa.int32()), pa.array(np.concatenate(out_table)[s : s + 4096], pa.int32()), pa.array(np.concatenate(out_group)[s : s + 4096], pa.int32()), pa.array(asks[take]), pa.array(ids[take], pa.int64()), column.take(pa.array(take))], names=["dim", "table", "grp", "asks", "vec_id", "vec"])
 
     schema = "dim int, table int, grp int, asks boolean, vec_id bigint, vec array<double>"
-    data = rows.select("dim", "vec_id", "vec", F.lit(False).alias("asks")).mapInArrow(place, schema)
-    asks = rows.filter(F.col("vec_id") % every == 0).select("dim", "vec_id", "vec", F.lit(True).alias("asks")).mapInArrow(place, schema)
-    # Blocks of bounded size: a group's vectors go to one of `cuts` blocks, its queries to all of them.
-    sizes = F.broadcast(data.groupBy("dim", "table", "grp").count().select("dim", "table", "grp", F.ceil(F.col("count") / block).cast("int").alias("cuts")))
-    asked = max(1, -(-rows.filter(F.col("vec_id") % every == 0).count() // block))  # blocks of queries
+    asking = rows.filter(F.col("vec_id") % every == 0)
+    asked = max(1, -(-asking.count() // block))  # blocks of queries
     by_id = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
-    data = data.join(sizes, ["dim", "table", "grp"]).withColumn("cut", by_id(F.col("cuts"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
-    asks = asks.join(sizes, ["dim", "table", "grp"]).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("q", by_id(F.lit(asked)))
 
     def rank(group: pa.Table) -> pa.Table:
         asks = group["asks"].to_numpy()
@@ -128,17 +131,20 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         if asks.any() and not asks.all():
             t = group["table"][0].as_py()
             q, x, q_ids, x_ids = vectors[asks], vectors[~asks], ids[asks], ids[~asks]
-            at, near = axes(rotated(x, longest, t)), probes(rotated(q, longest, t), count(q.shape[1]))
-            for axis in np.unique(at):
-                who, held = np.flatnonzero((near == axis).any(axis=1)), np.flatnonzero(at == axis)
-                if not len(who):
-                    continue
-                scores = q[who] @ x[held].T
-                scores[q_ids[who][:, None] == x_ids[held][None, :]] = -np.inf
-                r, c = best(scores, k, 1e-9 * longest * longest)
-                found_q.append(q_ids[who[r]])
-                found_v.append(x_ids[held[c]])
-                found_s.append((q[who[r]] * x[held[c]]).sum(axis=1))  # summed alike wherever the pair meets: ties stay ties
+            if t == WHOLE:
+                met = [(np.arange(len(q)), np.arange(len(x)))]
+            else:
+                at, near = axes(rotated(x, longest, t)), probes(rotated(q, longest, t), count(q.shape[1]))
+                met = ((np.flatnonzero((near == axis).any(axis=1)), np.flatnonzero(at == axis)) for axis in np.unique(at))
+            for every_who, held in met:
+                step = max(1, SCORES // len(held))
+                for who in (every_who[s : s + step] for s in range(0, len(every_who), step)):
+                    scores = q[who] @ x[held].T
+                    scores[q_ids[who][:, None] == x_ids[held][None, :]] = -np.inf
+                    r, c = best(scores, k, 1e-9 * longest * longest)
+                    found_q.append(q_ids[who[r]])
+                    found_v.append(x_ids[held[c]])
+                    found_s.append((q[who[r]] * x[held[c]]).sum(axis=1))  # summed alike wherever the pair meets: ties stay ties
         fq, fv, fs = map(np.concatenate, (found_q, found_v, found_s))
         order = np.lexsort((fv, -fs, fq))
         first = np.r_[True, fq[order][1:] != fq[order][:-1]] if len(order) else np.empty(0, bool)
@@ -147,6 +153,25 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         keep = order[place_in < k]
         return pa.table({"query_id": pa.array(fq[keep], pa.int64()), "vec_id": pa.array(fv[keep], pa.int64()), "score": pa.array(fs[keep], pa.float64())})
 
-    columns = ["dim", "table", "grp", "cut", "q", "asks", "vec_id", "vec"]
-    found = data.select(columns).unionByName(asks.select(columns)).groupBy("dim", "table", "grp", "cut", "q").applyInArrow(rank, "query_id bigint, vec_id bigint, score double")
+    def met(data: DataFrame, asks: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score): the k best of each query in each block of the groups it asks."""
+        # Blocks of bounded size: a group's vectors go to one of `cuts` blocks, its queries to all of them.
+        sizes = F.broadcast(data.groupBy("dim", "table", "grp").count().select("dim", "table", "grp", F.ceil(F.col("count") / block).cast("int").alias("cuts")))
+        data = data.join(sizes, ["dim", "table", "grp"]).withColumn("cut", by_id(F.col("cuts"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
+        asks = asks.join(sizes, ["dim", "table", "grp"]).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("q", by_id(F.lit(asked)))
+        columns = ["dim", "table", "grp", "cut", "q", "asks", "vec_id", "vec"]
+        return data.select(columns).unionByName(asks.select(columns)).groupBy("dim", "table", "grp", "cut", "q").applyInArrow(rank, "query_id bigint, vec_id bigint, score double")
+
+    data = rows.select("dim", "vec_id", "vec", F.lit(False).alias("asks")).mapInArrow(place, schema)
+    asks = asking.select("dim", "vec_id", "vec", F.lit(True).alias("asks")).mapInArrow(place, schema)
+    found = stored(met(data, asks), folder, "found")
+    # Queries that found fewer than k rows, though their dim has more, go through all rows of the dim.
+    many = rows.groupBy("dim").agg(F.count("*").alias("many"))
+    have = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("have")).withColumnRenamed("query_id", "vec_id")
+    short = asking.select("dim", "vec_id").join(F.broadcast(many), "dim").join(have, "vec_id", "left")
+    short = stored(short.filter(F.coalesce("have", F.lit(0)) < F.least(F.lit(k), F.col("many") - 1)).select("vec_id", "dim"), folder, "short")
+    if short.take(1):
+        whole = lambda df, asks: df.select("dim", F.lit(WHOLE).alias("table"), F.lit(0).alias("grp"), F.lit(asks).alias("asks"), "vec_id", "vec")
+        data = rows.join(short.select("dim").distinct(), "dim", "left_semi")
+        found = found.unionByName(met(whole(data, False), whole(asking.join(short.select("vec_id"), "vec_id", "left_semi"), True)))
     return merged(found, k)

@@ -233,6 +233,20 @@ def test_cross_polytope_recall(spark):
         assert [f[1:] for f in found] == sorted(f[1:] for f in found) and [f[0] for f in found] == list(range(1, len(found) + 1))
 
 
+def test_cross_polytope_completes_short_lists(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 64))
+    vectors = {i: x[i] for i in range(20)} | {100 + i: x[20 + i, :24] for i in range(10)} | {200: x[30, :16]}
+    vectors |= {300 + i: (-1.0) ** (i > 0) * x[31, :8] + 1e-3 * i for i in range(30)}  # all rows opposite to the query
+    got = cross_polytope.search(spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>"), every=100, k=20, tables=1).collect()
+    found = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: r.rank):
+        found[r.query_id].append(r.vec_id)
+    for q in (0, 100, 200, 300):
+        others = [i for i, v in vectors.items() if i != q and len(v) == len(vectors[q])]
+        assert found[q] == sorted(others, key=lambda i: (-float(vectors[i] @ vectors[q]), i))[:20]
+
+
 @pytest.mark.parametrize("block", [64, 8192])
 def test_va_file_against_all_products(spark, block):
     x = _vectors()
