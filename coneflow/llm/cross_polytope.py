@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are brought to the unit sphere (one more component makes up for the
-length, so that the nearest point is the one of largest inner product), rotated
-by fast Hadamard pseudo-rotations, and hashed to the nearest signed axis. Each
-of TABLES independent tables is probed at the PROBES axes nearest to the query,
-and what they hold is ranked by exact products of the original vectors.
+Vectors are cut into bands of length, STEPS to a factor of two, and brought to
+the unit sphere by the longest of their band; one more component makes up for
+the length. Queries are scaled to length one and have nothing in that component,
+so that in a band the nearest point is the one of largest inner product. Points
+are rotated by fast Hadamard pseudo-rotations and hashed to the nearest signed
+axis. Each of TABLES independent tables is probed in every band at the PROBES
+axes nearest to the query, and what they hold is ranked by exact products of the
+original vectors. Bands of at most FEW rows are compared whole.
 
 Axes are grouped, and groups with many rows are cut into salted blocks of a
 bounded size, so a hot axis or one vector repeated many times fills several
@@ -31,6 +34,7 @@ from .common import shared_folder, stored
 from .vectors import best, matrix, merged, one_row_per_id
 
 TABLES, PROBES, GROUPS, BLOCK = 4, 0.23, 8, 16384
+STEPS, FEW = 2, 1024
 #: In place of a table's number: all rows of a group are compared.
 WHOLE = -1
 #: Products that one task holds at once.
@@ -54,15 +58,16 @@ def padded(dim: int) -> int:
     return 1 << max(1, int(dim).bit_length())
 
 
-def rotated(vectors: np.ndarray, longest: float, table: int, seed: int = 7) -> np.ndarray:
-    """Unit vectors of one more component, padded to a power of two, after three rounds of signs and Hadamard transforms."""
+def rotated(vectors: np.ndarray, longest: np.ndarray, table: int, seed: int = 7) -> np.ndarray:
+    """Unit vectors of one more component, padded to a power of two, after three rounds of signs and Hadamard transforms.
+
+    ``longest``: for each row the length that counts as one, for queries their own.
+    """
     n, dim = vectors.shape
-    lengths = np.linalg.norm(vectors, axis=1)
     width = padded(dim)
     x = np.zeros((n, width))
-    x[:, :dim] = vectors / longest
-    if dim < width:
-        x[:, dim] = np.sqrt(np.maximum(0.0, 1.0 - (lengths / longest) ** 2))
+    x[:, :dim] = vectors / longest[:, None]
+    x[:, dim] = np.sqrt(np.maximum(0.0, 1.0 - (x[:, :dim] ** 2).sum(axis=1)))
     rng = np.random.default_rng([seed, table, width])
     for _ in range(3):
         x = hadamard(x * rng.choice([-1.0, 1.0], width))
@@ -88,23 +93,29 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     ``tables`` and ``probe_share`` (of the signed axes, in each table) set the recall.
     """
     folder = shared_folder(table.sparkSession)
-    rows = stored(one_row_per_id(table, id_col, vec_col).filter(F.exists("vec", lambda x: x != 0.0)), folder, "rows")
-    longest = rows.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 1.0
+    rows = one_row_per_id(table, id_col, vec_col).filter(F.exists("vec", lambda x: x != 0.0))
+    largest = F.array_max(F.transform("vec", F.abs))
+    length = F.col("largest") * F.sqrt(F.aggregate(F.transform("vec", lambda x: x / F.col("largest")), F.lit(0.0), lambda s, x: s + x * x))
+    rows = stored(rows.withColumn("largest", largest).withColumn("length", F.least(length, F.lit(1e308))).drop("largest"), folder, "rows")
+    # Bands below the longest of each dim, which has some room so that equal lengths fall together whatever their rounding.
+    top = F.broadcast(rows.groupBy("dim").agg(F.max("length").alias("top")))
+    rows = rows.join(top, "dim").withColumn("band", F.floor((F.log2("top") - F.log2("length") + 1e-6) * STEPS).cast("int")).drop("top")
+    bands = rows.groupBy("dim", "band").agg(F.max("length").alias("longest"), F.count("*").alias("n"))
+    banded = rows.join(F.broadcast(bands), ["dim", "band"])
     count = lambda dim: max(1, round(probe_share * 2 * padded(dim)))
 
     def place(batches):
         """A row for each table: the group of axes that the vector lies in, or for queries each group that it probes."""
         for batch in batches:
-            dims, ids, column, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3).to_numpy(zero_copy_only=False)
+            dims, ids, column, asks, bands, longest = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3).to_numpy(zero_copy_only=False), batch.column(4), batch.column(5).to_numpy()
             out_at, out_table, out_group = [], [], []
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 x = matrix(pa.chunked_array([column.take(pa.array(at))]))
                 for t in range(tables):
-                    r = rotated(x, longest, t)
-                    a, ask = axes(r), asks[at]
+                    r, ask = rotated(x, longest[at], t), asks[at]
                     out_at.append(at[~ask])
-                    out_group.append(a[~ask] % GROUPS)
+                    out_group.append(axes(r)[~ask] % GROUPS)
                     out_table.append(np.full(len(out_at[-1]), t))
                     if ask.any():
                         hit = np.zeros((int(ask.sum()), GROUPS), bool)
@@ -117,9 +128,11 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
             at = np.concatenate(out_at) if out_at else np.empty(0, int)
             for s in range(0, len(at), 4096):
                 take = at[s : s + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(dims[take], pa.int32()), pa.array(np.concatenate(out_table)[s : s + 4096], pa.int32()), pa.array(np.concatenate(out_group)[s : s + 4096], pa.int32()), pa.array(asks[take]), pa.array(ids[take], pa.int64()), column.take(pa.array(take))], names=["dim", "table", "grp", "asks", "vec_id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(dims[take], pa.int32()), pa.array(np.concatenate(out_table)[s : s + 4096], pa.int32()), pa.array(np.concatenate(out_group)[s : s + 4096], pa.int32()), pa.array(asks[take]), pa.array(ids[take], pa.int64()), column.take(pa.array(take)), bands.take(pa.array(take)), pa.array(longest[take])], names=names)
 
-    schema = "dim int, table int, grp int, asks boolean, vec_id bigint, vec array<double>"
+    schema = "dim int, table int, grp int, asks boolean, vec_id bigint, vec array<double>, band int, longest double"
+    names = ["dim", "table", "grp", "asks", "vec_id", "vec", "band", "longest"]
+    whole = lambda df: df.withColumns({"table": F.lit(WHOLE), "grp": F.lit(0), "band": F.lit(WHOLE)}).select(names)
     asking = rows.filter(F.col("vec_id") % every == 0)
     asked = max(1, -(-asking.count() // block))  # blocks of queries
     by_id = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
@@ -130,18 +143,18 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         found_q, found_v, found_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if asks.any() and not asks.all():
             t = group["table"][0].as_py()
-            q, x, q_ids, x_ids = vectors[asks], vectors[~asks], ids[asks], ids[~asks]
+            q, x, q_ids, x_ids, longest = vectors[asks], vectors[~asks], ids[asks], ids[~asks], group["longest"].to_numpy()
             if t == WHOLE:
                 met = [(np.arange(len(q)), np.arange(len(x)))]
             else:
-                at, near = axes(rotated(x, longest, t)), probes(rotated(q, longest, t), count(q.shape[1]))
+                at, near = axes(rotated(x, longest[~asks], t)), probes(rotated(q, longest[asks], t), count(q.shape[1]))
                 met = ((np.flatnonzero((near == axis).any(axis=1)), np.flatnonzero(at == axis)) for axis in np.unique(at))
             for every_who, held in met:
                 step = max(1, SCORES // len(held))
                 for who in (every_who[s : s + step] for s in range(0, len(every_who), step)):
                     scores = q[who] @ x[held].T
                     scores[q_ids[who][:, None] == x_ids[held][None, :]] = -np.inf
-                    r, c = best(scores, k, 1e-9 * longest * longest)
+                    r, c = best(scores, k, 1e-9 * longest[asks].max() * longest[~asks].max())
                     found_q.append(q_ids[who[r]])
                     found_v.append(x_ids[held[c]])
                     found_s.append((q[who[r]] * x[held[c]]).sum(axis=1))  # summed alike wherever the pair meets: ties stay ties
@@ -155,15 +168,19 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
 
     def met(data: DataFrame, asks: DataFrame) -> DataFrame:
         """(query_id, vec_id, score): the k best of each query in each block of the groups it asks."""
-        # Blocks of bounded size: a group's vectors go to one of `cuts` blocks, its queries to all of them.
-        sizes = F.broadcast(data.groupBy("dim", "table", "grp").count().select("dim", "table", "grp", F.ceil(F.col("count") / block).cast("int").alias("cuts")))
-        data = data.join(sizes, ["dim", "table", "grp"]).withColumn("cut", by_id(F.col("cuts"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
-        asks = asks.join(sizes, ["dim", "table", "grp"]).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("q", by_id(F.lit(asked)))
-        columns = ["dim", "table", "grp", "cut", "q", "asks", "vec_id", "vec"]
-        return data.select(columns).unionByName(asks.select(columns)).groupBy("dim", "table", "grp", "cut", "q").applyInArrow(rank, "query_id bigint, vec_id bigint, score double")
-
-    data = rows.select("dim", "vec_id", "vec", F.lit(False).alias("asks")).mapInArrow(place, schema)
-    asks = asking.select("dim", "vec_id", "vec", F.lit(True).alias("asks")).mapInArrow(place, schema)
+        # Blocks of bounded size: a group's vectors go to one of `cuts` blocks, its queries to all of them in all bands.
+        key = ["dim", "table", "grp", "band"]
+        sizes = F.broadcast(data.groupBy(key).count().select(*key, F.ceil(F.col("count") / block).cast("int").alias("cuts")))
+        data = data.join(sizes, key).withColumn("cut", by_id(F.col("cuts"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
+        asks = asks.drop("band").join(sizes, key[:3]).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("q", by_id(F.lit(asked)))
+        columns = [*names, "cut", "q"]
+        return data.select(columns).unionByName(asks.select(columns)).groupBy(*key, "cut", "q").applyInArrow(rank, "query_id bigint, vec_id bigint, score double")
+
+    ready = ["dim", "vec_id", "vec", "asks", "band", "longest"]
+    held = banded.withColumn("asks", F.lit(False))
+    asking = asking.withColumn("longest", F.col("length")).withColumn("asks", F.lit(True))
+    data = held.filter(F.col("n") > FEW).select(ready).mapInArrow(place, schema).unionByName(whole(held.filter(F.col("n") <= FEW)))
+    asks = asking.select(ready).mapInArrow(place, schema).unionByName(whole(asking))
     found = stored(met(data, asks), folder, "found")
     # Queries that found fewer than k rows, though their dim has more, go through all rows of the dim.
     many = rows.groupBy("dim").agg(F.count("*").alias("many"))
@@ -171,7 +188,5 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     short = asking.select("dim", "vec_id").join(F.broadcast(many), "dim").join(have, "vec_id", "left")
     short = stored(short.filter(F.coalesce("have", F.lit(0)) < F.least(F.lit(k), F.col("many") - 1)).select("vec_id", "dim"), folder, "short")
     if short.take(1):
-        whole = lambda df, asks: df.select("dim", F.lit(WHOLE).alias("table"), F.lit(0).alias("grp"), F.lit(asks).alias("asks"), "vec_id", "vec")
-        data = rows.join(short.select("dim").distinct(), "dim", "left_semi")
-        found = found.unionByName(met(whole(data, False), whole(asking.join(short.select("vec_id"), "vec_id", "left_semi"), True)))
+        found = found.unionByName(met(whole(held.join(short.select("dim").distinct(), "dim", "left_semi")), whole(asking.join(short.select("vec_id"), "vec_id", "left_semi"))))
     return merged(found, k)

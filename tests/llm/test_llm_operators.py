@@ -233,7 +233,8 @@ def test_cross_polytope_recall(spark):
         assert [f[1:] for f in found] == sorted(f[1:] for f in found) and [f[0] for f in found] == list(range(1, len(found) + 1))
 
 
-def test_cross_polytope_completes_short_lists(spark):
+def test_cross_polytope_completes_short_lists(spark, monkeypatch):
+    monkeypatch.setattr(cross_polytope, "FEW", 0)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(40, 64))
     vectors = {i: x[i] for i in range(20)} | {100 + i: x[20 + i, :24] for i in range(10)} | {200: x[30, :16]}
@@ -247,6 +248,19 @@ def test_cross_polytope_completes_short_lists(spark):
         assert found[q] == sorted(others, key=lambda i: (-float(vectors[i] @ vectors[q]), i))[:20]
 
 
+@pytest.mark.parametrize("few", [0, 1024])
+def test_cross_polytope_recall_on_skewed_lengths(spark, monkeypatch, few):
+    monkeypatch.setattr(cross_polytope, "FEW", few)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 64))
+    x *= np.where(rng.random(4000) < 0.05, 10.0, 1.0)[:, None] / np.linalg.norm(x, axis=1)[:, None]
+    got = cross_polytope.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    s = x[::20] @ x.T
+    s[np.arange(len(s)), np.arange(0, len(x), 20)] = -np.inf
+    truth = {(20 * q, int(v)) for q in range(len(s)) for v in np.argsort(-s[q], kind="stable")[:20]}
+    assert len(truth & {(r.query_id, r.vec_id) for r in got}) / len(truth) >= (0.999 if few else 0.85)
+
+
 @pytest.mark.parametrize("block", [64, 8192])
 def test_va_file_against_all_products(spark, block):
     x = _vectors()
