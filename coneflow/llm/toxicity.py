@@ -4,7 +4,10 @@ Only documents have labels. A sentence's probability is the logistic of its
 words' weights; a document's is the noisy-or of its sentences, one minus the
 product of their complements; the weights are fitted to document labels through
 that product by numpy gradient steps. Afterwards each sentence can be judged by
-itself, so the offending ones are found.
+itself, so the offending ones are found. Only what a sentence's words add to the
+bias counts for the document: sentences without a known feature, empty ones and
+those whose weights don't exceed 0 add nothing, so a clean text's score doesn't
+grow with its length.
 
 Features are words and their first four to six letters, hashed; those that
 occur more in toxic documents of a bounded sample (SAMPLE documents of least
@@ -83,10 +86,9 @@ def fit(bags: list[tuple[int, int, list[list[int]]]], n_features: int, rounds: i
 
     With S the sum of softplus(z) over a document's sentences, noisy-or gives
     1 - exp(-S); the loss is S for a clean document and -log(1 - exp(-S)) for a
-    toxic one.
+    toxic one. Sentences without features are no part of S.
     """
     y = np.array([b[0] for b in bags], float)
-    bare = np.array([b[1] for b in bags], float)
     doc = np.array([d for d, b in enumerate(bags) for _ in b[2]], int)
     sizes = np.array([len(s) for b in bags for s in b[2]], int)
     flat = np.array([f for b in bags for s in b[2] for f in s], int)
@@ -97,10 +99,10 @@ def fit(bags: list[tuple[int, int, list[list[int]]]], n_features: int, rounds: i
     logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, rounds + 1):
         z = bias + np.bincount(sent, w[flat], len(sizes))
-        s = bare * soft(bias) + np.bincount(doc, soft(z), len(bags))
+        s = np.bincount(doc, soft(z), len(bags))
         ds = np.where(y > 0, -1 / np.expm1(np.clip(s, 1e-9, 40)), 1.0) / len(bags)
         dz = ds[doc] * logistic(z)
-        gradient = np.r_[np.bincount(flat, dz[sent], n_features) + 1e-5 * w, (ds * bare).sum() * logistic(bias) + dz.sum()]
+        gradient = np.r_[np.bincount(flat, dz[sent], n_features) + 1e-5 * w, dz.sum()]
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         move = 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, bias = w - move[:-1], min(PRIOR, bias - 0.1 * move[-1])
@@ -154,7 +156,8 @@ def judged(text: str, weights: Weights, bias: float) -> tuple[float, list[float]
     """Probability of the document, and the logits of its sentences."""
     get = weights.__getitem__
     logits = [bias + sum(map(get, s.split())) for s in sentences(text)] if text else []
-    total = sum(math.log1p(math.exp(min(z, 40.0))) for z in logits)
+    base = math.log1p(math.exp(bias))
+    total = sum(math.log1p(math.exp(min(z, 40.0))) - base for z in logits if z > bias)
     return -math.expm1(-total), logits
 
 

@@ -348,6 +348,17 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.score(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), labels).agg(F.max("score")).first()[0] == 0
 
 
+def test_toxicity_of_long_clean_texts(spark):
+    docs, labels = _labelled(spark)
+    long = [(9001, "a plain sentence of zq words. " * 10_000), (9002, "." * 10_000), (9003, "\n!? " * 10_000)]
+    out = toxicity.score(docs.unionByName(spark.createDataFrame(long, "doc_id long, text string")), labels)
+    assert [r.score for r in out.filter("doc_id > 9000").collect()] == [0.0] * 3
+    accuracy, _ = _held_accuracy(out, labels, "toxic")
+    assert accuracy > 0.97
+    weights = toxicity.Weights({toxicity.features(b"weak")[0]: -0.5})
+    assert toxicity.judged("weak. " * 10_000, weights, -9.0)[0] == 0.0
+
+
 def test_quality_on_held_out_documents(spark):
     docs, labels = _labelled(spark)
     out = quality.score(docs, labels)
