@@ -1,7 +1,7 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A text is the set of its word shingles and a vector of minwise tokens. Texts
-with the same set form a class at once. Each of TREES independent trees branches
+with the same set form a class at once. Each of several independent trees branches
 the classes recursively: a node picks a few coordinates, and its members go to
 the child named by their token at that coordinate, so similar texts stay
 together. Nodes of at most SMALL members are compared exhaustively by their
@@ -15,9 +15,13 @@ share two pivots. Where blocks leave parts of a cluster unconnected, those parts
 are compared with every block, so that no link inside a cluster is lost. Neither
 step emits all pairs of a group: a block returns one row for each text.
 
-A pair at similarity 0.85 shares none of a tree's two first tokens with
-probability 0.0225, and all of four trees miss it with less than one in a
-million; each further level of a large node misses at most 0.03 a tree.
+A pair at similarity p shares none of a tree's two first tokens with probability
+(1 - p)^2; the number of trees follows from p such that all miss it with at most
+MISS, one in a million, and so does the share of equal coordinates below which
+a pair is not looked at further (binomial, over the COORDINATES that all trees
+share). At p = 0.85 these are four trees (2.6e-7) and 39 of 64 coordinates, at
+0.80 five trees (1.0e-7) and 34. Links at p are thus missed with less than two
+in a million; each further level of a large node misses at most (1 - p)^2 a tree.
 
 Defined results: null, empty and wordless texts have no shingles and stand
 alone; texts of fewer words than a shingle are one shingle; rows without doc_id
@@ -27,6 +31,7 @@ one document. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -38,9 +43,9 @@ from .common import shared_folder, stored
 from .components import components
 from .shingles import COORDINATES, Groups, minhash, set_key, shingle_set
 
-TREES, BRANCHES, LEVELS, SMALL, BLOCK = 4, 2, 4, 4096, 192
-#: Share of equal coordinates below which a pair is not looked at further: 4.5 deviations under 0.85.
-ALIKE = 0.65
+BRANCHES, LEVELS, SMALL, BLOCK = 2, 4, 4096, 192
+#: Chance at most that the trees, or the signatures, miss a pair of the least similarity asked for.
+MISS = 1e-6
 #: In large nodes members join a pivot's cluster from this share on: a wider cluster costs comparisons, never a link.
 NEAR = 0.4
 #: Nodes up to this size are compared many at a time.
@@ -52,6 +57,23 @@ BROADCAST_ROWS = 1 << 20
 _SIG = "sig array<int>"
 
 
+def trees(percent: int) -> int:
+    """Trees that together miss a pair at ``percent`` with at most MISS."""
+    if not 26 <= percent <= 100:  # fewer would need more trees than there are coordinates for
+        raise ValueError("percent must be from 26 to 100")
+    return max(1, math.ceil(math.log(MISS) / (BRANCHES * math.log(1 - min(percent, 99) / 100))))
+
+
+def alike(percent: int) -> int:
+    """Most equal coordinates of which a pair at ``percent`` has fewer with at most MISS."""
+    p, missed = percent / 100, 0.0
+    for n in range(COORDINATES + 1):
+        missed += math.comb(COORDINATES, n) * p**n * (1 - p) ** (COORDINATES - n)
+        if missed > MISS:
+            return n
+    return COORDINATES
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, set_key (null for an empty set), minhash signature and its low bytes of every row."""
 
@@ -99,10 +121,11 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
 
-def compared(rows: DataFrame) -> DataFrame:
+def compared(rows: DataFrame, least: int) -> DataFrame:
     """Edges (a, b) that span the similar members of each node, all of a node's pairs being compared.
 
     ``rows``: node, rep, label, code; nodes have a bounded number of members.
+    Pairs are similar from ``least`` equal coordinates on.
     Members that bear the same label are known to belong together.
     """
 
@@ -114,7 +137,7 @@ def compared(rows: DataFrame) -> DataFrame:
             out_a, out_b = [], []
             for at, n in zip(start[size > PAIRWISE], size[size > PAIRWISE]):
                 own = slice(at, at + n)
-                root = spanned(sig[own])
+                root = spanned(sig[own], least)
                 joined = np.flatnonzero(root != np.arange(n))
                 out_a.append(rep[own][joined])
                 out_b.append(rep[own][root[joined]])
@@ -128,9 +151,9 @@ def compared(rows: DataFrame) -> DataFrame:
                     y = (at[k : k + step, None] + j).ravel()
                     differ = label[x] != label[y]
                     x, y = x[differ], y[differ]
-                    alike = (sig[x] == sig[y]).sum(axis=1) >= ALIKE * COORDINATES
-                    left.extend(x[alike].tolist())
-                    right.extend(y[alike].tolist())
+                    near = (sig[x] == sig[y]).sum(axis=1) >= least
+                    left.extend(x[near].tolist())
+                    right.extend(y[near].tolist())
             groups = Groups(len(node))
             for x, y in zip(left, right):
                 groups.join(x, y)
@@ -145,28 +168,27 @@ def compared(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
-def spanned(sig: np.ndarray) -> np.ndarray:
+def spanned(sig: np.ndarray, least: int) -> np.ndarray:
     """For each member of one node the first member that it is connected with by similar pairs."""
     n = len(sig)
     equal = np.zeros((n, n), np.uint8)
     for column in sig.T:
         equal += column[:, None] == column[None, :]
-    alike = equal >= ALIKE * COORDINATES
+    near = equal >= least
     root, seen = np.arange(n), np.zeros(n, bool)
     for i in range(n):
         if not seen[i]:
             edge = np.zeros(n, bool)
             edge[i] = seen[i] = True
             while edge.any():
-                edge = alike[edge].any(axis=0) & ~seen
+                edge = near[edge].any(axis=0) & ~seen
                 seen |= edge
                 root[edge] = i
     return root
 
 
-def _children(rows: DataFrame, level: int) -> DataFrame:
-    """Branch every row (node, rep, label, sig) on BRANCHES coordinates of this level's range, chosen by the node."""
-    first = TREES * BRANCHES
+def _children(rows: DataFrame, level: int, first: int) -> DataFrame:
+    """Branch every row (node, rep, label, sig) on BRANCHES coordinates of this level's range, chosen by the node. ``first``: coordinates of the roots."""
     width = (COORDINATES - first) // LEVELS
     base = first + (level - 1) * width
     pick = F.pmod(F.xxhash64("node", F.lit("pick")), F.lit(width)).cast("int")
@@ -176,9 +198,10 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
     return rows.select(F.explode(names).alias("node"), "rep", "label")
 
 
-def candidates(reps: DataFrame, folder: str) -> DataFrame:
+def candidates(reps: DataFrame, folder: str, percent: int) -> DataFrame:
     """Edges (a, b) that join all classes which some tree finds alike. ``reps``: rep, sig, code."""
-    roots = F.array(*[F.xxhash64(F.lit(k // BRANCHES), F.lit(k), F.get("sig", F.lit(k))) for k in range(TREES * BRANCHES)])
+    first, least = trees(percent) * BRANCHES, alike(percent)
+    roots = F.array(*[F.xxhash64(F.lit(k // BRANCHES), F.lit(k), F.get("sig", F.lit(k))) for k in range(first)])
     rows = reps.select(F.explode(roots).alias("node"), "rep", F.col("rep").alias("label"))
     found = []
     for level in range(1, LEVELS + 2):
@@ -188,7 +211,7 @@ def candidates(reps: DataFrame, folder: str) -> DataFrame:
         nodes = stored(nodes.filter("low < high").drop("low", "high"), folder, f"nodes{level}")
         members = rows.join(nodes, "node")
         coded = members.join(reps.select("rep", "code"), "rep")
-        found.append(stored(compared(coded.filter(F.col("n") <= SMALL)), folder, f"small{level}"))
+        found.append(stored(compared(coded.filter(F.col("n") <= SMALL), least), folder, f"small{level}"))
         large = nodes.filter(F.col("n") > SMALL)
         if not large.take(1):
             break
@@ -197,7 +220,7 @@ def candidates(reps: DataFrame, folder: str) -> DataFrame:
             mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
             wide = coded.filter(F.col("n") > SMALL).withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
             wide = wide.withColumn("node", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")))
-            found.append(stored(compared(wide), folder, "rest"))
+            found.append(stored(compared(wide, least), folder, "rest"))
             break
         big = members.filter(F.col("n") > SMALL).join(reps, "rep").select("node", "rep", "label", "sig", "code", "p1", "p2")
         big = stored(big, folder, f"big{level}")
@@ -210,7 +233,7 @@ def candidates(reps: DataFrame, folder: str) -> DataFrame:
         big = big.drop("label").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("root", "rep"))
         big = stored(big.select("node", "rep", "label", "sig", "code"), folder, f"labelled{level}")
         mixed = big.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("node")
-        rows = _children(big.join(mixed, "node", "left_semi"), level)
+        rows = _children(big.join(mixed, "node", "left_semi"), level, first)
         reps = stored(big.select("rep", "sig", "code").dropDuplicates(["rep"]), folder, f"reps{level}")
     return _all(found)
 
@@ -283,7 +306,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     classes = stored(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), folder, "classes")
     reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").select(F.col("doc_id").alias("rep"), "sig", "code").dropDuplicates(["rep"])
     reps = stored(reps, folder, "reps")
-    near = components(candidates(reps, folder), folder, "near")
+    near = components(candidates(reps, folder, percent), folder, "near")
     near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
     near = stored(near, folder, "clusters")
     by_hash = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("r"))

@@ -15,6 +15,8 @@ from coneflow.llm import bpe, chosen_path, mixing, suffix_dedup, toxicity
 from coneflow.llm.common import shared_folder, stored
 from coneflow.llm.queries import vocabulary_path
 
+#: Percent of similarity from which documents are near-duplicates; operator 4 as a query has its own.
+ALIKE = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -26,9 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each component, and all rows without doc_id (operator 4)."""
+    """The least doc_id of each component at ALIKE percent of five-word shingles, and all rows without doc_id (operator 4)."""
     ship_package(spark)
-    found = chosen_path.near_duplicates(docs)
+    found = chosen_path.near_duplicates(docs, words=5, percent=ALIKE)
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
 

@@ -72,3 +72,18 @@ def test_encoded_texts(stages):
     assert out.count() == docs.count()
     for r in out.collect():
         assert r.ids == library.encode(texts[r.doc_id], add_special_tokens=False).ids
+
+
+def test_near_duplicates_from_four_fifths_on(spark):
+    words = [f"w{i}" for i in range(104)]
+    texts = {1: words, 2: words[:-11] + ["x"] * 11, 10: [f"v{w}" for w in words], 20: [f"u{w}" for w in words], 21: [f"u{w}" for w in words[:-12]] + [f"y{i}" for i in range(12)]}
+    texts |= {100 * k + s: [f"{k}{w}" for w in words[: 104 - s]] for k in range(1, 41) for s in (0, 16 + k % 7)}  # cut short: similarity 0.78 to 0.84
+
+    def similarity(a, b):
+        x, y = ({tuple(texts[d][i : i + 5]) for i in range(len(texts[d]) - 4)} for d in (a, b))
+        return len(x & y) / len(x | y)
+
+    gone = {max(a, b) for a in texts for b in texts if a < b and similarity(a, b) >= 0.8}
+    assert sum(0.8 <= similarity(100 * k, 100 * k + 16 + k % 7) < 0.85 for k in range(1, 41)) >= 20
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, SF).collect()} == texts.keys() - gone
