@@ -202,6 +202,14 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, small, pairwise,
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("percent", [30, 50, 80, 85, 95])
+def test_chosen_path_misses_less_than_one_in_a_million(percent):
+    p, n = percent / 100, chosen_path.COORDINATES
+    assert sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(chosen_path.alike(percent))) <= 1e-6
+    assert (1 - p) ** (chosen_path.BRANCHES * chosen_path.trees(percent)) <= 1e-6
+    assert (n - chosen_path.BRANCHES * chosen_path.trees(percent)) // chosen_path.LEVELS > 1  # children have coordinates
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(20)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), shared_folder(spark), "t").collect()}
