@@ -32,6 +32,25 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more rows than this may count as hot, and so many hot keys at most are broadcast.
+HOT_ROWS, HOT_KEYS = 4096, 10_000
+
+
+def joined(rows: DataFrame, side: DataFrame, keys: list[str], copies: str) -> DataFrame:
+    """Inner join of ``rows`` with a stored ``side`` that has one row for each key and, in ``copies``, the key's number of rows.
+
+    Keys with a large part of all rows would each fill one task of a shuffle.
+    They are few whatever the input (above a HOT_KEYS-th of the rows), so they
+    are broadcast; all others meet by a shuffle.
+    """
+    many = max(HOT_ROWS, (side.agg(F.sum(copies)).first()[0] or 0) // HOT_KEYS)
+    hot = side.filter(F.col(copies) > many)
+    if not hot.take(1):
+        return rows.join(side, keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(side.filter(F.col(copies) <= many), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -6,8 +6,10 @@ that share an anchor can be sorted apart from all others. A text is cut into
 runs of neighbouring windows with one anchor; a run's bytes are a segment.
 
 1. Anchors are counted over all texts. A run whose anchor occurs once is unique.
-2. Where all segments of an anchor are the same string, all of them are repeated.
-3. Otherwise equal segments are counted; one of each is fetched, anchors are
+2. Equal segments of an anchor (by two 64-bit hashes) are one string with a
+   number of copies, and all windows of a string with several copies are
+   repeated; this is also true of an anchor's only string, which needs no sorting.
+3. Of anchors with several strings one copy of each is fetched, anchors are
    dealt to shards of a bounded size, and each shard's suffix array is induced.
    A window is repeated if its permuted common prefix, or that of the suffix
    after it, reaches LENGTH.
@@ -18,10 +20,12 @@ runs of neighbouring windows with one anchor; a run's bytes are a segment.
    unique; only what is left is halved further, to single windows.
 
 Repeated windows become spans of their texts, and what no span covers is kept.
+Rows are numbered in a stored table, so no two of them are ever taken for one;
+runs are joined with the counts of their keys such that hot keys aren't shuffled.
 
 Defined results: null text is empty; texts shorter than LENGTH stay whole; rows
-that repeat a doc_id are told apart by their text; equal rows count as copies.
-Matches never cross texts. Extra columns are ignored.
+that repeat a doc_id, or have none, are texts of their own; equal rows count as
+copies of each other. Matches never cross texts. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,14 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stored
+from .common import joined, shared_folder, stored
 from .shingles import mixed, prefix_sums
 from .suffix_sort import permuted_prefixes, suffix_array
 
 LENGTH, PIECE, HOT, SHARD_BYTES = 200, 48, 4096, 1_000_000
 #: Texts are cut into runs in stretches of so many windows, so that places fit beside a hash.
 STRETCH = 1 << 22
-_NO_ID = -(2**63)
 
 
 def runs(data: np.ndarray, length: int, piece: int) -> tuple[np.ndarray, ...]:
@@ -73,59 +76,56 @@ def runs(data: np.ndarray, length: int, piece: int) -> tuple[np.ndarray, ...]:
     return hashes[place].view(np.int64), segment.view(np.int64), first, count, place - first
 
 
-def _cut(docs: DataFrame, length: int, piece: int) -> DataFrame:
+def _packed(docs: DataFrame) -> DataFrame:
+    """kept, id, and the text as compressed bytes, which is what is stored and crosses the network."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                data = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(data, pa.binary())], names=["kept", "id", "packed"])
+
+    return docs.select("kept", "id", "text").mapInArrow(run, f"kept {docs.schema['kept'].dataType.simpleString()}, id bigint, packed binary")
+
+
+def _cut(rows: DataFrame, length: int, piece: int) -> DataFrame:
     """A row for each run of each text."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                ids, marks = part.column(0).to_numpy(), part.column(1).to_numpy()
-                found = [runs(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), length, piece) for t in part.column(2).to_pylist()]
+                ids = part.column(0).to_numpy()
+                found = [runs(np.frombuffer(zlib.decompress(t), np.uint8), length, piece) for t in part.column(1).to_pylist()]
                 n = [len(f[0]) for f in found]
                 if not sum(n):
                     continue
                 anchor, segment, first, count, place = (np.concatenate(c) for c in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(segment), pa.array(np.repeat(ids, n)), pa.array(np.repeat(marks, n)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int16)), pa.array(place.astype(np.int16))], names=["anchor", "segment", "id", "mark", "first", "count", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(segment), pa.array(np.repeat(ids, n)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int16)), pa.array(place.astype(np.int16))], names=["anchor", "segment", "id", "first", "count", "place"])
 
-    return docs.select("id", "mark", "text").mapInArrow(run, "anchor bigint, segment bigint, id bigint, mark int, first int, count smallint, place smallint")
+    return rows.select("id", "packed").mapInArrow(run, "anchor bigint, segment bigint, id bigint, first int, count smallint, place smallint")
 
 
-def _packed(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns and the text as compressed bytes, which is what crosses the network."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                data = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in part.column(len(keep)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(data, pa.binary())], names=[*keep, "packed"])
-
-    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, packed binary")
-
-
-def _fetched(samples: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """Add the bytes of each sample segment (anchor, segment, copies, variants, id, mark, first, count, place)."""
-    wanted = samples.groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "copies", "variants", "first", "count", "place")).alias("want"))
-    rows = _packed(docs, "id", "mark").join(wanted, ["id", "mark"])
+def _fetched(samples: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """Add the bytes of each sample segment (anchor, copies, variants, id, first, count, place)."""
+    wanted = samples.groupBy("id").agg(F.collect_list(F.struct("anchor", "copies", "variants", "first", "count", "place")).alias("want"))
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                out: list[list] = [[] for _ in range(9)]
-                for r in part.to_pylist():
+                out: list[list] = [[] for _ in range(8)]
+                for r in batch.slice(lo, 64).to_pylist():
                     data = zlib.decompress(r["packed"])
                     for w in r["want"]:
-                        row = (w["anchor"], w["copies"], w["variants"], r["id"], r["mark"], w["first"], w["count"], w["place"], data[w["first"] : w["first"] + w["count"] - 1 + length])
+                        row = (w["anchor"], w["copies"], w["variants"], r["id"], w["first"], w["count"], w["place"], data[w["first"] : w["first"] + w["count"] - 1 + length])
                         for c, v in zip(out, row):
                             c.append(v)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.int16(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
-    names = ["anchor", "copies", "variants", "id", "mark", "first", "count", "place", "bytes"]
-    return rows.select("id", "mark", "packed", "want").mapInArrow(run, "anchor bigint, copies bigint, variants bigint, id bigint, mark int, first int, count smallint, place smallint, bytes binary")
+    names = ["anchor", "copies", "variants", "id", "first", "count", "place", "bytes"]
+    return rows.select("id", "packed").join(wanted, "id").mapInArrow(run, "anchor bigint, copies bigint, variants bigint, id bigint, first int, count smallint, place smallint, bytes binary")
 
 
 def repeated_windows(segments: list[bytes], counts: np.ndarray, length: int) -> list[np.ndarray]:
@@ -161,9 +161,9 @@ def _sorted_shards(fetched: DataFrame, shards: int, length: int) -> DataFrame:
                 start.extend((first[k] + a).tolist())
                 end.extend((first[k] + b - 1 + length).tolist())
         at = pa.array(row, pa.int64())
-        return pa.table({"id": group["id"].take(at), "mark": group["mark"].take(at), "start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32())})
+        return pa.table({"id": group["id"].take(at), "start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32())})
 
-    return fetched.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(run, "id bigint, mark int, start int, end int")
+    return fetched.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(run, "id bigint, start int, end int")
 
 
 def _halved(fetched: DataFrame, folder: str, length: int, piece: int) -> DataFrame:
@@ -176,7 +176,7 @@ def _halved(fetched: DataFrame, folder: str, length: int, piece: int) -> DataFra
     size = 1
     while 2 * size <= length - piece + 1:
         size *= 2
-    columns = "anchor bigint, copies bigint, id bigint, mark int, first int, place int, bytes binary, low int, high int"
+    columns = "anchor bigint, copies bigint, id bigint, first int, place int, bytes binary, low int, high int"
     place = F.col("place").cast("int")
     rows = fetched.withColumns({"low": place - F.col("count") + 1, "high": place + 1, "place": place})
     out, level = None, 0
@@ -200,40 +200,37 @@ def _halved(fetched: DataFrame, folder: str, length: int, piece: int) -> DataFra
         full = f"{columns}, part int, whole binary, core binary"
         schema = pa.schema([(n, kinds[t]) for n, t in (c.split() for c in full.split(", "))])
         cut = stored(rows.select(*[c.split()[0] for c in columns.split(", ")]).mapInArrow(parts, full), folder, f"parts{level}")
-        row = F.struct("id", "mark", "first", "place", "low", "high", "core", "bytes")
+        row = F.struct("id", "first", "place", "low", "high", "core", "bytes")
         wholes = cut.groupBy("anchor", "part", "whole").agg(F.sum("copies").alias("copies"), F.min(row).alias("r"))
         wholes = stored(wholes.select("anchor", "part", "whole", "copies", "r.*"), folder, f"wholes{level}")
-        got = cut.filter("copies = 1").join(wholes.filter("copies > 1").select("anchor", "part", "whole"), ["anchor", "part", "whole"], "left_semi")
+        got = joined(cut.filter("copies = 1").drop("copies"), wholes.filter("copies > 1").select("anchor", "part", "whole", "copies"), ["anchor", "part", "whole"], "copies")
         start, end = F.col("first") + F.col("place") - F.col("high") + 1, F.col("first") + F.col("place") - F.col("low") + length
-        found = got.select("id", "mark", start.cast("int").alias("start"), end.cast("int").alias("end"))
+        found = got.select("id", start.cast("int").alias("start"), end.cast("int").alias("end"))
         out = found if out is None else out.unionByName(found)
         if size == 1:
             return out
         # One of each different part goes on, if its core lies in another part as well.
-        cores = wholes.groupBy("anchor", "part", "core").count().filter("count > 1").select("anchor", "part", "core")
-        rows = wholes.join(cores, ["anchor", "part", "core"], "left_semi")
+        cores = stored(wholes.groupBy("anchor", "part", "core").agg(F.count("*").alias("n")).filter("n > 1"), folder, f"cores{level}")
+        rows = joined(wholes, cores, ["anchor", "part", "core"], "n")
         size //= 2
         level += 1
 
 
-def spans(docs: DataFrame, folder: str, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
-    """(id, mark, start, end): byte ranges that repeated windows cover, not yet merged. ``docs``: id, mark, text."""
-    cut = _cut(docs, length, piece)
-    anchors = cut.groupBy("anchor").agg(F.count("*").alias("n"), F.min("segment").alias("s1"), F.max("segment").alias("s2"))
-    # stored, so that the join below is one of two plain shuffles, whose hot partitions Spark can split
-    anchors = stored(anchors.filter("n > 1").select("anchor", (F.col("s1") != F.col("s2")).alias("unequal")), folder, "anchors")
-    seen = stored(cut.join(anchors, "anchor"), folder, "seen")
-    end = (F.col("first") + F.col("count") - 1 + length).cast("int").alias("end")
-    whole = seen.filter("not unequal").select("id", "mark", F.col("first").alias("start"), end)
-    unequal = seen.filter("unequal")
-    segments = unequal.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(F.struct("id", "mark", "first", "count", "place")).alias("x")).select("anchor", "segment", "copies", "x.*")
+def spans(rows: DataFrame, folder: str, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
+    """(id, start, end): byte ranges that repeated windows cover, not yet merged. ``rows``: a stored table of id and packed text."""
+    cut = stored(_cut(rows, length, piece), folder, "cut")
+    anchors = stored(cut.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), folder, "anchors")
+    seen = stored(joined(cut, anchors, ["anchor"], "n").drop("n"), folder, "seen")
+    segments = seen.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(F.struct("id", "first", "count", "place")).alias("x")).select("anchor", "segment", "copies", "x.*")
     segments = stored(segments, folder, "segments")
-    copied = segments.filter("copies > 1").select("anchor", "segment")
-    again = unequal.join(copied, ["anchor", "segment"], "left_semi").select("id", "mark", F.col("first").alias("start"), end)
-    variants = stored(segments.groupBy("anchor").agg(F.count("*").alias("variants")), folder, "variants")
-    fetched = stored(_fetched(segments.join(variants, "anchor"), docs, length), folder, "fetched")
+    copied = segments.filter("copies > 1").select("anchor", "segment", "copies")
+    end = (F.col("first") + F.col("count") - 1 + length).cast("int").alias("end")
+    again = joined(seen, copied, ["anchor", "segment"], "copies").select("id", F.col("first").alias("start"), end)
+    variants = stored(segments.groupBy("anchor").agg(F.count("*").alias("variants")).filter("variants > 1"), folder, "variants")
+    samples = joined(segments, variants, ["anchor"], "variants")
+    fetched = stored(_fetched(samples, rows, length), folder, "fetched")
     total = fetched.filter(F.col("variants") <= HOT).agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    out = whole.unionByName(again).unionByName(_sorted_shards(fetched.filter(F.col("variants") <= HOT), max(1, -(-total // SHARD_BYTES)), length))
+    out = again.unionByName(_sorted_shards(fetched.filter(F.col("variants") <= HOT), max(1, -(-total // SHARD_BYTES)), length))
     hot = fetched.filter(F.col("variants") > HOT)
     return out.unionByName(_halved(hot, folder, length, piece)) if hot.take(1) else out
 
@@ -275,11 +272,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None,
     folder = shared_folder(docs.sparkSession)
     keep = [c for c in (keep or ["doc_id"]) if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text")]
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.select(F.struct(*keep).alias("kept"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.hash(text).alias("mark"), text.alias("text"))
-    found = stored(spans(marked, folder, length), folder, "spans")
-    ranges = found.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    sent = _packed(marked, "kept", "id", "mark")
-    joined = sent.join(ranges, ["id", "mark"], "left").select("kept", "packed", "ranges")
+    numbered = docs.select(F.struct(*keep).alias("kept"), F.monotonically_increasing_id().alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = stored(_packed(numbered), folder, "rows")
+    # stored, so that the join below is one of two plain shuffles
+    ranges = stored(spans(rows, folder, length).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), folder, "ranges")
+    texts = rows.join(ranges, "id", "left").select("kept", "packed", "ranges")
 
     def run(batches):
         for batch in batches:
@@ -298,5 +295,5 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None,
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
 
     names = ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + (["spans", "kept_text"] if with_text else [])
-    schema = f"kept {marked.schema['kept'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", spans array<array<int>>, kept_text string" if with_text else "")
-    return joined.mapInArrow(run, schema).select("kept.*", *names[1:])
+    schema = f"kept {rows.schema['kept'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", spans array<array<int>>, kept_text string" if with_text else "")
+    return texts.mapInArrow(run, schema).select("kept.*", *names[1:])

@@ -2,15 +2,20 @@
 
 The text is a sequence of small non-negative integers. Suffixes are classed as
 larger or smaller than their right neighbour; leftmost-smaller substrings are
-sorted by induction, named, and, where names repeat, sorted by recursion; the
-whole array is then induced from them. Induction goes bucket by bucket: all
-entries that a bucket holds at one time induce their left neighbours together.
+sorted by induction, named, and, where names repeat, sorted by recursion on the
+text of names; the whole array is then induced from them. Induction goes bucket
+by bucket: all entries that a bucket holds at one time induce their left
+neighbours together. A text of names has nearly as many letters as places, so
+buckets hold next to nothing there, and suffixes are induced run by run instead.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: With more than one letter to so many places, suffixes are induced run by run.
+MANY = 64
+
 
 def _classes(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than its right neighbour; the last one is larger than nothing, so False."""
@@ -27,12 +32,12 @@ def _classes(t: np.ndarray) -> np.ndarray:
 
 def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
     """Suffixes in order, induced from ``leftmost`` (leftmost-smaller positions in the order to begin with)."""
-    n = len(t)
+    n, narrow = len(t), len(ends) <= 1 << 16
     sa = np.full(n, -1, np.int64)
     starts = np.r_[0, ends[:-1]]
     # the seeds go to the end of their buckets, in order
     letters = t[leftmost]
-    by = np.argsort(letters, kind="stable")
+    by = np.argsort(letters.astype(np.uint16) if narrow else letters, kind="stable")
     seeds, letters = leftmost[by], letters[by]
     if len(seeds):
         first = np.flatnonzero(np.r_[True, letters[1:] != letters[:-1]])
@@ -45,7 +50,7 @@ def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, leftmost: np.nda
         """Put suffixes at the free end of their buckets, in the order given."""
         letters = t[found]
         if forward:
-            by = np.argsort(letters, kind="stable")
+            by = np.argsort(letters.astype(np.uint16) if narrow else letters, kind="stable")
             found, letters = found[by], letters[by]
             first = np.flatnonzero(np.r_[True, letters[1:] != letters[:-1]])
             count = np.diff(np.r_[first, len(letters)])
@@ -53,7 +58,7 @@ def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, leftmost: np.nda
             sa[np.repeat(head[names] - first, count) + np.arange(len(letters))] = found
             head[names] += count
         else:
-            by = np.argsort(letters, kind="stable")
+            by = np.argsort(letters.astype(np.uint16) if narrow else letters, kind="stable")
             found, letters = found[by], letters[by]
             first = np.flatnonzero(np.r_[True, letters[1:] != letters[:-1]])
             count = np.diff(np.r_[first, len(letters)])
@@ -96,6 +101,59 @@ def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, leftmost: np.nda
     return sa
 
 
+def _run_order(codes: np.ndarray, at: np.ndarray, length: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``at`` in the order of the code sequences from each place on, and where a sequence differs from the one before it.
+
+    Sequences are read as long as others share what was read of them, or for
+    ``length`` codes. A code above all others that ends a sequence must be unique.
+    """
+    wide, width = np.r_[codes, -1], int(codes.max()) + 2
+    at = at[np.argsort(codes[at], kind="stable")]
+    first = codes[at]
+    new = np.r_[True, first[1:] != first[:-1]]
+    live, k = np.arange(len(at)), 1
+    while True:
+        alone = new[live] & np.r_[new[live[1:]] | (np.diff(live) > 1), True]
+        live = live[~alone]
+        if length is not None:
+            live = live[length[at[live]] > k]
+        if not len(live):
+            return at, new
+        group, value = np.cumsum(new[live]), wide[at[live] + k]
+        by = np.argsort(group * width + value, kind="stable")
+        at[live] = at[live[by]]
+        value = value[by]
+        new[live[1:]] |= value[1:] != value[:-1]
+        k += 1
+
+
+def _induce_runs(t: np.ndarray, small: np.ndarray, ends: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
+    """The same for a text of names, in which few suffixes share their first letters: run by run.
+
+    A larger suffix is in order by its run of letters up to the leftmost-smaller
+    suffix that ends it, whose place is known; then smaller suffixes likewise by
+    their run up to a larger one.
+    """
+    n, starts = len(t), np.r_[0, ends[:-1]]
+    place = starts[t]  # of a larger suffix: before all smaller ones of its bucket
+    seeds = leftmost[np.argsort(t[leftmost], kind="stable")]
+    letter = t[seeds]
+    last = np.searchsorted(letter, letter, side="right")
+    place[seeds] = ends[letter] - last + np.arange(len(seeds))
+    sa = np.empty(n, np.int64)
+    for mine, before in ((np.flatnonzero(~small), True), (np.flatnonzero(small), False)):
+        order = _run_order(place, mine)[0]
+        letter = t[order]
+        if before:
+            slot = starts[letter] + np.arange(len(order)) - np.searchsorted(letter, letter, side="left")
+        else:
+            slot = ends[letter] - np.searchsorted(letter, letter, side="right") + np.arange(len(order))
+        sa[slot] = order
+        place = ends[t] - 1  # of a smaller suffix: behind all larger ones of its bucket
+        place[order] = slot
+    return sa
+
+
 def _same_substrings(t: np.ndarray, small: np.ndarray, is_left: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For leftmost-smaller substrings in order: whether each equals the one before it."""
     positions = np.flatnonzero(is_left)
@@ -133,38 +191,24 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     is_left = np.zeros(n, bool)
     is_left[1:] = small[1:] & ~small[:-1]
     positions = np.flatnonzero(is_left)
+    few = len(ends) <= n // MANY
+    induce = _induce if few else _induce_runs
     if not len(positions):
-        return _induce(t, small, ends, positions)
-    sa = _induce(t, small, ends, positions)
-    order = sa[is_left[sa]]
-    names = np.cumsum(~_same_substrings(t, small, is_left, order)) - 1
+        return induce(t, small, ends, positions)
+    if few:
+        sa = _induce(t, small, ends, positions)
+        order = sa[is_left[sa]]
+        new = ~_same_substrings(t, small, is_left, order)
+    else:
+        length = np.zeros(n, np.int64)
+        length[positions] = np.diff(np.r_[positions, n]) + 1
+        order, new = _run_order(2 * t + small, positions, length)
+    names = np.cumsum(new) - 1
     if names[-1] + 1 < len(order):
         by_place = np.empty(n, np.int64)
         by_place[order] = names
-        order = positions[_by_names(by_place[positions])]
-    return _induce(t, small, ends, order)
-
-
-def _by_names(names: np.ndarray) -> np.ndarray:
-    """Sort the reduced text: again by induction while its alphabet is small, else by doubling the names.
-
-    Bucket-wise induction pays while buckets are large; a reduced text has about
-    as many names as places, and there pairs of names are sorted instead.
-    """
-    n = len(names)
-    if names.max() < n // 64:
-        return suffix_array(names)
-    rank, step = names.astype(np.int64), 1
-    while True:
-        key = rank * (n + 1)
-        key[:-step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        level = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])]
-        rank = np.empty(n, np.int64)
-        rank[order] = level
-        if level[-1] == n - 1:
-            return order
-        step *= 2
+        order = positions[suffix_array(by_place[positions])]
+    return induce(t, small, ends, order)
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
