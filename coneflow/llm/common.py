@@ -36,14 +36,14 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
 HOT_ROWS, HOT_KEYS = 4096, 10_000
 
 
-def joined(rows: DataFrame, side: DataFrame, keys: list[str], copies: str) -> DataFrame:
+def joined(rows: DataFrame, side: DataFrame, keys: list[str], copies: str, most: int = HOT_KEYS) -> DataFrame:
     """Inner join of ``rows`` with a stored ``side`` that has one row for each key and, in ``copies``, the key's number of rows.
 
     Keys with a large part of all rows would each fill one task of a shuffle.
-    They are few whatever the input (above a HOT_KEYS-th of the rows), so they
-    are broadcast; all others meet by a shuffle.
+    They are few whatever the input (``most``, as each has more than that part of
+    the rows), so they are broadcast; all others meet by a shuffle.
     """
-    many = max(HOT_ROWS, (side.agg(F.sum(copies)).first()[0] or 0) // HOT_KEYS)
+    many = max(HOT_ROWS, (side.agg(F.sum(copies)).first()[0] or 0) // most)
     hot = side.filter(F.col(copies) > many)
     if not hot.take(1):
         return rows.join(side, keys)

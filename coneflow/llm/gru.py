@@ -13,7 +13,7 @@ import numpy as np
 
 STATE, EMBED, CLASSES, WIDTH = 16, 16, 32, 32
 FREQUENT = CLASSES * WIDTH
-STREAMS, WINDOW, RATE = 96, 24, 0.004
+STREAMS, WINDOW, RATE = 256, 24, 0.004
 
 
 def start(class_log: np.ndarray, word_log: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
@@ -62,79 +62,106 @@ def log_probabilities(p: dict, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def _head_gradients(p: dict, h: np.ndarray, ids: np.ndarray, g: dict) -> np.ndarray:
     """Gradients of the mean negative log-probability; returns that of the states."""
-    k, m = class_of(ids), len(ids)
-    out = h @ p["classes"] + p["class_bias"]
-    e = np.exp(out - out.max(axis=1, keepdims=True))
-    e /= e.sum(axis=1, keepdims=True)
-    e[np.arange(m), k] -= 1
-    e /= m
+    m = len(ids)
+    order = np.argsort(class_of(ids).astype(np.uint16), kind="stable")
+    h, ids = h[order], ids[order]
+    k = class_of(ids)
+    e = h @ p["classes"] + p["class_bias"]
+    e -= e.max(axis=1, keepdims=True)
+    np.exp(e, out=e)
+    e /= m * e.sum(axis=1, keepdims=True)
+    e[np.arange(m), k] -= 1 / m
     g["classes"], g["class_bias"] = h.T @ e, e.sum(axis=0)
-    back = e @ p["classes"].T
+    sorted_back = e @ p["classes"].T
     g["words"], g["word_bias"] = np.zeros_like(p["words"]), np.zeros_like(p["word_bias"])
-    order = np.argsort(k, kind="stable")
-    edges = np.searchsorted(k[order], np.arange(CLASSES + 1))
+    edges = np.searchsorted(k, np.arange(CLASSES + 1)).tolist()
     for c in range(CLASSES):
-        rows = order[edges[c] : edges[c + 1]]
-        if len(rows):
+        lo, hi = edges[c], edges[c + 1]
+        if hi > lo:
             own = slice(c * WIDTH, (c + 1) * WIDTH)
-            s = h[rows] @ p["words"][own].T + p["word_bias"][own]
-            e = np.exp(s - s.max(axis=1, keepdims=True))
-            e /= e.sum(axis=1, keepdims=True)
-            e[np.arange(len(rows)), ids[rows] - c * WIDTH] -= 1
-            e /= m
-            g["words"][own], g["word_bias"][own] = e.T @ h[rows], e.sum(axis=0)
-            back[rows] += e @ p["words"][own]
+            x, w = h[lo:hi], p["words"][own]
+            s = x @ w.T + p["word_bias"][own]
+            s -= s.max(axis=1, keepdims=True)
+            np.exp(s, out=s)
+            s /= m * s.sum(axis=1, keepdims=True)
+            s[np.arange(hi - lo), ids[lo:hi] - c * WIDTH] -= 1 / m
+            g["words"][own], g["word_bias"][own] = s.T @ x, s.sum(axis=0)
+            sorted_back[lo:hi] += s @ w
+    back = np.empty_like(sorted_back)
+    back[order] = sorted_back
     return back
 
 
-def train(p: dict, stream: np.ndarray, end: int) -> dict:
-    """One pass over a stream of words (each text closed by ``end``), windows of WINDOW words in STREAMS parallel parts.
+def window_gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, end: int) -> tuple[dict, np.ndarray]:
+    """Gradients of the mean negative log-probability of ``targets`` (steps x streams) through all steps, and the last state.
 
-    The state is carried from window to window and cleared after ``end``;
-    gradients stop at the window.
+    The state ``h`` comes from before the window as a constant and is cleared after ``end``.
     """
-    width = len(stream) // STREAMS
-    if width < 2:
-        return p
-    words = stream[: width * STREAMS].reshape(STREAMS, width)
-    p = {k: v.copy() for k, v in p.items()}
-    m, v = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
-    h, t = np.zeros((STREAMS, STATE), np.float32), 0
-    for at in range(0, width - 1, WINDOW):
-        inputs, targets = words[:, at : at + WINDOW].T, words[:, at + 1 : at + WINDOW + 1].T
-        inputs = inputs[: len(targets)]
-        table = p["embed"] @ p["wx"] + p["b"]
-        kept, states = [], []
-        for x in inputs:
-            fresh = (x != end)[:, None].astype(np.float32)
-            h0 = h * fresh
-            h, r, z, n, own = step(p, table, x, h0)
-            kept.append((fresh, h0, r, z, n, own))
-            states.append(h)
-        g: dict = {}
-        head = _head_gradients(p, np.concatenate(states), targets.ravel(), g).reshape(len(inputs), STREAMS, STATE)
-        dtable, dh = np.zeros_like(table), np.zeros_like(h)
-        g["wh"] = np.zeros_like(p["wh"])
-        for i in range(len(inputs) - 1, -1, -1):
-            fresh, h0, r, z, n, own = kept[i]
-            d = head[i] + dh
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (h0 - n) * z * (1 - z)
-            dr = dn * own * r * (1 - r)
-            dgx = np.concatenate([dr, dz, dn], axis=1)
-            dgh = np.concatenate([dr, dz, dn * r], axis=1)
-            np.add.at(dtable, inputs[i], dgx)
-            g["wh"] += h0.T @ dgh
-            dh = (d * z + dgh @ p["wh"].T) * fresh
-        g["embed"], g["wx"], g["b"] = dtable @ p["wx"].T, p["embed"].T @ dtable, dtable.sum(axis=0)
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        t += 1
-        for k, x in g.items():
-            x = x * min(1.0, 1.0 / (norm + 1e-9))
-            m[k] = 0.9 * m[k] + 0.1 * x
-            v[k] = 0.99 * v[k] + 0.01 * x * x
-            p[k] -= (RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
-    return p
+    table = p["embed"] @ p["wx"] + p["b"]
+    kept, states = [], []
+    for x in inputs:
+        fresh = (x != end)[:, None].astype(h.dtype)
+        h0 = h * fresh
+        h, r, z, n, own = step(p, table, x, h0)
+        kept.append((fresh, h0, r, z, n, own))
+        states.append(h)
+    g: dict = {}
+    head = _head_gradients(p, np.concatenate(states), targets.ravel(), g).reshape(len(inputs), *h.shape)
+    gates = np.empty((len(inputs), len(h), 3 * STATE), h.dtype)  # gradients by the input's part of the gates
+    inner = np.empty_like(gates)  # by the state's part
+    dh = np.zeros_like(h)
+    for i in range(len(inputs) - 1, -1, -1):
+        fresh, h0, r, z, n, own = kept[i]
+        d = head[i] + dh
+        dn = d * (1 - z) * (1 - n * n)
+        gates[i, :, :STATE] = dn * own * r * (1 - r)
+        gates[i, :, STATE : 2 * STATE] = d * (h0 - n) * z * (1 - z)
+        gates[i, :, 2 * STATE :] = dn
+        inner[i, :, : 2 * STATE] = gates[i, :, : 2 * STATE]
+        inner[i, :, 2 * STATE :] = dn * r
+        dh = (d * z + inner[i] @ p["wh"].T) * fresh
+    g["wh"] = np.concatenate([k[1] for k in kept]).T @ inner.reshape(-1, 3 * STATE)
+    words = inputs.ravel()
+    order = np.argsort(words.astype(np.uint16), kind="stable")
+    first = np.flatnonzero(np.r_[True, words[order][1:] != words[order][:-1]])
+    dtable = np.zeros_like(table)
+    dtable[words[order][first]] = np.add.reduceat(gates.reshape(-1, 3 * STATE)[order], first, axis=0)
+    g["embed"], g["wx"], g["b"] = dtable @ p["wx"].T, p["embed"].T @ dtable, dtable.sum(axis=0)
+    return g, h
+
+
+class Training:
+    """A model in training: one pass over streams of words, with Adam."""
+
+    def __init__(self, p: dict) -> None:
+        self.names = sorted(p)
+        self.flat = np.concatenate([p[k].ravel() for k in self.names])
+        self.p, at = {}, 0
+        for k in self.names:  # views, so that all weights are moved at once
+            self.p[k] = self.flat[at : at + p[k].size].reshape(p[k].shape)
+            at += p[k].size
+        self.m, self.v, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+
+    def feed(self, stream: np.ndarray, end: int) -> None:
+        """Windows of WINDOW words in STREAMS parallel parts of ``stream`` (each text closed by ``end``).
+
+        The state is carried from window to window and cleared after ``end``;
+        gradients stop at the window.
+        """
+        width = len(stream) // STREAMS
+        if width < 2:
+            return
+        words = stream[: width * STREAMS].reshape(STREAMS, width)
+        h = np.zeros((STREAMS, STATE), self.flat.dtype)
+        for at in range(0, width - 1, WINDOW):
+            targets = words[:, at + 1 : at + WINDOW + 1].T
+            g, h = window_gradients(self.p, words[:, at : at + len(targets)].T, targets, h, end)
+            x = np.concatenate([g[k].ravel() for k in self.names])
+            x *= min(1.0, 1.0 / (float(np.sqrt(x @ x)) + 1e-9))
+            self.t += 1
+            self.m += 0.1 * (x - self.m)
+            self.v += 0.01 * (x * x - self.v)
+            self.flat -= RATE / (1 - 0.9**self.t) * self.m / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-7)
 
 
 def score_texts(p: dict, texts: list[np.ndarray], end: int, window: int = 20_000) -> np.ndarray:

@@ -4,9 +4,9 @@
    hashes of the lower-cased word, one end mark for each text).
 2. The counts give the unigram base score, the frequent words and the classes
    of the recurrent model, which starts from the unigram probabilities.
-3. The model is trained on every RATE-th training document (by hash, so the
-   amount grows with the corpus): each round, every shard of SHARD words trains
-   a copy by truncated backpropagation and the copies are averaged.
+3. The model reads all training documents once, in ROUNDS rounds that each take
+   a part of them by hash: in a round every task trains a copy by truncated
+   backpropagation over its documents, and a grouped sum averages the copies.
 4. One pass scores every document word by word, the state carried over its whole
    length. Counts of the COMMON most frequent words are broadcast (a fixed
    bound); rarer words leave the pass as rows that are joined with the counts.
@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 
 from . import gru
 from .common import shared_folder, stored
+from .counts import most_common, word_counts
 from .labelled import remainder
 from .shingles import word_hashes
 
-COMMON, RATE, SHARD, ROUNDS = 1 << 19, 24, 400_000, 2
+COMMON, ROUNDS = 1 << 19, 4
+#: Words that a task trains on at a time.
+CHUNK = 1 << 20
 END = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,36 +47,6 @@ def tokens(text: str | None) -> np.ndarray:
     return np.append(word_hashes(text or ""), END)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all rows; each task counts up to a few million words before it sends."""
-
-    def run(batches):
-        held, size = [], 0
-
-        def out():
-            words, back = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-            n = np.bincount(back, np.concatenate([c for _, c in held]).astype(float)).astype(np.int64)
-            return words, n
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                found = [tokens(t) for t in batch.column(0).slice(at, 512).to_pylist()]
-                if found:
-                    held.append(np.unique(np.concatenate(found), return_counts=True))
-                    size += len(held[-1][0])
-                if size > 3_000_000:
-                    words, n = out()
-                    held, size = [(words, n)], len(words)
-                    if size > 2_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
-                        held, size = [], 0
-        if held:
-            words, n = out()
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
-
-    return docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
 class Vocabulary:
     """Common words and the model's classes: which number a word has, and what its share of its class is."""
 
@@ -125,57 +98,56 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, common: int = COMMON) -> Vocabulary:
-    """At most ``common`` words, the most frequent; their least count comes from a histogram of counts."""
+    """At most ``common`` words, the most frequent, and the sums over all."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    level = F.floor(F.log2("n") * 16)
-    held, least = 0, None
-    for lv, c in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundred rows
-        if held + c > common:
-            break
-        held, least = held + c, lv
-    top = counts.filter(level >= least) if least is not None else counts.limit(0)
-    table = top.toArrow()
-    return Vocabulary(table["word"].to_numpy().view(np.uint64), table["n"].to_numpy(), total, distinct)
-
-
-def trained(docs: DataFrame, vocab: Vocabulary, folder: str, rate: int = RATE, rounds: int = ROUNDS) -> dict:
-    """The model's weights after ``rounds`` passes over every ``rate``-th document."""
-    context = docs.sparkSession.sparkContext
-    model = gru.start(vocab.class_log, vocab.word_log)
+    return Vocabulary(*most_common(counts, common), total, distinct)
+
+
+def trained(docs: DataFrame, vocab: Vocabulary, folder: str, rounds: int = ROUNDS) -> dict:
+    """The model's weights after one pass over all documents, a part of them in each of ``rounds`` rounds."""
+    spark = docs.sparkSession
+    context, model, end = spark.sparkContext, gru.start(vocab.class_log, vocab.word_log), vocab.end
     shared = context.broadcast(vocab)
 
     def numbered(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                rows = [shared.value.numbers(tokens(t)).astype(np.int32) for t in batch.column(0).slice(at, 512).to_pylist()]
+                part = batch.slice(at, 512)
+                rows = [shared.value.numbers(tokens(t)).astype(np.int32) for t in part.column(0).to_pylist()]
                 flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([flat], names=["ids"])
-
-    picked = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(rate)) == 0)
-    rows = stored(picked.select("text").mapInArrow(numbered, "ids array<int>"), folder, "numbered")
-    n = rows.agg(F.sum(F.size("ids"))).first()[0] or 0
-    if not n:
-        return model
-    end, shards = vocab.end, max(1, -(-n // SHARD))
-    for _ in range(rounds):
+                yield pa.RecordBatch.from_arrays([flat, part.column(1)], names=["ids", "part"])
+
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit("lm")), F.lit(rounds)).cast("int")
+    path, schema = f"{folder}/numbered", "ids array<int>, part int"
+    docs.select("text", part.alias("part")).mapInArrow(numbered, schema).write.partitionBy("part").parquet(path)
+    rows = spark.read.schema(schema).parquet(path)
+    names = sorted(model)
+    for turn in range(rounds):
         weights = context.broadcast(model)
 
-        def run(batches):
-            parts = [b.column(0).flatten().to_numpy(zero_copy_only=False) for b in batches if b.num_rows]
-            if parts:
-                stream = np.concatenate([np.array([end]), *parts])
-                p = gru.train(weights.value, stream, end)
-                yield pa.RecordBatch.from_arrays([pa.array([float(len(stream))]), pa.array([np.concatenate([p[k].ravel() for k in sorted(p)]).astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
-
-        # averaged on the driver: a fixed 120 kB for each shard
-        got = rows.repartition(shards).mapInArrow(run, "n double, w binary").collect()
-        mean = sum(r["n"] * np.frombuffer(r["w"], np.float32).astype(float) for r in got) / sum(r["n"] for r in got)
-        at, new = 0, {}
-        for k in sorted(model):
-            new[k] = mean[at : at + model[k].size].reshape(model[k].shape).astype(np.float32)
-            at += model[k].size
-        model = new
+        def run(batches, weights=weights):
+            training, held, n = gru.Training(weights.value), [np.array([end])], 0
+            size = 0
+            for batch in batches:
+                held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False))
+                size += len(held[-1])
+                if size >= CHUNK:
+                    training.feed(np.concatenate(held), end)
+                    held, n, size = [np.array([end])], n + size, 0
+            if size:
+                training.feed(np.concatenate(held), end)
+            if n + size:
+                total = training.flat.astype(float) * (n + size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(np.full(len(total), float(n + size)))], names=["at", "w", "n"])
+
+        copies = rows.filter(F.col("part") == turn).select("ids").mapInArrow(run, "at int, w double, n double")
+        mean = copies.groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).orderBy("at").toArrow()  # one row for each weight
         weights.unpersist()
+        if mean.num_rows:
+            flat, at = mean["w"].to_numpy().astype(np.float32), 0
+            for k in names:
+                model[k] = flat[at : at + model[k].size].reshape(model[k].shape)
+                at += model[k].size
     return model
 
 
@@ -185,7 +157,7 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, keep: list[str] | None =
     keep = [c for c in (keep or ["doc_id"]) if c not in ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")]
     is_held = remainder(mod) == held
     training = docs.filter(~is_held).select("doc_id", "text")
-    counts = stored(word_counts(training), folder, "counts")
+    counts = stored(word_counts(training, lambda texts: np.concatenate([tokens(t) for t in texts])), folder, "counts")
     vocab = vocabulary(counts)
     model = trained(training, vocab, folder)
     context = docs.sparkSession.sparkContext

@@ -1,14 +1,18 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network.
 
 Every word has a sparse random index vector, drawn from its hash and from its
-shape (capitals, punctuation, digits). A word's vector is the sum of the index
-vectors of its neighbours over all documents: one pass adds them up for the
-VOCABULARY most common words of the sample and for each shape (rarer words take
-their shape's vector), and a grouped sum combines the partitions. A document is
-the mean of its words' vectors, with how often words repeat at once, how many
-differ, and its length. A network of two layers is fitted in numpy to a bounded
-sample (SAMPLE labelled documents of least hash, outside the held-out part);
-its temperature is set on a fifth of the sample that the layers don't see.
+shape (capitals, punctuation, digits). Words are counted over all documents, and
+one pass adds up, for the COMMON most frequent ones, the index vectors of their
+neighbours in all documents; a grouped sum combines the partitions. That sum is
+the word's vector. A rarer word, met too seldom for its neighbours to say much,
+has its own index vector instead. Vectors count at length one, and a document is
+pooled as the mean and the mean square of its words' vectors. A network of two
+layers is fitted in numpy to a bounded sample (SAMPLE labelled documents of least
+hash, outside the held-out part); its temperature is set on a fifth of the sample
+that the layers don't see.
+
+The table of vectors is broadcast, so COMMON bounds it (8 MB). To join vectors of
+all words to the documents would move some 140 bytes for each rarer occurrence.
 
 Defined results: null and empty texts have zero features and a score like any
 other; without labelled documents of both kinds every score is 0.5; texts of
@@ -23,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_folder, stored
+from .counts import most_common, word_counts
 from .labelled import labelled_sample, remainder
 from .shingles import mixed, prefix_sums
 
-SAMPLE, VOCABULARY, DIM, WINDOW, HIDDEN, EPOCHS = 8000, 4096, 32, 2, 24, 60
+SAMPLE, COMMON, DIM, WINDOW, HIDDEN, EPOCHS = 8000, 1 << 16, 32, 2, 24, 60
 _RNG = np.random.default_rng(99)
 SHAPES = 64
 _SHAPE_AT, _SHAPE_SIGN = _RNG.integers(0, DIM, (SHAPES, 4)), _RNG.choice([-1.0, 1.0], (SHAPES, 4)).astype(np.float32)
@@ -89,38 +95,31 @@ def texts_in_chunks(column):
         yield first, held
 
 
-def rows_of(hashes: np.ndarray, shape: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Row of each word in the table of vectors: its place in the sorted vocabulary, or its shape's row behind it."""
-    if not len(vocabulary):
-        return shape
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at, len(vocabulary) + shape)
+def found_in(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each word in the sorted ``words``, and whether it is one of them."""
+    if not len(words):
+        return np.zeros(len(hashes), int), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+    return at, words[at] == hashes
 
 
-def common_words(sample: DataFrame, most: int) -> np.ndarray:
-    """Sorted hashes of the sample's most common words."""
-
-    def run(batches):
-        for batch in batches:
-            for _, texts in texts_in_chunks(batch.column(0)):
-                value, count = np.unique(words_of(texts)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count)], names=["word", "n"])
-
-    rows = sample.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    found = rows.orderBy(F.desc("n"), "word").limit(most).collect()
-    return np.sort(np.array([r["word"] for r in found], np.int64).view(np.uint64))
+def unit(x: np.ndarray) -> np.ndarray:
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(length > 0, length, 1)
 
 
-def word_vectors(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """Unit vectors of the vocabulary's words and of all shapes: sums of their neighbours' index vectors over all documents."""
-    rows = len(vocabulary) + SHAPES
+def word_vectors(docs: DataFrame, words: np.ndarray) -> np.ndarray:
+    """Unit vectors of the sorted ``words``: sums of their neighbours' index vectors over all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
-        total = np.zeros((rows, DIM))
+        words = shared.value
+        total = np.zeros((len(words), DIM), np.float32)  # whole numbers, exact up to 2^24 in a task
         for batch in batches:
             for _, texts in texts_in_chunks(batch.column(0)):
                 hashes, shape, first = words_of(texts)
-                if not len(hashes):
+                at, known = found_in(hashes, words)
+                if not known.any():
                     continue
                 x = index_vectors(hashes, shape)
                 document = np.repeat(np.arange(len(texts)), np.diff(first))
@@ -129,51 +128,36 @@ def word_vectors(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
                     same = (document[o:] == document[:-o])[:, None]
                     near[o:] += x[:-o] * same
                     near[:-o] += x[o:] * same
-                row = rows_of(hashes, shape, vocabulary)
-                known = row < len(vocabulary)
-                # every word counts for its shape, and words of the vocabulary for themselves as well
-                for at, x in ((len(vocabulary) + shape, near), (row[known], near[known])):
-                    if len(at):
-                        order = np.argsort(at, kind="stable")
-                        value = at[order]
-                        start = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-                        total[value[start]] += np.add.reduceat(x[order], start, axis=0)
+                mine = np.flatnonzero(known)
+                order = mine[np.argsort(at[mine], kind="stable")]
+                value = at[order]
+                start = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+                total[value[start]] += np.add.reduceat(near[order], start, axis=0)
         some = np.flatnonzero(np.abs(total).sum(axis=1))
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(some) * DIM + 1, DIM, dtype=np.int32)), pa.array(total[some].ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), flat], names=["word", "v"])
 
-    parts = docs.select("text").mapInArrow(run, "word int, v array<double>")
+    parts = docs.select("text").mapInArrow(run, "word int, v array<float>")
     sums = parts.groupBy("word").agg(*[F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(DIM)])
-    out = np.zeros((rows, DIM))
-    for r in sums.collect():  # at most VOCABULARY + SHAPES rows
-        out[r[0]] = r[1:]
-    length = np.linalg.norm(out, axis=1, keepdims=True)
-    return (out / np.where(length > 0, length, 1)).astype(np.float32)
+    table, out = sums.toArrow(), np.zeros((len(words), DIM))  # at most COMMON rows
+    for k in range(DIM):
+        out[table["word"].to_numpy(), k] = table[f"v{k}"].to_numpy()
+    return unit(out).astype(np.float32)
 
 
-def document_features(texts: list[str], vocabulary: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Pooled vectors and repetition of each text; zeros for texts without words."""
-    out = np.zeros((len(texts), 2 * DIM + 4))
+def document_features(texts: list[str], words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Mean and mean square of the word vectors of each text; zeros for texts without words."""
+    out = np.zeros((len(texts), 2 * DIM))
     hashes, shape, first = words_of(texts)
     n = np.diff(first)
     some = np.flatnonzero(n)
     if not len(some):
         return out
-    start, size = first[some], n[some]
-    v = vectors[rows_of(hashes, shape, vocabulary)]
-    mean = np.add.reduceat(v, start, axis=0) / size[:, None]
-    out[some, :DIM] = mean
-    by_shape = vectors[len(vocabulary) + shape]
-    out[some, DIM : 2 * DIM] = np.add.reduceat(by_shape, start, axis=0) / size[:, None]
-    document = np.repeat(np.arange(len(texts)), n)
-    again = np.zeros(len(hashes))
-    again[1:] = (hashes[1:] == hashes[:-1]) & (document[1:] == document[:-1])
-    out[some, 2 * DIM] = np.add.reduceat(again, start) / size
-    order = np.lexsort((hashes, document))
-    new = np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (document[order][1:] != document[order][:-1])]
-    out[some, 2 * DIM + 1] = np.add.reduceat(new.astype(float), start) / size
-    out[some, 2 * DIM + 2] = np.log(size) / 8
-    out[some, 2 * DIM + 3] = np.linalg.norm(mean, axis=1)
+    at, known = found_in(hashes, words)
+    v = vectors[at] if len(words) else np.zeros((len(hashes), DIM), np.float32)
+    v[~known] = unit(index_vectors(hashes[~known], shape[~known]))
+    for k, x in ((0, v), (1, v * v)):
+        out[some, k * DIM : (k + 1) * DIM] = np.add.reduceat(x, first[some], axis=0) / n[some][:, None]
     return out
 
 
@@ -215,15 +199,15 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, thres
     """``keep`` columns, held_out, score, predicted."""
     keep = [c for c in (keep or ["doc_id"]) if c not in ("held_out", "score", "predicted")]
     chosen = labelled_sample(docs, labels, "quality", mod, held, sample)
-    vocabulary = common_words(chosen, VOCABULARY)
-    vectors = word_vectors(docs, vocabulary)
-    tables = docs.sparkSession.sparkContext.broadcast((vocabulary, vectors))
+    counts = stored(word_counts(docs, lambda texts: words_of(texts)[0]), shared_folder(docs.sparkSession), "counts")
+    words = np.sort(most_common(counts, COMMON)[0])
+    tables = docs.sparkSession.sparkContext.broadcast((words, word_vectors(docs, words)))
 
     def measured(batches):
-        vocabulary, vectors = tables.value
+        words, vectors = tables.value
         for batch in batches:
             for at, texts in texts_in_chunks(batch.column(0)):
-                x = document_features(texts, vocabulary, vectors)
+                x = document_features(texts, words, vectors)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([flat, batch.column(1).slice(at, len(texts))], names=["x", "y"])
 
@@ -234,10 +218,10 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, thres
     ready = docs.select(F.struct(*keep).alias("kept"), (remainder(mod) == held).alias("held_out"), "text")
 
     def run(batches):
-        (vocabulary, vectors), model = tables.value, learned.value
+        (words, vectors), model = tables.value, learned.value
         for batch in batches:
             for at, texts in texts_in_chunks(batch.column(2)):
-                z = _logits(model, document_features(texts, vocabulary, vectors)) / model["temperature"] if model else np.zeros(len(texts))
+                z = _logits(model, document_features(texts, words, vectors)) / model["temperature"] if model else np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=["kept", "held_out", "score"])
 
     out = ready.mapInArrow(run, f"kept {ready.schema['kept'].dataType.simpleString()}, held_out boolean, score double")

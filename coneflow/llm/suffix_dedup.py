@@ -7,10 +7,9 @@ runs of neighbouring windows with one anchor; a run's bytes are a segment.
 
 1. Anchors are counted over all texts. A run whose anchor occurs once is unique.
 2. Equal segments of an anchor (by two 64-bit hashes) are one string with a
-   number of copies, and all windows of a string with several copies are
-   repeated; this is also true of an anchor's only string, which needs no sorting.
-3. Of anchors with several strings one copy of each is fetched, anchors are
-   dealt to shards of a bounded size, and each shard's suffix array is induced.
+   number of copies: all windows of a string with several copies are repeated.
+3. One copy of each string of all other anchors is fetched, anchors are dealt to
+   shards of a bounded size, and each shard's suffix array is induced.
    A window is repeated if its permuted common prefix, or that of the suffix
    after it, reaches LENGTH.
 4. Anchors with more than HOT different segments (a passage inside very many
@@ -226,7 +225,7 @@ def spans(rows: DataFrame, folder: str, length: int = LENGTH, piece: int = PIECE
     copied = segments.filter("copies > 1").select("anchor", "segment", "copies")
     end = (F.col("first") + F.col("count") - 1 + length).cast("int").alias("end")
     again = joined(seen, copied, ["anchor", "segment"], "copies").select("id", F.col("first").alias("start"), end)
-    variants = stored(segments.groupBy("anchor").agg(F.count("*").alias("variants")).filter("variants > 1"), folder, "variants")
+    variants = stored(segments.groupBy("anchor").agg(F.count("*").alias("variants")), folder, "variants")
     samples = joined(segments, variants, ["anchor"], "variants")
     fetched = stored(_fetched(samples, rows, length), folder, "fetched")
     total = fetched.filter(F.col("variants") <= HOT).agg(F.sum(F.octet_length("bytes"))).first()[0] or 0

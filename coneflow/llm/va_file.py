@@ -1,18 +1,29 @@
 """Exact top-k inner products by vector-approximation files.
 
-The index cuts the vectors into blocks; each block keeps a file of quantised
-cells (one byte a component, CELLS cells between the block's least and largest
-value) beside the exact vectors. A query scans the cells for an upper and a
-lower bound of every product, drops what can't reach the k-th lower bound, and
-reads exact vectors in the order of their bounds until the k-th result is
-certain. Blocks of queries meet blocks of vectors in separate tasks, so no task
-holds more than one block of each; only k rows of each query and block are
-shuffled further. The work is (queries x rows): exact search has no other end.
+1. The vectors are dealt to blocks of a bounded size, and each block becomes one
+   row of a stored table, its approximation file: the ids, and one byte for each
+   component, the number of its cell between the block's least and largest value.
+2. Blocks of queries scan the files, and nothing but them. The product with the
+   middles of the cells is one product with the codes; half of the cells' widths
+   bounds what it may be off. Within a block all rows stay whose upper bound
+   reaches the k-th lower bound; the k-th lower bound over all blocks then drops
+   most of these.
+3. What is left is read exactly, in the order of the upper bounds: first
+   FIRST * k rows of each query, then those whose upper bound still reaches the
+   k-th exact score. No other row can be among the k best.
+
+Blocks of queries meet files in separate tasks, so no task holds more than one
+of each; a file is an eighth of its vectors, and it is what is sent once for each
+block of queries. Exact vectors meet only the pairs that are left. Of equal
+vectors only the k + 1 smallest ids take part as candidates: ties go to smaller
+ids and one may be the query's own, so no others can be found. The work is
+(queries x rows): exact search has no other end.
 
 Defined results: vectors that are null, or hold nulls or numbers that aren't
 finite, take no part, nor do rows without an id; rows that repeat an id count
 once; vectors of different length never meet; with fewer than k candidates all
-are returned; a row never finds itself. Extra columns are ignored.
+are returned; a row never finds itself; products beyond 64 bits count as the
+largest (smallest) number of 64 bits. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,69 +32,106 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import joined, shared_folder, stored
+from .vectors import first_copies, matrix, merged, one_row_per_id
+
+CELLS, BLOCK, FIRST = 256, 8192, 2
+#: Bytes of exact vectors in a block at most, whatever their length.
+BLOCK_BYTES = 1 << 25
+#: Vectors that so many pairs ask for may be broadcast; so many at most.
+HOT_VECTORS = 1000
+#: Bounds that one step of a scan holds.
+SCORES = 1 << 21
+_LARGEST = 2**63 - 1
+
+
+def cells(block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The approximation of a block: a code for each component, and by dimension the least value and the width of a cell."""
+    low = block.min(axis=0)
+    width = block.max(axis=0) / CELLS - low / CELLS
+    codes = np.floor((block - low) / np.where(width > 0, width, 1.0))
+    return np.clip(codes, 0, CELLS - 1).astype(np.uint8), low, width
+
+
+def bounds(queries: np.ndarray, codes: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Approximate products of queries and coded rows, and by how much each query's may be off."""
+    middle = (queries * width) @ codes.T.astype(float) + (queries @ (low + width / 2))[:, None]
+    size = np.abs(queries) @ (np.abs(low) + CELLS * width)
+    return middle, np.abs(queries) @ (width / 2) + 1e-9 * (1.0 + size)  # the last part: rounding
 
-from .vectors import matrix, merged, one_row_per_id
-
-CELLS, BLOCK, STEP = 16, 8192, 64
-
-
-def cells(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The approximation file of a block: a code for each component, and the edges of the cells by dimension."""
-    low, high = block.min(axis=0), block.max(axis=0)
-    edges = low + (high - low) * np.arange(CELLS + 1)[:, None] / CELLS
-    edges[-1] = high
-    width = np.where(high > low, (high - low) / CELLS, 1.0)
-    codes = np.clip(np.floor((block - low) / width), 0, CELLS - 1).astype(np.uint8)
-    # rounding may put a value one cell off; the edges decide
-    dims = np.arange(block.shape[1])
-    codes -= (edges[codes, dims] > block).astype(np.uint8)
-    codes += ((edges[np.minimum(codes + 1, CELLS), dims] < block) & (codes < CELLS - 1)).astype(np.uint8)
-    return codes, edges
-
-
-def search_block(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> tuple[list, list, list]:
-    """Exact k best products of each query within a block; returns query ids, ids and scores."""
-    order = np.argsort(ids, kind="stable")
-    block, ids = block[order], ids[order]
-    codes, edges = cells(block)
-    dims = np.arange(block.shape[1])
-    low, high = edges[codes, dims], edges[np.minimum(codes + 1, CELLS), dims]
-    out_q, out_v, out_s = [], [], []
-    if block.shape[1]:
-        largest = float(np.abs(queries).max()) * float(np.abs(block).max()) * block.shape[1]
-    else:
-        largest = 0.0
-    exact_in_doubles = largest < 2.0**52
-    slack = 1e-9 * max(1.0, largest)
-    for at in range(0, len(queries), 256):
-        part = queries[at : at + 256]
-        plus, minus = np.maximum(part, 0), np.minimum(part, 0)
-        upper = plus @ high.T + minus @ low.T + slack
-        lower = plus @ low.T + minus @ high.T - slack
-        own = ids[None, :] == query_ids[at : at + 256, None]
-        upper[own], lower[own] = -np.inf, -np.inf
-        keep = min(k, lower.shape[1])
-        floor = -np.partition(-lower, keep - 1, axis=1)[:, keep - 1] if keep else np.full(len(part), -np.inf)
-        for r in range(len(part)):
-            near = np.flatnonzero((upper[r] >= floor[r]) & (upper[r] > -np.inf))
-            near = near[np.argsort(-upper[r][near], kind="stable")]
-            scores: np.ndarray = np.empty(0, part.dtype if exact_in_doubles else object)
-            seen = 0
-            while seen < len(near):
-                if seen >= k:
-                    kth = np.partition(scores, seen - k)[seen - k]
-                    if upper[r][near[seen]] < kth:
-                        break
-                take = near[seen : seen + STEP]
-                exact = block[take] @ part[r] if exact_in_doubles else block[take].astype(object) @ part[r].astype(object)
-                scores = np.concatenate([scores, exact])
-                seen += len(take)
-            got = near[: len(scores)]
-            top = np.lexsort((ids[got], -scores))[:k]
-            out_q.extend([int(query_ids[at + r])] * len(top))
-            out_v.extend(ids[got[top]].tolist())
-            out_s.extend(scores[top].tolist())
-    return out_q, out_v, out_s
+
+def survivors(middle: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of all products whose upper bound reaches their row's k-th lower bound."""
+    if not middle.size:
+        return np.empty(0, int), np.empty(0, int)
+    floor = -np.partition(-middle, k - 1, axis=1)[:, k - 1] - 2 * off if middle.shape[1] >= k else np.full(len(middle), -np.inf)
+    return np.nonzero((middle >= floor[:, None]) & (middle > -np.inf))
+
+
+def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Integer products of rows; in doubles while these are exact, else in Python's integers."""
+    if not a.size or np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2.0**52:
+        return (a * b).sum(axis=1).astype(np.int64)
+    whole = ((np.vectorize(int, otypes=[object])(x)) for x in (a, b))
+    return np.array([max(-_LARGEST - 1, min(_LARGEST, int(s))) for s in np.multiply(*whole).sum(axis=1)], np.int64)
+
+
+def _files(held: DataFrame) -> DataFrame:
+    """One row for each block (dim, b): its ids, codes, and cells."""
+
+    def run(group: pa.Table) -> pa.Table:
+        codes, low, width = cells(matrix(group["vec"]))
+        one = {"dim": group["dim"][:1], "b": group["b"][:1], "queues": group["queues"][:1]}
+        return pa.table({**one, "ids": pa.array([group["vec_id"].to_numpy()], pa.list_(pa.int64())), "low": pa.array([low], pa.list_(pa.float64())), "width": pa.array([width], pa.list_(pa.float64())), "codes": pa.array([codes.tobytes()], pa.binary())})
+
+    return held.select("dim", "b", "queues", "vec_id", "vec").groupBy("dim", "b").applyInArrow(run, "dim int, b int, queues int, ids array<bigint>, low array<double>, width array<double>, codes binary")
+
+
+def _scanned(files: DataFrame, asks: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, upper, lower) of the rows that stay in each block for each query."""
+
+    def run(file: pa.Table, asking: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0)]]
+        if file.num_rows and asking.num_rows:
+            ids = file["ids"][0].values.to_numpy()
+            low, width = (file[c][0].values.to_numpy() for c in ("low", "width"))
+            codes = np.frombuffer(file["codes"][0].as_py(), np.uint8).reshape(len(ids), -1 if len(low) else 0)
+            queries, query_ids = matrix(asking["vec"]), asking["vec_id"].to_numpy()
+            step = max(1, SCORES // len(ids))
+            for at in range(0, len(queries), step):
+                own = query_ids[at : at + step]
+                middle, off = bounds(queries[at : at + step], codes, low, width)
+                middle[own[:, None] == ids[None, :]] = -np.inf
+                r, c = survivors(middle, off, k)
+                for part, value in zip(out, (own[r], ids[c], middle[r, c] + off[r], middle[r, c] - off[r])):
+                    part.append(value)
+        return pa.table(dict(zip(("query_id", "vec_id", "upper", "lower"), map(np.concatenate, out))))
+
+    key = ["dim", "b", "q"]
+    sent = files.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("queues") - 1)))
+    return sent.groupBy(key).cogroup(asks.select(*key, "vec_id", "vec").groupBy(key)).applyInArrow(run, "query_id bigint, vec_id bigint, upper double, lower double")
+
+
+def _read(pairs: DataFrame, held: DataFrame, asks: DataFrame, folder: str, name: str) -> DataFrame:
+    """(query_id, vec_id, score): exact products of pairs; only vectors that some pair asks for are read."""
+
+    def run(batches):
+        for batch in batches:
+            score = exact_products(matrix(pa.chunked_array([batch.column(2)])), matrix(pa.chunked_array([batch.column(3)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
+
+    wanted = stored(pairs.groupBy("vec_id").agg(F.count("*").alias("n")).join(held.select("vec_id", "vec", "dim"), "vec_id"), folder, f"wanted_{name}")
+    met = joined(pairs, wanted, ["vec_id"], "n", HOT_VECTORS).join(asks.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("ask")), "query_id")
+    met = met.filter("dim > 0").select("query_id", "vec_id", "ask", "vec").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint").unionByName(met.filter("dim = 0").select("query_id", "vec_id", F.lit(0).cast("long").alias("score")))
+    return stored(met, folder, name)
+
+
+def _kth(rows: DataFrame, value: str, k: int) -> DataFrame:
+    """(query_id, least): the k-th largest value of each query that has k."""
+    w = Window.partitionBy("query_id").orderBy(F.desc(value))
+    return rows.select("query_id", value, F.row_number().over(w).alias("place")).filter(F.col("place") <= k).filter(F.col("place") == k).select("query_id", F.col(value).alias("least"))
 
 
 def top_k(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, scale: float = 64.0, block: int = BLOCK) -> DataFrame:
@@ -91,23 +139,24 @@ def top_k(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
 
     Components become floor(scale * x); the score is their integer product.
     """
+    folder = shared_folder(table.sparkSession)
     rows = one_row_per_id(table, id_col, vec_col)
-    rows = rows.withColumn("vec", F.transform("vec", lambda x: F.floor(F.lit(scale) * x).cast("double")))
-    n, n_queries = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    n_blocks, q_blocks = max(1, -(-n // block)), max(1, -(-n_queries // block))
-    mine = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
-    theirs = F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int")
-    data = rows.select("dim", mine.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"), F.lit(False).alias("asks"), "vec_id", "vec")
-    asks = rows.filter(F.col("vec_id") % every == 0).select("dim", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), theirs.alias("q"), F.lit(True).alias("asks"), "vec_id", "vec")
-
-    def run(group: pa.Table) -> pa.Table:
-        asks = group["asks"].to_numpy()
-        ids, vectors = group["vec_id"].to_numpy(), matrix(group["vec"])
-        if asks.all() or not asks.any():
-            found: tuple = ([], [], [])
-        else:
-            found = search_block(vectors[asks], ids[asks], vectors[~asks], ids[~asks], k)
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array([int(s) for s in found[2]], pa.int64())})
-
-    found = data.unionByName(asks).groupBy("dim", "b", "q").applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    return merged(found, k)
+    rows = stored(rows.withColumn("vec", F.transform("vec", lambda x: F.floor(F.lit(scale) * x).cast("double"))), folder, "rows")
+    asking = F.col("vec_id") % every == 0
+    per = F.greatest(F.lit(64), F.least(F.lit(block), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim") + 1))))
+    counted = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(asking, 1)).alias("asked"))
+    share = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / per)).cast("int")
+    sizes = stored(counted.select("dim", "n", share("n").alias("blocks"), share("asked").alias("queues")), folder, "sizes")
+    held = stored(first_copies(rows, k + 1), folder, "held")
+    dealt = joined(held, sizes, ["dim"], "n").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    files = stored(_files(dealt), folder, "files")
+    asks = rows.filter(asking)
+    sent = joined(asks, sizes, ["dim"], "n").withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit("q")), F.col("queues")).cast("int"))
+    sent = sent.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    found = stored(_scanned(files, sent, k), folder, "found")
+    left = found.join(_kth(found, "lower", k), "query_id", "left").filter("least is null or upper >= least").select("query_id", "vec_id", "upper")
+    w = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id")
+    left = stored(left.withColumn("place", F.row_number().over(w)), folder, "left")
+    first = _read(left.filter(F.col("place") <= FIRST * k).select("query_id", "vec_id"), held, asks, folder, "first")
+    rest = left.filter(F.col("place") > FIRST * k).join(_kth(first, "score", k), "query_id").filter("upper >= least").select("query_id", "vec_id")
+    return merged(first.unionByName(_read(rest, held, asks, folder, "rest")), k)

@@ -26,7 +26,14 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Rows of equal length as a matrix."""
     whole = column.combine_chunks()
     n = len(whole)
-    return whole.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.empty((0, 0))
+    flat = whole.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(n, len(flat) // n) if n else np.empty((0, 0))
+
+
+def first_copies(rows: DataFrame, most: int) -> DataFrame:
+    """Of equal vectors the ``most`` smallest ids; each task keeps no more before rows are shuffled."""
+    w = Window.partitionBy("vec").orderBy("vec_id")
+    return rows.withColumn("copy", F.row_number().over(w)).filter(F.col("copy") <= most).drop("copy")
 
 
 def best(scores: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
