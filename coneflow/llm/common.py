@@ -43,10 +43,11 @@ def joined(rows: DataFrame, side: DataFrame, keys: list[str], copies: str, most:
     They are few whatever the input (``most``, as each has more than that part of
     the rows), so they are broadcast; all others meet by a shuffle.
     """
-    many = max(HOT_ROWS, (side.agg(F.sum(copies)).first()[0] or 0) // most)
-    hot = side.filter(F.col(copies) > many)
-    if not hot.take(1):
+    total, largest = side.agg(F.coalesce(F.sum(copies), F.lit(0)), F.coalesce(F.max(copies), F.lit(0))).first()
+    many = max(HOT_ROWS, total // most)
+    if largest <= many:
         return rows.join(side, keys)
+    hot = side.filter(F.col(copies) > many)
     cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(side.filter(F.col(copies) <= many), keys)
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
 

@@ -6,7 +6,8 @@ one pass adds up, for the COMMON most frequent ones, the index vectors of their
 neighbours in all documents; a grouped sum combines the partitions. That sum is
 the word's vector. A rarer word, met too seldom for its neighbours to say much,
 has its own index vector instead. Vectors count at length one, and a document is
-pooled as the mean and the mean square of its words' vectors. A network of two
+pooled as the means of its words' vectors, of their squares, and of the products
+of neighbours, in which repetition shows. A network of two
 layers is fitted in numpy to a bounded sample (SAMPLE labelled documents of least
 hash, outside the held-out part); its temperature is set on a fifth of the sample
 that the layers don't see.
@@ -146,8 +147,8 @@ def word_vectors(docs: DataFrame, words: np.ndarray) -> np.ndarray:
 
 
 def document_features(texts: list[str], words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and mean square of the word vectors of each text; zeros for texts without words."""
-    out = np.zeros((len(texts), 2 * DIM))
+    """Means of the word vectors of each text, of their squares, and of their products with the next word's; zeros for texts without words."""
+    out = np.zeros((len(texts), 3 * DIM))
     hashes, shape, first = words_of(texts)
     n = np.diff(first)
     some = np.flatnonzero(n)
@@ -156,7 +157,10 @@ def document_features(texts: list[str], words: np.ndarray, vectors: np.ndarray)
     at, known = found_in(hashes, words)
     v = vectors[at] if len(words) else np.zeros((len(hashes), DIM), np.float32)
     v[~known] = unit(index_vectors(hashes[~known], shape[~known]))
-    for k, x in ((0, v), (1, v * v)):
+    following = np.zeros_like(v)
+    following[:-1] = v[:-1] * v[1:]
+    following[first[some] + n[some] - 1] = 0  # the last word of a text has none
+    for k, x in ((0, v), (1, v * v), (2, following)):
         out[some, k * DIM : (k + 1) * DIM] = np.add.reduceat(x, first[some], axis=0) / n[some][:, None]
     return out
 
