@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,9 +24,30 @@ def ship_package(spark: SparkSession) -> None:
     context._coneflow_shipped = True
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    On a single machine a temporary folder is set for the session where the
+    setting is absent; on a cluster its absence is an error, since executors
+    would write to their own disks.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The name of a new folder that all executors share."""
+    return f"{shared_base(spark)}/{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows as they are now, in the folder that spark.checkpoint.dir names (a temporary one where it is unset)."""
+    """The rows as they are now, in the shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
     return df.checkpoint()

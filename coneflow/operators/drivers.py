@@ -9,16 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import checkpointed
 from ..functions.selections import large_area, no_hard_constituent, several_constituents
 from . import grooming, jetfinding, matching
 
 
-def _selected(jets: DataFrame, events: DataFrame, r: float, system: str, with_area: bool, most_pt: float = 100.0) -> DataFrame:
-    """Jets with their particles after the cuts on constituents, area and acceptance."""
-    full = jetfinding.with_particles(jets, events)
-    full = full.filter(no_hard_constituent(F.col("particles"), most_pt) & several_constituents(F.col("particles"), system))
-    full = full.filter(F.abs("eta") < 0.9 - r)
-    return full.filter(large_area(F.col("area"), r)) if with_area else full
+def _jets(tracks: DataFrame, r: float, pt_min: float, system: str, ghost_area: float | None = None, most_pt: float = 100.0) -> DataFrame:
+    """Jets with their particles after the cuts on constituents, area and acceptance; found once and kept for all uses."""
+    jets = jetfinding.find_jets(jetfinding.nested(tracks), r, pt_min=pt_min, eta_max=0.9 - r, ghost_area=ghost_area, with_particles=True)
+    jets = jets.filter(no_hard_constituent(F.col("particles"), most_pt) & several_constituents(F.col("particles"), system))
+    return checkpointed(jets.filter(large_area(F.col("area"), r)) if ghost_area else jets)
 
 
 def _groomed(jets: DataFrame, method: str, level: str) -> DataFrame:
@@ -30,18 +30,12 @@ def _groomed(jets: DataFrame, method: str, level: str) -> DataFrame:
 
 def analyze_data(tracks: DataFrame, r: float = 0.4, method: str = "soft_drop_z_cut_02", pt_min: float = 5.0, system: str = "pp", ghost_area: float | None = None) -> DataFrame:
     """One row per jet: data_jet_pt and the picked splitting."""
-    events = jetfinding.nested(tracks.filter("pt >= 0.15"))
-    jets = jetfinding.find_jets(events, r, pt_min=pt_min, eta_max=0.9 - r, ghost_area=ghost_area)
-    return _groomed(_selected(jets, events, r, system, bool(ghost_area)), method, "data")
+    return _groomed(_jets(tracks.filter("pt >= 0.15"), r, pt_min, system, ghost_area), method, "data")
 
 
 def analyze_mc(det: DataFrame, part: DataFrame, r: float = 0.4, method: str = "soft_drop_z_cut_02", pt_min: float = 5.0, distance: float = 1.0) -> DataFrame:
     """One row per pair of jets of the measured and the generated level that match."""
-    found = {}
-    for level, tracks in (("det_level", det), ("true", part)):
-        events = jetfinding.nested(tracks.filter("pt >= 0.15") if level == "det_level" else tracks)
-        jets = jetfinding.find_jets(events, r, pt_min=pt_min, eta_max=0.9 - r)
-        found[level] = _selected(jets, events, r, "pythia", False)
+    found = {"det_level": _jets(det.filter("pt >= 0.15"), r, pt_min, "pythia"), "true": _jets(part, r, pt_min, "pythia")}
     pairs = matching.geometric_matches(found["det_level"], found["true"], distance)
     pairs = pairs.select("event_id", F.col("base").alias("det_level"), F.col("tag").alias("true"), "distance")
     out = pairs
@@ -58,13 +52,10 @@ def analyze_embedding(part: DataFrame, det: DataFrame, background: DataFrame, r:
     shared momentum is a join on (jet, index).
     """
     mixed = det.select("event_id", "idx", "pt", "eta", "phi").unionByName(background.select("event_id", "idx", "pt", "eta", "phi")).filter("pt >= 0.15")
-    rho = jetfinding.grid_density(background)
+    rho = jetfinding.density(det, background)
     left = jetfinding.constituent_subtraction(jetfinding.nested(mixed).join(rho, "event_id"), ghost_area=0.05).withColumnRenamed("index", "idx")
-    levels, found = {"hybrid": left, "det_level": det.filter("pt >= 0.15"), "true": part}, {}
-    for level, tracks in levels.items():
-        events = jetfinding.nested(tracks)
-        jets = jetfinding.find_jets(events, r, pt_min=pt_min, eta_max=0.9 - r)
-        found[level] = _selected(jets, events, r, "embedPythia", False)
+    levels = {"hybrid": left, "det_level": det.filter("pt >= 0.15"), "true": part}
+    found = {level: _jets(tracks, r, pt_min, "embedPythia") for level, tracks in levels.items()}
     chain = matching.match_chain(matching.geometric_matches(found["hybrid"], found["det_level"], distance), matching.geometric_matches(found["det_level"], found["true"], distance))
     chain = chain.select("event_id", "hybrid", F.col("det").alias("det_level"), "true")
     key = F.struct("event_id", "det_level").alias("jet_id")

@@ -123,6 +123,11 @@ def ratio(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return joined.select(*keys, value.alias("ratio"), error.alias("ratio_error"))
 
 
+def only_in_one(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of two sets that the other lacks, with ``only_in``: empty if the sets are equal."""
+    return a.exceptAll(b).withColumn("only_in", F.lit("first")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("second")))
+
+
 def same_edges(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Bins that only one of two histograms has: empty if their edges agree."""
     left, right = a.select(*keys).distinct(), b.select(*keys).distinct()

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.kinematics import PION_MASS, area_from_percent
+
 #: Power of pt in the distance measure.
 ALGORITHMS = {"anti-kt": -1.0, "kt": 1.0, "cambridge-aachen": 0.0}
 SCHEMES = ("E", "pt", "pt2", "WTA_pt")
@@ -121,14 +123,24 @@ def ghosts(most_rapidity: float, area: float) -> np.ndarray:
     return np.stack([1e-50 * np.cos(phi), 1e-50 * np.sin(phi), 1e-50 * np.sinh(y), 1e-50 * np.cosh(y)], axis=1)
 
 
-def nested(tracks: DataFrame, event: str = "event_id", mass: float = 0.139) -> DataFrame:
+def mass_of(tracks: DataFrame, default: float = PION_MASS) -> Column:
+    """The column m, or the mass of the column e, or the default where there is neither."""
+    if "m" in tracks.columns:
+        return F.col("m")
+    if "e" in tracks.columns:
+        p = F.col("pt") * F.cosh("eta")
+        return F.sqrt(F.greatest(F.col("e") * F.col("e") - p * p, F.lit(0.0)))
+    return F.lit(default)
+
+
+def nested(tracks: DataFrame, event: str = "event_id") -> DataFrame:
     """One row per event with its particles (index, pt, eta, phi, m) in the order of their index.
 
     The number of partitions is set, so that Spark does not join small ones:
     what follows costs time, not space.
     """
     n = int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    particle = F.struct(F.col("idx").cast("int").alias("index"), "pt", "eta", "phi", F.lit(mass).alias("m"))
+    particle = F.struct(F.col("idx").cast("int").alias("index"), "pt", "eta", "phi", mass_of(tracks).cast("double").alias("m"))
     return tracks.repartition(n, event).groupBy(event).agg(F.array_sort(F.collect_list(particle)).alias("particles"))
 
 
@@ -140,11 +152,12 @@ def _vectors(particles: list[dict]) -> np.ndarray:
     return np.stack([px, py, pz, np.sqrt(px * px + py * py + pz * pz + m * m)], axis=1)
 
 
-_JET = "jet int, px double, py double, pz double, e double, pt double, eta double, phi double, area double, constituents array<int>"
+_JET = "jet int, px double, py double, pz double, e double, pt double, eta double, phi double, area double, hardest double, constituents array<int>"
+_PARTICLES = "array<struct<index:int,pt:double,eta:double,phi:double,m:double>>"
 
 
-def find_jets(events: DataFrame, r: float = 0.4, algorithm: str = "anti-kt", scheme: str = "E", pt_min: float = 0.0, eta_max: float = 10.0, ghost_area: float | None = None, ghost_rapidity: float = 1.0, event: str = "event_id") -> DataFrame:
-    """Jets of every event (event, particles), hardest first, with the indices of their particles.
+def find_jets(events: DataFrame, r: float = 0.4, algorithm: str = "anti-kt", scheme: str = "E", pt_min: float = 0.0, eta_max: float = 10.0, ghost_area: float | None = None, ghost_rapidity: float = 1.0, event: str = "event_id", with_particles: bool = False) -> DataFrame:
+    """Jets of every event (event, particles), hardest first, with the indices (and on request the whole) of their particles.
 
     ``ghost_area`` adds a grid of ghosts and counts them for the area; ghosts
     never appear among the constituents. An event without particles is an error.
@@ -170,21 +183,30 @@ def find_jets(events: DataFrame, r: float = 0.4, algorithm: str = "anti-kt", sch
                     px, py, pz, e = vectors[k]
                     pt = math.hypot(px, py)
                     eta = math.asinh(pz / pt) if pt > 0 else 0.0
+                    mine = [particles[i] for i in own if i < n]
                     if (real or len(grid)) and pt >= pt_min and abs(eta) < eta_max:
-                        rows.append({"px": px, "py": py, "pz": pz, "e": e, "pt": pt, "eta": eta, "phi": math.atan2(py, px), "area": cell * sum(i >= n for i in own), "constituents": real})
+                        rows.append({"px": px, "py": py, "pz": pz, "e": e, "pt": pt, "eta": eta, "phi": math.atan2(py, px), "area": cell * sum(i >= n for i in own), "hardest": max((q["pt"] for q in mine), default=0.0), "constituents": real, "particles": mine})
                 rows.sort(key=lambda j: (-j["pt"], j["constituents"]))
                 out.extend({event: key, "jet": k, **j} for k, j in enumerate(rows))
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     kinds = {"int": pa.int32(), "double": pa.float64(), "array<int>": pa.list_(pa.int32())}
-    schema = pa.schema([(event, pa.int64()), *[(c.split()[0], kinds[c.split()[1]]) for c in _JET.split(", ")]])
-    return events.select(F.col(event).cast("long"), "particles").mapInArrow(run, f"{event} bigint, {_JET}")
+    fields = [(event, pa.int64()), *[(c.split()[0], kinds[c.split()[1]]) for c in _JET.split(", ")]]
+    if with_particles:
+        fields.append(("particles", pa.list_(pa.struct([("index", pa.int32()), *[(c, pa.float64()) for c in ("pt", "eta", "phi", "m")]]))))
+    schema = pa.schema(fields)
+    return events.select(F.col(event).cast("long"), "particles").mapInArrow(run, f"{event} bigint, {_JET}" + (f", particles {_PARTICLES}" if with_particles else ""))
 
 
-def median_density(kt_jets: DataFrame, eta_max: float = 0.7, drop: int = 2, event: str = "event_id") -> DataFrame:
-    """rho per event: median of pt / area over kt jets in the acceptance without the ``drop`` hardest."""
+def median_density(kt_jets: DataFrame, eta_max: float = 0.7, drop: int = 2, event: str = "event_id", constituent_pt_max: float = 100.0) -> DataFrame:
+    """rho per event: median of pt / area over kt jets.
+
+    Jets with a constituent above ``constituent_pt_max`` or outside the
+    acceptance go first, then the ``drop`` hardest of the rest.
+    """
     w = Window.partitionBy(event).orderBy(F.desc("pt"), "jet")
-    rows = kt_jets.filter((F.abs("eta") < eta_max) & (F.col("area") > 0)).withColumn("place", F.row_number().over(w)).filter(F.col("place") > drop)
+    rows = kt_jets.filter((F.col("hardest") <= constituent_pt_max) & (F.abs("eta") < eta_max))
+    rows = rows.withColumn("place", F.row_number().over(w)).filter((F.col("place") > drop) & (F.col("area") > 0))
     return rows.groupBy(event).agg(F.expr("percentile(pt / area, 0.5)").alias("rho"))
 
 
@@ -199,6 +221,37 @@ def grid_density(tracks: DataFrame, eta_max: float = 0.9, spacing: float = 0.9,
     return full.join(cells, [event, "cell"], "left").groupBy(event).agg(F.expr(f"percentile(coalesce(pt, 0D) / {d_eta * d_phi!r}D, 0.5)").alias("rho"))
 
 
+def density(signal: DataFrame, background: DataFrame | None = None, event: str = "event_id") -> DataFrame:
+    """rho per event from the background's particles, or the signal's where none are given; both must hold the same number of events."""
+    if background is None:
+        return grid_density(signal)
+    n, m = (t.select(event).distinct().count() for t in (signal, background))
+    if n != m:
+        raise ValueError(f"{n} events with signal, {m} with background")
+    return grid_density(background)
+
+
+def area_subtracted(jets: DataFrame, rho: Column, rho_m: Column | float = 0.0, safe_mass: bool = True) -> DataFrame:
+    """Take rho times the area four-vector off each jet (px, py, pz, e, area): massless, in the jet's direction.
+
+    ``rho_m`` goes off pz and e alone. A jet of no more pt than is taken becomes
+    0. With ``safe_mass`` a negative squared mass becomes 0 while pt, phi and the
+    original rapidity stay.
+    """
+    c = F.col
+    pt = F.sqrt(c("px") * c("px") + c("py") * c("py"))
+    y = 0.5 * F.log((c("e") + c("pz")) / (c("e") - c("pz")))
+    keep, along = 1 - rho * c("area") / pt, (rho + rho_m) * c("area")
+    jets = jets.withColumns({"__pt": pt, "__y": y, "__keep": keep, "__z": c("pz") - along * F.sinh(y), "__e": c("e") - along * F.cosh(y)})
+    left = c("__pt") * c("__keep")
+    bad = F.lit(safe_mass) & (c("__e") * c("__e") < left * left + c("__z") * c("__z"))
+    gone = c("__keep") <= 0
+    out = {n: F.when(gone, 0.0).otherwise(c(n) * c("__keep")) for n in ("px", "py")}
+    out["pz"] = F.when(gone, 0.0).when(bad, left * F.sinh("__y")).otherwise(c("__z"))
+    out["e"] = F.when(gone, 0.0).when(bad, left * F.cosh("__y")).otherwise(c("__e"))
+    return jets.withColumns(out).drop("__pt", "__y", "__keep", "__z", "__e")
+
+
 def subtracted(jets: DataFrame, rho: DataFrame, event: str = "event_id") -> DataFrame:
     """Take rho times the area off each jet's pt, along its direction; what would be negative becomes 0."""
     keep = F.greatest(F.lit(0.0), 1 - F.col("rho") * F.col("area") / F.col("pt"))
@@ -215,6 +268,16 @@ def area_between(area: Column, low: float, high: float) -> Column:
     return area.between(low, high)
 
 
+def area_percent_between(area: Column, r: float, low: float, high: float) -> Column:
+    """The same with ends in percent of a circle of radius ``r``."""
+    return area.between(area_from_percent(low, r), area_from_percent(high, r))
+
+
+def constituents_up_to(constituents: Column, most: float) -> Column:
+    """No constituent is above ``most``; ``most`` itself is inside."""
+    return F.coalesce(F.array_max(F.transform(constituents, lambda c: c["pt"])), F.lit(0.0)) <= most
+
+
 def without_hardest(jets: DataFrame, k: int, event: str = "event_id") -> DataFrame:
     w = Window.partitionBy(event).orderBy(F.desc("pt"), "jet")
     return jets.withColumn("place", F.row_number().over(w)).filter(F.col("place") > k).drop("place")
@@ -297,9 +360,3 @@ def recluster(jets: DataFrame, recursive: bool = True, keys: tuple[str, str] = (
 
     schema = pa.schema([(keys[0], pa.int64()), (keys[1], pa.int32()), ("splittings", pa.list_(pa.struct([("idx", pa.int32()), ("kt", pa.float64()), ("delta_r", pa.float64()), ("z", pa.float64()), ("parent", pa.int32())]))), ("subjets", pa.list_(pa.struct([("parent_splitting_index", pa.int32()), ("part_of_iterative_splitting", pa.bool_()), ("constituents", pa.list_(pa.int32()))])))])
     return jets.select(F.col(keys[0]).cast("long"), F.col(keys[1]).cast("int"), "particles").mapInArrow(run, f"{keys[0]} bigint, {keys[1]} int, splittings {splitting}, subjets {subjet}")
-
-
-def with_particles(jets: DataFrame, events: DataFrame, event: str = "event_id") -> DataFrame:
-    """Give each jet the particles of its constituents."""
-    joined = jets.join(events, event)
-    return joined.withColumn("particles", F.filter("particles", lambda p: F.array_contains(F.col("constituents"), p["index"])))

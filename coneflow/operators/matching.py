@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..cluster import checkpointed
 from ..functions.kinematics import delta_r
+from .sampling import uniform
 
 
 def with_mass(particles: DataFrame, masses: DataFrame, pid: str = "particle_id") -> DataFrame:
@@ -33,9 +34,9 @@ def numbered(df: DataFrame, order: list[str], name: str = "position") -> DataFra
     Rows are sorted in ranges; a count for each range gives its offset. The
     ranges come from samples, so they are fixed by a checkpoint before both uses.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
-    ranged = checkpointed(ranged)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    ranged = checkpointed(ranged)  # an id holds the partition above 33 bits and the row's place below
+    ranged = ranged.withColumns({"__part": F.shiftright("__id", 33), "__in": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__id")
     counts = ranged.groupBy("__part").count()  # one row for each partition
     before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("__part", before.alias("__before"))
@@ -54,11 +55,12 @@ def embedding_pairs(signal: DataFrame, background: DataFrame, key: str = "event_
 def file_pairs(background: DataFrame, signal: DataFrame, n_bins: int, seed: int) -> DataFrame:
     """For each background file a bin chosen evenly and a file in it, by hash of the file and a seed."""
     rank = F.row_number().over(Window.partitionBy("pt_hard_bin").orderBy("file_id")) - 1
-    count = F.count(F.lit(1)).over(Window.partitionBy("pt_hard_bin"))
-    s = signal.select("pt_hard_bin", F.col("file_id").alias("signal_file"), rank.alias("place"), count.alias("n"))
-    b = background.select(F.col("file_id").alias("background_file")).withColumn("pt_hard_bin", (F.pmod(F.xxhash64("background_file", F.lit(seed)), F.lit(n_bins)) + 1).cast("int"))
-    place = F.pmod(F.xxhash64("background_file", F.lit(seed + 1)), F.col("n")).cast("int")
-    return b.join(s, "pt_hard_bin").filter(F.col("place") == place).select("background_file", "pt_hard_bin", "signal_file")
+    s = signal.select("pt_hard_bin", F.col("file_id").alias("signal_file"), rank.alias("place"))
+    n = signal.groupBy("pt_hard_bin").agg(F.count("*").alias("n"))
+    b = background.select(F.col("file_id").alias("background_file"))
+    b = b.withColumn("pt_hard_bin", (F.floor(uniform("background_file", seed=seed) * n_bins) + 1).cast("int")).join(n, "pt_hard_bin")
+    b = b.withColumn("place", F.floor(uniform("background_file", seed=seed + 1) * F.col("n")).cast("int"))
+    return b.join(s, ["pt_hard_bin", "place"]).select("background_file", "pt_hard_bin", "signal_file")
 
 
 def hybrid(det: DataFrame, background: DataFrame) -> DataFrame:
@@ -128,13 +130,21 @@ def subjets_of(subjets: Column, splitting: Column) -> Column:
     return F.struct(F.when(first, a).otherwise(b).alias("leading"), F.when(first, b).otherwise(a).alias("subleading"))
 
 
-def contained(generated: DataFrame, measured: DataFrame, key: str = "jet_id") -> DataFrame:
+def contained(generated: DataFrame, measured: DataFrame, key: str = "jet_id", near: float | None = None) -> DataFrame:
     """(jet, prong, other, share) of generated subjets found in measured ones: (jet, prong, id, pt) on both sides.
 
-    One join on (jet, id) and grouped sums; no loop over pairs of constituents.
+    One join on (jet, id) and grouped sums. With ``near`` constituents match by
+    distance instead, within ``near`` in eta and in phi of the same jet, each
+    generated one at most once for each measured subjet.
     """
     total = generated.groupBy(key, "prong").agg(F.sum("pt").alias("total"))
-    both = generated.join(measured.select(key, F.col("prong").alias("other"), "id"), [key, "id"]).groupBy(key, "prong", "other").agg(F.sum("pt").alias("shared"))
+    if near is None:
+        both = generated.join(measured.select(key, F.col("prong").alias("other"), "id"), [key, "id"])
+    else:
+        m = measured.select(key, F.col("prong").alias("other"), F.col("eta").alias("__eta"), F.col("phi").alias("__phi"))
+        close = (F.abs(F.col("eta") - F.col("__eta")) <= near) & (F.abs(F.col("phi") - F.col("__phi")) <= near)
+        both = generated.join(m, key).filter(close).groupBy(key, "prong", "other", "id").agg(F.first("pt").alias("pt"))
+    both = both.groupBy(key, "prong", "other").agg(F.sum("pt").alias("shared"))
     return both.join(total, [key, "prong"]).select(key, "prong", "other", (F.col("shared") / F.col("total")).alias("share"))
 
 
@@ -149,13 +159,34 @@ def prong_codes(jets: DataFrame, shares: DataFrame, key: str = "jet_id") -> Data
     return jets.join(wide, key, "left").select(key, code(F.col("ll"), F.col("ls")).alias("leading"), code(F.col("ss"), F.col("sl")).alias("subleading"))
 
 
+def by_vector_sum(constituents: DataFrame, key: str = "jet_id") -> DataFrame:
+    """Name the two subjets of (jet, part, id, pt, phi): ``prong`` is leading for the one of larger vector pt, the first part on a tie."""
+    x, y = F.sum(F.col("pt") * F.cos("phi")), F.sum(F.col("pt") * F.sin("phi"))
+    sums = constituents.groupBy(key, "part").agg(F.round(F.sqrt(x * x + y * y), 9).alias("size"))
+    first = sums.groupBy(key).agg(F.max_by("part", F.struct("size", (-F.col("part")).alias("p"))).alias("first"))
+    prong = F.when(F.col("part") == F.col("first"), "leading").otherwise("subleading")
+    return constituents.join(first, key).withColumn("prong", prong).drop("first", "part")
+
+
 def prong_flags(shares: DataFrame, key: str = "jet_id") -> DataFrame:
-    """The older rule: proper and mistag of each prong as flags that may both hold, contained by sums of pt on either side."""
+    """The older rule: proper and mistag of each prong as flags that may both hold; shares are of scalar sums of pt."""
     has = lambda p, o: F.coalesce(F.max(F.when((F.col("prong") == p) & (F.col("other") == o), F.col("share") > 0.5)), F.lit(False))
     pairs = {"leading_proper": ("leading", "leading"), "leading_mistag": ("leading", "subleading"), "subleading_proper": ("subleading", "subleading"), "subleading_mistag": ("subleading", "leading")}
     return shares.groupBy(key).agg(*[has(*p).alias(n) for n, p in pairs.items()])
 
 
+def matching_class(leading: Column, subleading: Column) -> Column:
+    """Class of a jet by the codes of both prongs; null where a prong has no code, ``other`` for a correct prong beside a swapped one."""
+    code = {"correct": 1, "mistag": 2, "untagged": 3}
+    name = lambda a, b: "pure" if a == b == "correct" else "swap" if a == b == "mistag" else "both_untagged" if a == b else f"leading_{a}_subleading_{b}"
+    out = F.when((leading < 1) | (subleading < 1), F.lit(None).cast("string"))
+    for a in code:
+        for b in code:
+            mixed = {a, b} == {"correct", "mistag"}
+            out = out.when((leading == code[a]) & (subleading == code[b]), F.lit("other" if mixed else name(a, b)))
+    return out
+
+
 def with_side_table(skim: DataFrame, side: DataFrame, key: str = "jet_id") -> DataFrame:
     """Columns of a side table on a stable jet key; a name that the skim has already is refused."""
     twice = set(skim.columns) & set(side.columns) - {key}

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..cluster import checkpointed
 from .histograms import Axis, Variable, histogram
 from .sampling import uniform
 
@@ -31,13 +31,13 @@ def with_untagged(value: Column, untagged: float, low: float, high: float) -> Co
     return F.when(value < 0, F.lit(untagged)).when(value.between(low, high), value)
 
 
-def response_rows(skim: DataFrame, meas_pt: str, meas: str, true_pt: str, true: str, smeared_pt: Variable, smeared: Variable, truth_pt: Variable, truth: Variable, weight: str = "scale_factor") -> DataFrame:
+def response_rows(skim: DataFrame, meas_pt: str, meas: str, true_pt: str, true: str, smeared_pt: Variable, smeared: Variable, truth_pt: Variable, truth: Variable, weight: str = "scale_factor", keep: Sequence[str] = ()) -> DataFrame:
     """One row per jet with flags and bins: in_truth (truth cuts), in_both (measured cuts as well), and four bins."""
     inside = lambda x, axis: F.col(x).between(axis.edges[0], axis.edges[-1])
     in_truth = inside(true_pt, truth_pt) & inside(true, truth)
     in_both = in_truth & inside(meas_pt, smeared_pt) & inside(meas, smeared)
     bins = {"meas_pt_bin": smeared_pt.bin(F.col(meas_pt)), "meas_bin": smeared.bin(F.col(meas)), "true_pt_bin": truth_pt.bin(F.col(true_pt)), "true_bin": truth.bin(F.col(true))}
-    return skim.select("jet_id", F.col(weight).alias("w"), in_truth.alias("in_truth"), in_both.alias("in_both"), *[b.alias(n) for n, b in bins.items()]).filter("in_truth")
+    return skim.select("jet_id", *keep, F.col(weight).alias("w"), in_truth.alias("in_truth"), in_both.alias("in_both"), *[b.alias(n) for n, b in bins.items()]).filter("in_truth")
 
 
 def response(rows: DataFrame) -> DataFrame:
@@ -77,52 +77,42 @@ def folded(truth: DataFrame, resp: DataFrame) -> DataFrame:
     return p.join(truth, ["true_pt_bin", "true_bin"]).groupBy("meas_pt_bin", "meas_bin").agg(F.sum(F.col("p") * F.col("value")).alias("value"))
 
 
-def bayes(response: np.ndarray, truth: np.ndarray, measured: np.ndarray, iterations: int) -> tuple[np.ndarray, np.ndarray]:
-    """Iterative unfolding of D'Agostini (1995): spectra and their covariances after each iteration.
-
-    ``response`` has measured rows and truth columns of jets that pass; ``truth``
-    is the full truth, so lost jets count in the efficiency.
-    """
-    p = np.divide(response, truth, out=np.zeros_like(response), where=truth > 0)
-    seen = p.sum(axis=0)
-    prior, spectra, covariances = truth / max(truth.sum(), 1e-300), [], []
-    for _ in range(iterations):
-        joint = p * prior
-        norm = joint.sum(axis=1, keepdims=True)
-        m = np.divide(joint, norm * seen, out=np.zeros_like(joint), where=(norm > 0) & (seen > 0))
-        out = m.T @ measured
-        spectra.append(out)
-        covariances.append((m.T * measured) @ m)
-        prior = out / max(out.sum(), 1e-300)
-    return np.array(spectra), np.array(covariances)
-
-
 def unfolded(resp: DataFrame, truth: DataFrame, measured: DataFrame, iterations: int = 10, setting: str = "setting") -> DataFrame:
-    """(setting, iteration, true_pt_bin, true_bin, value, error) of each setting, side by side over the cluster.
-
-    A setting's matrices are small (the bins of four axes), so each is one group.
+    """(setting, iteration, true_pt_bin, true_bin, value, error): iterative unfolding of D'Agostini (1995), all settings at once.
+
+    ``truth`` is the full truth, so lost jets count in the efficiency. With P the
+    probability of a measured bin given a true one, an iteration shares each
+    measured bin out over the true ones in proportion to P times the spectrum of
+    the iteration before. The error is that of the measured spectrum alone. Each
+    iteration is two grouped sums over the filled cells of the response; its
+    spectrum is kept, so that plans don't grow with the iterations.
     """
-    r = resp.select(setting, F.lit("r").alias("kind"), "meas_pt_bin", "meas_bin", "true_pt_bin", "true_bin", F.col("sumw").cast("double").alias("value"))
-    t = truth.select(setting, F.lit("t").alias("kind"), F.lit(0).alias("meas_pt_bin"), F.lit(0).alias("meas_bin"), "true_pt_bin", "true_bin", F.col("value").cast("double").alias("value"))
-    d = measured.select(setting, F.lit("d").alias("kind"), "meas_pt_bin", "meas_bin", F.lit(0).alias("true_pt_bin"), F.lit(0).alias("true_bin"), F.col("value").cast("double").alias("value"))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own = {k: rows[rows.kind == k] for k in "rtd"}
-        causes = sorted(set(zip(own["t"].true_pt_bin, own["t"].true_bin)))
-        effects = sorted(set(zip(own["r"].meas_pt_bin, own["r"].meas_bin)) | set(zip(own["d"].meas_pt_bin, own["d"].meas_bin)))
-        c, e = {x: k for k, x in enumerate(causes)}, {x: k for k, x in enumerate(effects)}
-        matrix, spectrum, data = np.zeros((len(e), len(c))), np.zeros(len(c)), np.zeros(len(e))
-        for a, b, x, y, v in zip(own["r"].meas_pt_bin, own["r"].meas_bin, own["r"].true_pt_bin, own["r"].true_bin, own["r"].value):
-            if (x, y) in c:
-                matrix[e[a, b], c[x, y]] += v
-        for x, y, v in zip(own["t"].true_pt_bin, own["t"].true_bin, own["t"].value):
-            spectrum[c[x, y]] += v
-        for a, b, v in zip(own["d"].meas_pt_bin, own["d"].meas_bin, own["d"].value):
-            data[e[a, b]] += v
-        values, errors = bayes(matrix, spectrum, data, iterations)
-        return pd.DataFrame([(key[0], i + 1, x, y, values[i, k], float(np.sqrt(errors[i, k, k]))) for i in range(iterations) for (x, y), k in c.items()], columns=["setting", "iteration", "true_pt_bin", "true_bin", "value", "error"])
-
-    return r.unionByName(t).unionByName(d).groupBy(setting).applyInPandas(run, "setting string, iteration int, true_pt_bin int, true_bin int, value double, error double")
+    cause, effect = ["true_pt_bin", "true_bin"], ["meas_pt_bin", "meas_bin"]
+    t = truth.groupBy(setting, *cause).agg(F.sum("value").cast("double").alias("t"))
+    p = resp.groupBy(setting, *effect, *cause).agg(F.sum("sumw").cast("double").alias("r")).join(t, [setting, *cause])
+    p = p.withColumn("p", F.when(F.col("t") > 0, F.col("r") / F.col("t")).otherwise(0.0))
+    d = measured.groupBy(setting, *effect).agg(F.sum("value").cast("double").alias("d"))
+    p = p.join(d, [setting, *effect], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+    p = p.withColumn("seen", F.sum("p").over(Window.partitionBy(setting, *cause)))
+    p = checkpointed(p.select(setting, *effect, *cause, "p", "seen", "d"))
+    spectrum, out = checkpointed(t.withColumnRenamed("t", "value")), []
+    for k in range(1, iterations + 1):
+        joint = p.join(spectrum.select(setting, *cause, "value"), [setting, *cause]).withColumn("joint", F.col("p") * F.col("value"))
+        whole = F.sum("joint").over(Window.partitionBy(setting, *effect))
+        share = joint.withColumn("m", F.when((whole > 0) & (F.col("seen") > 0), F.col("joint") / (whole * F.col("seen"))).otherwise(0.0))
+        sums = share.groupBy(setting, *cause).agg(F.sum(F.col("m") * F.col("d")).alias("value"), F.sqrt(F.sum(F.col("m") * F.col("m") * F.col("d"))).alias("error"))
+        found = t.join(sums, [setting, *cause], "left").select(setting, *cause, F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("error", F.lit(0.0)).alias("error"))
+        spectrum = checkpointed(found)
+        out.append(spectrum.select(setting, F.lit(k).alias("iteration"), *cause, "value", "error"))
+    return reduce(lambda x, y: x.unionByName(y), out)
+
+
+def refolded(spectrum: DataFrame, resp: DataFrame, truth: DataFrame, setting: str = "setting") -> DataFrame:
+    """(setting, meas_pt_bin, meas_bin, value): what a true spectrum looks like when measured, losses included."""
+    cause = [setting, "true_pt_bin", "true_bin"]
+    full = truth.groupBy(*cause).agg(F.sum("value").alias("t")).filter("t > 0")
+    p = resp.join(full, cause).join(spectrum.select(*cause, "value"), cause)
+    return p.groupBy(setting, "meas_pt_bin", "meas_bin").agg(F.sum(F.col("sumw") / F.col("t") * F.col("value")).alias("value"))
 
 
 def correlations(covariance: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def uniform(*keys: str | Column, seed: int = 0) -> Column:
-    """A number in [0, 1) that hangs only on the keys and the seed."""
-    bits = F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11)
-    return bits.cast("double") / F.lit(float(1 << 53))
+    """A number in [0, 1) that hangs only on the keys and the seed: the first 52 bits of the md5 of their text."""
+    text = F.concat_ws(":", *[F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("null")) for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def activity_class(centrality: Column) -> Column:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..cluster import checkpointed, new_folder
 from ..operators import histograms as H
 from ..operators import response as U
 from ..operators import systematics as Y
+from ..operators.matching import matching_class
 from ..streaming import running
 from .catalogue import query, r6, rounded
 from .views import table, view
@@ -78,17 +77,21 @@ def a08_a16_level_comparison(spark: SparkSession, d: str) -> DataFrame:
     return H.histogram(_skim(spark, d), {"true_bin": (F.col("true_kt"), KT), "hybrid_bin": (F.col("hybrid_kt"), KT)}).select("true_bin", "hybrid_bin", "n")
 
 
-#: Classes of matches of both prongs.
-_CLASS = """CASE WHEN leading_match = 1 AND subleading_match = 1 THEN 'pure' WHEN leading_match = 2 AND subleading_match = 2 THEN 'swap'
- WHEN leading_match = 1 AND subleading_match = 3 THEN 'leading_untagged_subleading_correct_failed' WHEN leading_match = 1 THEN 'leading_correct_subleading_mistag'
- WHEN leading_match = 3 AND subleading_match = 1 THEN 'leading_failed_subleading_correct' WHEN leading_match = 2 AND subleading_match = 1 THEN 'leading_mistag_subleading_correct'
- WHEN leading_match = 2 AND subleading_match = 3 THEN 'leading_mistag_subleading_failed' WHEN leading_match = 3 AND subleading_match = 2 THEN 'leading_failed_subleading_mistag'
- WHEN leading_match = 3 AND subleading_match = 3 THEN 'both_failed' ELSE 'untagged' END"""
+#: For the oracle: classes of matches of both prongs, written out by hand.
+_CLASS = """CASE WHEN leading_match < 1 OR subleading_match < 1 THEN NULL
+ WHEN leading_match = 1 AND subleading_match = 1 THEN 'pure' WHEN leading_match = 3 AND subleading_match = 1 THEN 'leading_untagged_subleading_correct'
+ WHEN leading_match = 1 AND subleading_match = 3 THEN 'leading_correct_subleading_untagged' WHEN leading_match = 3 AND subleading_match = 2 THEN 'leading_untagged_subleading_mistag'
+ WHEN leading_match = 2 AND subleading_match = 3 THEN 'leading_mistag_subleading_untagged' WHEN leading_match = 2 AND subleading_match = 2 THEN 'swap'
+ WHEN leading_match = 3 AND subleading_match = 3 THEN 'both_untagged' ELSE 'other' END"""
+
+
+def _class() -> Column:
+    return matching_class(F.col("leading_match"), F.col("subleading_match"))
 
 
-@query(f"SELECT coalesce(c, 'all') AS matching, count(*) AS n, round(sum(scale_factor), 6) AS sumw FROM (SELECT {_CLASS} AS c, scale_factor FROM skim) t GROUP BY GROUPING SETS ((c), ())", "skim")
+@query(f"SELECT coalesce(c, 'all') AS matching, count(*) AS n, round(sum(scale_factor), 6) AS sumw FROM (SELECT {_CLASS} AS c, scale_factor FROM skim) t WHERE c IS NOT NULL GROUP BY GROUPING SETS ((c), ())", "skim")
 def a14_matching_classes(spark: SparkSession, d: str) -> DataFrame:
-    rows = _skim(spark, d).withColumn("c", F.expr(_CLASS))
+    rows = _skim(spark, d).withColumn("c", _class()).filter("c is not null")
     return rows.rollup("c").agg(F.count("*").alias("n"), r6(F.sum("scale_factor")).alias("sumw")).select(F.coalesce("c", F.lit("all")).alias("matching"), "n", "sumw")
 
 
@@ -97,7 +100,7 @@ _RES = "((hybrid_jet_pt - true_jet_pt) / true_jet_pt)"
 
 @query(f"SELECT {_CLASS} AS matching, {PT.sql('hybrid_jet_pt')} AS hybrid_bin, {PT.sql('true_jet_pt')} AS true_bin, {RESIDUAL.sql(_RES)} AS residual_bin, count(*) AS n, round(sum(scale_factor), 6) AS sumw FROM skim GROUP BY 1, 2, 3, 4", "skim")
 def a09_a10_residuals(spark: SparkSession, d: str) -> DataFrame:
-    rows = _skim(spark, d).withColumn("matching", F.expr(_CLASS))
+    rows = _skim(spark, d).withColumn("matching", _class())
     axes = {"hybrid_bin": (F.col("hybrid_jet_pt"), PT), "true_bin": (F.col("true_jet_pt"), PT), "residual_bin": (F.expr(_RES), RESIDUAL)}
     return H.histogram(rows, axes, F.col("scale_factor"), ["matching"]).select("matching", *axes, "n", r6("sumw").alias("sumw"))
 
@@ -115,7 +118,7 @@ def _response_sql(extra: str = "") -> str:
 
 def _response4(rows: DataFrame) -> DataFrame:
     axes = {"meas_pt_bin": (F.col("hybrid_jet_pt"), PT), "meas_bin": (F.col("hybrid_kt"), KT), "true_pt_bin": (F.col("true_jet_pt"), PT), "true_bin": (F.col("true_kt"), KT)}
-    return H.histogram(rows.withColumn("matching", F.expr(_CLASS)), axes, F.col("scale_factor"), ["matching"]).select("matching", *axes, "n", r6("sumw").alias("sumw"))
+    return H.histogram(rows.withColumn("matching", _class()), axes, F.col("scale_factor"), ["matching"]).select("matching", *axes, "n", r6("sumw").alias("sumw"))
 
 
 @query(_response_sql(), "skim")
@@ -131,7 +134,7 @@ def a13_close_response(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT {_CLASS} AS matching, {SMEARED_KT.sql('hybrid_kt')} AS kt_bin, {H.Regular(50, 0, 1).sql('momentum_fraction')} AS fraction_bin, {H.Regular(40, 0, 0.4).sql('match_distance')} AS distance_bin, count(*) AS n FROM skim GROUP BY 1, 2, 3, 4", "skim")
 def a15_a17_a18_matching_yields(spark: SparkSession, d: str) -> DataFrame:
     axes = {"kt_bin": (F.col("hybrid_kt"), SMEARED_KT), "fraction_bin": (F.col("momentum_fraction"), H.Regular(50, 0, 1)), "distance_bin": (F.col("match_distance"), H.Regular(40, 0, 0.4))}
-    return H.histogram(_skim(spark, d).withColumn("matching", F.expr(_CLASS)), axes, None, ["matching"]).select("matching", *axes, "n")
+    return H.histogram(_skim(spark, d).withColumn("matching", _class()), axes, None, ["matching"]).select("matching", *axes, "n")
 
 
 @query(f"SELECT {PT.sql('true_jet_pt')} AS pt_bin, round(sum(scale_factor), 6) AS sumw, count(*) AS n FROM jets GROUP BY 1", "jets")
@@ -204,7 +207,7 @@ _N08 = f"SELECT {PT.sql('hybrid_jet_pt')} AS pt_bin, {_CLASS} AS matching, sum(s
 
 @query(f"SELECT pt_bin, matching, round(w / sum(w) OVER (PARTITION BY pt_bin), 6) AS fraction FROM ({_N08}) t", "skim")
 def n08_tagging_fraction(spark: SparkSession, d: str) -> DataFrame:
-    rows = _skim(spark, d).filter("hybrid_n_passed > 0").groupBy(PT.bin(F.col("hybrid_jet_pt")).alias("pt_bin"), F.expr(_CLASS).alias("matching")).agg(F.sum("scale_factor").alias("w"))
+    rows = _skim(spark, d).filter("hybrid_n_passed > 0").groupBy(PT.bin(F.col("hybrid_jet_pt")).alias("pt_bin"), _class().alias("matching")).agg(F.sum("scale_factor").alias("w"))
     return rows.select("pt_bin", "matching", r6(F.col("w") / F.sum("w").over(Window.partitionBy("pt_bin"))).alias("fraction"))
 
 
@@ -243,7 +246,16 @@ _SKIM_U = f"(SELECT *, CASE WHEN hybrid_kt < 0 THEN {_UNTAGGED_KT} WHEN hybrid_k
 
 @query(f"SELECT {SMEARED_PT.sql('hybrid_jet_pt')} AS meas_pt_bin, {SMEARED_KT.sql('v')} AS meas_bin, count(*) AS n FROM {_SKIM_U} t WHERE v IS NOT NULL GROUP BY 1, 2", "skim")
 def u01_u02_u03_raw_spectrum(spark: SparkSession, d: str) -> DataFrame:
-    return U.raw_spectrum(_skim(spark, d), "hybrid_jet_pt", "hybrid_kt", SMEARED_PT, SMEARED_KT, _UNTAGGED_KT, 1, 15).select("meas_pt_bin", "meas_bin", "n")
+    """Binning of a method from its settings, and the bin of untagged jets from its edges."""
+    other = [0.0, 5.0, 20.0]
+    settings = spark.createDataFrame([
+        ("default", "nominal", "smeared_jet_pt", [float(e) for e in SMEARED_PT.edges]), ("default", "nominal", "smeared_kt", other), ("leading_kt", "nominal", "smeared_kt", other),
+        ("leading_kt_z_cut_02", "nominal", "smeared_kt", other), ("default", "truncation", "smeared_kt", [float(e) for e in SMEARED_KT.edges]), ("soft_drop_z_cut_02", "truncation", "smeared_kt", other),
+    ], "method string, variation string, variable string, edges array<double>")
+    edges = {r.variable: tuple(r.edges) for r in U.binning_for(settings, "leading_kt_z_cut_02", "truncation").collect()}  # a few settings
+    _, _, centre = U.untagged_bin(edges["smeared_kt"], 1, 2)
+    axis = H.Variable(edges["smeared_kt"])
+    return U.raw_spectrum(_skim(spark, d), "hybrid_jet_pt", "hybrid_kt", H.Variable(edges["smeared_jet_pt"]), axis, centre, axis.edges[0], axis.edges[-1]).select("meas_pt_bin", "meas_bin", "n")
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -274,15 +286,18 @@ def u06_reweighted_truth(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(TRUE_KT.bin(F.col("true_kt")).alias("true_bin")).agg(r6(F.sum("scale_factor")).alias("sumw"))
 
 
-@query()
+_HASH = "CAST(('0x' || substr(md5(concat_ws(':', {keys}, '{seed}')), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496"
+
+
+@query(f"SELECT CASE WHEN {_HASH.format(keys='jet_id', seed=5)} < 0.75 THEN 'response' ELSE 'pseudo_data' END AS part, true_pt_bin, round(sum(w), 6) AS sumw, count(*) AS n FROM ({_ROWS}) r GROUP BY 1, 2", "skim")
 def u07_closure_split(spark: SparkSession, d: str) -> DataFrame:
     return U.closure_split(_rows(spark, d)).groupBy("part", "true_pt_bin").agg(r6(F.sum("w")).alias("sumw"), F.count("*").alias("n"))
 
 
 def _settings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Response, truth and measured spectrum of two settings: nominal and matched jets only."""
-    rows = _rows(spark, d).join(_skim(spark, d).select("jet_id", "momentum_fraction"), "jet_id")
-    rows = rows.withColumn("setting", F.explode(F.when(F.col("momentum_fraction") >= 0.5, F.array(F.lit("nominal"), F.lit("matched"))).otherwise(F.array(F.lit("nominal")))))
+    rows = U.response_rows(_skim(spark, d), "hybrid_jet_pt", "hybrid_kt", "true_jet_pt", "true_kt", SMEARED_PT, SMEARED_KT, TRUE_PT, TRUE_KT, keep=["momentum_fraction"])
+    rows = checkpointed(rows.withColumn("setting", F.explode(F.when(F.col("momentum_fraction") >= 0.5, F.array(F.lit("nominal"), F.lit("matched"))).otherwise(F.array(F.lit("nominal"))))))
     both = rows.filter("in_both")
     response = both.groupBy("setting", "meas_pt_bin", "meas_bin", "true_pt_bin", "true_bin").agg(F.sum("w").alias("sumw"))
     truth = rows.groupBy("setting", "true_pt_bin", "true_bin").agg(F.sum("w").alias("value"))
@@ -290,10 +305,41 @@ def _settings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     return response, truth, measured
 
 
-@query()
+ITERATIONS = 8
+_C, _E = "setting, true_pt_bin, true_bin", "setting, meas_pt_bin, meas_bin"
+_UNFOLD_HEAD = f"""WITH rows_u AS MATERIALIZED (SELECT r.*, s.setting FROM ({_ROWS}) r JOIN skim k ON k.jet_id = r.jet_id JOIN (SELECT 'nominal' AS setting UNION ALL SELECT 'matched') s ON s.setting = 'nominal' OR k.momentum_fraction >= 0.5),
+resp_u AS MATERIALIZED (SELECT {_E}, true_pt_bin, true_bin, sum(w) AS r FROM rows_u WHERE in_both GROUP BY ALL), truth_u AS MATERIALIZED (SELECT {_C}, sum(w) AS t FROM rows_u GROUP BY ALL),
+p_u AS MATERIALIZED (SELECT r.*, r.r / t.t AS p, sum(r.r / t.t) OVER (PARTITION BY r.setting, r.true_pt_bin, r.true_bin) AS seen FROM resp_u r JOIN truth_u t USING ({_C})),
+d0 AS MATERIALIZED (SELECT {_E}, sum(w) AS d FROM rows_u WHERE in_both GROUP BY ALL)"""
+
+
+def _unfold_sql(data: str, name: str, n: int = ITERATIONS) -> str:
+    """CTEs of the spectra name_1 .. name_n; ``data`` names the measured spectrum (d)."""
+    parts, before = [], "(SELECT *, t AS value FROM truth_u)"
+    for k in range(1, n + 1):
+        share = f"SELECT p.*, coalesce(m.d, 0) AS d, p.p * b.value AS joint, sum(p.p * b.value) OVER (PARTITION BY p.setting, p.meas_pt_bin, p.meas_bin) AS whole FROM p_u p JOIN {before} b USING ({_C}) LEFT JOIN {data} m USING ({_E})"
+        sums = f"SELECT {_C}, sum(joint / (whole * seen) * d) AS value, sqrt(sum(pow(joint / (whole * seen), 2) * d)) AS error FROM ({share}) x WHERE whole > 0 AND seen > 0 GROUP BY ALL"
+        parts.append(f"{name}_{k} AS MATERIALIZED (SELECT t.setting, t.true_pt_bin, t.true_bin, coalesce(s.value, 0) AS value, coalesce(s.error, 0) AS error FROM truth_u t LEFT JOIN ({sums}) s USING ({_C}))")
+        before = f"{name}_{k}"
+    return ", ".join(parts)
+
+
+def _all_sql(name: str, n: int = ITERATIONS) -> str:
+    return " UNION ALL ".join(f"SELECT setting, {k} AS iteration, true_pt_bin, true_bin, round(value, 6) AS value, round(error, 6) AS error FROM {name}_{k}" for k in range(1, n + 1))
+
+
+@query(f"{_UNFOLD_HEAD}, {_unfold_sql('d0', 'a')} {_all_sql('a')}", "skim")
 def u08_u11_trivial_closure(spark: SparkSession, d: str) -> DataFrame:
     """Unfolding the response's own measured spectrum gives its truth back."""
-    return rounded(U.unfolded(*_settings(spark, d), iterations=8), "value", "error")
+    return rounded(U.unfolded(*_settings(spark, d), iterations=ITERATIONS), "value", "error")
+
+
+@query(f"{_UNFOLD_HEAD}, {_unfold_sql('d0', 'a', 5)}, d1 AS MATERIALIZED (SELECT {_E}, sum(p * a.value) AS d FROM p_u JOIN a_5 a USING ({_C}) GROUP BY ALL), {_unfold_sql('d1', 'b', 3)} {_all_sql('b', 3)}", "skim")
+def u11_refolded_closure(spark: SparkSession, d: str) -> DataFrame:
+    """The refold of iteration 5 as input."""
+    response, truth, measured = _settings(spark, d)
+    fifth = U.unfolded(response, truth, measured, iterations=5).filter("iteration = 5")
+    return rounded(U.unfolded(response, truth, U.refolded(fifth, response, truth), iterations=3), "value", "error")
 
 
 @query(f"SELECT r.meas_pt_bin, r.meas_bin, round(sum(r.sumw), 6) AS value FROM ({_RESP}) r GROUP BY 1, 2", "skim")
@@ -389,7 +435,8 @@ def y05_total_error(spark: SparkSession, d: str) -> DataFrame:
     return rounded(Y.total(parts, ["bin"]).join(parts[1].select("bin"), "bin", "left_semi"), "low", "high")
 
 
-@query("SELECT 'a' AS a, 'copy' AS b FROM (SELECT count(*) AS n FROM jets) t WHERE n > 0", "jets")
+@query(f"""{_SRC}, x AS (SELECT bin, 'a' AS source, low, high FROM s WHERE source = 'tracking_efficiency' UNION ALL SELECT bin, 'copy', low, high FROM s WHERE source = 'tracking_efficiency' UNION ALL SELECT bin, source, low, high FROM s WHERE source = 'truncation')
+SELECT p.source AS a, q.source AS b FROM x p JOIN x q ON q.bin = p.bin AND p.source < q.source GROUP BY 1, 2 HAVING max(abs(p.low - q.low) + abs(p.high - q.high)) < 1e-9""", "jets")
 def y06_equal_sources(spark: SparkSession, d: str) -> DataFrame:
     """A source that was entered twice under two names."""
     first, second = _sources(spark, d)[:2]
@@ -417,9 +464,9 @@ def y10_model_over_data(spark: SparkSession, d: str) -> DataFrame:
 # --- sorts, sets, streams ------------------------------------------------------------------------------------------
 
 
-@query("SELECT jet_id, hybrid_jet_pt, det_level_kt FROM skim WHERE leading_match = 1 AND subleading_match = 3 AND hybrid_jet_pt > 80 AND det_level_kt > 5 ORDER BY jet_id LIMIT 5", "skim")
+@query("SELECT jet_id, hybrid_jet_pt, det_level_kt FROM skim WHERE leading_match = 1 AND subleading_match = 3 AND hybrid_jet_pt > 80 AND det_level_kt > 10 ORDER BY jet_id LIMIT 5", "skim")
 def t02_jets_of_interest(spark: SparkSession, d: str) -> DataFrame:
-    rows = _skim(spark, d).filter("leading_match = 1 and subleading_match = 3 and hybrid_jet_pt > 80 and det_level_kt > 5")
+    rows = _skim(spark, d).filter("leading_match = 1 and subleading_match = 3 and hybrid_jet_pt > 80 and det_level_kt > 10")
     return rows.orderBy("jet_id").limit(5).select("jet_id", "hybrid_jet_pt", "det_level_kt")
 
 
@@ -443,6 +490,13 @@ def o03_overlap(spark: SparkSession, d: str) -> DataFrame:
     return j.filter("jet_id % 2 = 0").select("pt_hard_bin").intersect(j.filter("jet_id % 3 = 0").select("pt_hard_bin"))
 
 
+@query("SELECT a.b AS pt_hard_bin, 'first' AS only_in FROM (SELECT DISTINCT pt_hard_bin AS b FROM jets WHERE pt_hard_bin <= 12) a WHERE a.b NOT IN (SELECT pt_hard_bin FROM jets WHERE pt_hard_bin >= 8) UNION ALL SELECT b, 'second' FROM (SELECT DISTINCT pt_hard_bin AS b FROM jets WHERE pt_hard_bin >= 8) c WHERE b > 12", "jets")
+def o03_unequal_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Two sets are equal if this is empty."""
+    bins = view(spark, d, "jets").select("pt_hard_bin").distinct()
+    return H.only_in_one(bins.filter("pt_hard_bin <= 12"), bins.filter("pt_hard_bin >= 8"))
+
+
 def _streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
     return running.event_stream(spark, f"{d}/{name}.parque[t]", table(spark, d, name).schema)  # as a pattern the path may be a file or a folder
 
@@ -450,7 +504,15 @@ def _streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
 @query("SELECT CAST(floor(o_totalprice / 50000) AS INT) AS bin, count(*) AS n, round(sum(1.0 / (o_orderkey % 20 + 1)), 6) AS sumw FROM orders WHERE o_totalprice < 500000 GROUP BY 1")
 def st01_st02_running_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Files arrive one at a time and are folded into the totals."""
-    checkpoint = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{uuid.uuid4().hex}"
+    folder = new_folder(spark)
     stream = _streamed(spark, d, "orders").filter("o_totalprice < 500000")
     hist = running.running_histogram(stream, {"bin": (F.col("o_totalprice"), H.Regular(10, 0, 500_000))}, F.lit(1.0) / (F.col("o_orderkey") % 20 + 1))
-    return running.folded(hist, f"running_{uuid.uuid4().hex}", checkpoint).select("bin", "n", r6("sumw").alias("sumw"))
+    return running.folded(hist, f"{folder}/totals", f"{folder}/checkpoint").select("bin", "n", r6("sumw").alias("sumw"))
+
+
+@query("SELECT CAST(0 AS INT) AS chunk, o_orderpriority, count(*) AS n FROM orders GROUP BY 2")
+def st02_ingested_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Files arrive one at a time and each becomes a chunk."""
+    folder = new_folder(spark)
+    running.ingest(_streamed(spark, d, "orders"), f"{folder}/chunks", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/chunks").groupBy(F.col("chunk").cast("int").alias("chunk"), "o_orderpriority").agg(F.count("*").alias("n"))

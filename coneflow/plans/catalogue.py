@@ -19,7 +19,7 @@ def query(sql: str | None = None, *views: str) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = with_views(sql, *views) if views else sql
+            SQL[f.__name__] = with_views(sql, *views, stored=True) if views else sql
         return f
 
     return add

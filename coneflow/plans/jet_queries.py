@@ -42,7 +42,11 @@ def j03_embedding_pairs(spark: SparkSession, d: str) -> DataFrame:
     return matching.embedding_pairs(events.filter("event_id % 3 = 0"), events)
 
 
-@query()
+_PICK_FILE = "CAST(('0x' || substr(md5(concat_ws(':', file_id, '{seed}')), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496"
+
+
+@query(f"""SELECT b.file_id AS background_file, b.pt_hard_bin, s.file_id AS signal_file FROM (SELECT file_id, CAST(floor({_PICK_FILE.format(seed=17)} * 20) + 1 AS INT) AS pt_hard_bin, {_PICK_FILE.format(seed=18)} AS u FROM files) b
+JOIN (SELECT file_id, pt_hard_bin, row_number() OVER (PARTITION BY pt_hard_bin ORDER BY file_id) - 1 AS place, count(*) OVER (PARTITION BY pt_hard_bin) AS n FROM files) s ON s.pt_hard_bin = b.pt_hard_bin AND s.place = floor(b.u * s.n)""", "files")
 def j04_file_pairs(spark: SparkSession, d: str) -> DataFrame:
     files = view(spark, d, "files").select("file_id", "pt_hard_bin")
     return matching.file_pairs(files, files, 20, seed=17)
@@ -85,6 +89,15 @@ def j09_shared_fraction(spark: SparkSession, d: str) -> DataFrame:
     return rounded(matching.shared_fraction(part, det, part.groupBy("jet_id").agg(F.sum("pt").alias("pt"))), "fraction")
 
 
+@query("""SELECT t.event_id, round(sum(CASE WHEN EXISTS (SELECT 1 FROM det_tracks d WHERE d.event_id = t.event_id AND abs(d.eta + 0.004 - t.eta) <= 0.01 AND abs(d.phi - t.phi) <= 0.01) THEN t.pt ELSE 0 END) / sum(t.pt), 6) AS fraction
+FROM tracks t GROUP BY t.event_id""", "det_tracks")
+def j09_x04_shared_fraction_near(spark: SparkSession, d: str) -> DataFrame:
+    """The same by distance: measured constituents are a little off."""
+    part = view(spark, d, "tracks").groupBy("event_id").agg(F.collect_list(F.struct("pt", "eta", "phi")).alias("g"), F.sum("pt").alias("pt"))
+    det = view(spark, d, "det_tracks").groupBy("event_id").agg(F.collect_list(F.struct((F.col("eta") + 0.004).alias("eta"), "phi")).alias("m"))
+    return part.join(det, "event_id").select("event_id", r6(matching.shared_fraction_near(F.col("g"), F.col("m"), F.col("pt"))).alias("fraction"))
+
+
 @query("SELECT event_id, CAST(idx % 4 AS INT) AS jet, max(pt) AS leading_track_pt FROM tracks WHERE h4 % 10 <> 0 GROUP BY event_id, idx % 4", "tracks")
 def j10_unsubtracted_leading_pt(spark: SparkSession, d: str) -> DataFrame:
     found = view(spark, d, "det_tracks").select("event_id", (F.col("idx") % 4).cast("int").alias("jet"), F.col("idx").alias("index"))
@@ -127,6 +140,23 @@ def j15_prong_codes(spark: SparkSession, d: str) -> DataFrame:
     return matching.prong_codes(jets, matching.contained(_constituents(spark, d, 0), _constituents(spark, d, 2)))
 
 
+_NEAR = """SELECT g.jet_id, g.prong, m.prong AS other, g.idx, min(g.kt) AS pt FROM
+ (SELECT jet_id, idx, kt, z AS eta, delta_r AS phi, CASE WHEN idx % 2 = 0 THEN 'leading' ELSE 'subleading' END AS prong FROM splittings WHERE lvl = 0) g
+ JOIN (SELECT jet_id, z + 0.005 AS eta, delta_r AS phi, CASE WHEN z > 0.2 THEN 'leading' ELSE 'subleading' END AS prong FROM splittings WHERE lvl = 0) m
+ ON m.jet_id = g.jet_id AND abs(g.eta - m.eta) <= 0.01 AND abs(g.phi - m.phi) <= 0.01 GROUP BY 1, 2, 3, 4"""
+
+
+@query(f"""SELECT s.jet_id, s.prong, s.other, round(s.pt / t.pt, 6) AS share FROM (SELECT jet_id, prong, other, sum(pt) AS pt FROM ({_NEAR}) n GROUP BY 1, 2, 3) s
+JOIN (SELECT jet_id, CASE WHEN idx % 2 = 0 THEN 'leading' ELSE 'subleading' END AS prong, sum(kt) AS pt FROM splittings WHERE lvl = 0 GROUP BY 1, 2) t ON t.jet_id = s.jet_id AND t.prong = s.prong""", "splittings")
+def j16_x04_shared_subjet_pt_near(spark: SparkSession, d: str) -> DataFrame:
+    """Subjets whose constituents match by distance."""
+    rows = view(spark, d, "splittings").filter("lvl = 0").withColumns({"eta": F.col("z"), "phi": F.col("delta_r"), "id": F.col("idx"), "pt": F.col("kt")})
+    name = lambda c: F.when(c, "leading").otherwise("subleading")
+    generated = rows.select("jet_id", name(F.col("idx") % 2 == 0).alias("prong"), "id", "pt", "eta", "phi")
+    measured = rows.select("jet_id", name(F.col("z") > 0.2).alias("prong"), (F.col("eta") + 0.005).alias("eta"), "phi")
+    return rounded(matching.contained(generated, measured, near=0.01), "share")
+
+
 @query("SELECT bin FROM (SELECT DISTINCT CAST(floor(true_jet_pt / 5) AS INT) AS bin FROM jets) a WHERE bin NOT IN (SELECT CAST(floor(hybrid_jet_pt / 5) AS INT) FROM jets) UNION ALL SELECT bin FROM (SELECT DISTINCT CAST(floor(hybrid_jet_pt / 5) AS INT) AS bin FROM jets) b WHERE bin NOT IN (SELECT CAST(floor(true_jet_pt / 5) AS INT) FROM jets)", "jets")
 def j18_edge_check(spark: SparkSession, d: str) -> DataFrame:
     jets, axis = view(spark, d, "jets"), Regular(100, 0, 500)
@@ -141,13 +171,13 @@ def k01_anti_kt_jets(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def k02_winner_takes_all_jets(spark: SparkSession, d: str) -> DataFrame:
-    jets = jetfinding.find_jets(jetfinding.nested(view(spark, d, "tracks").filter("pt > 1")), 0.4, scheme="WTA_pt", pt_min=5.0)
+    jets = jetfinding.find_jets(jetfinding.nested(view(spark, d, "tracks").filter("pt >= 0.15")), 0.4, scheme="WTA_pt", pt_min=5.0)
     return jets.select("event_id", "jet", r6("pt").alias("pt"), F.size("constituents").alias("n"))
 
 
 @query()
 def k03_k04_k06_subtracted_jets(spark: SparkSession, d: str) -> DataFrame:
-    events = jetfinding.nested(view(spark, d, "tracks").filter("pt > 0.5"))
+    events = jetfinding.nested(view(spark, d, "tracks").filter("pt >= 0.15"))
     rho = jetfinding.median_density(jetfinding.find_jets(events, 0.2, "kt", ghost_area=0.05))
     jets = jetfinding.find_jets(events, 0.4, pt_min=5.0, eta_max=0.5, ghost_area=0.05).filter(jetfinding.area_between(F.col("area"), 0.1, 2.0))
     return jetfinding.subtracted(jets, rho).select("event_id", "jet", r6("rho").alias("rho"), r6("area").alias("area"), r6("pt").alias("pt"))
@@ -163,7 +193,7 @@ def k05_grid_density(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def k07_constituent_subtraction(spark: SparkSession, d: str) -> DataFrame:
-    tracks = view(spark, d, "tracks").filter("pt > 0.5")
+    tracks = view(spark, d, "tracks").filter("pt >= 0.15")
     events = jetfinding.nested(tracks).join(jetfinding.grid_density(tracks), "event_id")
     left = jetfinding.constituent_subtraction(events, ghost_area=0.05)
     return left.groupBy("event_id").agg(F.count("*").alias("n"), r6(F.sum("pt")).alias("pt"))
@@ -173,8 +203,8 @@ def k07_constituent_subtraction(spark: SparkSession, d: str) -> DataFrame:
 def k11_k12_k13_reclustered_skim(spark: SparkSession, d: str) -> DataFrame:
     """Data driver: events, jets, splitting trees, one groomed splitting each."""
     events = jetfinding.nested(view(spark, d, "tracks").filter("pt >= 0.15"))
-    jets = jetfinding.find_jets(events, 0.4, pt_min=10.0, eta_max=0.5).filter(F.size("constituents") > 1)
-    trees = jetfinding.recluster(jetfinding.with_particles(jets, events))
+    jets = jetfinding.find_jets(events, 0.4, pt_min=10.0, eta_max=0.5, with_particles=True).filter(F.size("constituents") > 1)
+    trees = jetfinding.recluster(jets)
     return rounded(grooming.groomed(trees, "soft_drop_z_cut_02").select("event_id", "jet", "kt", "delta_r", "z", "n_passed"), "kt", "delta_r", "z")
 
 
@@ -255,7 +285,7 @@ def g11_g12_g13_jet_direction(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", *[r6(f"j.{c}").alias(c) for c in ("eta", "phi", "pt")], F.array_max("particles.pt").alias("leading_track_pt"))
 
 
-@query("SELECT t.method, t.lvl, count(*) AS n, CAST(count(CASE WHEN t.idx >= 0 THEN 1 END) AS BIGINT) AS n_tagged, round(sum(t.kt * j.scale_factor), 6) AS sum_kt FROM (SELECT 'leading_kt' AS method, jet_id, lvl, idx, kt FROM (SELECT *, row_number() OVER (PARTITION BY jet_id, lvl ORDER BY kt DESC, idx) AS p FROM splittings) a WHERE p = 1 UNION ALL SELECT 'leading_kt_z_cut_02', g.jet_id, g.lvl, g.idx, g.kt FROM groomed g JOIN (SELECT DISTINCT jet_id, lvl FROM splittings) s ON s.jet_id = g.jet_id AND s.lvl = g.lvl) t JOIN jets j ON j.jet_id = t.jet_id GROUP BY t.method, t.lvl", "skim")
+@query("SELECT t.method, t.lvl, count(*) AS n, CAST(count(CASE WHEN t.idx >= 0 THEN 1 END) AS BIGINT) AS n_tagged, round(sum(t.kt * j.scale_factor), 6) AS sum_kt FROM (SELECT 'leading_kt' AS method, jet_id, lvl, idx, kt FROM (SELECT *, row_number() OVER (PARTITION BY jet_id, lvl ORDER BY kt DESC, idx) AS p FROM splittings) a WHERE p = 1 UNION ALL SELECT 'leading_kt_z_cut_02', g.jet_id, g.lvl, g.idx, g.kt FROM groomed g JOIN (SELECT DISTINCT jet_id, lvl FROM splittings) s ON s.jet_id = g.jet_id AND s.lvl = g.lvl) t JOIN jets j ON j.jet_id = t.jet_id GROUP BY t.method, t.lvl", "groomed")
 def g14_g15_skim(spark: SparkSession, d: str) -> DataFrame:
     long = grooming.skim(view(spark, d, "splittings"), view(spark, d, "jets"), ["leading_kt", "leading_kt_z_cut_02"])
     return long.groupBy("method", "lvl").agg(F.count("*").alias("n"), F.count(F.when(F.col("idx") >= 0, 1)).alias("n_tagged"), r6(F.sum(F.col("kt") * F.col("scale_factor"))).alias("sum_kt"))
@@ -274,7 +304,7 @@ _FLAGSHIP_AXES = {"pt_bin": Regular(30, 0, 300), "kt_bin": Regular(25, 0, 12.5)}
     f"""SELECT pt_bin, kt_bin, round(sumw, 6) AS sumw, round(sumw2, 6) AS sumw2, n, round(sumw / sum(sumw) OVER (PARTITION BY pt_bin) / 0.5, 6) AS value FROM (
 SELECT {_FLAGSHIP_AXES['pt_bin'].sql('j.true_jet_pt')} AS pt_bin, {_FLAGSHIP_AXES['kt_bin'].sql('g.kt')} AS kt_bin, sum(j.scale_factor) AS sumw, sum(j.scale_factor * j.scale_factor) AS sumw2, count(*) AS n
 FROM groomed g JOIN jets j ON j.jet_id = g.jet_id JOIN (SELECT DISTINCT jet_id FROM splittings WHERE lvl = 0) s ON s.jet_id = g.jet_id WHERE g.lvl = 0 GROUP BY 1, 2) h""",
-    "skim",
+    "groomed",
 )
 def flagship_kt_spectrum(spark: SparkSession, d: str) -> DataFrame:
     """Leading kt above a z cut, weighted, by jet pt, each pt bin normalised to one over its width."""
@@ -284,9 +314,19 @@ def flagship_kt_spectrum(spark: SparkSession, d: str) -> DataFrame:
     return rounded(normalized(hist, 0.5, ["pt_bin"]), "sumw", "sumw2", "value")
 
 
-@query(f"SELECT jet_id, max(prong = 'leading' AND other = 'leading' AND share > 0.5) AS leading_proper, max(prong = 'leading' AND other = 'subleading' AND share > 0.5) AS leading_mistag, max(prong = 'subleading' AND other = 'subleading' AND share > 0.5) AS subleading_proper, max(prong = 'subleading' AND other = 'leading' AND share > 0.5) AS subleading_mistag FROM ({_SHARES}) s GROUP BY jet_id", "splittings")
+_PARTS = """SELECT c.*, CASE WHEN part = first THEN 'leading' ELSE 'subleading' END AS prong FROM (SELECT jet_id, idx, kt, {part} AS part FROM splittings WHERE lvl = {lvl}) c
+ JOIN (SELECT jet_id, max_by(part, struct_pack(s := size, p := -part)) AS first FROM (SELECT jet_id, part, round(sqrt(pow(sum(kt * cos(6 * delta_r)), 2) + pow(sum(kt * sin(6 * delta_r)), 2)), 9) AS size
+ FROM (SELECT *, {part} AS part FROM splittings WHERE lvl = {lvl}) x GROUP BY 1, 2) y GROUP BY 1) f ON f.jet_id = c.jet_id"""
+_OLD_SHARES = f"""SELECT g.jet_id, g.prong, m.prong AS other, sum(g.kt) / min(g.total) AS share FROM (SELECT *, sum(kt) OVER (PARTITION BY jet_id, prong) AS total FROM ({_PARTS.format(part='idx % 2', lvl=0)}) a) g
+ JOIN ({_PARTS.format(part='CASE WHEN z > 0.2 THEN 0 ELSE 1 END', lvl=2)}) m ON m.jet_id = g.jet_id AND m.idx = g.idx GROUP BY 1, 2, 3"""
+
+
+@query(f"SELECT jet_id, max(prong = 'leading' AND other = 'leading' AND share > 0.5) AS leading_proper, max(prong = 'leading' AND other = 'subleading' AND share > 0.5) AS leading_mistag, max(prong = 'subleading' AND other = 'subleading' AND share > 0.5) AS subleading_proper, max(prong = 'subleading' AND other = 'leading' AND share > 0.5) AS subleading_mistag FROM ({_OLD_SHARES}) s GROUP BY jet_id", "splittings")
 def j17_prong_flags(spark: SparkSession, d: str) -> DataFrame:
-    return matching.prong_flags(matching.contained(_constituents(spark, d, 0), _constituents(spark, d, 2)))
+    """Subjets of both levels named by their vector sums."""
+    rows = view(spark, d, "splittings").withColumns({"id": F.col("idx"), "pt": F.col("kt"), "phi": 6 * F.col("delta_r")})
+    sides = [rows.filter(F.col("lvl") == lvl).select("jet_id", part.alias("part"), "id", "pt", "phi") for lvl, part in ((0, F.col("idx") % 2), (2, F.when(F.col("z") > 0.2, 0).otherwise(1)))]
+    return matching.prong_flags(matching.contained(*map(matching.by_vector_sum, sides)))
 
 
 @query("SELECT k.jet_id, k.hybrid_kt, j.o_custkey FROM skim k LEFT JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0) j ON j.o_orderkey = k.jet_id", "skim")
@@ -322,3 +362,64 @@ def k12_mc_analysis(spark: SparkSession, d: str) -> DataFrame:
 def k08_k12_embedding_analysis(spark: SparkSession, d: str) -> DataFrame:
     out = drivers.analyze_embedding(view(spark, d, "tracks"), view(spark, d, "det_tracks"), view(spark, d, "background"))
     return rounded(out, *[c for c, t in out.dtypes if t == "double"])
+
+
+_MASSES_SQL = "SELECT 'default' AS given, CAST(0.139 AS DOUBLE) AS mass, count(*) AS n FROM tracks UNION ALL SELECT 'm', 0.1 * (h4 % 3), count(*) FROM tracks GROUP BY 2 UNION ALL SELECT 'e', 0.25 * (h4 % 2), count(*) FROM tracks GROUP BY 2"
+
+
+@query(f"SELECT given, round(mass, 6) AS mass, n FROM ({_MASSES_SQL}) t", "tracks")
+def p06_default_mass(spark: SparkSession, d: str) -> DataFrame:
+    """Particles without mass and energy, with a mass, and with an energy."""
+    t, c = view(spark, d, "tracks"), F.col
+    p = c("pt") * F.cosh("eta")
+    kinds = {"default": t, "m": t.withColumn("m", 0.1 * (c("h4") % 3)), "e": t.withColumn("e", F.sqrt(p * p + F.pow(0.25 * (c("h4") % 2), F.lit(2.0))))}
+    out = None
+    for given, rows in kinds.items():
+        nested = jetfinding.nested(rows).select(F.lit(given).alias("given"), F.explode("particles.m").alias("mass"))
+        found = nested.groupBy("given", F.round("mass", 4).alias("mass")).agg(F.count("*").alias("n"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+_DENSITY = "SELECT e.event_id, round(median(coalesce(c.pt, 0) / 0.8078381109230897), 6) AS rho FROM (SELECT event_id, unnest(generate_series(0, 13)) AS cell FROM event_info) e LEFT JOIN (SELECT event_id, {cell} AS cell, sum(pt) AS pt FROM {t} WHERE abs(eta) < 0.9 GROUP BY 1, 2) c ON c.event_id = e.event_id AND c.cell = e.cell GROUP BY e.event_id"
+
+
+@query(f"SELECT 'background' AS particles, * FROM ({_DENSITY.format(cell=_CELL, t='background')}) a UNION ALL SELECT 'signal', * FROM ({_DENSITY.format(cell=_CELL, t='tracks')}) b", "event_info", "background")
+def k08_density_of_background(spark: SparkSession, d: str) -> DataFrame:
+    """Density of separate background particles, and of the signal's where none are given."""
+    signal, background = view(spark, d, "tracks"), view(spark, d, "background")
+    both = {"background": jetfinding.density(signal, background), "signal": jetfinding.density(signal)}
+    return rounded(both["background"].withColumn("particles", F.lit("background")).unionByName(both["signal"].withColumn("particles", F.lit("signal"))), "rho")
+
+
+_Y = "0.5 * ln((e + pz) / (e - pz))"
+
+
+@query(
+    f"""SELECT event_id, idx, round(CASE WHEN keep <= 0 THEN 0 ELSE px * keep END, 6) + 0.0 AS px, round(CASE WHEN keep <= 0 THEN 0 WHEN bad THEN left_pt * sinh(y) ELSE z END, 6) + 0.0 AS pz, round(CASE WHEN keep <= 0 THEN 0 WHEN bad THEN left_pt * cosh(y) ELSE e1 END, 6) AS e
+FROM (SELECT *, pt * keep AS left_pt, e1 * e1 < pt * keep * pt * keep + z * z AS bad FROM (SELECT *, 1 - 8.0 * area / pt AS keep, pz - 8.2 * area * sinh(y) AS z, e - 8.2 * area * cosh(y) AS e1 FROM (SELECT *, {_Y} AS y FROM (
+SELECT event_id, idx, pt, pt * cos(phi) AS px, pt * sinh(eta) AS pz, sqrt(pt * pt + pow(pt * sinh(eta), 2) + 0.139 * 0.139) AS e, 0.3 + 0.01 * (h4 % 40) AS area FROM tracks WHERE pt > 2) a) b) c) d""",
+    "tracks",
+)
+def k06_safe_mass(spark: SparkSession, d: str) -> DataFrame:
+    """Density and mass density taken off hard particles as jets of one constituent."""
+    c = F.col
+    rows = view(spark, d, "tracks").filter("pt > 2").withColumns({"px": c("pt") * F.cos("phi"), "py": c("pt") * F.sin("phi"), "pz": c("pt") * F.sinh("eta"), "area": 0.3 + 0.01 * (c("h4") % 40)})
+    rows = rows.withColumn("e", F.sqrt(c("pt") * c("pt") + c("pz") * c("pz") + 0.139 * 0.139))
+    out = jetfinding.area_subtracted(rows, F.lit(8.0), F.lit(0.2))
+    return out.select("event_id", "idx", (r6("px") + 0.0).alias("px"), (r6("pz") + 0.0).alias("pz"), r6("e").alias("e"))
+
+
+@query(
+    """SELECT event_id, CAST(count(CASE WHEN h4 % 4 <> 0 THEN 1 END) AS INT) AS n_real, round(CAST(0.02 AS DOUBLE) * count(CASE WHEN h4 % 4 = 0 THEN 1 END), 6) AS area FROM tracks GROUP BY event_id
+HAVING 0.02 * count(CASE WHEN h4 % 4 = 0 THEN 1 END) BETWEEN 0.7 * 3.141592653589793 * 0.16 AND 1.2 * 3.141592653589793 * 0.16 AND max(pt) <= 19""",
+    "tracks",
+)
+def k09_k10_area_and_constituents(spark: SparkSession, d: str) -> DataFrame:
+    """An event's tracks as one jet, every fourth of them a ghost (index -1) of area 0.02."""
+    index = F.when(F.col("h4") % 4 == 0, -1).otherwise(F.col("idx"))
+    jets = view(spark, d, "tracks").groupBy("event_id").agg(F.collect_list(F.struct(index.alias("index"), "pt")).alias("constituents"))
+    jets = jets.withColumn("real", jetfinding.without_ghosts(F.col("constituents.index")))
+    jets = jets.withColumn("area", 0.02 * (F.size("constituents") - F.size("real")))
+    jets = jets.filter(jetfinding.area_percent_between(F.col("area"), 0.4, 70, 120) & jetfinding.constituents_up_to(F.col("constituents"), 19.0))
+    return jets.select("event_id", F.size("real").alias("n_real"), r6("area").alias("area"))

@@ -167,13 +167,16 @@ def r01_efficiency_by_activity(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("activity").agg(*[r6(F.avg(efficiency(c("pt"), c("eta"), p, c("activity")))).alias(p) for p in ("LHC11h", "LHC15o")], F.count("*").alias("n"))
 
 
-@query()
+_HASH = "CAST(('0x' || substr(md5(concat_ws(':', event_id, idx, '{seed}')), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496"
+
+
+@query(f"SELECT event_id, count(*) AS n FROM tracks WHERE {_HASH.format(seed=3)} <= {_PP} GROUP BY event_id", "tracks")
 def r02_lost_tracks(spark: SparkSession, d: str) -> DataFrame:
     t = view(spark, d, "tracks")
     return sampling.lossy(t, efficiency(F.col("pt"), F.col("eta"), "LHC11a"), seed=3).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"SELECT event_id, source, count(*) AS n FROM (SELECT event_id, idx, 'signal' AS source FROM det_tracks UNION ALL SELECT event_id, idx, 'background' FROM background) t WHERE source = 'background' OR {_HASH.format(seed=9)} <= 0.95 GROUP BY event_id, source", "det_tracks", "background")
 def r03_lost_signal(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.matching import hybrid
 

@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import new_folder
 from ..functions import selections as P
-from ..operators.histograms import ratio
+from ..operators.histograms import Regular, histogram, normalized, ratio
 from ..sources import event_tables, generator_text
 from .catalogue import query, r6, rounded
 from .views import view
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query("SELECT CAST(event_id AS INT) AS event_id, CAST(count(*) AS INT) AS n_particles, CAST(count(*) AS INT) AS found, CAST(sum(idx) AS DOUBLE) AS sum_px, CAST(182.4 AS DOUBLE) AS cross_section FROM tracks GROUP BY event_id", "tracks")
 def s03_s04_s05_generator_text(spark: SparkSession, d: str) -> DataFrame:
     """Events written as generator text, a footer in every file, and read back."""
-    path, c = _folder(spark), F.col
+    path, c = new_folder(spark), F.col
     line = F.concat_ws(" ", c("idx").cast("string"), F.lit("211 27"), c("pt").cast("string"), c("idx").cast("string"), F.lit("0.2"), F.lit("0.3"))
     events = view(spark, d, "tracks").groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"), F.count("*").alias("n"))
     head = F.concat(F.lit("#\tEvent\t"), c("event_id").cast("string"), F.lit("\tweight\t0.5\tEPangle\t0.1\tN_hadrons\t"), c("n").cast("string"), F.lit("\n"))
@@ -45,7 +38,7 @@ def s06_miscounted_events(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(*) AS n_events, CAST(sum(n) AS BIGINT) AS n_tracks, TRUE AS bounded FROM (SELECT event_id, count(*) AS n FROM tracks GROUP BY event_id) t", "tracks")
 def s01_s07_s12_bounded_files(spark: SparkSession, d: str) -> DataFrame:
     """Events written with at most 25 in a file, then only two columns read."""
-    path = _folder(spark)
+    path = new_folder(spark)
     events = event_tables.grouped_events(view(spark, d, "tracks"), ("event_id",)).withColumn("n", F.size("particles").cast("long"))
     generator_text.write_events(events, path, 25)
     bounded = event_tables.rows_per_file(spark, path).agg((F.max("count") <= 25).alias("bounded"))
@@ -61,14 +54,27 @@ def s08_s10_prefixed_lists(spark: SparkSession, d: str) -> DataFrame:
     return skim.groupBy("run_number").agg(F.sum(F.size("data")).alias("n"), r6(F.sum(F.aggregate("data", F.lit(0.0), lambda s, p: s + p["pt"]))).alias("sum_pt"))
 
 
+@query("SELECT event_id, CAST(0.5 + event_id % 3 AS DOUBLE) AS event_weight, CAST(event_id % 12 AS DOUBLE) AS event_impact_parameter, CAST(count(*) AS INT) AS n, round(sum(pt), 6) AS sum_pt, CAST(sum(h4 % 3 - 1) AS BIGINT) AS charge FROM tracks GROUP BY event_id", "tracks")
+def s10_jet_extractor(spark: SparkSession, d: str) -> DataFrame:
+    """Lists under the names of a jet extractor, with the event's weight and impact parameter."""
+    t, c = view(spark, d, "tracks"), F.col
+    fields = {"Jet_Track_Pt": c("pt"), "Jet_Track_Eta": c("eta"), "Jet_Track_Phi": c("phi"), "Jet_Track_Charge": (c("h4") % 3 - 1).cast("int"), "Jet_Track_Label": c("idx")}
+    rows = F.array_sort(F.collect_list(F.struct(c("idx").alias("order"), *[v.alias(n) for n, v in fields.items()])))
+    raw = t.groupBy("event_id").agg(rows.alias("r")).select("event_id", *[c(f"r.{n}").alias(n) for n in fields], (0.5 + c("event_id") % 3).alias("Event_Weight"), (c("event_id") % 12).cast("double").alias("Event_ImpactParameter"))
+    out = event_tables.renamed_lists(raw, event_tables.JET_EXTRACTOR, keep=("event_id",), events=event_tables.EXTRACTOR_EVENTS)
+    total = lambda f, start: F.aggregate("part_level", F.lit(start), lambda s, p: s + p[f])
+    return out.select("event_id", c("event_weight").cast("double").alias("event_weight"), "event_impact_parameter", F.size("part_level").alias("n"), r6(total("pt", 0.0)).alias("sum_pt"), total("charged", 0).cast("long").alias("charge"))
+
+
 @query("SELECT pt_hard_bin, count(*) AS n, round(sum(hybrid_jet_pt), 6) AS sum_pt FROM (SELECT DISTINCT jet_id, pt_hard_bin, hybrid_jet_pt FROM jets) t GROUP BY pt_hard_bin", "jets")
 def s14_s16_skim_files(spark: SparkSession, d: str) -> DataFrame:
-    """A skim written twice by partition, compacted to two files and read back."""
-    path, whole = _folder(spark), _folder(spark)
+    """A skim written twice by partition, compacted to two files beside one that can't be read, and read back."""
+    path, whole = new_folder(spark), new_folder(spark)
     jets = view(spark, d, "jets").select("jet_id", "pt_hard_bin", "hybrid_jet_pt")
     for _ in range(2):
         event_tables.write_skim(jets, path, ["pt_hard_bin"])
-    event_tables.compacted(spark, [path], whole, 2)
+    jets.select(F.col("jet_id").cast("string")).write.text(f"{path}/pt_hard_bin=99")  # not Parquet
+    event_tables.compacted(spark, [path], whole, 2, jets.schema)
     return spark.read.parquet(whole).groupBy("pt_hard_bin").agg(F.count("*").alias("n"), r6(F.sum("hybrid_jet_pt")).alias("sum_pt"))
 
 
@@ -88,14 +94,37 @@ def s17_f07_f10_uniform_skim(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.col("hybrid_jet_pt").cast("double").alias("hybrid_jet_pt"), F.col("scale_factor").cast("double").alias("scale_factor"))
 
 
-@query("SELECT a.pt_hard_bin AS bin, round(a.s / b.s, 6) AS ratio FROM (SELECT pt_hard_bin, sum(hybrid_jet_pt) AS s FROM jets GROUP BY 1) a JOIN (SELECT pt_hard_bin, sum(true_jet_pt) AS s FROM jets GROUP BY 1) b ON a.pt_hard_bin = b.pt_hard_bin", "jets")
+@query("SELECT a.pt_hard_bin AS bin, round((a.s / sum(a.s) OVER ()) / (b.s / sum(b.s) OVER ()), 6) AS ratio FROM (SELECT pt_hard_bin, sum(hybrid_jet_pt) AS s FROM jets GROUP BY 1) a JOIN (SELECT pt_hard_bin, sum(true_jet_pt) AS s FROM jets GROUP BY 1) b ON a.pt_hard_bin = b.pt_hard_bin", "jets")
 def s19_prediction_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """Two sets of predictions by bin and their ratio."""
+    """Two sets of predictions by bin, each normalised, and their ratio."""
     jets = view(spark, d, "jets")
-    one, two = (jets.groupBy(F.col("pt_hard_bin").alias("bin")).agg(F.sum(f"{p}_jet_pt").alias("sumw"), F.count("*").cast("double").alias("sumw2")) for p in ("hybrid", "true"))
+    sums = (jets.groupBy(F.col("pt_hard_bin").alias("bin")).agg(F.sum(f"{p}_jet_pt").alias("sumw"), F.lit(0.0).alias("sumw2")) for p in ("hybrid", "true"))
+    one, two = (normalized(s, 1.0).drop("sumw").withColumnRenamed("value", "sumw") for s in sums)
     return rounded(ratio(one, two, ["bin"]).select("bin", "ratio"), "ratio")
 
 
+@query("SELECT CAST(pt_hard_bin - 1 AS INT) AS bin, round(s, 4) AS value, round(0.25 * pt_hard_bin, 4) AS low, round(0.5 * pt_hard_bin, 4) AS high FROM (SELECT pt_hard_bin, round(sum(true_jet_pt), 4) AS s FROM jets GROUP BY 1) t", "jets")
+def s19_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions written as text of central, lower and upper values, and read with errors on both sides."""
+    path = new_folder(spark)
+    s = view(spark, d, "jets").groupBy("pt_hard_bin").agg(F.round(F.sum("true_jet_pt"), 4).alias("s"))
+    line = F.format_string("%.4f %.4f %.4f", "s", F.col("s") - 0.25 * F.col("pt_hard_bin"), F.col("s") + 0.5 * F.col("pt_hard_bin"))
+    lines = s.select("pt_hard_bin", line.alias("value")).unionByName(spark.createDataFrame([(0, "# central lower upper")], "pt_hard_bin int, value string"))
+    lines.repartitionByRange(1, "pt_hard_bin").sortWithinPartitions("pt_hard_bin").select("value").write.text(path)  # one line a bin
+    out = event_tables.predictions(spark, path)
+    return out.select(F.col("bin").cast("int").alias("bin"), *[F.round(c, 4).alias(c) for c in ("value", "low", "high")])
+
+
+@query("SELECT centre, round(value, 6) AS value, round(error, 6) AS error, round(0.1 * value, 6) AS low, round(0.2 * value, 6) AS high FROM (SELECT CAST(10 * floor(true_jet_pt / 10) + 5 AS DOUBLE) AS centre, sum(scale_factor) AS value, sqrt(sum(scale_factor * scale_factor)) AS error FROM jets GROUP BY 1) t WHERE centre BETWEEN 25 AND 95", "jets")
+def s18_points(spark: SparkSession, d: str) -> DataFrame:
+    """A spectrum with its errors as points within a range, written and read back."""
+    axis, path = Regular(20, 0, 200), new_folder(spark)
+    h = histogram(view(spark, d, "jets"), {"bin": (F.col("true_jet_pt"), axis)}, F.col("scale_factor"))
+    h = h.select(axis.centre(F.col("bin")).alias("centre"), F.col("sumw").alias("value"), F.sqrt("sumw2").alias("error")).withColumns({"low": 0.1 * F.col("value"), "high": 0.2 * F.col("value")})
+    event_tables.points(h, 25, 95).write.parquet(path)
+    return rounded(spark.read.parquet(path), "value", "error", "low", "high")
+
+
 @query("SELECT i.event_id FROM event_info i JOIN event_info b ON b.event_id = i.event_id + 10 WHERE i.is_ev_rej = 0 AND abs(i.z_vtx_reco) < 10 AND b.is_ev_rej = 0 AND abs(b.z_vtx_reco) < 10", "event_info")
 def p02_background_events(spark: SparkSession, d: str) -> DataFrame:
     events = view(spark, d, "event_info")
@@ -103,9 +132,9 @@ def p02_background_events(spark: SparkSession, d: str) -> DataFrame:
     return P.select_events(events).join(background, "event_id", "left_semi").select("event_id")
 
 
-@query("SELECT jet_id FROM skim WHERE true_jet_pt > 0 AND pt_hard_bin >= 5 AND hybrid_jet_pt >= 40 AND hybrid_jet_pt < 120 AND true_n_passed > 1 AND det_level_n_passed > 1 AND hybrid_n_passed > 1 AND momentum_fraction > 0.6 * 3.141592653589793 * 0.16", "skim")
+@query("SELECT jet_id FROM skim WHERE true_jet_pt > 0 AND pt_hard_bin >= 5 AND hybrid_jet_pt >= 40 AND hybrid_jet_pt < 120 AND true_n_passed > 1 AND det_level_n_passed > 1 AND hybrid_n_passed > 1 AND momentum_fraction > 0.6 * 3.141592653589793 * 0.16 AND true_leading_track_pt >= hybrid_leading_track_pt", "skim")
 def p09_p10_p13_p15_jet_quality(spark: SparkSession, d: str) -> DataFrame:
     """Masks of the skim; the momentum fraction stands in for an area."""
     c = F.col
     rows = view(spark, d, "skim").filter((c("true_jet_pt") > 0) & (c("pt_hard_bin") >= 5) & P.in_range(c("hybrid_jet_pt"), 40, 120))
-    return rows.filter("true_n_passed > 1 and det_level_n_passed > 1 and hybrid_n_passed > 1").filter(P.large_area(c("momentum_fraction"), 0.4)).select("jet_id")
+    return rows.filter("true_n_passed > 1 and det_level_n_passed > 1 and hybrid_n_passed > 1").filter(P.large_area(c("momentum_fraction"), 0.4) & (c("true_leading_track_pt") >= c("hybrid_leading_track_pt"))).select("jet_id")

@@ -31,8 +31,9 @@ FROM (SELECT DISTINCT l_suppkey*10+l_linenumber AS event_id FROM lineitem) t""",
 SELECT event_id, idx, pt*(0.95+0.1*CAST(h4%97 AS DOUBLE)/97) AS pt, eta, phi, h4 FROM tracks WHERE h4%10<>0""",
     # background under the event: another event's tracks with an index of their own
     "background": """
-SELECT CASE WHEN t.event_id-10 >= m.low THEN t.event_id-10 ELSE t.event_id-10+m.width END AS event_id, t.idx+100000 AS idx, t.pt, t.eta, t.phi, t.h4
-FROM tracks t CROSS JOIN (SELECT min(l_suppkey)*10 AS low, (max(l_suppkey)-min(l_suppkey)+1)*10 AS width FROM lineitem) m""",
+SELECT CASE WHEN t.event_id-10 >= (SELECT min(l_suppkey)*10 FROM lineitem) THEN t.event_id-10
+  ELSE t.event_id-10+(SELECT (max(l_suppkey)-min(l_suppkey)+1)*10 FROM lineitem) END AS event_id, t.idx+100000 AS idx, t.pt, t.eta, t.phi, t.h4
+FROM tracks t""",
     # up to seventeen splittings per jet at three levels
     "splittings": """
 SELECT jet_id, lvl, idx, idx-1 AS parent_index, CASE WHEN idx=0 THEN -1 ELSE CAST(floor((idx-1)/2) AS INT) END AS parent_index_tree,
@@ -48,26 +49,31 @@ FROM (SELECT l_orderkey AS jet_id, k.lvl,
     "jets": """
 SELECT jet_id, pt_hard_bin, CAST(1 AS DOUBLE)/(pt_hard_bin*pt_hard_bin) AS scale_factor, p AS true_jet_pt,
   p*(0.9+0.1*a) AS det_level_jet_pt, p*(0.8+0.4*b) AS hybrid_jet_pt,
-  CAST(1+jet_id%17 AS DOUBLE) AS det_level_leading_track_pt, CAST(1+jet_id%13 AS DOUBLE) AS hybrid_leading_track_pt
+  CAST(1+jet_id%19 AS DOUBLE) AS true_leading_track_pt, CAST(1+jet_id%17 AS DOUBLE) AS det_level_leading_track_pt, CAST(1+jet_id%13 AS DOUBLE) AS hybrid_leading_track_pt
 FROM (SELECT o_orderkey AS jet_id, CAST(o_orderkey%20+1 AS INT) AS pt_hard_bin, 10.0+o_totalprice/3000 AS p,
   CAST((o_custkey*7919)%101 AS DOUBLE)/101 AS a, CAST((o_custkey*104729)%103 AS DOUBLE)/103 AS b FROM orders) t""",
-    # the hardest splitting above z 0.2 of each jet and level, sentinel where there is none
+    # the hardest splitting above z 0.2 of each jet and level that has one
+    "picked": """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY jet_id, lvl ORDER BY kt DESC, idx) AS place,
+  count(*) OVER (PARTITION BY jet_id, lvl) AS n FROM splittings WHERE z > 0.2) t WHERE place = 1""",
+    # the same for all jets and levels, sentinel where there is none
     "groomed": """
 SELECT j.jet_id, j.lvl, coalesce(g.kt, -0.005) AS kt, coalesce(g.delta_r, -0.005) AS delta_r, coalesce(g.z, -0.005) AS z,
   coalesce(g.idx, -1) AS idx, coalesce(g.n, 0) AS n_passed
 FROM (SELECT jet_id, k.lvl FROM jets CROSS JOIN (SELECT 0 AS lvl UNION ALL SELECT 1 UNION ALL SELECT 2) k) j
-LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY jet_id, lvl ORDER BY kt DESC, idx) AS place,
-    count(*) OVER (PARTITION BY jet_id, lvl) AS n FROM splittings WHERE z > 0.2) t WHERE place = 1) g
-  ON g.jet_id = j.jet_id AND g.lvl = j.lvl""",
+LEFT JOIN picked g ON g.jet_id = j.jet_id AND g.lvl = j.lvl""",
     # flat skim: one row per jet, three levels side by side, matching codes and distance
     "skim": """
-SELECT j.*, t.kt AS true_kt, t.delta_r AS true_delta_r, t.z AS true_z, d.kt AS det_level_kt, d.delta_r AS det_level_delta_r, d.z AS det_level_z,
-  h.kt AS hybrid_kt, h.delta_r AS hybrid_delta_r, h.z AS hybrid_z, t.n_passed AS true_n_passed, d.n_passed AS det_level_n_passed, h.n_passed AS hybrid_n_passed,
-  CASE WHEN h.n_passed = 0 THEN -1 WHEN t.n_passed = 0 THEN 0 ELSE CAST(1+j.jet_id%3 AS INT) END AS leading_match,
-  CASE WHEN h.n_passed = 0 THEN -1 WHEN t.n_passed = 0 THEN 0 ELSE CAST(1+(j.jet_id*7)%3 AS INT) END AS subleading_match,
-  CAST((j.jet_id*31)%100 AS DOUBLE)/400 AS match_distance, CAST((j.jet_id*13)%101 AS DOUBLE)/101 AS momentum_fraction
-FROM jets j JOIN groomed t ON t.jet_id = j.jet_id AND t.lvl = 0 JOIN groomed d ON d.jet_id = j.jet_id AND d.lvl = 1
-JOIN groomed h ON h.jet_id = j.jet_id AND h.lvl = 2""",
+SELECT *, CASE WHEN hybrid_n_passed = 0 THEN -1 WHEN true_n_passed = 0 THEN 0 ELSE CAST(1+jet_id%3 AS INT) END AS leading_match,
+  CASE WHEN hybrid_n_passed = 0 THEN -1 WHEN true_n_passed = 0 THEN 0 ELSE CAST(1+floor(jet_id/3)%3 AS INT) END AS subleading_match,
+  CAST((jet_id*31)%100 AS DOUBLE)/400 AS match_distance, CAST((jet_id*13)%101 AS DOUBLE)/101 AS momentum_fraction
+FROM (SELECT j.*, coalesce(w.true_kt, -0.005) AS true_kt, coalesce(w.true_delta_r, -0.005) AS true_delta_r, coalesce(w.true_z, -0.005) AS true_z, coalesce(w.true_n_passed, 0) AS true_n_passed,
+  coalesce(w.det_level_kt, -0.005) AS det_level_kt, coalesce(w.det_level_delta_r, -0.005) AS det_level_delta_r, coalesce(w.det_level_z, -0.005) AS det_level_z, coalesce(w.det_level_n_passed, 0) AS det_level_n_passed,
+  coalesce(w.hybrid_kt, -0.005) AS hybrid_kt, coalesce(w.hybrid_delta_r, -0.005) AS hybrid_delta_r, coalesce(w.hybrid_z, -0.005) AS hybrid_z, coalesce(w.hybrid_n_passed, 0) AS hybrid_n_passed
+  FROM jets j LEFT JOIN (SELECT jet_id, max(CASE WHEN lvl = 0 THEN kt END) AS true_kt, max(CASE WHEN lvl = 0 THEN delta_r END) AS true_delta_r, max(CASE WHEN lvl = 0 THEN z END) AS true_z, max(CASE WHEN lvl = 0 THEN n END) AS true_n_passed,
+    max(CASE WHEN lvl = 1 THEN kt END) AS det_level_kt, max(CASE WHEN lvl = 1 THEN delta_r END) AS det_level_delta_r, max(CASE WHEN lvl = 1 THEN z END) AS det_level_z, max(CASE WHEN lvl = 1 THEN n END) AS det_level_n_passed,
+    max(CASE WHEN lvl = 2 THEN kt END) AS hybrid_kt, max(CASE WHEN lvl = 2 THEN delta_r END) AS hybrid_delta_r, max(CASE WHEN lvl = 2 THEN z END) AS hybrid_z, max(CASE WHEN lvl = 2 THEN n END) AS hybrid_n_passed
+    FROM picked GROUP BY jet_id) w ON w.jet_id = j.jet_id) s""",
     # production files with their cross sections
     "files": """
 SELECT s_suppkey AS file_id, CAST(s_suppkey%20+1 AS INT) AS pt_hard_bin, CAST(1000+s_suppkey%7*100 AS BIGINT) AS n_entries,
@@ -75,8 +81,8 @@ SELECT s_suppkey AS file_id, CAST(s_suppkey%20+1 AS INT) AS pt_hard_bin, CAST(10
   'trees/bin_' || CAST(s_suppkey%20+1 AS VARCHAR(10)) || '/file_' || CAST(s_suppkey AS VARCHAR(10)) || '.root' AS file_name
 FROM supplier""",
 }
-_NEEDS = {"det_tracks": ["tracks"], "background": ["tracks"], "groomed": ["jets", "splittings"], "skim": ["jets", "splittings", "groomed"]}
-_TABLES = {"tracks": ["lineitem"], "event_info": ["lineitem"], "det_tracks": ["lineitem"], "background": ["lineitem"], "splittings": ["lineitem"], "jets": ["orders"], "groomed": ["lineitem", "orders"], "skim": ["lineitem", "orders"], "files": ["supplier"]}
+_NEEDS = {"det_tracks": ["tracks"], "background": ["tracks"], "picked": ["splittings"], "groomed": ["jets", "splittings", "picked"], "skim": ["jets", "splittings", "picked"]}
+_TABLES = {"tracks": ["lineitem"], "event_info": ["lineitem"], "det_tracks": ["lineitem"], "background": ["lineitem"], "splittings": ["lineitem"], "jets": ["orders"], "picked": ["lineitem"], "groomed": ["lineitem", "orders"], "skim": ["lineitem", "orders"], "files": ["supplier"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,10 +96,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(with_views(f"SELECT * FROM {name}", name))
 
 
-def with_views(query: str, *names: str) -> str:
-    """Put the texts of the views (and of those they need) before a query."""
+def with_views(query: str, *names: str, stored: bool = False) -> str:
+    """Put the texts of the views (and of those they need) before a query; ``stored`` has the oracle work out each only once."""
     order = [v for v in VIEWS if v in {*names, *(x for n in names for x in _NEEDS.get(n, []))}]
-    head = ", ".join(f"{v} AS ({VIEWS[v]})" for v in order)
+    kept = "AS MATERIALIZED" if stored else "AS"
+    head = ", ".join(f"{v} {kept} ({VIEWS[v]})" for v in order)
     recursive = query.lstrip().upper().startswith("WITH RECURSIVE")
     body = query.lstrip()
     if body.upper().startswith("WITH"):

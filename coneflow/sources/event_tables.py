@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..operators.matching import complete_events, numbered
@@ -12,6 +13,7 @@ from ..operators.matching import complete_events, numbered
 EVENT_COLUMNS = {"pp": ("run_number", "trigger_bit_INT7"), "pythia": ("run_number", "trigger_bit_INT7"), "PbPb": ("run_number", "trigger_bit_INT7", "centrality", "event_plane_V0M", "trigger_bit_central", "trigger_bit_semi_central")}
 LEVELS = {"pp": {"data": "particle_data"}, "PbPb": {"data": "particle_data"}, "pythia": {"det_level": "particle_data", "part_level": "particle_gen"}}
 JET_EXTRACTOR = {"Jet_Track_Pt": "pt", "Jet_Track_Eta": "eta", "Jet_Track_Phi": "phi", "Jet_Track_Charge": "charged", "Jet_Track_Label": "label"}
+EXTRACTOR_EVENTS = {"Event_Weight": "event_weight", "Event_ImpactParameter": "event_impact_parameter", "Jet_Pt": "jet_pt_original"}
 JEWEL = {"partpT": "pt", "party": "eta", "partphi": "phi", "partm": "m", "partc": "charge"}
 
 
@@ -36,9 +38,10 @@ def track_skim(df: DataFrame, system: str) -> DataFrame:
     return df.select(*out, *lists)
 
 
-def renamed_lists(df: DataFrame, names: dict[str, str], level: str = "part_level", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The same for layouts given as a map of column names."""
-    return df.select(*keep, zipped({n: c for c, n in names.items() if c in df.columns}).alias(level))
+def renamed_lists(df: DataFrame, names: dict[str, str], level: str = "part_level", keep: tuple[str, ...] = (), events: dict[str, str] | None = None) -> DataFrame:
+    """The same for layouts given as maps of column names, of lists and of the event's own values."""
+    own = [F.col(c).alias(n) for c, n in (events or {}).items() if c in df.columns]
+    return df.select(*keep, *own, zipped({n: c for c, n in names.items() if c in df.columns}).alias(level))
 
 
 def grouped_events(tracks: DataFrame, keys: tuple[str, ...], order: str = "idx") -> DataFrame:
@@ -56,7 +59,9 @@ def event_tree(events: DataFrame, det: DataFrame, part: DataFrame, keys: tuple[s
 
 
 def entries(df: DataFrame, order: list[str], start: int, stop: int) -> DataFrame:
-    """Rows [start, stop) in a global order."""
+    """Rows [start, stop) in a global order; near the beginning each task sends no more than ``stop`` rows."""
+    if stop <= 10_000:
+        return df.orderBy(*order).limit(stop).offset(start)
     return numbered(df, order).filter(F.col("position").between(start, stop - 1))
 
 
@@ -75,9 +80,10 @@ def entry_ranges(files: DataFrame, size: int, count: str = "n_entries") -> DataF
     return starts.withColumn("high", F.least(F.col("low") + size, F.col(count)))
 
 
-def compacted(spark: SparkSession, paths: list[str], target: str, n_files: int) -> None:
-    """Read what is readable and write it to a number of files."""
-    spark.read.option("ignoreCorruptFiles", "true").parquet(*paths).repartition(n_files).write.mode("overwrite").parquet(target)
+def compacted(spark: SparkSession, paths: list[str], target: str, n_files: int, schema: StructType | None = None) -> None:
+    """Read what is readable and write it to a number of files; with a schema no file has to be readable to find it."""
+    reader = spark.read.option("ignoreCorruptFiles", "true")
+    (reader.schema(schema) if schema else reader).parquet(*paths).repartition(n_files).write.mode("overwrite").parquet(target)
 
 
 def jet_records(df: DataFrame, prefixes: dict[str, str]) -> DataFrame:

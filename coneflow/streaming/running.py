@@ -22,11 +22,14 @@ def running_histogram(stream: DataFrame, axes: dict[str, tuple[Column, Axis]], w
     return histogram(stream, axes, weight, keys)
 
 
-def folded(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all files that are there and return its final table."""
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def folded(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """Run a stream over all files that are there and return its final table, which each batch replaces in ``target``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(target)
 
 
 def ingest(stream: DataFrame, target: str, checkpoint: str, chunk: str = "chunk") -> None:

@@ -151,13 +151,25 @@ def test_constituent_subtraction_takes_the_density(spark):
     assert left == pytest.approx(50 - 2 * 4 * math.pi * 0.9, rel=0.01)
 
 
-def test_unfolding_trivial_closure():
+def test_unfolding_trivial_closure(spark):
     rng = np.random.default_rng(2)
     r = rng.uniform(0, 1, (5, 4)) + 3 * np.eye(5, 4)
-    truth = r.sum(axis=0) * 1.25
-    spectra, covariances = response.bayes(r, truth, r.sum(axis=1), 6)
-    assert np.allclose(spectra[-1], truth)
-    assert covariances.shape == (6, 4, 4)
+    truth, measured = r.sum(axis=0) * 1.25, r.sum(axis=1) * rng.uniform(0.5, 1.5, 5)
+    frame = lambda rows, names: spark.createDataFrame([("s", *x) for x in rows], f"setting string, {names}")
+    response_rows = frame([(0, i, 0, j, float(r[i, j])) for i in range(5) for j in range(4)], "meas_pt_bin int, meas_bin int, true_pt_bin int, true_bin int, sumw double")
+    truth_rows = frame([(0, j, float(truth[j])) for j in range(4)], "true_pt_bin int, true_bin int, value double")
+    data = lambda d: frame([(0, i, float(d[i])) for i in range(5)], "meas_pt_bin int, meas_bin int, value double")
+    last = response.unfolded(response_rows, truth_rows, data(r.sum(axis=1)), 3).filter("iteration = 3").orderBy("true_bin").collect()
+    assert np.allclose([x.value for x in last], truth)
+    # any other spectrum: against the plain rule
+    p, prior = r / truth, truth
+    for _ in range(3):
+        m = p * prior / (p * prior).sum(axis=1, keepdims=True) / p.sum(axis=0)
+        prior, error = m.T @ measured, np.sqrt((m * m).T @ measured)
+    last = response.unfolded(response_rows, truth_rows, data(measured), 3).filter("iteration = 3").orderBy("true_bin").collect()
+    assert np.allclose([x.value for x in last], prior) and np.allclose([x.error for x in last], error)
+    back = response.refolded(spark.createDataFrame([("s", 0, j, float(prior[j])) for j in range(4)], "setting string, true_pt_bin int, true_bin int, value double"), response_rows, truth_rows)
+    assert np.allclose([x.value for x in back.orderBy("meas_bin").collect()], p @ prior)
 
 
 def test_merge_order_and_types(spark):
@@ -243,7 +255,7 @@ def test_stream_equals_batch(spark, tmp_path):
         spark.range(k * 10, k * 10 + 10).write.parquet(str(tmp_path / "in" / f"part={k}"))
     schema = spark.read.parquet(str(tmp_path / "in")).schema
     stream = running.event_stream(spark, str(tmp_path / "in"), schema)
-    hist = running.folded(running.running_histogram(stream, {"b": (F.col("id"), H.Regular(3, 0, 30))}), "test_running", str(tmp_path / "check"))
+    hist = running.folded(running.running_histogram(stream, {"b": (F.col("id"), H.Regular(3, 0, 30))}), str(tmp_path / "totals"), str(tmp_path / "check"))
     assert sorted((r.b, r.n) for r in hist.collect()) == [(0, 10), (1, 10), (2, 10)]
     running.ingest(running.event_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "check2"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 30

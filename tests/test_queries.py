@@ -13,6 +13,9 @@ from coneflow import plans
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
+#: Without rows on the smallest tables: few jets pass all cuts there.
+EMPTY = {"t02_jets_of_interest"}
+
 
 @pytest.fixture(scope="module")
 def oracle():
@@ -32,6 +35,7 @@ def rows(names, values):
 def test_query(spark, oracle, name):
     got = plans.QUERIES[name](spark, SF)
     found = rows(got.columns, [tuple(r) for r in got.collect()])
+    assert found or name in EMPTY, "a query without rows checks nothing"
     if name in plans.SQL:
         cursor = oracle.execute(plans.SQL[name])
         names = [c[0] for c in cursor.description]
