@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from coneflow.cluster import ship_package
 from coneflow.llm import bpe, chosen_path, mixing, suffix_dedup, toxicity
@@ -28,11 +29,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each component at ALIKE percent of five-word shingles, and all rows without doc_id (operator 4)."""
+    """The least doc_id of each component at ALIKE percent of five-word shingles, and all rows without doc_id (operator 4).
+
+    Rows that repeat a doc_id are one document, of which the greatest row stays.
+    """
     ship_package(spark)
     found = chosen_path.near_duplicates(docs, words=5, percent=ALIKE)
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    repeated = stored(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), shared_folder(spark), "repeated")
+    if not repeated.take(1):
+        return kept
+    w = Window.partitionBy("doc_id").orderBy(*[F.desc(c) for c in COLUMNS[1:]])
+    one = kept.join(repeated, "doc_id", "left_semi").withColumn("place", F.row_number().over(w)).filter("place = 1")
+    return kept.join(repeated, "doc_id", "left_anti").select(COLUMNS).unionByName(one.select(COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
