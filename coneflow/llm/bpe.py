@@ -43,12 +43,31 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def supported(spec: dict) -> None:
+    """Raise where a file asks for something that this encoder does not do."""
+    model, none = spec["model"], (None, False, "")
+    for name in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"):
+        if model.get(name) not in none:
+            raise ValueError(f"{name} of the model is not supported: {model[name]!r}")
+    if model.get("type", "BPE") != "BPE" or spec.get("normalizer") is not None:
+        raise ValueError("only BPE models without a normalizer are supported")
+    split = spec.get("pre_tokenizer") or {}
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space", True) or not split.get("use_regex", True):
+        raise ValueError(f"only a byte-level pre_tokenizer by its own pattern, without a prefix space, is supported: {split}")
+    if (spec.get("decoder") or {}).get("type") != "ByteLevel":
+        raise ValueError("only a byte-level decoder is supported")
+    for token in spec.get("added_tokens", []):
+        if any(token.get(flag) for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"flags of an added token are not supported: {token}")
+
+
 def load_vocabulary(path: str) -> dict:
     """Read a byte-level BPE file of the tokenizers library into plain tables."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     letters = byte_letters()
     as_bytes = lambda token: bytes(letters[c] for c in token)
+    supported(spec)
     ids = spec["model"]["vocab"]
     strings = {i: as_bytes(t) for t, i in ids.items()}
     merges = []
@@ -70,6 +89,7 @@ class Codec(dict):
         by_string = {s: i for i, s in self.strings.items()}
         self.byte_ids = [by_string[bytes([b])] for b in range(256)]
         self.special = vocabulary["special"]
+        self.special_starts = {s[0] for s in self.special if s}
         self.special_split = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
         self.pieces, self.latin_pieces = regex.compile(PIECES), re.compile(LATIN_PIECES)
         self.not_plain = re.compile(NOT_PLAIN)
@@ -110,7 +130,7 @@ class Codec(dict):
 
     def encode_packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.special_split and "<" in text and (parts := self.special_split.split(text))[1:]:
+        if any(c in text for c in self.special_starts) and (parts := self.special_split.split(text))[1:]:
             return b"".join(array("I", [self.special[p]]).tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts))
         return self._plain(text)
 

@@ -10,8 +10,8 @@ ends the branch if all belong together, and branches otherwise. A node that is
 still large after LEVELS is compared exhaustively too, in blocks.
 
 The pairs found join classes into clusters, and only then are texts read again:
-within a cluster links are confirmed on full sets, in blocks of BLOCK texts that
-share two pivots. Where blocks leave parts of a cluster unconnected, those parts
+within a cluster links are confirmed on full sets, in blocks of BLOCK texts (of
+fewer, if they are long) that share two pivots. Where blocks leave parts of a cluster unconnected, those parts
 are compared with every block, so that no link inside a cluster is lost. Neither
 step emits all pairs of a group: a block returns one row for each text.
 
@@ -50,8 +50,8 @@ MISS = 1e-6
 NEAR = 0.4
 #: Nodes up to this size are compared many at a time.
 PAIRWISE = 64
-#: Rows that one group of the confirming step holds, about.
-PACK = 1000
+#: Rows and shingles that one group of the confirming step holds, about, and shingles in a block.
+PACK, PACK_SHINGLES, BLOCK_SHINGLES = 1000, 1 << 22, 1 << 21
 #: Places of at most so many texts (about 40 bytes each) are broadcast to the texts.
 BROADCAST_ROWS = 1 << 20
 _SIG = "sig array<int>"
@@ -245,13 +245,13 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 def confirmed(docs: DataFrame, placed: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges (a, b) that span the links on full sets inside each block.
 
-    ``placed``: rep, grp (the block), asks, comp. With ``asks`` null all pairs of
+    ``placed``: rep, n_shingles, grp (the block), asks, comp. With ``asks`` null all pairs of
     a block are compared; otherwise only pairs of an asking and another row that
     differ in ``comp``.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    n = placed.count()
-    bins = max(1, -(-n // PACK))
+    n, shingles = placed.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    bins = max(1, -(-n // PACK), -(-shingles // PACK_SHINGLES))
     if n <= BROADCAST_ROWS:  # else texts and places meet by a shuffle
         placed = F.broadcast(placed)
 
@@ -304,18 +304,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     folder = shared_folder(docs.sparkSession)
     signed = stored(signatures(docs, words), folder, "signed")
     classes = stored(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), folder, "classes")
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").select(F.col("doc_id").alias("rep"), "sig", "code").dropDuplicates(["rep"])
+    reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").select(F.col("doc_id").alias("rep"), "sig", "code", "n_shingles").dropDuplicates(["rep"])
     reps = stored(reps, folder, "reps")
     near = components(candidates(reps, folder, percent), folder, "near")
     near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
-    near = stored(near, folder, "clusters")
+    near = stored(near.join(reps.select("rep", "n_shingles"), "rep"), folder, "clusters")
     by_hash = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("r"))
-    sizes = near.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min(by_hash)["r"].alias("p1"), F.max(by_hash)["r"].alias("p2"))
+    sizes = near.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.min(by_hash)["r"].alias("p1"), F.max(by_hash)["r"].alias("p2"))
     placed = stored(near.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int")), folder, "placed")
     pivot = (F.col("rep") == F.col("p1")) | (F.col("rep") == F.col("p2"))
     where = F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     none = F.lit(None).cast("boolean")
-    first = placed.withColumn("block", F.explode(where)).select("rep", F.xxhash64("cluster", "block").alias("grp"), none.alias("asks"), F.lit(None).cast("long").alias("comp"))
+    first = placed.withColumn("block", F.explode(where)).select("rep", "n_shingles", F.xxhash64("cluster", "block").alias("grp"), none.alias("asks"), F.lit(None).cast("long").alias("comp"))
     links = stored(confirmed(docs, first, words, percent), folder, "links")
     roots = components(links, folder, "first")
     split = placed.filter("blocks > 1")
@@ -324,11 +324,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
         parts = split.groupBy("cluster", "comp").count()
         main = parts.groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
         split = stored(split.join(main, "cluster").withColumn("asks", F.col("comp") != F.col("main")), folder, "split")
-        queues = split.filter("asks").groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("queues"))
+        queues = split.filter("asks").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("queues"))
         turn = F.pmod(F.xxhash64("rep", F.lit("queue")), F.col("queues")).cast("int")
         held = split.join(queues, "cluster").withColumn("queue", F.explode(F.sequence(F.lit(0), F.col("queues") - 1)))
         asking = split.filter("asks").join(queues, "cluster").withColumn("queue", turn).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        columns = ["rep", F.xxhash64("cluster", "block", "queue").alias("grp"), "asks", "comp"]
+        columns = ["rep", "n_shingles", F.xxhash64("cluster", "block", "queue").alias("grp"), "asks", "comp"]
         second = held.withColumn("asks", F.lit(False)).select(columns).unionByName(asking.select(columns))
         more = stored(confirmed(docs, second, words, percent), folder, "more")
         roots = components(links.unionByName(more), folder, "second")

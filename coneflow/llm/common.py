@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import new_folder
+
 #: A word, as every operator here counts it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in ``spark.checkpoint.dir``.
-
-    Where the setting is absent (a single machine, tests) a temporary folder is
-    set for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder below the one that the cluster names in ``spark.checkpoint.dir``."""
+    return new_folder(spark)
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -33,7 +24,7 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 #: Keys with more rows than this may count as hot, and so many hot keys at most are broadcast.
-HOT_ROWS, HOT_KEYS = 4096, 10_000
+HOT_ROWS, HOT_KEYS = 2048, 10_000
 
 
 def joined(rows: DataFrame, side: DataFrame, keys: list[str], copies: str, most: int = HOT_KEYS) -> DataFrame:
@@ -47,9 +38,13 @@ def joined(rows: DataFrame, side: DataFrame, keys: list[str], copies: str, most:
     many = max(HOT_ROWS, total // most)
     if largest <= many:
         return rows.join(side, keys)
-    hot = side.filter(F.col(copies) > many)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(side.filter(F.col(copies) <= many), keys)
-    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+    return joined_apart(rows, side, side.filter(F.col(copies) > many).select(*keys), keys)
+
+
+def joined_apart(rows: DataFrame, side: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """The same, given the few hot keys."""
+    cold = rows.join(F.broadcast(hot), keys, "left_anti").join(side, keys)
+    return rows.join(F.broadcast(side.join(F.broadcast(hot), keys, "left_semi")), keys).unionByName(cold)
 
 
 def word_count(text: Column) -> Column:

@@ -5,29 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import HOT_KEYS, HOT_ROWS, joined, joined_apart, stored
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b) that isn't the least of its component; root is the least.
 
-    Each round is two group-and-join steps on the edges and is written to the
-    shared folder; the driver only sees whether any edge is left to change.
+    Each round is two group-and-join steps on the edges. Nodes with very many
+    edges are few, so what is known about them is broadcast and only the edges of
+    all others are shuffled by node. Edges and nodes of each round are written to
+    the shared folder; the driver sees two numbers, and whether any edge is left
+    to change.
     """
     a, b = F.col("a"), F.col("b")
     now = stored(edges.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), folder, f"{name}0")
     turn = 0
     while True:
+        both = now.withColumn("child", F.lit(1)).unionByName(now.select(b.alias("a"), a.alias("b"), F.lit(0).alias("child")))
+        nodes = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"), F.sum("child").alias("lesser"))
+        nodes = stored(nodes, folder, f"{name}nodes{turn}")
         # done when every edge leads to a root, and none has two: then each component is one star
-        ends = now.select(a.alias("x"), F.lit(1).alias("child")).unionByName(now.select(b.alias("x"), F.lit(0).alias("child")))
-        open_ = ends.groupBy("x").agg(F.sum("child").alias("children"), F.count("*").alias("n")).filter("children > 1 or (children = 1 and n > 1)")
-        if not open_.take(1):
+        if not nodes.filter("lesser > 1 or (lesser = 1 and n > 1)").take(1):
             return now.select(a.alias("node"), b.alias("root"))
         turn += 1
-        both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").filter(b > a).select(b.alias("a"), F.col("m").alias("b"))
+        large = joined(both.drop("child"), nodes.select("a", "m", "n"), ["a"], "n").filter(b > a).select(b.alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
+        hot = nodes.filter(F.col("lesser") > max(HOT_ROWS, (nodes.agg(F.sum("lesser")).first()[0] or 0) // HOT_KEYS)).select("a")
+        met = joined_apart(large, least, hot, ["a"]) if hot.take(1) else large.join(least, "a")
         # (a, m) of every node, and (b, m) of its other neighbours; what repeats falls away in the last grouping
-        small = large.join(least, "a").filter(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        small = met.filter(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         now = stored(small, folder, f"{name}{turn}")

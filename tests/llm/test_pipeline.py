@@ -87,3 +87,29 @@ def test_near_duplicates_from_four_fifths_on(spark):
     assert sum(0.8 <= similarity(100 * k, 100 * k + 16 + k % 7) < 0.85 for k in range(1, 41)) >= 20
     docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, SF).collect()} == texts.keys() - gone
+
+
+def test_stages_on_odd_tables(spark):
+    """Empty tables, nulls in every column, repeated rows, and columns whose names clash, through every stage."""
+    long = " ".join(f"passage{i}" for i in range(60))
+    rows = [(1, long, "en", "s", 9), (1, long, "en", "s", 9), (2, None, None, None, None), (3, "", "en", "t", 0), (None, long + " null id", None, "s", 4), (None, None, "en", None, 1), (4, "plain words of a clean text", "de", "t", 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).withColumns({c: F.lit("extra") for c in ("copies", "size", "place", "count", "score", "id", "kept_text", "ids")})
+    for table in (docs, docs.limit(0)):
+        now, folder = table, shared_folder(spark)
+        for name, stage in pipeline.STAGES:
+            now = stored(stage(spark, now, SF), folder, name)
+            if table is docs and name == "near_duplicates":
+                kept = now.collect()
+                assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 2, 3, 4] and sum(r.doc_id is None for r in kept) == 2
+            if table is docs and name == "repeated_passages":
+                texts = {r.doc_id: r.text for r in now.collect() if r.doc_id is not None}
+                assert texts[4] == "plain words of a clean text" and texts[2] == texts[3] == ""
+        assert now.columns[:2] == ["doc_id", "source"] and (now.count() > 0) == (table is docs)
+
+
+def test_a_repeated_document_keeps_its_text(spark):
+    text = " ".join(f"word{i}" for i in range(100))
+    docs = spark.createDataFrame([(7, text, "en", "s", 1)] * 2 + [(8, "another short text of six words", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = pipeline.cut_repeats(spark, pipeline.drop_near_duplicates(spark, docs, SF), SF).collect()
+    assert sorted((r.doc_id, r.text) for r in cut) == [(7, text), (8, "another short text of six words")]
