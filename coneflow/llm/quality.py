@@ -46,7 +46,7 @@ _kind[128:] = 2
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Words read at a time, to bound a task's memory.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -11,8 +11,9 @@ grow with its length.
 
 Features are words and their first four to six letters, hashed; those that
 occur more in toxic documents of a bounded sample (SAMPLE documents of least
-hash, outside the held-out part) are kept, at most FEATURES of them. Scoring is
-one narrow pass over all texts.
+hash, outside the held-out part) are kept, at most FEATURES of them, by how far
+beyond chance. Nothing speaks for a clean text: one offending sentence is enough,
+whatever stands around it. Scoring is one narrow pass over all texts.
 
 Defined results: null and empty texts have no sentences and score 0; without
 labelled documents of both kinds every score is 0; texts of any length are read

@@ -511,3 +511,85 @@ def test_score_against_a_plain_loop(spark, docs, monkeypatch):
             elif int(w) in count:
                 total += math.log((count[int(w)] + 0.5) / mass[before])
         assert got[row.doc_id].score == pytest.approx(total / math.log(10), rel=1e-4)
+
+
+def test_quality_scores_against_plain_loops(spark, monkeypatch):
+    """Vectors, pooling, network and temperature recomputed word by word; some words are rarer than the common ones."""
+    docs, labels = _labelled(spark, 300)
+    monkeypatch.setattr(quality, "COMMON", 500)
+    kept = {}
+    for name in ("word_vectors", "fit"):
+        real = getattr(quality, name)
+        monkeypatch.setattr(quality, name, lambda *a, name=name, real=real: kept.setdefault(name, (a, real(*a)))[1])
+    got = {r.doc_id: r.score for r in quality.score(docs, labels).collect()}
+    (_, common), vectors = kept["word_vectors"]
+    (x, y), model = kept["fit"]
+    place = {int(h): k for k, h in enumerate(common)}
+    assert 0 < len(place) <= 500
+    known = {}
+
+    def word(w):
+        if w not in known:
+            h, shape, _ = quality.words_of([w])
+            known[w] = int(h[0]), quality.index_vectors(h, shape)[0].astype(float)
+        return known[w]
+
+    texts = {r.doc_id: WORDS.findall(r.text) for r in docs.collect()}
+    sums = np.zeros((len(common), quality.DIM))
+    for ws in texts.values():
+        for i, w in enumerate(ws):
+            if (k := place.get(word(w)[0])) is not None:
+                for j in range(max(0, i - quality.WINDOW), min(len(ws), i + quality.WINDOW + 1)):
+                    if j != i:
+                        sums[k] += word(ws[j])[1]
+    length = np.linalg.norm(sums, axis=1, keepdims=True)
+    assert np.allclose(vectors, sums / np.where(length > 0, length, 1), atol=1e-6)
+    assert any(word(w)[0] not in place for ws in texts.values() for w in ws)
+    for i in list(texts)[:40]:
+        v = []
+        for w in texts[i]:
+            h, own = word(w)
+            v.append(vectors[place[h]].astype(float) if h in place else own / (np.linalg.norm(own) or 1.0))  # signs may cancel
+        v = np.array(v)
+        pooled = np.concatenate([v.mean(axis=0), (v * v).mean(axis=0), (v[:-1] * v[1:]).sum(axis=0) / len(v)])
+        z = np.tanh((pooled - model["centre"]) / model["spread"] @ model["a"] + model["b"]) @ model["c"] + model["d"]
+        assert got[i] == pytest.approx(float(1 / (1 + np.exp(-z[0] / model["temperature"][0]))), abs=1e-4)
+    # the temperature is the best for the fifth that the layers don't see
+    part = np.arange(len(x)) % 5 == 4
+    logits, sign = quality._logits(model, x[part]), np.where(y[part] > 0, -1, 1)
+    loss = lambda t: float(np.logaddexp(0, sign * logits / t).mean())
+    assert loss(model["temperature"][0]) <= min(loss(t) for t in (0.5, 1.0, 2.0, 4.0)) + 1e-3
+
+
+def test_toxicity_scores_against_plain_loops(spark, monkeypatch):
+    import xxhash
+
+    docs, labels = _labelled(spark, 600)
+    kept, real = {}, toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda *a: kept.setdefault("t", real(*a)))
+    got = {r.doc_id: r for r in toxicity.score(docs, labels, with_spans=True).collect()}
+    weights, bias = kept["t"]
+    assert weights
+    logistic = lambda z: 1 / (1 + math.exp(-z))
+    for r in docs.collect()[:150]:
+        clean, found = 1.0, 0
+        for sentence in re.split("[.!?\n\r]", r.text.lower()):
+            z = bias
+            for w in sentence.split():
+                z += weights.get(xxhash.xxh3_64_intdigest(w.encode()) >> 1, 0.0)
+                z += sum(weights.get(xxhash.xxh3_64_intdigest(f"{n}:{w[:n]}".encode()) >> 1, 0.0) for n in (4, 5, 6) if len(w) >= n)
+            if z > bias:
+                clean *= (1 - logistic(z)) / (1 - logistic(bias))
+            found += z >= 0
+        assert got[r.doc_id].score == pytest.approx(1 - clean, abs=1e-9)
+        assert got[r.doc_id].toxic_sentences == len(got[r.doc_id].offending) == found
+
+
+def test_unsupported_vocabularies_are_refused():
+    good = {"model": {"type": "BPE", "vocab": {}, "merges": []}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "decoder": {"type": "ByteLevel"}, "added_tokens": []}
+    bpe.supported(good)
+    changes = [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"decoder": None}]
+    changes += [{"model": good["model"] | {"ignore_merges": True}}, {"model": good["model"] | {"dropout": 0.1}}, {"added_tokens": [{"content": "x", "id": 1, "lstrip": True}]}]
+    for change in changes:
+        with pytest.raises(ValueError):
+            bpe.supported(good | change)
