@@ -27,26 +27,33 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
 HOT_ROWS, HOT_KEYS = 2048, 10_000
 
 
-def joined(rows: DataFrame, side: DataFrame, keys: list[str], copies: str, most: int = HOT_KEYS) -> DataFrame:
-    """Inner join of ``rows`` with a stored ``side`` that has one row for each key and, in ``copies``, the key's number of rows.
+def hot_keys(side: DataFrame, keys: list[str], copies: str, most: int = HOT_KEYS) -> DataFrame | None:
+    """Keys of a stored ``side`` with a large part of all rows, ``copies`` being a key's number of rows; None if there are none.
 
-    Keys with a large part of all rows would each fill one task of a shuffle.
-    They are few whatever the input (``most``, as each has more than that part of
-    the rows), so they are broadcast; all others meet by a shuffle.
+    Each has more than the ``most``-th part of the rows, so they are few whatever the input.
     """
     total, largest = side.agg(F.coalesce(F.sum(copies), F.lit(0)), F.coalesce(F.max(copies), F.lit(0))).first()
     many = max(HOT_ROWS, total // most)
-    if largest <= many:
-        return rows.join(side, keys)
-    return joined_apart(rows, side, side.filter(F.col(copies) > many).select(*keys), keys)
+    return side.filter(F.col(copies) > many).select(*keys) if largest > many else None
+
 
+def joined_apart(rows: DataFrame, side: DataFrame, hot: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with a ``side`` that has one row for each key.
 
-def joined_apart(rows: DataFrame, side: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
-    """The same, given the few hot keys."""
+    A key with a large part of all rows would fill one task of a shuffle, so what
+    ``side`` knows of the few hot keys is broadcast; all others meet by a shuffle.
+    """
+    if hot is None:
+        return rows.join(side, keys)
     cold = rows.join(F.broadcast(hot), keys, "left_anti").join(side, keys)
     return rows.join(F.broadcast(side.join(F.broadcast(hot), keys, "left_semi")), keys).unionByName(cold)
 
 
+def joined(rows: DataFrame, side: DataFrame, keys: list[str], copies: str) -> DataFrame:
+    """The same with the hot keys that ``copies`` of the stored ``side`` tells."""
+    return joined_apart(rows, side, hot_keys(side, keys, copies), keys)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, HOT_ROWS, joined, joined_apart, stored
+from .common import hot_keys, joined, joined_apart, stored
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -30,8 +30,7 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         turn += 1
         large = joined(both.drop("child"), nodes.select("a", "m", "n"), ["a"], "n").filter(b > a).select(b.alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        hot = nodes.filter(F.col("lesser") > max(HOT_ROWS, (nodes.agg(F.sum("lesser")).first()[0] or 0) // HOT_KEYS)).select("a")
-        met = joined_apart(large, least, hot, ["a"]) if hot.take(1) else large.join(least, "a")
+        met = joined_apart(large, least, hot_keys(nodes, ["a"], "lesser"), ["a"])
         # (a, m) of every node, and (b, m) of its other neighbours; what repeats falls away in the last grouping
         small = met.filter(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         now = stored(small, folder, f"{name}{turn}")

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import joined, shared_folder, stored
+from .common import hot_keys, joined, joined_apart, shared_folder, stored
 from .vectors import best, first_copies, matrix, merged, one_row_per_id
 
 TABLES, PROBES, BLOCK, QUERIES = 4, 0.23, 16384, 1 << 20
@@ -256,11 +256,11 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     length = F.col("largest") * F.sqrt(F.aggregate(F.transform("vec", lambda x: x / F.col("largest")), F.lit(0.0), lambda s, x: s + x * x))
     rows = stored(rows.withColumn("largest", largest).withColumn("length", F.least(length, F.lit(1e308))).drop("largest"), folder, "rows")
     asking = rows.filter(F.col("vec_id") % every == 0)
-    turns = max(1, -(-asking.count() // QUERIES))
     # Bands below the longest of each dim, which has some room so that equal lengths fall together whatever their rounding.
-    top = stored(rows.groupBy("dim").agg(F.max("length").alias("top"), F.count("*").alias("many")), folder, "top")
+    top = stored(rows.groupBy("dim").agg(F.max("length").alias("top"), F.count("*").alias("many"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("asked")), folder, "top")
+    turns = max(1, -(-(top.agg(F.sum("asked")).first()[0] or 0) // QUERIES))
     held = joined(first_copies(rows, k + 1), top, ["dim"], "many")
-    held = held.withColumn("band", F.floor((F.log2("top") - F.log2("length") + 1e-6) * STEPS).cast("int")).drop("top", "many")
+    held = held.withColumn("band", F.floor((F.log2("top") - F.log2("length") + 1e-6) * STEPS).cast("int")).drop("top", "many", "asked")
     held = stored(held, folder, "held")
     bands = held.groupBy("dim", "band").agg(F.max("length").alias("longest"), F.count("*").alias("n")).withColumn("groups", F.ceil(F.col("n") / block).cast("int"))
     share = F.floor(F.lit(PROBES if probe_share is None else probe_share) * 4 * F.pow(F.lit(2.0), F.floor(F.log2("dim"))) + 0.5)
@@ -281,12 +281,13 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         """The k best of each query in each block of the groups it asks."""
         key = _KEY[:4]
         sizes = stored(data.groupBy(key).agg(F.count("*").alias("n")).withColumn("cuts", F.ceil(F.col("n") / block).cast("int")), folder, f"sizes_{name}")
-        data = joined(data, sizes, key, "n").withColumn("cut", by_id(F.col("cuts"))).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-        asks = joined(asks, sizes, key, "n").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("turn", by_id(F.lit(turns)))
+        hot = hot_keys(sizes, key, "n")
+        data = joined_apart(data, sizes, hot, key).withColumn("cut", by_id(F.col("cuts"))).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+        asks = joined_apart(asks, sizes, hot, key).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("turn", by_id(F.lit(turns)))
         columns = [*_NAMES, "cut", "turn"]
         return ranked(data.select(columns).unionByName(asks.select(columns)), k)
 
-    large = stored(bands.filter(F.col("n") > FEW).select("dim", "band", "groups", "probes"), folder, "large")
+    large = bands.filter(F.col("n") > FEW).select("dim", "band", "groups", "probes")
     data = stored(placed(held.filter(F.col("n") > FEW).withColumn("probes", F.lit(0)), tables).unionByName(whole(held.filter(F.col("n") <= FEW))), folder, "data")
     asks = placed(asking.join(large, "dim").withColumn("longest", F.col("length")), tables).unionByName(whole(asking))
     found = stored(met(data, stored(asks, folder, "asks"), "all"), folder, "found")

@@ -34,14 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import joined, shared_folder, stored
+from .common import hot_keys, joined_apart, shared_folder, stored
 from .vectors import first_copies, matrix, merged, one_row_per_id
 
 CELLS, BLOCK, FIRST = 256, 8192, 2
 #: Bytes of exact vectors in a block at most, whatever their length.
 BLOCK_BYTES = 1 << 25
-#: Vectors that so many pairs ask for may be broadcast; so many at most.
-HOT_VECTORS = 1000
 #: Bounds that one step of a scan holds.
 SCORES = 1 << 21
 _LARGEST = 2**63 - 1
@@ -122,8 +120,8 @@ def _read(pairs: DataFrame, held: DataFrame, asks: DataFrame, folder: str, name:
             score = exact_products(matrix(pa.chunked_array([batch.column(2)])), matrix(pa.chunked_array([batch.column(3)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
 
-    wanted = stored(pairs.groupBy("vec_id").agg(F.count("*").alias("n")).join(held.select("vec_id", "vec", "dim"), "vec_id"), folder, f"wanted_{name}")
-    met = joined(pairs, wanted, ["vec_id"], "n", HOT_VECTORS).join(asks.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("ask")), "query_id")
+    # two stored tables meet by plain shuffles, so Spark can split a vector that very many pairs ask for
+    met = pairs.join(held.select("vec_id", "vec", "dim"), "vec_id").join(asks.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("ask")), "query_id")
     met = met.filter("dim > 0").select("query_id", "vec_id", "ask", "vec").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint").unionByName(met.filter("dim = 0").select("query_id", "vec_id", F.lit(0).cast("long").alias("score")))
     return stored(met, folder, name)
 
@@ -148,10 +146,11 @@ def top_k(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     share = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / per)).cast("int")
     sizes = stored(counted.select("dim", "n", share("n").alias("blocks"), share("asked").alias("queues")), folder, "sizes")
     held = stored(first_copies(rows, k + 1), folder, "held")
-    dealt = joined(held, sizes, ["dim"], "n").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    hot = hot_keys(sizes, ["dim"], "n")
+    dealt = joined_apart(held, sizes, hot, ["dim"]).withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     files = stored(_files(dealt), folder, "files")
     asks = rows.filter(asking)
-    sent = joined(asks, sizes, ["dim"], "n").withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit("q")), F.col("queues")).cast("int"))
+    sent = joined_apart(asks, sizes, hot, ["dim"]).withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit("q")), F.col("queues")).cast("int"))
     sent = sent.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     found = stored(_scanned(files, sent, k), folder, "found")
     left = found.join(_kth(found, "lower", k), "query_id", "left").filter("least is null or upper >= least").select("query_id", "vec_id", "upper")
