@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import kinematics as K
 from ..functions import selections as P
 from ..operators import sampling, weights
-from ..operators.tracking_efficiency import efficiency
+from ..operators.tracking_efficiency import RUN1, RUN2_ETA, RUN2_PT, efficiency
 from ..sources import event_tables, generator_text
 from .catalogue import query, r6, rounded
 from .views import view
@@ -160,7 +160,32 @@ def r01_efficiency_pp(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "tracks").select("event_id", "idx", r6(efficiency(F.col("pt"), F.col("eta"), "LHC11a")).alias("efficiency"))
 
 
-@query()
+def _run1_sql(p: tuple[float, ...]) -> str:
+    return f"""(CASE WHEN pt < 2.9 THEN {p[0]} * exp(-pow({p[1]} / pt, {p[2]})) + {p[3]} * pt ELSE {p[4]} + {p[5]} * pt + {p[6]} * pt * pt END
+ * CASE WHEN eta < 0 THEN {p[7]} * exp(-pow({p[8]} / abs(eta + 0.91), {p[9]})) + {p[10]} * eta WHEN eta <= 0.4 THEN {p[11]} + {p[12]} * eta + {p[13]} * eta * eta
+ ELSE {p[14]} * exp(-pow({p[15]} / abs(0.91 - eta), {p[16]})) END)"""
+
+
+def _run2_sql(p: tuple[float, ...], q: tuple[float, ...]) -> str:
+    side = lambda v, x: f"({v[0]} * exp(-pow({v[1]} / abs({x} + 0.91), {v[2]})) + {v[3]} * eta + {v[4]} * exp(-0.5 * pow((eta + 0.04) / {v[5]}, 2))) / {q[12]}"
+    low = f"{p[0]} - {p[1]} / pt + {p[2]} * exp(-0.5 * pow((pt - {p[3]}) / {p[4]}, 2))"
+    high = " + ".join(f"{c:.10f} * pow(pt, {k})" for k, c in enumerate(p[5:10]))
+    return f"(CASE WHEN pt <= 3.5 THEN {low} ELSE {high} END * CASE WHEN eta <= -0.04 THEN {side(q[0:6], 'eta')} ELSE {side(q[6:12], '(-eta)')} END)"
+
+
+def _by_class(parts: list[str]) -> str:
+    return "CASE activity " + " ".join(f"WHEN {k} THEN {part}" for k, part in enumerate(parts)) + " END"
+
+
+_ACTIVITY = "CASE WHEN centrality < 10 THEN 0 WHEN centrality < 30 THEN 1 WHEN centrality < 50 THEN 2 WHEN centrality < 90 THEN 3 END"
+
+
+@query(
+    f"""SELECT CAST(activity AS INT) AS activity, round(avg({_by_class([_run1_sql(p) for p in RUN1])}), 6) AS "LHC11h", round(avg({_by_class([_run2_sql(*pq) for pq in zip(RUN2_PT, RUN2_ETA)])}), 6) AS "LHC15o", count(*) AS n
+FROM (SELECT t.*, {_ACTIVITY} AS activity FROM tracks t JOIN event_info i ON i.event_id = t.event_id) x GROUP BY activity""",
+    "tracks",
+    "event_info",
+)
 def r01_efficiency_by_activity(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "tracks").join(view(spark, d, "event_info"), "event_id").withColumn("activity", sampling.activity_class(F.col("centrality")))
     c = F.col

@@ -66,6 +66,18 @@ def s10_jet_extractor(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", c("event_weight").cast("double").alias("event_weight"), "event_impact_parameter", F.size("part_level").alias("n"), r6(total("pt", 0.0)).alias("sum_pt"), total("charged", 0).cast("long").alias("charge"))
 
 
+@query("SELECT event_id, CAST(0.5 + event_id % 3 AS DOUBLE) AS event_weight, CAST(count(*) AS INT) AS n, round(sum(pt * eta), 6) AS sum_pt_eta, round(sum(CAST(0.1 AS DOUBLE) * (h4 % 3)), 6) AS sum_m FROM tracks GROUP BY event_id", "tracks")
+def s10_jewel(spark: SparkSession, d: str) -> DataFrame:
+    """The same for a generator's short names, with masses."""
+    t, c = view(spark, d, "tracks"), F.col
+    fields = {"partpT": c("pt"), "party": c("eta"), "partphi": c("phi"), "partm": 0.1 * (c("h4") % 3), "partc": (c("h4") % 3 - 1).cast("int")}
+    rows = F.array_sort(F.collect_list(F.struct(c("idx").alias("order"), *[v.cast("double").alias(n) for n, v in fields.items()])))
+    raw = t.groupBy("event_id").agg(rows.alias("r")).select("event_id", (0.5 + c("event_id") % 3).cast("double").alias("mcweight"), *[c(f"r.{n}").alias(n) for n in fields])
+    out = event_tables.renamed_lists(raw, event_tables.JEWEL, keep=("event_id",), events=event_tables.JEWEL_EVENTS)
+    total = lambda f: r6(F.aggregate("part_level", F.lit(0.0), lambda s, p: s + f(p)))
+    return out.select("event_id", "event_weight", F.size("part_level").alias("n"), total(lambda p: p["pt"] * p["eta"]).alias("sum_pt_eta"), total(lambda p: p["m"]).alias("sum_m"))
+
+
 @query("SELECT pt_hard_bin, count(*) AS n, round(sum(hybrid_jet_pt), 6) AS sum_pt FROM (SELECT DISTINCT jet_id, pt_hard_bin, hybrid_jet_pt FROM jets) t GROUP BY pt_hard_bin", "jets")
 def s14_s16_skim_files(spark: SparkSession, d: str) -> DataFrame:
     """A skim written twice by partition, compacted to two files beside one that can't be read, and read back."""

@@ -14,7 +14,8 @@ EVENT_COLUMNS = {"pp": ("run_number", "trigger_bit_INT7"), "pythia": ("run_numbe
 LEVELS = {"pp": {"data": "particle_data"}, "PbPb": {"data": "particle_data"}, "pythia": {"det_level": "particle_data", "part_level": "particle_gen"}}
 JET_EXTRACTOR = {"Jet_Track_Pt": "pt", "Jet_Track_Eta": "eta", "Jet_Track_Phi": "phi", "Jet_Track_Charge": "charged", "Jet_Track_Label": "label"}
 EXTRACTOR_EVENTS = {"Event_Weight": "event_weight", "Event_ImpactParameter": "event_impact_parameter", "Jet_Pt": "jet_pt_original"}
-JEWEL = {"partpT": "pt", "party": "eta", "partphi": "phi", "partm": "m", "partc": "charge"}
+JEWEL = {"partpT": "pt", "party": "eta", "partphi": "phi", "partm": "m", "partc": "charge", "parts": "scattering_center"}
+JEWEL_EVENTS = {"mcweight": "event_weight"}
 
 
 def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
