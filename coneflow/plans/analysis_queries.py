@@ -279,6 +279,13 @@ def u05_response(spark: SparkSession, d: str) -> DataFrame:
     return rounded(U.response(_rows(spark, d)).drop("sumw2"), "sumw")
 
 
+@query(f"SELECT {SMEARED_KT.sql('hybrid_kt')} AS meas_bin, {TRUE_KT.sql('true_kt')} AS true_bin, count(*) AS n FROM skim WHERE (leading_match = 1 AND subleading_match = 1) OR (hybrid_kt BETWEEN -0.006 AND -0.004) GROUP BY 1, 2", "skim")
+def u05_pure_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Jets whose prongs both match, and jets without a splitting."""
+    pure = U.pure_match(F.col("leading_match"), F.col("subleading_match"), F.col("hybrid_kt"), -0.005)
+    return H.histogram(_skim(spark, d).filter(pure), {"meas_bin": (F.col("hybrid_kt"), SMEARED_KT), "true_bin": (F.col("true_kt"), TRUE_KT)}).select("meas_bin", "true_bin", "n")
+
+
 @query(f"SELECT true_bin, round(sum(w * (1 + 0.1 * greatest(0, least({TRUE_KT.n - 1}, true_bin)))), 6) AS sumw FROM ({_ROWS}) r GROUP BY 1", "skim")
 def u06_reweighted_truth(spark: SparkSession, d: str) -> DataFrame:
     factors = spark.createDataFrame([(k, 1 + 0.1 * k) for k in range(TRUE_KT.n)], "bin int, factor double")

@@ -72,6 +72,21 @@ def p08_no_hard_constituent(spark: SparkSession, d: str) -> DataFrame:
     return nested.select("event_id", F.array_max("particles.pt").alias("hardest"))
 
 
+@query("SELECT event_id, round(0.02 * n, 6) AS area FROM (SELECT event_id, CAST(count(CASE WHEN h4 % 4 = 0 THEN 1 END) AS DOUBLE) AS n FROM tracks GROUP BY event_id) t WHERE 0.02 * n > 0.9 * 3.141592653589793 * 0.16", "tracks")
+def p09_large_area(spark: SparkSession, d: str) -> DataFrame:
+    """An event's tracks as one jet, every fourth of them a ghost of area 0.02: above 90 percent of a circle."""
+    jets = view(spark, d, "tracks").groupBy("event_id").agg((0.02 * F.count(F.when(F.col("h4") % 4 == 0, 1))).alias("area"))
+    return jets.filter(P.large_area(F.col("area"), 0.4, 90.0)).select("event_id", r6("area").alias("area"))
+
+
+@query("SELECT system, count(*) AS n FROM (SELECT event_id, count(*) AS c FROM tracks WHERE pt > 15 GROUP BY event_id) t CROSS JOIN (SELECT 'pp' AS system UNION ALL SELECT 'pythia' UNION ALL SELECT 'PbPb' UNION ALL SELECT 'embedPythia') s WHERE c > 1 OR system IN ('PbPb', 'embedPythia') GROUP BY system", "tracks")
+def p10_several_constituents(spark: SparkSession, d: str) -> DataFrame:
+    """An event's hard tracks as the constituents of one jet, in each collision system."""
+    jets = event_tables.grouped_events(view(spark, d, "tracks").filter("pt > 15"), ("event_id",))
+    passed = [F.when(P.several_constituents(F.col("particles"), s), F.lit(s)) for s in ("pp", "pythia", "PbPb", "embedPythia")]
+    return jets.select(F.explode(F.array_compact(F.array(*passed))).alias("system")).groupBy("system").agg(F.count("*").alias("n"))
+
+
 @query("SELECT event_id, idx, eta FROM tracks WHERE abs(eta) < 0.9 - 0.4 AND pt >= 1 AND pt < 5", "tracks")
 def p11_p12_fiducial(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "tracks").filter(P.fiducial(F.col("eta"), 0.4) & P.in_range(F.col("pt"), 1, 5)).select("event_id", "idx", "eta")
