@@ -23,6 +23,12 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str, name: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Keys with more rows than this may count as hot, and so many hot keys at most are broadcast.
 HOT_ROWS, HOT_KEYS = 2048, 10_000
 

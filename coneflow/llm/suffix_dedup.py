@@ -8,8 +8,9 @@ runs of neighbouring windows with one anchor; a run's bytes are a segment.
 1. Anchors are counted over all texts. A run whose anchor occurs once is unique.
 2. Equal segments of an anchor (by two 64-bit hashes) are one string with a
    number of copies: all windows of a string with several copies are repeated.
-3. One copy of each string of all other anchors is fetched, anchors are dealt to
-   shards of a bounded size, and each shard's suffix array is induced.
+   So an anchor with one string needs no sorting.
+3. One copy of each string of anchors with several is fetched, anchors are dealt
+   to shards of a bounded size, and each shard's suffix array is induced.
    A window is repeated if its permuted common prefix, or that of the suffix
    after it, reaches LENGTH.
 4. Anchors with more than HOT different segments (a passage inside very many
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, shared_folder, stored
+from .common import discard, joined, shared_folder, stored
 from .shingles import mixed, prefix_sums
 from .suffix_sort import permuted_prefixes, suffix_array
 
@@ -220,18 +221,19 @@ def spans(rows: DataFrame, folder: str, length: int = LENGTH, piece: int = PIECE
     cut = stored(_cut(rows, length, piece), folder, "cut")
     anchors = stored(cut.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), folder, "anchors")
     seen = stored(joined(cut, anchors, ["anchor"], "n").drop("n"), folder, "seen")
+    discard(rows.sparkSession, folder, "cut")
     segments = seen.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(F.struct("id", "first", "count", "place")).alias("x")).select("anchor", "segment", "copies", "x.*")
     segments = stored(segments, folder, "segments")
     copied = segments.filter("copies > 1").select("anchor", "segment", "copies")
     end = (F.col("first") + F.col("count") - 1 + length).cast("int").alias("end")
     again = joined(seen, copied, ["anchor", "segment"], "copies").select("id", F.col("first").alias("start"), end)
-    variants = stored(segments.groupBy("anchor").agg(F.count("*").alias("variants")), folder, "variants")
-    samples = joined(segments, variants, ["anchor"], "variants")
-    fetched = stored(_fetched(samples, rows, length), folder, "fetched")
-    total = fetched.filter(F.col("variants") <= HOT).agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    out = again.unionByName(_sorted_shards(fetched.filter(F.col("variants") <= HOT), max(1, -(-total // SHARD_BYTES)), length))
-    hot = fetched.filter(F.col("variants") > HOT)
-    return out.unionByName(_halved(hot, folder, length, piece)) if hot.take(1) else out
+    variants = stored(segments.groupBy("anchor").agg(F.count("*").alias("variants")).filter("variants > 1"), folder, "variants")
+    samples = stored(joined(segments, variants, ["anchor"], "variants"), folder, "samples")
+    few = F.col("variants") <= HOT
+    total = samples.filter(few).agg(F.sum(F.col("count") - 1 + length)).first()[0] or 0
+    out = again.unionByName(_sorted_shards(_fetched(samples.filter(few), rows, length), max(1, -(-total // SHARD_BYTES)), length))
+    hot = samples.filter(~few)
+    return out.unionByName(_halved(_fetched(hot, rows, length), folder, length, piece)) if hot.take(1) else out
 
 
 def merged_spans(pairs: list, n: int) -> list[tuple[int, int]]:
