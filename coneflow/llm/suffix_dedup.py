@@ -42,7 +42,7 @@ from .common import discard, joined, shared_folder, stored
 from .shingles import mixed, prefix_sums
 from .suffix_sort import permuted_prefixes, suffix_array
 
-LENGTH, PIECE, HOT, SHARD_BYTES = 200, 48, 4096, 1_000_000
+LENGTH, PIECE, HOT, SHARD_BYTES = 200, 48, 4096, 500_000
 #: Texts are cut into runs in stretches of so many windows, so that places fit beside a hash.
 STRETCH = 1 << 22
 
