@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..cluster import new_folder
 
@@ -60,6 +61,21 @@ def joined(rows: DataFrame, side: DataFrame, keys: list[str], copies: str) -> Da
     return joined_apart(rows, side, hot_keys(side, keys, copies), keys)
 
 
+def numbered(rows: DataFrame, order: list[Column], folder: str, name: str, within: str | None = None) -> DataFrame:
+    """``rows`` sorted over all partitions and stored, with ``number`` from 0 in that order, anew for each value of ``within``.
+
+    ``within``, if given, must be what ``order`` begins with. No row leaves its
+    partition: each partition's rows are counted (by value, of which a sorted
+    partition has few), and the counts before it added.
+    """
+    keys = [F.col(within)] if within else []
+    placed = stored(rows.orderBy(*order).withColumn("place", F.monotonically_increasing_id()), folder, name).withColumn("part", F.shiftright("place", 33))
+    parts = placed.groupBy("part", *keys).agg(F.count("*").alias("n"), F.min("place").alias("least"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select("part", *keys, (before - F.col("least")).alias("shift"))
+    return placed.join(offsets, ["part", *([within] if within else [])]).withColumn("number", F.col("place") + F.col("shift")).drop("place", "part", "shift")
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

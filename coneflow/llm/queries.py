@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chosen_path, cross_polytope, divergence, lm_scoring, mixing, quality, suffix_dedup, toxicity, va_file, warc
+from . import bpe, chosen_path, cross_polytope, divergence, lm_scoring, mixing, quality, resampling, suffix_dedup, toxicity, va_file, warc
 from .common import read
 
 #: Where the public vocabularies lie if the package that names them is absent.
@@ -68,6 +68,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(read(spark, sf_dir, "documents"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_va_file": op10_va_file,
         "op11_divergence": op11_divergence,
+        "op12_resampling": op12_resampling,
     }
 
 
@@ -185,6 +190,46 @@ r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT lang, source, part, item, value::BIGINT AS value, rank FROM r WHERE part = 'pair' OR rank <= 50
 """
 
+#: crc32 of the bytes of a list, by the usual table of 256 remainders of the reflected polynomial.
+_CRC_TABLE = """
+t AS (
+  SELECT list(r ORDER BY i) AS crcs FROM (
+    SELECT i, list_reduce([i] || [0 FOR k IN range(8)], lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END) AS r
+    FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def _crc(text: str) -> str:
+    """SQL of the unsigned crc32 of a text's UTF-8 bytes; ``crcs`` must be in reach."""
+    digits = f"hex(encode({text}))"
+    each = f"[('0x' || substr({digits}, 2 * k + 1, 2))::BIGINT FOR k IN range(octet_length(encode({text})))]"
+    return f"xor(list_reduce([4294967295::BIGINT] || {each}, lambda r, b: xor(r >> 8, crcs[(xor(r, b) & 255) + 1])), 4294967295)"
+
+
+#: Words by the same pattern, buckets by crc32, gains by bucket, floored means, and the draw by rank.
+OP12_SQL = rf"""
+WITH {_CRC_TABLE},
+f AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+e AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+o AS (SELECT row, unnest(ws) AS w FROM f),
+b AS (SELECT w, {_crc("w")} % 10000 AS bucket FROM (SELECT w FROM o UNION SELECT w FROM e), t),
+s AS (SELECT bucket, count(*) AS s FROM o JOIN b USING (w) GROUP BY bucket),
+t2 AS (SELECT bucket, count(*) AS t FROM e JOIN b USING (w) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t2) + 10000))))::BIGINT AS gain
+  FROM s FULL JOIN t2 USING (bucket)),
+m AS (SELECT row, sum(gain) AS total FROM o JOIN b USING (w) JOIN g USING (bucket) GROUP BY row),
+d AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(floor(total::DOUBLE / len(ws)), 0)::BIGINT AS weight,
+    ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM f LEFT JOIN m USING (row)),
+c AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id, weight DESC, n_features DESC) AS place,
+    count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS wanted
+  FROM c)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= wanted THEN place END AS rank FROM r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op4_chosen_path": OP4_SQL, "op10_va_file": OP10_SQL, "op11_divergence": OP11_SQL}
+    return {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op4_chosen_path": OP4_SQL, "op10_va_file": OP10_SQL, "op11_divergence": OP11_SQL, "op12_resampling": OP12_SQL}
