@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chosen_path, cross_polytope, divergence, lm_scoring, mixing, quality, resampling, suffix_dedup, toxicity, va_file, warc
+from . import bpe, chosen_path, cross_polytope, divergence, lm_scoring, mixing, quality, resampling, sharding, suffix_dedup, toxicity, va_file, warc
 from .common import read
 
 #: Where the public vocabularies lie if the package that names them is absent.
@@ -72,6 +72,10 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -86,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_va_file": op10_va_file,
         "op11_divergence": op11_divergence,
         "op12_resampling": op12_resampling,
+        "op13_sharding": op13_sharding,
     }
 
 
@@ -200,8 +205,7 @@ t AS (
 
 def _crc(text: str) -> str:
     """SQL of the unsigned crc32 of a text's UTF-8 bytes; ``crcs`` must be in reach."""
-    digits = f"hex(encode({text}))"
-    each = f"[('0x' || substr({digits}, 2 * k + 1, 2))::BIGINT FOR k IN range(octet_length(encode({text})))]"
+    each = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
     return f"xor(list_reduce([4294967295::BIGINT] || {each}, lambda r, b: xor(r >> 8, crcs[(xor(r, b) & 255) + 1])), 4294967295)"
 
 
@@ -231,5 +235,39 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <
 """
 
 
+def _op13_sql(shards: int = 8) -> str:
+    """Groups by hash, the least capacity by dynamic programming over all edges, and the even cuts that it allows, one by one."""
+    best = "b1 AS (SELECT i, upto AS best FROM e)"
+    for k in range(2, shards + 1):
+        best += f",\nb{k} AS (SELECT y.i, min(greatest(x.best, y.upto - z.upto)) AS best FROM b{k - 1} x JOIN e z ON z.i = x.i JOIN e y ON y.i >= x.i GROUP BY y.i)"
+    late = f"l{shards} AS (SELECT sum(size) AS pos FROM d)"
+    for k in range(shards - 1, 0, -1):
+        late += f",\nl{k} AS (SELECT min(upto) AS pos FROM e, l{k + 1}, cap WHERE upto >= pos - c)"
+    cuts = "c0 AS (SELECT 0 AS pos)"
+    for k in range(1, shards):
+        left = shards - k + 1
+        near = f"(SELECT upto FROM e, tot ORDER BY abs(upto * {left} - (c.pos * {left} + t - c.pos)), upto LIMIT 1)"
+        most = "(SELECT max(upto) FROM e WHERE upto <= c.pos + cap.c)"
+        cuts += f",\nc{k} AS (SELECT greatest(least({near}, {most}), l.pos, c.pos) AS pos FROM c{k - 1} c, l{k} l, cap)"
+    of = " + ".join(f"(g.upto > (SELECT pos FROM c{k}))::INTEGER" for k in range(1, shards))
+    return f"""
+WITH {_CRC_TABLE},
+d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, {_crc("coalesce(text, '')")} AS crc,
+    ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS key
+  FROM documents, t),
+g AS (SELECT key, sum(w) OVER (ORDER BY key) AS upto FROM (SELECT key, sum(size) AS w FROM d GROUP BY key)),
+e AS (SELECT row_number() OVER (ORDER BY upto) - 1 AS i, upto FROM (SELECT 0 AS upto UNION SELECT upto FROM g)),
+tot AS (SELECT max(upto) AS t FROM e),
+{best},
+cap AS (SELECT best AS c FROM b{shards} ORDER BY i DESC LIMIT 1),
+{late},
+{cuts},
+s AS (SELECT d.*, {of} AS shard FROM d JOIN g USING (key))
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key, doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op4_chosen_path": OP4_SQL, "op10_va_file": OP10_SQL, "op11_divergence": OP11_SQL, "op12_resampling": OP12_SQL}
+    return {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op4_chosen_path": OP4_SQL, "op10_va_file": OP10_SQL, "op11_divergence": OP11_SQL, "op12_resampling": OP12_SQL, "op13_sharding": _op13_sql()}
