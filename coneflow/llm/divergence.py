@@ -3,7 +3,7 @@
 Each partition folds whole documents into hash stripes: a term of a language has
 its document frequency and its counts by source. A task that holds too many
 cells spills its stripes into the shuffle. Spilled stripes meet sorted by
-(language, term) and are merged as a stream, one key at a time. What is kept
+(term, language) and are merged as a stream, one key at a time. What is kept
 after merging (terms in enough documents) directly emits divergences: every
 source's smoothed share of a term against every other source's, and against the
 language's. Shares are integers, so sums hang on no order of rows.
@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,74 +38,101 @@ STRIPE = "lang string, term binary, df bigint, sources array<string>, counts arr
 FOUND = "lang string, source string, part string, item string, value bigint"
 
 
-def _batch(langs: list, terms: list, df: list, sources: list, counts: list) -> pa.RecordBatch:
-    ends = pa.array(np.cumsum([0, *map(len, sources)]), pa.int32())
-    lists = [pa.ListArray.from_arrays(ends, pa.array(list(chain.from_iterable(x)), kind)) for x, kind in ((sources, pa.string()), (counts, pa.int64()))]
+def _batch(langs: list, terms: list, df: list, stripes: list[dict], names: pa.Array) -> pa.RecordBatch:
+    """Rows of stripes {place in ``names``: count}."""
+    ends = np.cumsum([0, *map(len, stripes)])
+    places = np.fromiter(chain.from_iterable(stripes), np.int32, ends[-1])
+    counts = np.fromiter(chain.from_iterable(s.values() for s in stripes), np.int64, ends[-1])
+    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (names.take(pa.array(places)), pa.array(counts))]
     return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.binary()), pa.array(df, pa.int64()), *lists], names=["lang", "term", "df", "sources", "counts"])
 
 
-def _spilled(held: dict):
-    """Batches of the stripes held; the frequency stands under the source None."""
-    rows = ((lang, term, stripe) for lang, stripes in held.items() for term, stripe in stripes.items())
-    while part := [r for _, r in zip(range(BATCH), rows, strict=False)]:
-        df = [stripe.pop(None) for *_, stripe in part]
-        yield _batch([r[0] for r in part], [r[1] for r in part], df, [list(r[2]) for r in part], [list(r[2].values()) for r in part])
+def _spilled(held: dict, places: dict[str, int]):
+    """Batches of the stripes held; the frequency stands at -1."""
+    names = pa.array(list(places), pa.string())
+    for lang, stripes in held.items():
+        terms, rows = list(stripes), list(stripes.values())
+        df = [stripe.pop(-1) for stripe in rows]
+        for at in range(0, len(rows), BATCH):
+            part = slice(at, at + BATCH)
+            yield _batch([lang] * len(rows[part]), terms[part], df[part], rows[part], names)
 
 
 def _folded(most: int):
     """Stripes of (language, source, text) rows, ``most`` cells at a time. The empty term counts a language's documents by source."""
 
     def run(batches):
-        held, cells = {}, 0
+        held, cells, places = {}, 0, {}
         for batch in batches:
             for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(2), strict=True):
-                stripes = held.setdefault(lang, {})
+                stripes, place = held.setdefault(lang, {}), places.setdefault(source, len(places))
                 terms = Counter(text.as_py().translate(_TERM_BYTES).split())
                 terms[b""] = 1
                 for term, n in terms.items():
                     if (stripe := stripes.get(term)) is None:
-                        stripes[term] = {None: 1, source: n}
+                        stripes[term] = {-1: 1, place: n}
                         cells += 2
                     else:
-                        stripe[None] += 1
-                        if source in stripe:
-                            stripe[source] += n
+                        stripe[-1] += 1
+                        if place in stripe:
+                            stripe[place] += n
                         else:
-                            stripe[source] = n
+                            stripe[place] = n
                             cells += 1
                 if cells > most:
-                    yield from _spilled(held)
-                    held, cells = {}, 0
-        yield from _spilled(held)
+                    yield from _spilled(held, places)
+                    held, cells, places = {}, 0, {}
+        yield from _spilled(held, places)
 
     return run
 
 
 def _merged(least: int):
-    """Stripes of sorted rows with equal keys as one, if enough documents have the term; one key is held at a time."""
+    """Stripes of sorted rows with equal keys as one, if enough documents have the term.
+
+    Frequencies are summed by batch; only stripes that are kept, and those at the
+    edges of a batch, are added up cell by cell.
+    """
 
     def run(batches):
+        places: dict[str, int] = {}
         out, key, df, stripe = [], None, 0, {}
+
+        def close():
+            if key and (df >= least or not key[1]):
+                out.append((*key, df, stripe))
+
+        def sent():
+            langs, terms, n, stripes = map(list, zip(*out, strict=True))
+            return _batch(langs, terms, n, stripes, pa.array(list(places), pa.string()))
+
         for batch in batches:
-            lang, term, n = (batch.column(k).to_pylist() for k in range(3))
-            ends = batch.column(3).offsets.to_pylist()
-            first = ends[0]
-            sources, counts = (batch.column(k).flatten().to_pylist() for k in (3, 4))
-            for i in range(len(lang)):
-                if (lang[i], term[i]) != key:
-                    if key and (df >= least or not key[1]):
-                        out.append((*key, df, stripe))
-                    key, df, stripe = (lang[i], term[i]), 0, {}
-                df += n[i]
-                for j in range(ends[i] - first, ends[i + 1] - first):
-                    stripe[sources[j]] = stripe.get(sources[j], 0) + counts[j]
+            if not batch.num_rows:
+                continue
+            lang, term, n = batch.column(0), batch.column(1), batch.column(2).to_numpy()
+            new = pc.or_(pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)), pc.not_equal(lang.slice(1), lang.slice(0, len(lang) - 1)))
+            start = np.flatnonzero(np.concatenate([[True], new.to_numpy(zero_copy_only=False)]))
+            end = np.append(start[1:], len(n))
+            total = np.add.reduceat(n, start)
+            needed = (total >= least) | (pc.binary_length(term).to_numpy()[start] == 0)
+            needed[[0, -1]] = True
+            sources, counts = batch.column(3), batch.column(4)
+            for g in np.flatnonzero(needed):
+                at = (lang[start[g]].as_py(), term[start[g]].as_py())
+                if at != key:
+                    close()
+                    key, df, stripe = at, 0, {}
+                df += int(total[g])
+                of, size = sources.slice(start[g], end[g] - start[g]).flatten().to_pylist(), counts.slice(start[g], end[g] - start[g]).flatten().to_pylist()
+                for s, c in zip(of, size, strict=True):
+                    place = places.setdefault(s, len(places))
+                    stripe[place] = stripe.get(place, 0) + c
             if len(out) > BATCH:
-                yield _batch(*map(list, zip(*[(a, b, c, list(s), list(s.values())) for a, b, c, s in out], strict=True)))
-                out = []
-        if key and (df >= least or not key[1]):
-            out.append((*key, df, stripe))
+                yield sent()
+                out.clear()
+        close()
         if out:
-            yield _batch(*map(list, zip(*[(a, b, c, list(s), list(s.values())) for a, b, c, s in out], strict=True)))
+            yield sent()
 
     return run
 
@@ -161,7 +189,7 @@ def stripes_of(docs: DataFrame, least: int, folder: str, cells: int = CELLS) ->
     """(lang, term, df, sources, counts) of terms in at least ``least`` documents of a language; the empty term has all its sources."""
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text.alias("text"))
-    spilled = rows.mapInArrow(_folded(cells), STRIPE).repartition("lang", "term").sortWithinPartitions("lang", "term")
+    spilled = rows.mapInArrow(_folded(cells), STRIPE).repartition("lang", "term").sortWithinPartitions("term", "lang")
     return stored(spilled.mapInArrow(_merged(least), STRIPE), folder, "stripes")
 
 
