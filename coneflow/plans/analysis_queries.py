@@ -301,6 +301,14 @@ def u07_closure_split(spark: SparkSession, d: str) -> DataFrame:
     return U.closure_split(_rows(spark, d)).groupBy("part", "true_pt_bin").agg(r6(F.sum("w")).alias("sumw"), F.count("*").alias("n"))
 
 
+#: Factor by which the reweighted variants multiply weights: rises with the true bins.
+_FACTOR = "1 + 0.1 * true_bin + 0.02 * true_pt_bin"
+
+
+def _variants(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    return U.closure_variants(U.closure_split(_rows(spark, d)), F.expr(_FACTOR))
+
+
 def _settings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Response, truth and measured spectrum of two settings: nominal and matched jets only."""
     rows = U.response_rows(_skim(spark, d), "hybrid_jet_pt", "hybrid_kt", "true_jet_pt", "true_kt", SMEARED_PT, SMEARED_KT, TRUE_PT, TRUE_KT, keep=["momentum_fraction"])
@@ -335,6 +343,26 @@ def _all_sql(name: str, n: int = ITERATIONS) -> str:
     return " UNION ALL ".join(f"SELECT setting, {k} AS iteration, true_pt_bin, true_bin, round(value, 6) AS value, round(error, 6) AS error FROM {name}_{k}" for k in range(1, n + 1))
 
 
+#: The same tables for closure variants: the response of one part of the jets, measured spectrum and truth of the other.
+_VARIANT_HEAD = f"""WITH rows_c AS MATERIALIZED (SELECT r.*, {_HASH.format(keys='jet_id', seed=5)} < 0.75 AS resp, {_FACTOR} AS f FROM ({_ROWS}) r),
+v_c AS (SELECT 'split' AS setting, FALSE AS fr, FALSE AS fp UNION ALL SELECT 'reweight_pseudo_data', FALSE, TRUE UNION ALL SELECT 'reweight_response', TRUE, FALSE),
+resp_u AS MATERIALIZED (SELECT {_E}, true_pt_bin, true_bin, sum(CASE WHEN fr THEN w * f ELSE w END) AS r FROM rows_c, v_c WHERE resp AND in_both GROUP BY ALL),
+truth_u AS MATERIALIZED (SELECT {_C}, sum(CASE WHEN fr THEN w * f ELSE w END) AS t FROM rows_c, v_c WHERE resp GROUP BY ALL),
+p_u AS MATERIALIZED (SELECT r.*, r.r / t.t AS p, sum(r.r / t.t) OVER (PARTITION BY r.setting, r.true_pt_bin, r.true_bin) AS seen FROM resp_u r JOIN truth_u t USING ({_C})),
+d0 AS MATERIALIZED (SELECT {_E}, sum(CASE WHEN fp THEN w * f ELSE w END) AS d FROM rows_c, v_c WHERE NOT resp AND in_both GROUP BY ALL),
+pseudo_u AS MATERIALIZED (SELECT {_C}, sum(CASE WHEN fp THEN w * f ELSE w END) AS truth FROM rows_c, v_c WHERE NOT resp GROUP BY ALL)"""
+
+
+@query(f"{_VARIANT_HEAD}, {_unfold_sql('d0', 'a', 4)} SELECT setting, true_pt_bin, true_bin, round(a.value, 6) AS value, round(a.error, 6) AS error, round(coalesce(p.truth, 0), 6) AS truth FROM a_4 a LEFT JOIN pseudo_u p USING ({_C})", "skim")
+def u07_closure_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Split, reweighted pseudo-data and reweighted response: the pseudo-data unfolded four times, beside its truth."""
+    response, truth, measured, pseudo = _variants(spark, d)
+    keys = ["setting", "true_pt_bin", "true_bin"]
+    last = U.unfolded(response, truth, measured, iterations=4).filter("iteration = 4")
+    out = last.join(pseudo.select(*keys, F.col("value").alias("truth")), keys, "left").select(*keys, "value", "error", F.coalesce("truth", F.lit(0.0)).alias("truth"))
+    return rounded(out, "value", "error", "truth")
+
+
 @query(f"{_UNFOLD_HEAD}, {_unfold_sql('d0', 'a')} {_all_sql('a')}", "skim")
 def u08_u11_trivial_closure(spark: SparkSession, d: str) -> DataFrame:
     """Unfolding the response's own measured spectrum gives its truth back."""
@@ -356,14 +384,34 @@ def u09_refolded(spark: SparkSession, d: str) -> DataFrame:
     return rounded(U.folded(truth, U.response(rows)), "value")
 
 
-_COV = f"SELECT a.bin AS i, b.bin AS j, sum(a.w * b.w) AS value FROM (SELECT {KT.sql('true_kt')} AS bin, pt_hard_bin, sum(scale_factor) AS w FROM skim GROUP BY 1, 2) a JOIN (SELECT {KT.sql('true_kt')} AS bin, pt_hard_bin, sum(scale_factor) AS w FROM skim GROUP BY 1, 2) b ON a.pt_hard_bin = b.pt_hard_bin GROUP BY 1, 2"
+def _covariance_sql(n: int) -> str:
+    """CTEs up to cov: derivatives of the spectrum of iteration n after the measured bins, and its covariance (setting split)."""
+    parts, of = [], "true_pt_bin, true_bin, meas_pt_bin AS opt, meas_bin AS obin"
+    for k in range(1, n + 1):
+        before = "(SELECT *, t AS value FROM truth_u)" if k == 1 else f"a_{k - 1}"
+        joint = f"SELECT p.*, coalesce(m.d, 0) AS d, b.value AS before, p.p * b.value AS joint, sum(p.p * b.value) OVER (PARTITION BY p.meas_pt_bin, p.meas_bin) AS whole FROM p_u p JOIN {before} b USING ({_C}) LEFT JOIN d0 m USING ({_E}) WHERE p.setting = 'split'"
+        parts.append(f"m_{k} AS MATERIALIZED (SELECT *, CASE WHEN whole > 0 AND seen > 0 THEN joint / (whole * seen) ELSE 0 END AS m FROM ({joint}) x)")
+        if k == 1:
+            parts.append(f"der_1 AS MATERIALIZED (SELECT {of}, m AS x FROM m_1)")
+            continue
+        parts.append(f"g_{k} AS MATERIALIZED (SELECT w.meas_pt_bin, w.meas_bin, q.opt, q.obin, sum(w.m * w.seen / w.before * q.x) AS g FROM m_{k} w JOIN der_{k - 1} q USING (true_pt_bin, true_bin) WHERE w.before > 0 GROUP BY ALL)")
+        ratio = f"(SELECT true_pt_bin, true_bin, a.value / b.value AS ratio FROM a_{k} a JOIN a_{k - 1} b USING ({_C}) WHERE a.setting = 'split' AND b.value > 0)"
+        parts.append(f"der_{k} AS MATERIALIZED (SELECT true_pt_bin, true_bin, opt, obin, sum(x) AS x FROM (SELECT {of}, m AS x FROM m_{k} UNION ALL SELECT q.true_pt_bin, q.true_bin, q.opt, q.obin, q.x * r.ratio FROM der_{k - 1} q JOIN {ratio} r USING (true_pt_bin, true_bin)"
+                     f" UNION ALL SELECT w.true_pt_bin, w.true_bin, g.opt, g.obin, -w.m * w.d * g.g FROM m_{k} w JOIN g_{k} g USING (meas_pt_bin, meas_bin)) u GROUP BY ALL)")
+    spread = "(SELECT meas_pt_bin AS opt, meas_bin AS obin, d FROM d0 WHERE setting = 'split')"
+    parts.append(f"cov AS MATERIALIZED (SELECT a.true_pt_bin AS pt_i, a.true_bin AS bin_i, b.true_pt_bin AS pt_j, b.true_bin AS bin_j, sum(a.x * b.x * v.d) AS value FROM der_{n} a JOIN der_{n} b USING (opt, obin) JOIN {spread} v USING (opt, obin) GROUP BY ALL)")
+    return ", ".join(parts)
+
+
+_BLOCKS = "SELECT 'pt' AS block, pt_i AS at_bin, bin_i AS i, bin_j AS j, value FROM cov WHERE pt_i = pt_j UNION ALL SELECT 'variable', bin_i, pt_i, pt_j, value FROM cov WHERE bin_i = bin_j"
 
 
-@query(f"SELECT c.i, c.j, round(c.value / sqrt(a.value * b.value), 6) AS value FROM ({_COV}) c JOIN ({_COV}) a ON a.i = a.j AND a.i = c.i JOIN ({_COV}) b ON b.i = b.j AND b.j = c.j", "skim")
+@query(f"{_VARIANT_HEAD}, {_unfold_sql('d0', 'a')}, {_covariance_sql(ITERATIONS)}, blocks AS MATERIALIZED ({_BLOCKS}) SELECT c.block, c.at_bin AS at, c.i, c.j, round(CASE WHEN a.value > 0 AND b.value > 0 THEN c.value / sqrt(a.value * b.value) ELSE 0 END, 6) + 0.0 AS value FROM blocks c JOIN blocks a ON a.block = c.block AND a.at_bin = c.at_bin AND a.i = a.j AND a.i = c.i JOIN blocks b ON b.block = c.block AND b.at_bin = c.at_bin AND b.i = b.j AND b.j = c.j", "skim")
 def u10_correlations(spark: SparkSession, d: str) -> DataFrame:
-    w = _skim(spark, d).groupBy(KT.bin(F.col("true_kt")).alias("bin"), "pt_hard_bin").agg(F.sum("scale_factor").alias("w"))
-    a, b = w.select(F.col("bin").alias("i"), "pt_hard_bin", F.col("w").alias("x")), w.select(F.col("bin").alias("j"), "pt_hard_bin", F.col("w").alias("y"))
-    return rounded(U.correlations(a.join(b, "pt_hard_bin").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))), "value")
+    """Pearson blocks of the covariance that eight iterations carry from the measured spectrum to the unfolded one."""
+    response, truth, measured, _ = (x.filter("setting = 'split'") for x in _variants(spark, d))
+    out = U.correlation_blocks(U.unfolding_covariance(response, truth, measured, iterations=ITERATIONS))
+    return out.select("block", "at", "i", "j", (r6("value") + 0.0).alias("value"))
 
 
 @query(f"SELECT true_bin, round(sum(CASE WHEN in_both THEN w ELSE 0 END) / sum(w), 6) AS efficiency FROM ({_ROWS}) r WHERE true_pt_bin BETWEEN 3 AND 5 GROUP BY 1", "skim")
@@ -383,21 +431,79 @@ def u13_final_spectrum(spark: SparkSession, d: str) -> DataFrame:
     return H.normalized(spectrum, F.col("width")).select("true_bin", r6("value").alias("value"))
 
 
-#: Spectra by iteration for the choice of one: each pt-hard bin stands in for an iteration.
-_ITER = f"SELECT pt_hard_bin AS iteration, {PT.sql('true_jet_pt')} AS bin, CAST(count(*) AS DOUBLE) AS value, sqrt(CAST(count(*) AS DOUBLE)) AS error FROM jets GROUP BY 1, 2"
+#: Spectra of the true variable at true pt from 60 to 120, by iteration, of the nominal unfolding and of that with another prior.
+_STEPS = 10
+_SPECTRA = " UNION ALL ".join(f"SELECT setting, {k} AS iteration, true_bin AS bin, sum(value) AS value, sqrt(sum(error * error)) AS error FROM a_{k} WHERE setting <> 'reweight_pseudo_data' AND true_pt_bin BETWEEN 3 AND 5 GROUP BY ALL" for k in range(1, _STEPS + 1))
+_STEP_HEAD = f"{_VARIANT_HEAD}, {_unfold_sql('d0', 'a', _STEPS)}, spectra_u AS MATERIALIZED ({_SPECTRA})"
+_ERRORS = """errors_u AS MATERIALIZED (SELECT *, sqrt(regularization * regularization + statistical * statistical + prior * prior) AS total FROM (
+SELECT c.iteration, sum(CASE WHEN c.value <> 0 THEN greatest(abs(b.value - c.value), abs(n.value - c.value)) / c.value ELSE 0 END) AS regularization,
+  sum(CASE WHEN c.value <> 0 AND c.bin > 0 THEN c.error / c.value ELSE 0 END) AS statistical, sum(CASE WHEN c.value <> 0 THEN abs(c.value - p.value) / c.value ELSE 0 END) AS prior
+FROM spectra_u c JOIN spectra_u b ON b.setting = c.setting AND b.bin = c.bin AND b.iteration = c.iteration - 1 JOIN spectra_u n ON n.setting = c.setting AND n.bin = c.bin AND n.iteration = c.iteration + 2
+JOIN spectra_u p ON p.setting = 'reweight_response' AND p.bin = c.bin AND p.iteration = c.iteration WHERE c.setting = 'split' GROUP BY c.iteration) x)"""
 
 
-@query(f"SELECT iteration, round(reg, 6) AS regularization, round(stat, 6) AS statistical, round(sqrt(reg * reg + stat * stat), 6) AS total FROM (SELECT iteration, sum(c / value) AS reg, sum(error / value) AS stat FROM (SELECT *, greatest(abs(lag(value) OVER w - value), abs(lead(value, 2) OVER w - value)) AS c, lag(value) OVER w AS l, lead(value, 2) OVER w AS r FROM ({_ITER}) i WINDOW w AS (PARTITION BY bin ORDER BY iteration)) t WHERE c IS NOT NULL AND value > 0 GROUP BY iteration) s", "jets")
-def u14_iteration_choice(spark: SparkSession, d: str) -> DataFrame:
-    s = view(spark, d, "jets").groupBy(F.col("pt_hard_bin").alias("iteration"), PT.bin(F.col("true_jet_pt")).alias("bin")).agg(F.count("*").cast("double").alias("value")).withColumn("error", F.sqrt("value"))
-    return rounded(U.iteration_errors(s, ["bin"]), "regularization", "statistical", "total")
+def _steps(spark: SparkSession, d: str) -> tuple[tuple[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame]:
+    """The variants' tables and the spectra of all iterations, unfolded side by side."""
+    tables = tuple(x.filter("setting <> 'reweight_pseudo_data'") for x in _variants(spark, d))
+    return tables, U.unfolded(*tables[:3], iterations=_STEPS)
+
 
+def _along(spectra: DataFrame) -> DataFrame:
+    return U.projected_spectrum(spectra.filter("true_pt_bin between 3 and 5"), "true_bin", ["setting", "iteration"]).withColumnRenamed("true_bin", "bin")
 
-@query(f"SELECT a.iteration, a.bin, round(a.value / b.value, 6) AS ratio FROM ({_ITER}) a JOIN ({_ITER}) b ON b.bin = a.bin AND b.iteration = 5", "jets")
+
+def _errors(spectra: DataFrame) -> DataFrame:
+    both = _along(spectra)
+    return U.iteration_errors(both.filter("setting = 'split'").drop("setting"), ["bin"], both.filter("setting = 'reweight_response'"), F.col("bin") == 0)
+
+
+@query(f"{_STEP_HEAD}, {_ERRORS} SELECT iteration, round(regularization, 6) AS regularization, round(statistical, 6) AS statistical, round(prior, 6) AS prior, round(total, 6) AS total, iteration = (SELECT iteration FROM errors_u ORDER BY total, iteration LIMIT 1) AS chosen FROM errors_u", "skim")
+def u14_iteration_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Errors by iteration of the unfolded pseudo-data, with the prior of a reweighted response, and the least in total."""
+    errors = checkpointed(_errors(_steps(spark, d)[1]))
+    best = U.best_iteration(errors).withColumn("chosen", F.lit(True))
+    return rounded(errors.join(best, "iteration", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False))), "regularization", "statistical", "prior", "total")
+
+
+_RATIOS = f"""SELECT s.iteration, 'chosen' AS over, s.bin, s.value / c.value AS ratio FROM spectra_u s JOIN spectra_u c ON c.setting = s.setting AND c.bin = s.bin AND c.iteration = (SELECT iteration FROM errors_u ORDER BY total, iteration LIMIT 1) WHERE s.setting = 'split' AND c.value <> 0
+UNION ALL SELECT s.iteration, 'truth', s.bin, s.value / t.value FROM spectra_u s JOIN (SELECT true_bin AS bin, sum(truth) AS value FROM pseudo_u WHERE setting = 'split' AND true_pt_bin BETWEEN 3 AND 5 GROUP BY 1) t ON t.bin = s.bin WHERE s.setting = 'split' AND t.value <> 0
+UNION ALL SELECT f.iteration, 'raw', f.bin, f.value / r.value FROM (SELECT x.iteration, p.meas_bin AS bin, sum(p.p * x.value) AS value FROM p_u p JOIN ({' UNION ALL '.join(f'SELECT {k} AS iteration, * FROM a_{k}' for k in range(1, _STEPS + 1))}) x USING ({_C}) WHERE p.setting = 'split' AND p.meas_pt_bin BETWEEN 2 AND 4 GROUP BY 1, 2) f
+JOIN (SELECT meas_bin AS bin, sum(d) AS value FROM d0 WHERE setting = 'split' AND meas_pt_bin BETWEEN 2 AND 4 GROUP BY 1) r ON r.bin = f.bin WHERE r.value <> 0"""
+
+
+@query(f"{_STEP_HEAD}, {_ERRORS} SELECT iteration, over, bin, round(ratio, 6) AS ratio FROM ({_RATIOS}) x", "skim")
+def u15_iteration_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """By iteration: unfolded over the chosen iteration and over the truth, and refolded over what was measured."""
+    (response, truth, measured, pseudo), spectra = _steps(spark, d)
+    own = [x.filter("setting = 'split'") for x in (response, truth, measured, pseudo, spectra)]
+    along = checkpointed(_along(own[4]))
+    chosen = along.join(F.broadcast(U.best_iteration(_errors(spectra))), "iteration").select("bin", F.col("value").alias("by"))  # one row
+    generated = own[3].filter("true_pt_bin between 3 and 5").groupBy(F.col("true_bin").alias("bin")).agg(F.sum("value").alias("by"))
+    raw = own[2].filter("meas_pt_bin between 2 and 4").groupBy(F.col("meas_bin").alias("bin")).agg(F.sum("value").alias("by"))
+    folded = U.refolded(own[4], own[0], own[1], keys=["iteration"]).filter("meas_pt_bin between 2 and 4")
+    folded = folded.groupBy("iteration", F.col("meas_bin").alias("bin")).agg(F.sum("value").alias("value"))
+    out = None
+    for over, above, below in (("chosen", along, chosen), ("truth", along, generated), ("raw", folded, raw)):
+        part = above.join(below.filter("by <> 0"), "bin").select("iteration", F.lit(over).alias("over"), "bin", r6(F.col("value") / F.col("by")).alias("ratio"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"{_STEP_HEAD} SELECT a.iteration, a.bin, round(a.value / b.value, 6) AS ratio FROM spectra_u a JOIN spectra_u b ON b.setting = a.setting AND b.bin = a.bin AND b.iteration = 5 WHERE a.setting = 'split' AND b.value <> 0", "skim")
 def u15_ratio_to_iteration(spark: SparkSession, d: str) -> DataFrame:
-    s = view(spark, d, "jets").groupBy(F.col("pt_hard_bin").alias("iteration"), PT.bin(F.col("true_jet_pt")).alias("bin")).agg(F.count("*").cast("double").alias("value"))
-    chosen = s.filter("iteration = 5").select("bin", F.col("value").alias("chosen"))
-    return s.join(chosen, "bin").select("iteration", "bin", r6(F.col("value") / F.col("chosen")).alias("ratio"))
+    """Every iteration's spectrum over that of the fifth."""
+    along = checkpointed(_along(_steps(spark, d)[1].filter("setting = 'split'")))
+    chosen = along.filter("iteration = 5 and value <> 0").select("bin", F.col("value").alias("by"))
+    return along.join(chosen, "bin").select("iteration", "bin", r6(F.col("value") / F.col("by")).alias("ratio"))
+
+
+@query(f"{_VARIANT_HEAD}, {_unfold_sql('d0', 'a', 4)} SELECT true_bin, round(value / sum(value) OVER () / ({_WIDTHS}), 6) AS value FROM (SELECT true_bin, sum(value) AS value FROM a_4 WHERE setting = 'split' AND true_pt_bin BETWEEN 3 AND 5 AND true_bin BETWEEN 0 AND {TRUE_KT.n - 1} GROUP BY 1) t", "skim")
+def u13_unfolded_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    """The final spectrum from an unfolding: its efficiency is in the sharing, so only projection, widths and normalisation are left."""
+    tables = [x.filter("setting = 'split'") for x in _variants(spark, d)[:3]]
+    last = U.unfolded(*tables, iterations=4).filter(f"iteration = 4 and true_pt_bin between 3 and 5 and true_bin between 0 and {TRUE_KT.n - 1}")
+    sums = U.projected_spectrum(last, "true_bin", []).join(TRUE_KT.catalogue(spark), F.col("true_bin") == F.col("bin")).select("true_bin", "width", F.col("value").alias("sumw"))
+    return H.normalized(sums, F.col("width")).select("true_bin", r6("value").alias("value"))
 
 
 # --- systematics ---------------------------------------------------------------------------------------------------

@@ -259,3 +259,58 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted((r.b, r.n) for r in hist.collect()) == [(0, 10), (1, 10), (2, 10)]
     running.ingest(running.event_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "check2"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 30
+
+
+def _unfolding_problem(spark):
+    rng = np.random.default_rng(7)
+    r = rng.uniform(0, 1, (6, 4)) + 4 * np.eye(6, 4)
+    r[r < 0.2] = 0
+    truth, measured = r.sum(axis=0) * 1.3, r.sum(axis=1) * rng.uniform(0.6, 1.4, 6)
+    frame = lambda rows, names: spark.createDataFrame([("s", *x) for x in rows], f"setting string, {names}")
+    cells = frame([(i % 3, i // 3, j % 2, j // 2, float(r[i, j])) for i in range(6) for j in range(4) if r[i, j]], "meas_pt_bin int, meas_bin int, true_pt_bin int, true_bin int, sumw double")
+    generated = frame([(j % 2, j // 2, float(truth[j])) for j in range(4)], "true_pt_bin int, true_bin int, value double")
+    data = frame([(i % 3, i // 3, float(measured[i]), float(2 * measured[i])) for i in range(6)], "meas_pt_bin int, meas_bin int, value double, variance double")
+    return r / truth, truth, measured, (cells, generated, data)
+
+
+def test_covariance_of_the_unfolding_is_that_of_its_derivatives(spark):
+    p, truth, measured, tables = _unfolding_problem(spark)
+
+    def spectrum(d, n=5):
+        prior = truth
+        for _ in range(n):
+            prior = (p * prior / (p * prior).sum(axis=1, keepdims=True) / p.sum(axis=0)).T @ d
+        return prior
+
+    step = 1e-5
+    derivative = np.array([(spectrum(measured + step * e) - spectrum(measured - step * e)) / (2 * step) for e in np.eye(6)]).T
+    want = derivative * (2 * measured) @ derivative.T
+    got = np.zeros((4, 4))
+    covariance = response.unfolding_covariance(*tables, iterations=5)
+    for x in covariance.collect():
+        got[x.pt_i + 2 * x.bin_i, x.pt_j + 2 * x.bin_j] = x.value
+    assert np.allclose(got, want, rtol=1e-6)
+    blocks = {(x.block, x["at"], x.i, x.j): x.value for x in response.correlation_blocks(covariance).collect()}
+    assert len(blocks) == 16 and blocks["pt", 1, 0, 1] == pytest.approx(want[1, 3] / np.sqrt(want[1, 1] * want[3, 3])) and blocks["variable", 1, 0, 1] == pytest.approx(want[2, 3] / np.sqrt(want[2, 2] * want[3, 3]))
+
+
+def test_unfolding_survives_many_iterations_and_empty_bins(spark):
+    _, _, _, (cells, generated, data) = _unfolding_problem(spark)
+    more = generated.unionByName(spark.createDataFrame([("s", 9, 9, 5.0)], generated.schema))  # a true bin that nothing measures
+    out = response.unfolded(cells, more, data, iterations=12)
+    assert out.count() == 12 * 5 and [tuple(x) for x in out.filter("true_bin = 9").select("value", "error").distinct().collect()] == [(0.0, 0.0)]
+    assert response.unfolded(cells.limit(0), generated, data, iterations=2).filter("value <> 0").count() == 0
+
+
+def test_iteration_errors_by_loops(spark):
+    rng = np.random.default_rng(4)
+    v, e, o = (rng.uniform(1, 2, (7, 3)) for _ in range(3))
+    v[3, 1] = 0
+    frame = lambda x: spark.createDataFrame([(k + 1, b, float(x[k, b]), float(e[k, b])) for k in range(7) for b in range(3)], "iteration int, bin int, value double, error double")
+    got = {r.iteration: r for r in response.iteration_errors(frame(v), ["bin"], frame(o), F.col("bin") == 0).collect()}
+    assert sorted(got) == [2, 3, 4, 5]
+    for k, r in got.items():
+        cur, over = v[k - 1], np.where(v[k - 1] != 0, 1 / np.where(v[k - 1] != 0, v[k - 1], 1), 0)
+        reg, stat, prior = (np.maximum(abs(v[k - 2] - cur), abs(v[k + 1] - cur)) * over).sum(), (e[k - 1] * over)[1:].sum(), (abs(cur - o[k - 1]) * over).sum()
+        assert (r.regularization, r.statistical, r.prior, r.total) == pytest.approx((reg, stat, prior, np.sqrt(reg**2 + stat**2 + prior**2)))
+    assert response.best_iteration(response.iteration_errors(frame(v), ["bin"])).first().iteration in got
