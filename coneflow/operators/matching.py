@@ -89,12 +89,57 @@ def match_chain(hybrid_det: DataFrame, det_true: DataFrame, event: str = "event_
     return a.join(b, [event, "det"]).select(event, "hybrid", "det", "true")
 
 
-def shared_fraction(generated: DataFrame, measured: DataFrame, jet_pt: DataFrame, key: str = "jet_id") -> DataFrame:
-    """(jet, fraction): pt of generated constituents whose id is in the measured jet, over the generated jet's pt."""
-    found = generated.join(measured.select(key, "id").distinct(), [key, "id"], "left_semi").groupBy(key).agg(F.sum("pt").alias("shared"))
+#: Cells are this much wider than the largest distance, so that rounding parts no pair by more than one cell.
+_CELL_SLACK = 1.001
+
+
+def near_pairs(generated: DataFrame, measured: DataFrame, key: str, near: float) -> DataFrame:
+    """Rows of ``generated`` beside those of ``measured`` with the same key, within ``near`` in eta and in phi.
+
+    A measured row is sent to its own cell of the eta-phi plane and the eight
+    around it, so pairs come from an equi-join on (key, cell) and a jet of many
+    constituents is not compared with itself. Rows without eta or phi match nothing.
+    """
+    cell = lambda x: F.floor(F.col(x) / (near * _CELL_SLACK))
+    around = lambda x: F.explode(F.sequence(cell(x) - 1, cell(x) + 1))
+    m = measured.withColumn("__i", around("eta")).withColumn("__j", around("phi")).withColumnsRenamed({"eta": "__eta", "phi": "__phi"})
+    pairs = generated.withColumns({"__i": cell("eta"), "__j": cell("phi")}).join(m, [key, "__i", "__j"])
+    return pairs.filter((F.abs(F.col("eta") - F.col("__eta")) <= near) & (F.abs(F.col("phi") - F.col("__phi")) <= near)).drop("__i", "__j", "__eta", "__phi")
+
+
+def shared_fraction(generated: DataFrame, measured: DataFrame, jet_pt: DataFrame, key: str = "jet_id", near: float | None = None) -> DataFrame:
+    """(jet, fraction): pt of generated constituents whose id is in the measured jet, over the generated jet's pt.
+
+    With ``near`` a constituent is found by distance instead (``near_pairs``).
+    """
+    if near is None:
+        both = generated.join(measured.select(key, "id").distinct(), [key, "id"], "left_semi")
+    else:
+        both = near_pairs(generated, measured.select(key, "eta", "phi"), key, near).groupBy(key, "id").agg(F.first("pt").alias("pt"))
+    found = both.groupBy(key).agg(F.sum("pt").alias("shared"))
     return jet_pt.join(found, key, "left").select(key, (F.coalesce("shared", F.lit(0.0)) / F.col("pt")).alias("fraction"))
 
 
+def found_in_jet(generated: DataFrame, measured: DataFrame, jets: DataFrame, key: str = "jet_id", near: float | None = None) -> DataFrame:
+    """(jet, leading, subleading): the part of a generated subjet's pt that lies anywhere in the measured jet, as floats.
+
+    ``generated`` has the constituents of both subjets (key, prong, id, pt, phi;
+    eta too with ``near``), ``measured`` all constituents of the measured jets. The
+    whole is the vector sum of the subjet. Jets without a generated splitting have 0.
+    """
+    if near is None:
+        hits = measured.select(key, "id").distinct()
+    else:
+        hits = near_pairs(generated.select(key, "id", "eta", "phi"), measured.select(key, "eta", "phi"), key, near).select(key, "id").distinct()
+    rows = generated.join(hits.withColumn("__in", F.lit(True)), [key, "id"], "left")
+    of = lambda p, x: F.sum(F.when(F.col("prong") == p, x).otherwise(0.0))
+    x, y, hit = F.col("pt") * F.cos("phi"), F.col("pt") * F.sin("phi"), F.when(F.col("__in"), F.col("pt")).otherwise(0.0)
+    sums = rows.groupBy(key).agg(*[c for p in ("leading", "subleading") for c in (of(p, hit).alias(f"{p}_hit"), of(p, x).alias(f"{p}_x"), of(p, y).alias(f"{p}_y"))])
+    whole = lambda p: F.sqrt(F.col(f"{p}_x") * F.col(f"{p}_x") + F.col(f"{p}_y") * F.col(f"{p}_y"))
+    share = lambda p: F.coalesce(F.when(whole(p) > 0, F.col(f"{p}_hit") / whole(p)), F.lit(0.0)).cast("float").alias(p)
+    return jets.select(key).join(sums, key, "left").select(key, share("leading"), share("subleading"))
+
+
 def shared_fraction_near(generated: Column, measured: Column, jet_pt: Column, most: float = 0.01) -> Column:
     """The same by distance, for nested constituents: within ``most`` in eta and in phi."""
     near = lambda g: F.exists(measured, lambda m: (F.abs(m["eta"] - g["eta"]) <= most) & (F.abs(m["phi"] - g["phi"]) <= most))
@@ -134,16 +179,15 @@ def contained(generated: DataFrame, measured: DataFrame, key: str = "jet_id", ne
     """(jet, prong, other, share) of generated subjets found in measured ones: (jet, prong, id, pt) on both sides.
 
     One join on (jet, id) and grouped sums. With ``near`` constituents match by
-    distance instead, within ``near`` in eta and in phi of the same jet, each
-    generated one at most once for each measured subjet.
+    distance instead (``near_pairs``), each generated one at most once for each
+    measured subjet.
     """
     total = generated.groupBy(key, "prong").agg(F.sum("pt").alias("total"))
     if near is None:
         both = generated.join(measured.select(key, F.col("prong").alias("other"), "id"), [key, "id"])
     else:
-        m = measured.select(key, F.col("prong").alias("other"), F.col("eta").alias("__eta"), F.col("phi").alias("__phi"))
-        close = (F.abs(F.col("eta") - F.col("__eta")) <= near) & (F.abs(F.col("phi") - F.col("__phi")) <= near)
-        both = generated.join(m, key).filter(close).groupBy(key, "prong", "other", "id").agg(F.first("pt").alias("pt"))
+        pairs = near_pairs(generated, measured.select(key, F.col("prong").alias("other"), "eta", "phi"), key, near)
+        both = pairs.groupBy(key, "prong", "other", "id").agg(F.first("pt").alias("pt"))
     both = both.groupBy(key, "prong", "other").agg(F.sum("pt").alias("shared"))
     return both.join(total, [key, "prong"]).select(key, "prong", "other", (F.col("shared") / F.col("total")).alias("share"))
 
@@ -175,14 +219,17 @@ def prong_flags(shares: DataFrame, key: str = "jet_id") -> DataFrame:
     return shares.groupBy(key).agg(*[has(*p).alias(n) for n, p in pairs.items()])
 
 
-def matching_class(leading: Column, subleading: Column) -> Column:
-    """Class of a jet by the codes of both prongs; null where a prong has no code, ``other`` for a correct prong beside a swapped one."""
+def matching_class(leading: Column, subleading: Column, mixes: bool = False) -> Column:
+    """Class of a jet by the codes of both prongs; null where a prong has no code.
+
+    A correct prong beside a swapped one is ``other``, or with ``mixes`` one of two classes of its own.
+    """
     code = {"correct": 1, "mistag": 2, "untagged": 3}
     name = lambda a, b: "pure" if a == b == "correct" else "swap" if a == b == "mistag" else "both_untagged" if a == b else f"leading_{a}_subleading_{b}"
     out = F.when((leading < 1) | (subleading < 1), F.lit(None).cast("string"))
     for a in code:
         for b in code:
-            mixed = {a, b} == {"correct", "mistag"}
+            mixed = {a, b} == {"correct", "mistag"} and not mixes
             out = out.when((leading == code[a]) & (subleading == code[b]), F.lit("other" if mixed else name(a, b)))
     return out
 

@@ -95,6 +95,16 @@ def a14_matching_classes(spark: SparkSession, d: str) -> DataFrame:
     return rows.rollup("c").agg(F.count("*").alias("n"), r6(F.sum("scale_factor")).alias("sumw")).select(F.coalesce("c", F.lit("all")).alias("matching"), "n", "sumw")
 
 
+_TEN = "CASE WHEN leading_match < 1 OR subleading_match < 1 THEN NULL WHEN leading_match = 1 AND subleading_match = 2 THEN 'leading_correct_subleading_mistag' WHEN leading_match = 2 AND subleading_match = 1 THEN 'leading_mistag_subleading_correct' ELSE " + _CLASS + " END"
+
+
+@query(f"SELECT coalesce(c, 'all') AS matching, count(*) AS n, round(sum(scale_factor), 6) AS sumw FROM (SELECT {_TEN} AS c, scale_factor FROM skim) t WHERE c IS NOT NULL GROUP BY GROUPING SETS ((c), ())", "skim")
+def a14_ten_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The classes of the skim's histograms: mixes of a correct and a swapped prong stand for themselves, and all jets with both codes."""
+    rows = _skim(spark, d).withColumn("c", matching_class(F.col("leading_match"), F.col("subleading_match"), mixes=True)).filter("c is not null")
+    return rows.rollup("c").agg(F.count("*").alias("n"), r6(F.sum("scale_factor")).alias("sumw")).select(F.coalesce("c", F.lit("all")).alias("matching"), "n", "sumw")
+
+
 _RES = "((hybrid_jet_pt - true_jet_pt) / true_jet_pt)"
 
 

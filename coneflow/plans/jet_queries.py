@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import drivers, grooming, jetfinding, matching
+from ..operators import drivers, embedding, grooming, jetfinding, matching
 from ..operators.histograms import Regular, histogram, normalized, same_edges
 from ..sources.event_tables import event_tree
 from .catalogue import query, r6, rounded
@@ -93,9 +93,10 @@ def j09_shared_fraction(spark: SparkSession, d: str) -> DataFrame:
 FROM tracks t GROUP BY t.event_id""", "det_tracks")
 def j09_x04_shared_fraction_near(spark: SparkSession, d: str) -> DataFrame:
     """The same by distance: measured constituents are a little off."""
-    part = view(spark, d, "tracks").groupBy("event_id").agg(F.collect_list(F.struct("pt", "eta", "phi")).alias("g"), F.sum("pt").alias("pt"))
-    det = view(spark, d, "det_tracks").groupBy("event_id").agg(F.collect_list(F.struct((F.col("eta") + 0.004).alias("eta"), "phi")).alias("m"))
-    return part.join(det, "event_id").select("event_id", r6(matching.shared_fraction_near(F.col("g"), F.col("m"), F.col("pt"))).alias("fraction"))
+    part = view(spark, d, "tracks").select("event_id", F.col("idx").alias("id"), "pt", "eta", "phi")
+    det = view(spark, d, "det_tracks").select("event_id", (F.col("eta") + 0.004).alias("eta"), "phi")
+    whole = part.groupBy("event_id").agg(F.sum("pt").alias("pt"))
+    return rounded(matching.shared_fraction(part, det, whole, "event_id", near=0.01), "fraction")
 
 
 @query("SELECT event_id, CAST(idx % 4 AS INT) AS jet, max(pt) AS leading_track_pt FROM tracks WHERE h4 % 10 <> 0 GROUP BY event_id, idx % 4", "tracks")
@@ -124,7 +125,7 @@ _SHARES = """SELECT g.jet_id, g.prong, m.prong AS other, sum(g.kt) / min(g.total
 
 
 @query(f"SELECT jet_id, prong, other, round(share, 6) AS share FROM ({_SHARES}) s", "splittings")
-def j16_shared_subjet_pt(spark: SparkSession, d: str) -> DataFrame:
+def j15_shared_subjet_pt(spark: SparkSession, d: str) -> DataFrame:
     return rounded(matching.contained(_constituents(spark, d, 0), _constituents(spark, d, 2)), "share")
 
 
@@ -148,7 +149,7 @@ _NEAR = """SELECT g.jet_id, g.prong, m.prong AS other, g.idx, min(g.kt) AS pt FR
 
 @query(f"""SELECT s.jet_id, s.prong, s.other, round(s.pt / t.pt, 6) AS share FROM (SELECT jet_id, prong, other, sum(pt) AS pt FROM ({_NEAR}) n GROUP BY 1, 2, 3) s
 JOIN (SELECT jet_id, CASE WHEN idx % 2 = 0 THEN 'leading' ELSE 'subleading' END AS prong, sum(kt) AS pt FROM splittings WHERE lvl = 0 GROUP BY 1, 2) t ON t.jet_id = s.jet_id AND t.prong = s.prong""", "splittings")
-def j16_x04_shared_subjet_pt_near(spark: SparkSession, d: str) -> DataFrame:
+def j15_x04_shared_subjet_pt_near(spark: SparkSession, d: str) -> DataFrame:
     """Subjets whose constituents match by distance."""
     rows = view(spark, d, "splittings").filter("lvl = 0").withColumns({"eta": F.col("z"), "phi": F.col("delta_r"), "id": F.col("idx"), "pt": F.col("kt")})
     name = lambda c: F.when(c, "leading").otherwise("subleading")
@@ -157,6 +158,35 @@ def j16_x04_shared_subjet_pt_near(spark: SparkSession, d: str) -> DataFrame:
     return rounded(matching.contained(generated, measured, near=0.01), "share")
 
 
+_PRONGS = "SELECT jet_id, idx AS id, kt AS pt, z AS eta, 6 * delta_r AS phi, CASE WHEN idx % 2 = 0 THEN 'leading' ELSE 'subleading' END AS prong FROM splittings WHERE lvl = 0"
+_FOUND = """SELECT j.jet_id, round(coalesce(CAST(max(CASE WHEN prong = 'leading' THEN share END) AS FLOAT), 0), 6) AS leading, round(coalesce(CAST(max(CASE WHEN prong = 'subleading' THEN share END) AS FLOAT), 0), 6) AS subleading
+FROM jets j LEFT JOIN (SELECT jet_id, prong, sum(CASE WHEN hit THEN pt ELSE 0 END) / sqrt(pow(sum(pt * cos(phi)), 2) + pow(sum(pt * sin(phi)), 2)) AS share FROM ({rows}) r GROUP BY 1, 2) s ON s.jet_id = j.jet_id GROUP BY 1"""
+
+
+def _subjets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Generated subjets (even and odd splittings stand in for constituents) of half the jets, and measured constituents."""
+    rows = view(spark, d, "splittings").withColumns({"id": F.col("idx"), "pt": F.col("kt"), "eta": F.col("z"), "phi": 6 * F.col("delta_r")})
+    prong = F.when(F.col("idx") % 2 == 0, "leading").otherwise("subleading")
+    generated = rows.filter("lvl = 0 and jet_id % 2 = 0").withColumn("prong", prong).select("jet_id", "prong", "id", "pt", "eta", "phi")
+    return generated, rows.filter("lvl = 2 and z > 0.1").select("jet_id", "id", "eta", "phi")
+
+
+def _as_doubles(found: DataFrame) -> DataFrame:
+    return found.select("jet_id", *[r6(F.col(c).cast("double")).alias(c) for c in ("leading", "subleading")])
+
+
+@query(_FOUND.format(rows=f"SELECT g.*, EXISTS (SELECT 1 FROM splittings m WHERE m.lvl = 2 AND m.z > 0.1 AND m.jet_id = g.jet_id AND m.idx = g.id) AS hit FROM ({_PRONGS} AND jet_id % 2 = 0) g").replace("CAST(max", "CAST(CAST(max").replace(" AS FLOAT)", " AS FLOAT) AS DOUBLE)"), "splittings", "jets")
+def j16_subjets_in_measured_jet(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each generated subjet lies anywhere in the measured jet; jets without generated subjets have 0."""
+    return _as_doubles(matching.found_in_jet(*_subjets(spark, d), view(spark, d, "jets")))
+
+
+@query(_FOUND.format(rows=f"SELECT g.*, EXISTS (SELECT 1 FROM splittings m WHERE m.lvl = 2 AND m.z > 0.1 AND m.jet_id = g.jet_id AND abs(m.z - g.eta) <= 0.05 AND abs(6 * m.delta_r - g.phi) <= 0.05) AS hit FROM ({_PRONGS} AND jet_id % 2 = 0) g").replace("CAST(max", "CAST(CAST(max").replace(" AS FLOAT)", " AS FLOAT) AS DOUBLE)"), "splittings", "jets")
+def j16_x04_subjets_near_measured_jet(spark: SparkSession, d: str) -> DataFrame:
+    """The same by distance."""
+    return _as_doubles(matching.found_in_jet(*_subjets(spark, d), view(spark, d, "jets"), near=0.05))
+
+
 @query("SELECT bin FROM (SELECT DISTINCT CAST(floor(true_jet_pt / 5) AS INT) AS bin FROM jets) a WHERE bin NOT IN (SELECT CAST(floor(hybrid_jet_pt / 5) AS INT) FROM jets) UNION ALL SELECT bin FROM (SELECT DISTINCT CAST(floor(hybrid_jet_pt / 5) AS INT) AS bin FROM jets) b WHERE bin NOT IN (SELECT CAST(floor(true_jet_pt / 5) AS INT) FROM jets)", "jets")
 def j18_edge_check(spark: SparkSession, d: str) -> DataFrame:
     jets, axis = view(spark, d, "jets"), Regular(100, 0, 500)
@@ -291,6 +321,49 @@ def g14_g15_skim(spark: SparkSession, d: str) -> DataFrame:
     return long.groupBy("method", "lvl").agg(F.count("*").alias("n"), F.count(F.when(F.col("idx") >= 0, 1)).alias("n_tagged"), r6(F.sum(F.col("kt") * F.col("scale_factor"))).alias("sum_kt"))
 
 
+_LEVELS = {0: "true", 1: "det_level", 2: "hybrid"}
+_EMBEDDED = """, pk AS MATERIALIZED (SELECT * FROM (SELECT 'leading_kt' AS method, *, row_number() OVER (PARTITION BY jet_id, lvl ORDER BY kt DESC, idx) AS p, count(*) OVER (PARTITION BY jet_id, lvl) AS n FROM splittings
+ UNION ALL SELECT 'soft_drop_z_cut_02', *, row_number() OVER (PARTITION BY jet_id, lvl ORDER BY idx), count(*) OVER (PARTITION BY jet_id, lvl) FROM splittings WHERE z > 0.2) t WHERE p = 1),
+sub AS MATERIALIZED (SELECT p.method, p.jet_id, p.lvl, (c.idx + p.idx) % 2 AS part, c.idx AS id, c.kt AS pt, 6 * c.delta_r AS phi FROM pk p JOIN splittings c ON c.jet_id = p.jet_id AND c.lvl = p.lvl),
+tot AS MATERIALIZED (SELECT method, jet_id, lvl, part, sqrt(pow(sum(pt * cos(phi)), 2) + pow(sum(pt * sin(phi)), 2)) AS size FROM sub GROUP BY ALL),
+nm AS MATERIALIZED (SELECT method, jet_id, lvl, CASE WHEN coalesce(max(CASE WHEN part = 0 THEN size END), 0) >= coalesce(max(CASE WHEN part = 1 THEN size END), 0) THEN 0 ELSE 1 END AS first FROM tot GROUP BY ALL),
+named AS MATERIALIZED (SELECT s.*, CASE WHEN part = first THEN 'leading' ELSE 'subleading' END AS prong FROM sub s JOIN nm USING (method, jet_id, lvl)),
+whole AS MATERIALIZED (SELECT t.*, CASE WHEN part = first THEN 'leading' ELSE 'subleading' END AS prong FROM tot t JOIN nm USING (method, jet_id, lvl)),
+hits AS MATERIALIZED (SELECT g.method, g.jet_id, g.lvl, g.prong, m.prong AS other, sum(g.pt) / min(w.size) AS share FROM named g JOIN named m ON m.method = g.method AND m.jet_id = g.jet_id AND m.id = g.id AND m.lvl = g.lvl + 1
+ JOIN whole w ON w.method = g.method AND w.jet_id = g.jet_id AND w.lvl = g.lvl AND w.prong = g.prong GROUP BY ALL),
+anywhere AS MATERIALIZED (SELECT g.method, g.jet_id, g.prong, sum(CASE WHEN c.idx IS NOT NULL THEN g.pt ELSE 0 END) / min(w.size) AS share FROM named g LEFT JOIN splittings c ON c.jet_id = g.jet_id AND c.lvl = 2 AND c.idx = g.id
+ JOIN whole w ON w.method = g.method AND w.jet_id = g.jet_id AND w.lvl = 1 AND w.prong = g.prong WHERE g.lvl = 1 GROUP BY ALL)
+SELECT j.jet_id, j.method, """
+
+
+def _embedded_sql() -> str:
+    out = []
+    for lvl, name in _LEVELS.items():
+        out += [f"round(coalesce(p{lvl}.{c}, -0.005), 6) AS {name}_{c}" for c in ("kt", "delta_r", "z")]
+        out += [f"CAST(coalesce(p{lvl}.n, 0) AS INT) AS {name}_n_passed", f"CAST(CASE WHEN p{lvl}.idx IS NULL THEN 0 ELSE floor(log2(p{lvl}.idx + 1)) + 1 END AS INT) AS {name}_n_to_split"]
+    for m, g in ((2, 1), (1, 0)):
+        for own, other in (("leading", "subleading"), ("subleading", "leading")):
+            hit = lambda o: f"EXISTS (SELECT 1 FROM hits h WHERE h.method = j.method AND h.jet_id = j.jet_id AND h.lvl = {g} AND h.prong = '{own}' AND h.other = '{o}' AND h.share > 0.5)"  # noqa: B023, E731
+            out.append(f"CAST(CASE WHEN p{m}.idx IS NULL THEN -1 WHEN p{g}.idx IS NULL THEN 0 WHEN {hit(own)} THEN 1 WHEN {hit(other)} THEN 2 ELSE 3 END AS INT) AS {_LEVELS[m]}_{_LEVELS[g]}_matching_{own}")
+    for own in ("leading", "subleading"):
+        out.append(f"round(CAST(CAST(coalesce((SELECT share FROM anywhere a WHERE a.method = j.method AND a.jet_id = j.jet_id AND a.prong = '{own}'), 0) AS FLOAT) AS DOUBLE), 6) AS det_level_{own}_subjet_momentum_fraction_in_hybrid_jet")
+    joins = " ".join(f"LEFT JOIN pk p{k} ON p{k}.jet_id = j.jet_id AND p{k}.method = j.method AND p{k}.lvl = {k}" for k in _LEVELS)
+    return f"WITH one AS (SELECT 1){_EMBEDDED}{', '.join(out)} FROM (SELECT DISTINCT s.jet_id, p.method FROM splittings s, (SELECT DISTINCT method FROM pk) p) j {joins}"
+
+
+@query(_embedded_sql(), "splittings")
+def g15_embedding_skim(spark: SparkSession, d: str) -> DataFrame:
+    """Three levels groomed and matched in one pass; splittings stand in for constituents, dealt to two subjets by parity."""
+    item = F.struct("idx", F.col("parent_index_tree").alias("parent"), "kt", "delta_r", "z")
+    particle = F.struct("idx", F.col("idx").alias("id"), F.col("kt").alias("pt"), (6 * F.col("delta_r")).alias("phi"))
+    rows = view(spark, d, "splittings").groupBy("jet_id", "lvl").agg(F.array_sort(F.collect_list(item)).alias("splittings"), F.array_sort(F.collect_list(particle)).alias("constituents"))
+    half = lambda s, k: F.struct(s["idx"].alias("parent_splitting_index"), F.filter("constituents", lambda c: (c["id"] + s["idx"]) % 2 == k).alias("constituents"))
+    rows = rows.withColumn("subjets", F.flatten(F.transform("splittings", lambda s: F.array(half(s, 0), half(s, 1)))))
+    jets = embedding.gathered_levels(rows.select("jet_id", "lvl", F.struct("splittings", "subjets", "constituents").alias("level")), _LEVELS)
+    out = embedding.embedding_skim(jets, ["leading_kt", "soft_drop_z_cut_02"])
+    return out.withColumns({c: r6(F.col(c).cast("double")) for c, t in out.dtypes if t in ("double", "float")})
+
+
 @query("SELECT jet_id, lvl, idx, CAST(floor(log2(idx + 1)) + 1 AS INT) AS depth FROM splittings", "splittings")
 def g16_tree_depth(spark: SparkSession, d: str) -> DataFrame:
     rows = grooming.nested(view(spark, d, "splittings"), parent="parent_index_tree")

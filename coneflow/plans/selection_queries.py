@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import kinematics as K
 from ..functions import selections as P
 from ..operators import sampling, weights
+from ..operators.histograms import Regular
 from ..operators.tracking_efficiency import RUN1, RUN2_ETA, RUN2_PT, efficiency
 from ..sources import event_tables, generator_text
 from .catalogue import query, r6, rounded
@@ -255,6 +256,18 @@ def w03_a20_scaled_spectra(spark: SparkSession, d: str) -> DataFrame:
     return out.select("pt_hard_bin", "bin", r6(F.col("sumw") * 1e6).alias("sumw"), "n")
 
 
+_SPECTRUM = Regular(200, 0, 200)
+_KINDS = {"true": ("true", "TRUE"), "true_with_cut": ("true", "hybrid_jet_pt >= 40 AND hybrid_jet_pt < 120"), "hybrid": ("hybrid", "TRUE"), "hybrid_with_cut": ("hybrid", "hybrid_jet_pt >= 40 AND hybrid_jet_pt < 120")}
+_KINDS_SQL = " UNION ALL ".join(f"SELECT '{k}' AS spectrum, pt_hard_bin, {_SPECTRUM.sql(f'{level}_jet_pt')} AS bin, scale_factor AS w FROM jets WHERE {cut}" for k, (level, cut) in _KINDS.items())
+
+
+@query(f"SELECT spectrum, pt_hard_bin, bin, round(sum(w), 6) AS sumw, round(sum(w * w), 6) AS sumw2, count(*) AS n FROM ({_KINDS_SQL}) t GROUP BY GROUPING SETS ((spectrum, pt_hard_bin, bin), (spectrum, bin))", "jets")
+def a20_level_spectra(spark: SparkSession, d: str) -> DataFrame:
+    """True and hybrid spectra with and without the hybrid cut, by pt-hard bin and in total."""
+    kinds = {k: (F.col(f"{level}_jet_pt"), F.expr(cut)) for k, (level, cut) in _KINDS.items()}
+    return rounded(weights.level_spectra(view(spark, d, "jets"), kinds, _SPECTRUM), "sumw", "sumw2")
+
+
 @query("SELECT coalesce(f.b, j.b) AS pt_hard_bin, CASE WHEN f.b IS NULL THEN 'data' ELSE 'factors' END AS only_in FROM (SELECT DISTINCT pt_hard_bin + 2 AS b FROM files) f FULL OUTER JOIN (SELECT DISTINCT pt_hard_bin AS b FROM jets) j ON f.b = j.b WHERE f.b IS NULL OR j.b IS NULL", "files", "jets")
 def w04_uneven_bins(spark: SparkSession, d: str) -> DataFrame:
     return weights.uneven_bins(view(spark, d, "files").withColumn("pt_hard_bin", F.col("pt_hard_bin") + 2), view(spark, d, "jets"))
