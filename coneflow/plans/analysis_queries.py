@@ -639,3 +639,26 @@ def st02_ingested_chunks(spark: SparkSession, d: str) -> DataFrame:
     folder = new_folder(spark)
     running.ingest(_streamed(spark, d, "orders"), f"{folder}/chunks", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/chunks").groupBy(F.col("chunk").cast("int").alias("chunk"), "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+def _several_files(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """Orders dealt to five files, as a folder that a stream reads one file at a time."""
+    folder, orders = new_folder(spark), table(spark, d, "orders")
+    orders.repartition(5, "o_orderkey").write.parquet(f"{folder}/orders")
+    return folder, running.event_stream(spark, f"{folder}/orders", orders.schema)
+
+
+@query("SELECT CAST(floor(o_totalprice / 50000) AS INT) AS bin, count(*) AS n, round(sum(1.0 / (o_orderkey % 20 + 1)), 6) AS sumw FROM orders WHERE o_totalprice < 500000 GROUP BY 1")
+def st01_several_files(spark: SparkSession, d: str) -> DataFrame:
+    """Totals after five batches, each of which replaced those before."""
+    folder, stream = _several_files(spark, d)
+    hist = running.running_histogram(stream.filter("o_totalprice < 500000"), {"bin": (F.col("o_totalprice"), H.Regular(10, 0, 500_000))}, F.lit(1.0) / (F.col("o_orderkey") % 20 + 1))
+    return running.folded(hist, f"{folder}/totals", f"{folder}/checkpoint").select("bin", "n", r6("sumw").alias("sumw"))
+
+
+@query("SELECT o_orderpriority, count(*) AS n, CAST(5 AS BIGINT) AS n_chunks FROM orders GROUP BY 1")
+def st02_several_files(spark: SparkSession, d: str) -> DataFrame:
+    """Five files become five chunks, whose rows are all there once."""
+    folder, stream = _several_files(spark, d)
+    running.ingest(stream, f"{folder}/chunks", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/chunks").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.countDistinct("chunk").alias("n_chunks"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import kinematics as K
 from ..functions import selections as P
@@ -20,6 +21,12 @@ def s02_entry_range(spark: SparkSession, d: str) -> DataFrame:
     return event_tables.entries(view(spark, d, "tracks"), ["event_id", "idx"], 100, 350).select("event_id", "idx", "pt")
 
 
+@query("SELECT event_id, idx, pt FROM (SELECT *, row_number() OVER (ORDER BY event_id, idx) - 1 AS p FROM tracks) t WHERE p >= 4000 AND p < 4250", "tracks")
+def s02_entry_range_far(spark: SparkSession, d: str) -> DataFrame:
+    """A range far from the beginning: by numbers over all partitions."""
+    return event_tables.entries(view(spark, d, "tracks"), ["event_id", "idx"], 4000, 4250, near=0).select("event_id", "idx", "pt")
+
+
 @query("SELECT CAST(floor((row_number() OVER (ORDER BY event_id, idx) - 1) / 1000) AS BIGINT) AS chunk, event_id, idx FROM tracks", "tracks")
 def s02_chunks(spark: SparkSession, d: str) -> DataFrame:
     return event_tables.chunked(view(spark, d, "tracks"), ["event_id", "idx"], 1000).select("chunk", "event_id", "idx")
@@ -136,15 +143,17 @@ def p21_cut_flow(spark: SparkSession, d: str) -> DataFrame:
     return P.cut_flow(view(spark, d, "skim"), [("pt", P.in_range(c("hybrid_jet_pt"), 40, 120)), ("fraction", c("momentum_fraction") >= 0.5), ("groomed", c("hybrid_n_passed") > 0)])
 
 
-_WRAP = "a.phi - b.phi - 6.283185307179586 * floor((a.phi - b.phi + 3.141592653589793) / 6.283185307179586)"
+_NEXT = "SELECT event_id, idx, eta, phi, lead(eta) OVER (PARTITION BY event_id ORDER BY idx) AS eta2, lead(phi) OVER (PARTITION BY event_id ORDER BY idx) AS phi2 FROM tracks"
+_TURN = "phi - phi2 - 6.283185307179586 * floor((phi - phi2 + 3.141592653589793) / 6.283185307179586)"
 
 
-@query(f"SELECT a.event_id, a.idx, round(sqrt((a.eta - b.eta) * (a.eta - b.eta) + ({_WRAP}) * ({_WRAP})), 6) AS wrapped, round(sqrt((a.eta - b.eta) * (a.eta - b.eta) + (a.phi - b.phi) * (a.phi - b.phi)), 6) AS plain FROM tracks a JOIN tracks b ON a.event_id = b.event_id AND b.idx = a.idx + 1", "tracks")
+@query(f"SELECT event_id, idx, round(sqrt((eta - eta2) * (eta - eta2) + ({_TURN}) * ({_TURN})), 6) AS wrapped, round(sqrt((eta - eta2) * (eta - eta2) + (phi - phi2) * (phi - phi2)), 6) AS plain FROM ({_NEXT}) t WHERE eta2 IS NOT NULL", "tracks")
 def f01_f02_distances(spark: SparkSession, d: str) -> DataFrame:
-    t = view(spark, d, "tracks").select("event_id", "idx", "eta", "phi")
-    n = t.select("event_id", (F.col("idx") - 1).alias("idx"), F.col("eta").alias("eta2"), F.col("phi").alias("phi2"))
+    """From each track to the next of its event."""
+    w = Window.partitionBy("event_id").orderBy("idx")
+    t = view(spark, d, "tracks").withColumns({"eta2": F.lead("eta").over(w), "phi2": F.lead("phi").over(w)}).filter("eta2 is not null")
     c = [F.col(x) for x in ("eta", "phi", "eta2", "phi2")]
-    return t.join(n, ["event_id", "idx"]).select("event_id", "idx", r6(K.delta_r(*c)).alias("wrapped"), r6(K.delta_r(*c, wrap=False)).alias("plain"))
+    return t.select("event_id", "idx", r6(K.delta_r(*c)).alias("wrapped"), r6(K.delta_r(*c, wrap=False)).alias("plain"))
 
 
 @query("SELECT event_id, idx, round(pt * cos(phi), 6) + 0.0 AS px, round(pt * sin(phi), 6) + 0.0 AS py, round(pt * (exp(eta) - exp(-eta)) / 2, 6) + 0.0 AS pz, round(sqrt(pt * pt + pow(pt * (exp(eta) - exp(-eta)) / 2, 2) + 0.139 * 0.139), 6) AS e, round(pt, 6) AS pt, round(eta, 6) + 0.0 AS eta FROM tracks", "tracks")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import new_folder
 from ..functions import selections as P
 from ..operators.histograms import Regular, histogram, normalized, ratio
-from ..sources import event_tables, generator_text
+from ..sources import event_tables, generator_text, layout, skim_records
 from .catalogue import query, r6, rounded
 from .views import view
 
@@ -90,6 +90,78 @@ def s14_s16_skim_files(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(whole).groupBy("pt_hard_bin").agg(F.count("*").alias("n"), r6(F.sum("hybrid_jet_pt")).alias("sum_pt"))
 
 
+@query("SELECT pt_hard_bin, count(*) AS n, round(sum(hybrid_jet_pt), 6) AS sum_pt, CAST(1 AS BIGINT) AS n_broken, TRUE AS sized FROM jets GROUP BY pt_hard_bin", "jets")
+def s14_files_of_a_size(spark: SparkSession, d: str) -> DataFrame:
+    """Many small files, a large one and a broken one, written again as files of about a fifth of all bytes."""
+    small, large, broken, whole = (new_folder(spark) for _ in range(4))
+    jets = view(spark, d, "jets").select("jet_id", "pt_hard_bin", "hybrid_jet_pt")
+    jets.filter("pt_hard_bin < 8").repartition(12, "jet_id").write.parquet(small)
+    jets.filter("pt_hard_bin >= 8").coalesce(1).write.parquet(large)
+    jets.limit(3).select(F.col("jet_id").cast("string")).coalesce(1).write.text(broken)  # not Parquet
+    total = layout.file_sizes(spark, [small, large]).agg(F.sum("bytes")).first()[0]
+    found = layout.rechunked(spark, [small, large, broken], whole, -(-total // 5), jets.schema)
+    n_broken = found.filter("n_rows is null").agg(F.count("*").alias("n_broken"))
+    sizes = layout.file_sizes(spark, [whole]).agg(((F.max("bytes") <= total / 2) & F.count("*").between(4, 6)).alias("sized"))
+    out = spark.read.parquet(whole).groupBy("pt_hard_bin").agg(F.count("*").alias("n"), r6(F.sum("hybrid_jet_pt")).alias("sum_pt"))
+    return out.crossJoin(n_broken).crossJoin(sizes)  # one row each
+
+
+@query("SELECT e.run_number, e.event_id, d.n AS n_det, p.n AS n_part, round(d.s, 6) AS det_pt, round(p.s, 6) AS part_pt FROM event_info e JOIN (SELECT event_id, CAST(count(*) AS INT) AS n, sum(pt) AS s FROM det_tracks WHERE pt > 1 GROUP BY 1) d ON d.event_id = e.event_id JOIN (SELECT event_id, CAST(count(*) AS INT) AS n, sum(pt) AS s FROM tracks WHERE pt > 2 GROUP BY 1) p ON p.event_id = e.event_id", "event_info", "det_tracks")
+def j02_a01_bucketed_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events with the lists of both levels, from tables in equal buckets by run and event: joins and nesting need no exchange."""
+    run = (F.col("event_id") % 50).cast("int").alias("run_number")
+    tracks = {"det": view(spark, d, "det_tracks").filter("pt > 1"), "part": view(spark, d, "tracks").filter("pt > 2")}
+    tables = {n: t.select(run, "event_id", "idx", "pt", "eta", "phi") for n, t in tracks.items()} | {"events": view(spark, d, "event_info").select("run_number", "event_id")}
+    t = layout.joined_copies(spark, tables, 8)
+    tree = event_tables.event_tree(t["events"], t["det"], t["part"])
+    total = lambda c: r6(F.aggregate(c, F.lit(0.0), lambda s, p: s + p["pt"]))
+    return tree.select("run_number", "event_id", F.size("det_level").alias("n_det"), F.size("part_level").alias("n_part"), total("det_level").alias("det_pt"), total("part_level").alias("part_pt"))
+
+
+@query("SELECT slot, count(*) AS n_events, CAST(sum(cost) AS BIGINT) AS cost FROM (SELECT event_id, cost, CAST(floor((sum(cost) OVER (ORDER BY event_id) - cost) * 16 / sum(cost) OVER ()) AS INT) AS slot FROM (SELECT event_id, CAST(count(*) * count(*) AS HUGEINT) AS cost FROM tracks GROUP BY 1) c) t GROUP BY slot", "tracks")
+def a01_events_by_cost(spark: SparkSession, d: str) -> DataFrame:
+    """Events dealt to sixteen slots by the square of their tracks."""
+    counts = view(spark, d, "tracks").groupBy("event_id").agg((F.count("*") * F.count("*")).alias("cost"))
+    return layout.cost_slots(counts, ["event_id"], 16).groupBy("slot").agg(F.count("*").alias("n_events"), F.sum("cost").alias("cost"))
+
+
+_K13_SPLITS = "SELECT jet_id, lvl, CAST(count(*) AS INT) AS n, sum(kt) AS kt, CAST(sum(idx) AS BIGINT) AS ids FROM splittings WHERE lvl IN (0, 2) GROUP BY 1, 2"
+
+
+@query(
+    f"""SELECT j.jet_id, round(CAST(CAST(j.hybrid_jet_pt AS FLOAT) AS DOUBLE), 4) AS hybrid_jet_pt, round(CASE WHEN t.n IS NULL THEN -9999 ELSE j.true_jet_pt END, 6) AS true_jet_pt, coalesce(h.n, 0) AS n_hybrid, coalesce(t.n, 0) AS n_true, round(coalesce(h.kt, 0), 6) AS hybrid_kt,
+CASE WHEN j.jet_id % 3 = 0 THEN -9999 ELSE j.hybrid_leading_track_pt END AS hybrid_leading_track_pt, coalesce(h.ids, 0) AS hybrid_ids, TRUE AS back FROM jets j
+LEFT JOIN ({_K13_SPLITS}) h ON h.jet_id = j.jet_id AND h.lvl = 2 LEFT JOIN (SELECT * FROM ({_K13_SPLITS}) s WHERE jet_id % 5 <> 0) t ON t.jet_id = j.jet_id AND t.lvl = 0""",
+    "jets",
+    "splittings",
+)
+def k13_skim_records(spark: SparkSession, d: str) -> DataFrame:
+    """Analysed jets of two levels to skim records, flat and back; every fifth jet has no true level."""
+    s = view(spark, d, "splittings")
+    lists = s.filter("lvl in (0, 2)").groupBy("jet_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("lvl") == k, F.struct("idx", "kt", "delta_r", "z", "parent_index")))).alias(f"s{k}") for k in (0, 2)])
+    rows = view(spark, d, "jets").join(lists, "jet_id", "left")
+
+    def level(k: int, pt: str, *more: Column) -> Column:
+        splits = F.coalesce(F.col(f"s{k}"), F.array().cast(rows.schema[f"s{k}"].dataType))
+        constituents = F.transform(splits, lambda x: F.struct(x["kt"].alias("pt"), x["z"].alias("eta"), x["delta_r"].alias("phi"), x["idx"].alias("index")))
+        subjets = F.transform(splits, lambda x: F.struct((x["parent_index"] < 0).alias("part_of_iterative_splitting"), x["idx"].alias("splitting_node_index"), F.array(x["idx"]).alias("constituent_indices")))
+        return F.struct(F.col(pt).alias("pt"), constituents.alias("constituents"), F.struct(splits.alias("jet_splittings"), subjets.alias("subjets")).alias("reclustering"), *more)
+
+    lead = F.when(F.col("jet_id") % 3 != 0, F.col("hybrid_leading_track_pt")).alias("unsubtracted_leading_track_pt")
+    true = F.when((F.size("s0") > 0) & (F.col("jet_id") % 5 != 0), level(0, "true_jet_pt"))
+    records = skim_records.to_skim_records(rows.select("jet_id", level(2, "hybrid_jet_pt", lead).alias("reco"), true.alias("gen")), {"reco": "hybrid", "gen": "true"})
+    flat = skim_records.flattened(records)
+    again = skim_records.flattened(skim_records.nested_again(flat, records.schema))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    both = skim_records.flattened(records, {"jet_pt": "float"}).select("jet_id", F.col("hybrid_jet_pt").alias("narrow"))
+    flat = flat.withColumn("all", F.hash(*flat.columns)).join(again.select("jet_id", F.hash(*again.columns).alias("again")), "jet_id").join(both, "jet_id")
+    total = lambda c, zero: F.aggregate(F.coalesce(c, F.array().cast(flat.schema[c].dataType)), zero, lambda a, x: a + x)
+    return flat.select(
+        "jet_id", F.round(F.col("narrow").cast("double"), 4).alias("hybrid_jet_pt"), r6("true_jet_pt").alias("true_jet_pt"), size("hybrid_jet_splittings_kt").alias("n_hybrid"), size("true_jet_constituents_id").alias("n_true"),
+        r6(total("hybrid_jet_constituents_pt", F.lit(0.0))).alias("hybrid_kt"), "hybrid_leading_track_pt", total("hybrid_subjets_parent_splitting_index", F.lit(0)).cast("long").alias("hybrid_ids"), (F.col("all") == F.col("again")).alias("back"),
+    )
+
+
 @query("SELECT jet_id, CASE WHEN jet_id % 5 = 0 THEN -9999 ELSE true_jet_pt END AS true_jet_pt, 2 AS n_constituents, CAST(pt_hard_bin AS DOUBLE) AS pt_hard FROM jets", "jets")
 def s15_jet_records(spark: SparkSession, d: str) -> DataFrame:
     pt = F.when(F.col("jet_id") % 5 != 0, F.col("true_jet_pt"))

@@ -59,9 +59,9 @@ def event_tree(events: DataFrame, det: DataFrame, part: DataFrame, keys: tuple[s
     return kept.join(d, list(keys)).join(p, list(keys))
 
 
-def entries(df: DataFrame, order: list[str], start: int, stop: int) -> DataFrame:
-    """Rows [start, stop) in a global order; near the beginning each task sends no more than ``stop`` rows."""
-    if stop <= 10_000:
+def entries(df: DataFrame, order: list[str], start: int, stop: int, near: int = 10_000) -> DataFrame:
+    """Rows [start, stop) in a global order; up to ``near`` each task sends no more than ``stop`` rows, beyond it rows are numbered where they lie."""
+    if stop <= near:
         return df.orderBy(*order).limit(stop).offset(start)
     return numbered(df, order).filter(F.col("position").between(start, stop - 1))
 

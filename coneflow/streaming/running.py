@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..cluster import finished, removed
 from ..operators.histograms import Axis, histogram
 
 
@@ -23,13 +24,28 @@ def running_histogram(stream: DataFrame, axes: dict[str, tuple[Column, Axis]], w
 
 
 def folded(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all files that are there and return its final table, which each batch replaces in ``target``."""
+    """Run a stream over all files that are there and return its final table.
+
+    Each batch's totals are a folder of their own below ``target``, numbered by
+    the batch; readers take the last one that was written to its end, so they
+    never meet a half-written table, and a batch that runs again replaces its
+    own folder. The totals before the last but one are deleted.
+    """
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number:012d}")
+        if number > 1:
+            removed(spark, f"{target}/batch={number - 2:012d}")
 
     stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(target)
+    return latest(spark, target, stream.schema)
+
+
+def latest(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
+    """The totals of the last batch that was written to its end; none, if there is no such batch."""
+    done = finished(spark, f"{target}/batch=*")
+    return spark.read.schema(schema).parquet(done[-1]) if done else spark.createDataFrame([], schema)
 
 
 def ingest(stream: DataFrame, target: str, checkpoint: str, chunk: str = "chunk") -> None:
