@@ -7,7 +7,7 @@ so that in a band the nearest point is the one of largest inner product. Points
 are rotated by fast Hadamard pseudo-rotations and hashed to the nearest signed
 axis. Each of TABLES independent tables is probed in every band at the axes
 nearest to the query, and what they hold is ranked by exact products of the
-original vectors. Bands of at most FEW rows are compared whole.
+original vectors. Every band is hashed, whatever its size.
 
 How many axes are probed is fitted for each band to a sample (SAMPLE rows and
 ASKING queries of least hash for each vector length): as many as find TARGET of
@@ -50,7 +50,7 @@ TABLES, PROBES, BLOCK, QUERIES = 4, 0.23, 16384, 1 << 20
 SAMPLE, ASKING, TARGET = 4096, 256, 0.94
 #: Bytes of a sample at most, whatever the vectors' length.
 SAMPLE_BYTES = 1 << 26
-STEPS, FEW = 2, 1024
+STEPS = 2
 #: In place of a table's number and of an axis: all rows of a group are compared.
 WHOLE = -1
 #: Products that one task holds at once, and queries that it ranks at once.
@@ -287,9 +287,9 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         columns = [*_NAMES, "cut", "turn"]
         return ranked(data.select(columns).unionByName(asks.select(columns)), k)
 
-    large = bands.filter(F.col("n") > FEW).select("dim", "band", "groups", "probes")
-    data = stored(placed(held.filter(F.col("n") > FEW).withColumn("probes", F.lit(0)), tables).unionByName(whole(held.filter(F.col("n") <= FEW))), folder, "data")
-    asks = placed(asking.join(large, "dim").withColumn("longest", F.col("length")), tables).unionByName(whole(asking))
+    data = stored(placed(held.withColumn("probes", F.lit(0)), tables), folder, "data")
+    asked = asking.join(bands.select("dim", "band", "groups", "probes"), "dim")
+    asks = placed(asked.withColumn("longest", F.col("length")), tables)
     found = stored(met(data, stored(asks, folder, "asks"), "all"), folder, "found")
     # Queries that found fewer than k rows, though their dim has more, go through all rows of the dim.
     have = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("have")).withColumnRenamed("query_id", "vec_id")

@@ -9,10 +9,10 @@ bias counts for the document: sentences without a known feature, empty ones and
 those whose weights don't exceed 0 add nothing, so a clean text's score doesn't
 grow with its length.
 
-Features are words and their first four to six letters, hashed; those that
+Features are words and their first four to six letters, hashed; all that
 occur more in toxic documents of a bounded sample (SAMPLE documents of least
-hash, outside the held-out part) are kept, at most FEATURES of them, by how far
-beyond chance. Nothing speaks for a clean text: one offending sentence is enough,
+hash, outside the held-out part) than CHANCE lets happen are kept. Each of them
+is in several documents of the sample, which bounds their number. Nothing speaks for a clean text: one offending sentence is enough,
 whatever stands around it. Scoring is one narrow pass over all texts.
 
 Defined results: null and empty texts have no sentences and score 0; without
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .labelled import labelled_sample, remainder
 
-SAMPLE, FEATURES, CHANCE, ROUNDS, PRIOR = 8000, 4000, 15.0, 400, -9.0
+SAMPLE, CHANCE, ROUNDS, PRIOR = 8000, 15.0, 400, -9.0
 CACHE = 300_000
 #: Bytes that end sentences become line ends, other punctuation and white space becomes blank.
 _TABLE = bytearray(range(256))
@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int, held: int, sample: int =
     a, b, share = F.col("toxic"), F.col("other"), n[1] / (n[0] + n[1])
     part = lambda seen, rate: F.when(seen > 0, seen * F.log(seen / ((a + b) * rate))).otherwise(0.0)
     gain = part(a, share) + part(b, 1 - share)
-    chosen = _counted(rows).filter(a > (a + b) * share).withColumn("gain", gain).filter(F.col("gain") > CHANCE).orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()
+    chosen = _counted(rows).filter(a > (a + b) * share).withColumn("gain", gain).filter(F.col("gain") > CHANCE).orderBy(F.desc("gain"), "feature").collect()
     place = {r["feature"]: k for k, r in enumerate(chosen)}
     if not place:
         return {}, PRIOR
