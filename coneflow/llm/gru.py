@@ -13,7 +13,7 @@ import numpy as np
 
 STATE, EMBED, CLASSES, WIDTH = 16, 16, 32, 32
 FREQUENT = CLASSES * WIDTH
-STREAMS, WINDOW, RATE = 256, 24, 0.004
+STREAMS, LEAST, WINDOW, RATE = 256, 512, 24, 0.004
 
 
 def start(class_log: np.ndarray, word_log: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
@@ -143,16 +143,24 @@ class Training:
         self.m, self.v, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
 
     def feed(self, stream: np.ndarray, end: int) -> None:
-        """Windows of WINDOW words in STREAMS parallel parts of ``stream`` (each text closed by ``end``).
+        """All of ``stream`` (each text closed by ``end``, and one ``end`` before the first), in windows of WINDOW words.
 
-        The state is carried from window to window and cleared after ``end``;
-        gradients stop at the window.
+        The stream is cut into parallel parts, STREAMS of them if each then has
+        LEAST words or more, fewer otherwise; every word but the first of a part
+        is learned, and that is learned as the last of the part before. The last
+        part is filled up with ``end``. The state is carried from window to window
+        and cleared after ``end``; gradients stop at the window.
         """
-        width = len(stream) // STREAMS
-        if width < 2:
+        learned = len(stream) - 1
+        if learned < 1:
             return
-        words = stream[: width * STREAMS].reshape(STREAMS, width)
-        h = np.zeros((STREAMS, STATE), self.flat.dtype)
+        streams = max(1, min(STREAMS, learned // LEAST))
+        width = -(-learned // streams)
+        filled = np.full(streams * width + 1, end, stream.dtype)
+        filled[: len(stream)] = stream
+        words = np.concatenate([filled[:-1].reshape(streams, width), filled[width::width, None]], axis=1)
+        width += 1
+        h = np.zeros((streams, STATE), self.flat.dtype)
         for at in range(0, width - 1, WINDOW):
             targets = words[:, at + 1 : at + WINDOW + 1].T
             g, h = window_gradients(self.p, words[:, at : at + len(targets)].T, targets, h, end)

@@ -4,9 +4,12 @@
    hashes of the lower-cased word, one end mark for each text).
 2. The counts give the unigram base score, the frequent words and the classes
    of the recurrent model, which starts from the unigram probabilities.
-3. The model reads all training documents once, in ROUNDS rounds that each take
-   a part of them by hash: in a round every task trains a copy by truncated
-   backpropagation over its documents, and a grouped sum averages the copies.
+3. The model reads every word of all training documents once, in ROUNDS rounds
+   that each take a part of the documents by hash. A round's documents are dealt
+   by hash to groups of about GROUP words (at most GROUPS groups, which then are
+   larger) and read there in the order of their hash: each group trains a copy by
+   truncated backpropagation, and a grouped sum averages the copies by the words
+   they read. So scores don't hang on how the table is partitioned.
 4. One pass scores every document word by word, the state carried over its whole
    length. Counts of the COMMON most frequent words are broadcast (a fixed
    bound); rarer words leave the pass as rows that are joined with the counts.
@@ -37,6 +40,8 @@ from .labelled import remainder
 from .shingles import word_hashes
 
 COMMON, ROUNDS = 1 << 19, 4
+#: Words that a copy of the model reads in a round, and copies of a round at most.
+GROUP, GROUPS = 1 << 18, 4096
 #: Words that a task trains on at a time.
 CHUNK = 1 << 20
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -115,32 +120,49 @@ def trained(docs: DataFrame, vocab: Vocabulary, folder: str, rounds: int = ROUND
                 part = batch.slice(at, 512)
                 rows = [shared.value.numbers(tokens(t)).astype(np.int32) for t in part.column(0).to_pylist()]
                 flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([flat, part.column(1)], names=["ids", "part"])
+                yield pa.RecordBatch.from_arrays([flat, *part.columns[1:]], names=["ids", "h", "grp", "part"])
 
-    part = F.pmod(F.xxhash64("doc_id", "text", F.lit("lm")), F.lit(rounds)).cast("int")
-    path, schema = f"{folder}/numbered", "ids array<int>, part int"
-    docs.select("text", part.alias("part")).mapInArrow(numbered, schema).write.partitionBy("part").parquet(path)
+    groups = max(1, min(GROUPS, -(-vocab.total // (rounds * GROUP))))
+    by_hash = lambda what, n: F.pmod(F.xxhash64("doc_id", "text", F.lit(what)), F.lit(n)).cast("int")
+    path, schema = f"{folder}/numbered", "ids array<int>, h bigint, grp int, part int"
+    dealt = docs.select("text", F.xxhash64("doc_id", "text", F.lit("order")).alias("h"), by_hash("group", groups).alias("grp"), by_hash("lm", rounds).alias("part"))
+    dealt.mapInArrow(numbered, schema).write.partitionBy("part").parquet(path)
     rows = spark.read.schema(schema).parquet(path)
     names = sorted(model)
     for turn in range(rounds):
         weights = context.broadcast(model)
 
         def run(batches, weights=weights):
-            training, held, n = gru.Training(weights.value), [np.array([end])], 0
-            size = 0
+            training, group, held, size, n = None, None, [], 0, 0
+
+            def fed():
+                if size:
+                    training.feed(np.concatenate([[end], *held]), end)
+
+            def copy():
+                total = training.flat.astype(float) * n
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(np.full(len(total), float(n)))], names=["at", "w", "n"])
+
             for batch in batches:
-                held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False))
-                size += len(held[-1])
-                if size >= CHUNK:
-                    training.feed(np.concatenate(held), end)
-                    held, n, size = [np.array([end])], n + size, 0
-            if size:
-                training.feed(np.concatenate(held), end)
-            if n + size:
-                total = training.flat.astype(float) * (n + size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(np.full(len(total), float(n + size)))], names=["at", "w", "n"])
-
-        copies = rows.filter(F.col("part") == turn).select("ids").mapInArrow(run, "at int, w double, n double")
+                own = batch.column(1).to_numpy()
+                edges = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else []
+                for lo, hi in zip(edges, edges[1:]):
+                    if own[lo] != group:
+                        fed()
+                        if n:
+                            yield copy()
+                        training, group, held, size, n = gru.Training(weights.value), own[lo], [], 0, 0
+                    held.append(batch.column(0).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False))
+                    size, n = size + len(held[-1]), n + len(held[-1])
+                    if size >= CHUNK:
+                        fed()
+                        held, size = [], 0
+            fed()
+            if n:
+                yield copy()
+
+        own = rows.filter(F.col("part") == turn).repartitionById(groups, "grp").sortWithinPartitions("grp", "h")
+        copies = own.select("ids", "grp").mapInArrow(run, "at int, w double, n double")
         mean = copies.groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).orderBy("at").toArrow()  # one row for each weight
         weights.unpersist()
         if mean.num_rows:

@@ -455,6 +455,31 @@ def test_base_score_and_model(spark, docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) * 1.01
 
 
+@pytest.mark.parametrize("n", [1, 100, 511, 512, 40_000])
+def test_training_reads_every_word(n, monkeypatch):
+    """Whatever the number of words, each of them is once the target of a step (filled up with less than one end a stream)."""
+    rng, end = np.random.default_rng(n), 5
+    p = gru.start(np.log(np.full(gru.CLASSES + 3, 1 / (gru.CLASSES + 3))), np.zeros(gru.FREQUENT))
+    stream = np.r_[end, rng.integers(0, gru.FREQUENT, n)]
+    seen, real = collections.Counter(), gru.window_gradients
+    monkeypatch.setattr(gru, "window_gradients", lambda p, x, y, *a: seen.update(y.ravel().tolist()) or real(p, x, y, *a))
+    training = gru.Training(p)
+    before = training.flat.copy()
+    training.feed(stream, end)
+    extra = seen - collections.Counter(stream[1:].tolist())
+    assert not collections.Counter(stream[1:].tolist()) - seen and set(extra) <= {end} and sum(extra.values()) < gru.STREAMS
+    assert not np.array_equal(before, training.flat)
+
+
+def test_scores_do_not_hang_on_partitions(spark, docs):
+    few, many = ({r.doc_id: r.score for r in lm_scoring.score(docs.repartition(n)).collect()} for n in (1, 64))
+    assert all(few[i] == pytest.approx(many[i], rel=1e-5) for i in few)
+    rows = lm_scoring.score(docs.repartition(64)).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    gain = (rows[0] - rows[1]) / rows[2]
+    print(f"held-out gain: {gain:.4f} log10 a token")
+    assert gain > 0.02
+
+
 def test_model_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     p = gru.start(np.log(np.full(gru.CLASSES + 3, 1 / (gru.CLASSES + 3))), np.zeros(gru.FREQUENT))
