@@ -1,23 +1,22 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network.
 
-Every word has a sparse random index vector, drawn from its hash and from its
-shape (capitals, punctuation, digits). Words are counted over all documents, and
-one pass adds up, for the COMMON most frequent ones, the index vectors of their
-neighbours in all documents; a grouped sum combines the partitions. That sum is
-the word's vector. A rarer word, met too seldom for its neighbours to say much,
-has its own index vector instead. Vectors count at length one, and a document is
-pooled as the means of its words' vectors, of their squares, and of the products
-of neighbours, in which repetition shows. A network of two
-layers is fitted in numpy to a bounded sample (SAMPLE labelled documents of least
-hash, outside the held-out part); its temperature is set on a fifth of the sample
-that the layers don't see.
+Every word has a sparse random index vector, drawn from its hash alone. Words are
+counted over all documents, and one pass adds up, for the COMMON most frequent
+ones, the index vectors of their neighbours in all documents; partitions' sums
+meet sorted by word and are added as a stream. That sum is the word's vector. A
+rarer word, met too seldom for its neighbours to say much, has its own index
+vector instead. Vectors count at length one, and a document is pooled as the
+means of its words' vectors, of their squares, and of the products of neighbours,
+in which repetition shows. A network of two layers is fitted in numpy to a
+bounded sample (SAMPLE labelled documents of least hash, outside the held-out
+part); its temperature is set on a fifth of the sample that the layers don't see.
 
 The table of vectors is broadcast, so COMMON bounds it (8 MB). To join vectors of
-all words to the documents would move some 140 bytes for each rarer occurrence.
+all words to the documents would move a kilobyte for each rarer occurrence.
 
 Defined results: null and empty texts have zero features and a score like any
 other; without labelled documents of both kinds every score is 0.5; texts of
-any length are read whole. Extra columns are ignored;
+any length are read whole, SLICE words at a time. Extra columns are ignored;
 kept columns that bear the name of a result are left out.
 """
 
@@ -33,24 +32,15 @@ from .counts import most_common, word_counts
 from .labelled import labelled_sample, remainder
 from .shingles import mixed, prefix_sums
 
-SAMPLE, COMMON, DIM, WINDOW, HIDDEN, EPOCHS = 8000, 1 << 16, 32, 2, 24, 60
-_RNG = np.random.default_rng(99)
-SHAPES = 64
-_SHAPE_AT, _SHAPE_SIGN = _RNG.integers(0, DIM, (SHAPES, 4)), _RNG.choice([-1.0, 1.0], (SHAPES, 4)).astype(np.float32)
-_kind = np.zeros(256, np.int64)
-_kind[65:91] = 1
-_kind[97:123] = 2
-_kind[48:58] = 3
-_kind[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 4
-_kind[128:] = 2
+SAMPLE, COMMON, DIM, PLACES, WINDOW, HIDDEN, EPOCHS = 8000, 1 << 13, 256, 8, 2, 24, 60
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Words read at a time, to bound a task's memory.
-CHUNK = 1 << 19
+#: Bytes of texts read at a time, and words whose vectors are held at once, to bound a task's memory.
+CHUNK, SLICE = 1 << 19, 1 << 14
 
 
-def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and shape of every word of several texts, and each text's first word."""
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of several texts, and each text's first word."""
     data = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass") + b"\n", np.uint8)
     lengths = [len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts]
     inside = np.zeros(len(data) + 2, np.int8)
@@ -59,26 +49,24 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     sums, up = prefix_sums(data)
     hashes = mixed((sums[end] - sums[start]) * up[start] + (end - start).astype(np.uint64))
-    kind = _kind[data]
-    n = end - start
-    count = [np.r_[0, np.cumsum(kind == k)] for k in (1, 3, 4)]
-    capitals, digits, marks = ((c[end] - c[start]) for c in count)
-    case = np.where(capitals == 0, 0, np.where(capitals * 2 > n, 2, np.where(capitals == 1, 1, 3)))
-    punctuation = np.where(marks == 0, 0, np.where(marks == n, 3, np.where(marks == 1, 1, 2)))
-    size = np.where(n <= 3, 0, 1)
-    shape = case + 4 * punctuation + 16 * (digits > 0) + 32 * size
-    return hashes, shape, np.searchsorted(start, np.r_[0, np.cumsum(lengths)])
-
-
-def index_vectors(hashes: np.ndarray, shape: np.ndarray) -> np.ndarray:
-    """Sparse vectors of -1, 0 and 1 (two places by the word, four by its shape)."""
+    return hashes, np.searchsorted(start, np.r_[0, np.cumsum(lengths)])
+
+
+def sparse(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """PLACES places of each word's index vector (they may coincide), and a sign at each."""
+    shift = np.arange(PLACES, dtype=np.uint64) * np.uint64(8)
+    places = (hashes[:, None] >> shift & np.uint64(DIM - 1)).astype(np.int64)
+    signs = (mixed(hashes + np.uint64(0x9E3779B97F4A7C15))[:, None] >> shift & np.uint64(1)).astype(np.float32)
+    return places, 1 - 2 * signs
+
+
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    """The same as rows of DIM numbers."""
     x = np.zeros((len(hashes), DIM), np.float32)
+    places, signs = sparse(hashes)
     row = np.arange(len(hashes))
-    for k in range(2):
-        bits = hashes >> np.uint64(20 * k)
-        x[row, (bits & np.uint64(0xFFFF)).astype(np.int64) % DIM] += 1.0 - 2.0 * ((bits >> np.uint64(17)) & np.uint64(1)).astype(np.float32)
-    for k in range(4):
-        x[row, _SHAPE_AT[shape, k]] += _SHAPE_SIGN[shape, k]
+    for k in range(PLACES):
+        x[row, places[:, k]] += signs[:, k]
     return x
 
 
@@ -109,60 +97,96 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(length > 0, length, 1)
 
 
+def neighbours(hashes: np.ndarray, document: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """For the sorted ``words``, the sum of index vectors of all words up to WINDOW away in the same document."""
+    at, known = found_in(hashes, words)
+    places, signs = sparse(hashes)
+    cells, values = [], []
+    for o in range(1, WINDOW + 1):
+        same = document[o:] == document[:-o]
+        for centre, near in ((slice(o, None), slice(None, -o)), (slice(None, -o), slice(o, None))):
+            use = known[centre] & same
+            cells.append((at[centre][use, None] * DIM + places[near][use]).ravel())
+            values.append(signs[near][use].ravel())
+    return np.bincount(np.concatenate(cells), np.concatenate(values), len(words) * DIM)
+
+
+def added(batches):
+    """Sums of the vectors of rows that are sorted by word, one word at a time over batches."""
+    word, total = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words, v = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, DIM).astype(float)
+        start = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+        words, sums = words[start], np.add.reduceat(v, start, axis=0)
+        if word is not None:
+            if words[0] == word:
+                sums[0] += total
+            else:
+                words, sums = np.r_[word, words], np.concatenate([total[None], sums])
+        word, total = words[-1], sums[-1]
+        yield _rows(words[:-1], sums[:-1])
+    if word is not None:
+        yield _rows(np.array([word]), total[None])
+
+
+def _rows(words: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, DIM, dtype=np.int32)), pa.array(v.ravel().astype(np.float32)))
+    return pa.RecordBatch.from_arrays([pa.array(words.astype(np.int32)), flat], names=["word", "v"])
+
+
 def word_vectors(docs: DataFrame, words: np.ndarray) -> np.ndarray:
     """Unit vectors of the sorted ``words``: sums of their neighbours' index vectors over all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
         words = shared.value
-        total = np.zeros((len(words), DIM), np.float32)  # whole numbers, exact up to 2^24 in a task
+        total = np.zeros(len(words) * DIM)
         for batch in batches:
             for _, texts in texts_in_chunks(batch.column(0)):
-                hashes, shape, first = words_of(texts)
-                at, known = found_in(hashes, words)
-                if not known.any():
-                    continue
-                x = index_vectors(hashes, shape)
+                hashes, first = words_of(texts)
                 document = np.repeat(np.arange(len(texts)), np.diff(first))
-                near = np.zeros_like(x)
-                for o in range(1, WINDOW + 1):
-                    same = (document[o:] == document[:-o])[:, None]
-                    near[o:] += x[:-o] * same
-                    near[:-o] += x[o:] * same
-                mine = np.flatnonzero(known)
-                order = mine[np.argsort(at[mine], kind="stable")]
-                value = at[order]
-                start = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-                total[value[start]] += np.add.reduceat(near[order], start, axis=0)
+                for lo in range(0, len(hashes), SLICE):  # with the words before it that are near, whose pairs among themselves are taken off
+                    before = max(0, lo - WINDOW)
+                    total += neighbours(hashes[before : lo + SLICE], document[before : lo + SLICE], words)
+                    if before < lo:
+                        total -= neighbours(hashes[before:lo], document[before:lo], words)
+        total = total.reshape(-1, DIM)
         some = np.flatnonzero(np.abs(total).sum(axis=1))
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(some) * DIM + 1, DIM, dtype=np.int32)), pa.array(total[some].ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), flat], names=["word", "v"])
-
-    parts = docs.select("text").mapInArrow(run, "word int, v array<float>")
-    sums = parts.groupBy("word").agg(*[F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(DIM)])
-    table, out = sums.toArrow(), np.zeros((len(words), DIM))  # at most COMMON rows
-    for k in range(DIM):
-        out[table["word"].to_numpy(), k] = table[f"v{k}"].to_numpy()
+        yield _rows(some, total[some])
+
+    if not len(words):
+        return np.zeros((0, DIM), np.float32)
+    parts = docs.select("text").mapInArrow(run, "word int, v array<float>")  # whole numbers, exact up to 2^24 in a task
+    table, out = parts.repartition("word").sortWithinPartitions("word").mapInArrow(added, "word int, v array<float>").toArrow(), np.zeros((len(words), DIM))  # at most COMMON rows
+    if table.num_rows:
+        out[table["word"].to_numpy()] = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, DIM)
     return unit(out).astype(np.float32)
 
 
 def document_features(texts: list[str], words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Means of the word vectors of each text, of their squares, and of their products with the next word's; zeros for texts without words."""
-    out = np.zeros((len(texts), 3 * DIM))
-    hashes, shape, first = words_of(texts)
-    n = np.diff(first)
-    some = np.flatnonzero(n)
-    if not len(some):
-        return out
-    at, known = found_in(hashes, words)
-    v = vectors[at] if len(words) else np.zeros((len(hashes), DIM), np.float32)
-    v[~known] = unit(index_vectors(hashes[~known], shape[~known]))
-    following = np.zeros_like(v)
-    following[:-1] = v[:-1] * v[1:]
-    following[first[some] + n[some] - 1] = 0  # the last word of a text has none
-    for k, x in ((0, v), (1, v * v), (2, following)):
-        out[some, k * DIM : (k + 1) * DIM] = np.add.reduceat(x, first[some], axis=0) / n[some][:, None]
-    return out
+    out = np.zeros((len(texts), 3 * DIM), np.float32)
+    hashes, first = words_of(texts)
+    document = np.repeat(np.arange(len(texts)), np.diff(first))
+    last = None  # the vector and document of the word before a slice
+    for lo in range(0, len(hashes), SLICE):
+        h, own = hashes[lo : lo + SLICE], document[lo : lo + SLICE]
+        at, known = found_in(h, words)
+        v = vectors[at] if len(words) else np.zeros((len(h), DIM), np.float32)
+        v[~known] = unit(index_vectors(h[~known]))
+        start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        docs = own[start]
+        out[docs, :DIM] += np.add.reduceat(v, start, axis=0)
+        out[docs, DIM : 2 * DIM] += np.add.reduceat(v * v, start, axis=0)
+        pairs = np.zeros_like(v)
+        pairs[1:] = v[:-1] * v[1:] * (own[1:] == own[:-1])[:, None]
+        if last is not None and last[1] == own[0]:
+            pairs[0] = last[0] * v[0]
+        out[docs, 2 * DIM :] += np.add.reduceat(pairs, start, axis=0)
+        last = v[-1], own[-1]
+    return out / np.maximum(1, np.diff(first)).astype(np.float32)[:, None]
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -215,9 +239,9 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, thres
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([flat, batch.column(1).slice(at, len(texts))], names=["x", "y"])
 
-    rows = chosen.mapInArrow(measured, "x array<double>, y int").collect()  # at most `sample` rows of fixed length
-    y = np.array([r["y"] for r in rows], float)
-    model = fit(np.array([r["x"] for r in rows]), y) if 0 < y.sum() < len(y) else None
+    rows = chosen.mapInArrow(measured, "x array<float>, y int").toArrow()  # at most `sample` rows of fixed length
+    y = rows["y"].to_numpy().astype(float)
+    model = fit(rows["x"].combine_chunks().flatten().to_numpy().reshape(len(y), -1).astype(float), y) if 0 < y.sum() < len(y) else None
     learned = docs.sparkSession.sparkContext.broadcast(model)
     ready = docs.select(F.struct(*keep).alias("kept"), (remainder(mod) == held).alias("held_out"), "text")
 

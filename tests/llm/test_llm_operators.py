@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from coneflow.llm import bpe, chosen_path, cross_polytope, gru, lm_scoring, mixing, quality, queries, suffix_dedup, suffix_sort, toxicity, va_file, warc
 from coneflow.llm.components import components
 from coneflow.llm.common import shared_folder
+from coneflow.llm.shingles import mixed
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -570,10 +571,21 @@ def test_score_against_a_plain_loop(spark, docs, monkeypatch):
         assert got[row.doc_id].score == pytest.approx(total / math.log(10), rel=1e-4)
 
 
+def test_index_vectors_tell_words_apart():
+    """Ten thousand words have as many vectors, and two of them have nothing in common on average."""
+    hashes, _ = quality.words_of([" ".join(f"word{k}" for k in range(10_000))])
+    x = quality.unit(quality.index_vectors(hashes))
+    assert len(np.unique(x, axis=0)) == 10_000
+    cosines = (x[:2000] @ x[2000:4000].T).ravel()
+    assert abs(cosines.mean()) < 0.002 and cosines.std() < 0.08
+
+
 def test_quality_scores_against_plain_loops(spark, monkeypatch):
     """Vectors, pooling, network and temperature recomputed word by word; some words are rarer than the common ones."""
     docs, labels = _labelled(spark, 300)
     monkeypatch.setattr(quality, "COMMON", 500)
+    long = spark.createDataFrame([(7001, " ".join(f"w{k * k % 997}" for k in range(40_000)), "en", "s")], "doc_id long, text string, lang string, source string")
+    docs = docs.select("doc_id", "text").unionByName(long.select("doc_id", "text"))  # longer than a slice
     kept = {}
     for name in ("word_vectors", "fit"):
         real = getattr(quality, name)
@@ -587,8 +599,12 @@ def test_quality_scores_against_plain_loops(spark, monkeypatch):
 
     def word(w):
         if w not in known:
-            h, shape, _ = quality.words_of([w])
-            known[w] = int(h[0]), quality.index_vectors(h, shape)[0].astype(float)
+            h = int(quality.words_of([w])[0][0])
+            signs = int(mixed(np.array([h], np.uint64) + np.uint64(0x9E3779B97F4A7C15))[0])
+            v = np.zeros(quality.DIM)
+            for k in range(quality.PLACES):  # eight bytes are eight places
+                v[h >> 8 * k & 255] += 1 - 2 * (signs >> 8 * k & 1)
+            known[w] = h, v
         return known[w]
 
     texts = {r.doc_id: WORDS.findall(r.text) for r in docs.collect()}
@@ -602,7 +618,7 @@ def test_quality_scores_against_plain_loops(spark, monkeypatch):
     length = np.linalg.norm(sums, axis=1, keepdims=True)
     assert np.allclose(vectors, sums / np.where(length > 0, length, 1), atol=1e-6)
     assert any(word(w)[0] not in place for ws in texts.values() for w in ws)
-    for i in list(texts)[:40]:
+    for i in [*list(texts)[:40], 7001]:
         v = []
         for w in texts[i]:
             h, own = word(w)
