@@ -41,7 +41,7 @@ from .shingles import word_hashes
 
 COMMON, ROUNDS = 1 << 19, 4
 #: Words that a copy of the model reads in a round, and copies of a round at most.
-GROUP, GROUPS = 1 << 18, 4096
+GROUP, GROUPS = 1 << 20, 4096
 #: Words that a task trains on at a time.
 CHUNK = 1 << 20
 END = np.uint64(0x9E3779B97F4A7C15)
