@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..cluster import checkpointed
 from ..functions.selections import large_area, no_hard_constituent, several_constituents
 from . import grooming, jetfinding, matching
+from .sampling import thermal_background
 
 
 def _jets(tracks: DataFrame, r: float, pt_min: float, system: str, ghost_area: float | None = None, most_pt: float = 100.0) -> DataFrame:
@@ -66,3 +67,11 @@ def analyze_embedding(part: DataFrame, det: DataFrame, background: DataFrame, r:
     for level, jets in found.items():
         out = out.join(_groomed(jets, method, level), ["event_id", level])
     return out
+
+
+def analyze_thermal_embedding(part: DataFrame, det: DataFrame, mean: float, sigma: float, temperature: float = 0.4, seed: int = 11, **settings: float | str) -> DataFrame:
+    """The same with a thermal background under each event of the measured level; its particles' indices follow all of the signal's."""
+    events = det.select("event_id").distinct()
+    first = 1 + (det.agg(F.max("idx")).first()[0] or 0)
+    background = thermal_background(events, mean, sigma, temperature, seed).withColumn("idx", (F.col("idx") + first).cast("int"))
+    return analyze_embedding(part, det, background, **settings)

@@ -43,11 +43,16 @@ def numbered(df: DataFrame, order: list[str], name: str = "position") -> DataFra
     return ranged.join(offsets, "__part").withColumn(name, (F.col("__before") + F.col("__in")).cast("long")).drop("__part", "__in", "__before")
 
 
-def embedding_pairs(signal: DataFrame, background: DataFrame, key: str = "event_id") -> DataFrame:
-    """(background, signal): the n-th background event gets the n-th signal event; the signal repeats when it runs out."""
+def embedding_pairs(signal: DataFrame, background: DataFrame, key: str = "event_id", repeat: bool = True) -> DataFrame:
+    """(background, signal): the n-th background event gets the n-th signal event; the signal repeats when it runs out.
+
+    Without ``repeat`` both sources are fixed, and must have equal numbers of events.
+    """
     s = numbered(signal.select(key).distinct(), [key])
     b = numbered(background.select(key).distinct(), [key])
     n = s.count()
+    if not repeat and n != (m := b.count()):
+        raise ValueError(f"sizes of fixed sources differ: {n} signal and {m} background events")
     s, b = s.withColumnRenamed(key, "signal"), b.withColumnRenamed(key, "background")
     return b.withColumn("position", F.col("position") % n).join(s, "position").select("background", "signal")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from coneflow.functions import kinematics as K
 from coneflow.functions import selections as P
-from coneflow.operators import grooming, jetfinding, matching, response, sampling, systematics
+from coneflow.operators import drivers, grooming, jetfinding, matching, response, sampling, systematics
 from coneflow.operators import histograms as H
 from coneflow.operators.tracking_efficiency import efficiency
 from coneflow.sources import event_tables, generator_text
@@ -314,3 +314,19 @@ def test_iteration_errors_by_loops(spark):
         reg, stat, prior = (np.maximum(abs(v[k - 2] - cur), abs(v[k + 1] - cur)) * over).sum(), (e[k - 1] * over)[1:].sum(), (abs(cur - o[k - 1]) * over).sum()
         assert (r.regularization, r.statistical, r.prior, r.total) == pytest.approx((reg, stat, prior, np.sqrt(reg**2 + stat**2 + prior**2)))
     assert response.best_iteration(response.iteration_errors(frame(v), ["bin"])).first().iteration in got
+
+
+def test_fixed_sources_must_agree(spark):
+    a, b = spark.range(12).withColumnRenamed("id", "event_id"), spark.range(5).withColumnRenamed("id", "event_id")
+    assert matching.embedding_pairs(a, a, repeat=False).filter("background <> signal").count() == 0
+    assert matching.embedding_pairs(b, a).count() == 12
+    with pytest.raises(ValueError, match="12 background"):
+        matching.embedding_pairs(b, a, repeat=False)
+
+
+def test_thermal_embedding_finds_the_signal(spark):
+    rng = np.random.default_rng(6)
+    rows = [(e, i, float(pt), float(0.1 * rng.normal()), float(1 + 0.1 * rng.normal())) for e in range(3) for i, pt in enumerate((25.0, 12.0, 8.0, 5.0))]
+    tracks = spark.createDataFrame(rows, "event_id long, idx int, pt double, eta double, phi double")
+    out = drivers.analyze_thermal_embedding(tracks, tracks, 150, 5, pt_min=20.0).collect()
+    assert sorted(r.event_id for r in out) == [0, 1, 2] and all(abs(r.hybrid_jet_pt - r.true_jet_pt) < 15 and r.det_level_jet_pt == pytest.approx(r.true_jet_pt) for r in out)
