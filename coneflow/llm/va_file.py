@@ -5,16 +5,18 @@
    component, the number of its cell between the block's least and largest value.
 2. Blocks of queries scan the files, and nothing but them. The product with the
    middles of the cells is one product with the codes; half of the cells' widths
-   bounds what it may be off. Within a block all rows stay whose upper bound
-   reaches the k-th lower bound; the k-th lower bound over all blocks then drops
-   most of these.
+   bounds what it may be off. A task scans a series of files one after another
+   and keeps each query's k best lower bounds so far: rows stay whose upper bound
+   reaches the k-th of them, so a series leaves little more than k rows of a
+   query. The k-th lower bound over all series then drops most of these.
 3. What is left is read exactly, in the order of the upper bounds: first
    FIRST * k rows of each query, then those whose upper bound still reaches the
    k-th exact score. No other row can be among the k best.
 
-Blocks of queries meet files in separate tasks, so no task holds more than one
-of each; a file is an eighth of its vectors, and it is what is sent once for each
-block of queries. Exact vectors meet only the pairs that are left. Of equal
+Blocks of queries meet series of up to SERIES files in separate tasks, so no task
+holds more than these; queries are sent once for each series. A file is an eighth
+of its vectors, and it is what is sent once for each block of queries. Exact
+vectors meet only the pairs that are left. Of equal
 vectors only the k + 1 smallest ids take part as candidates: ties go to smaller
 ids and one may be the query's own, so no others can be found. The work is
 (queries x rows): exact search has no other end.
@@ -38,6 +40,8 @@ from .common import hot_keys, joined_apart, shared_folder, stored
 from .vectors import first_copies, matrix, merged, one_row_per_id
 
 CELLS, BLOCK, FIRST = 256, 8192, 2
+#: Files that a task scans at most, and series that there are at least where there are as many files.
+SERIES, LEAST_SERIES = 16, 8
 #: Bytes of exact vectors in a block at most, whatever their length.
 BLOCK_BYTES = 1 << 25
 #: Bounds that one step of a scan holds.
@@ -60,12 +64,27 @@ def bounds(queries: np.ndarray, codes: np.ndarray, low: np.ndarray, width: np.nd
     return middle, np.abs(queries) @ (width / 2) + 1e-9 * (1.0 + size)  # the last part: rounding
 
 
-def survivors(middle: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of all products whose upper bound reaches their row's k-th lower bound."""
-    if not middle.size:
-        return np.empty(0, int), np.empty(0, int)
-    floor = -np.partition(-middle, k - 1, axis=1)[:, k - 1] - 2 * off if middle.shape[1] >= k else np.full(len(middle), -np.inf)
-    return np.nonzero((middle >= floor[:, None]) & (middle > -np.inf))
+class Running:
+    """What a series of files leaves of each query: the k best lower bounds so far, and the rows that may still be among the k best."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.best = k, np.full((n, k), -np.inf)
+        self.kept: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0)]]
+
+    def seen(self, rows: slice, middle: np.ndarray, off: np.ndarray, ids: np.ndarray) -> None:
+        """Products of the queries ``rows`` with a file's rows, and by how much each query's may be off."""
+        k = min(self.k, middle.shape[1])
+        top = -np.partition(-middle, k - 1, axis=1)[:, :k] - off[:, None] if k else np.empty((len(middle), 0))
+        self.best[rows] = -np.partition(-np.concatenate([self.best[rows], top], axis=1), self.k - 1, axis=1)[:, : self.k]
+        r, c = np.nonzero((middle + off[:, None] >= self.best[rows].min(axis=1)[:, None]) & (middle > -np.inf))
+        for part, value in zip(self.kept, (r + rows.start, ids[c], middle[r, c] + off[r], middle[r, c] - off[r])):
+            part.append(value)
+
+    def left(self) -> tuple[np.ndarray, ...]:
+        """Query, id, upper and lower bound of the rows that reach the k-th lower bound of the whole series."""
+        query, ids, upper, lower = map(np.concatenate, self.kept)
+        stay = upper >= self.best.min(axis=1)[query] if len(query) else np.empty(0, bool)
+        return query[stay], ids[stay], upper[stay], lower[stay]
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -77,37 +96,36 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _files(held: DataFrame) -> DataFrame:
-    """One row for each block (dim, b): its ids, codes, and cells."""
+    """One row for each block (dim, b): its series, ids, codes, and cells."""
 
     def run(group: pa.Table) -> pa.Table:
         codes, low, width = cells(matrix(group["vec"]))
-        one = {"dim": group["dim"][:1], "b": group["b"][:1], "queues": group["queues"][:1]}
+        one = {c: group[c][:1] for c in ("dim", "s", "queues")}
         return pa.table({**one, "ids": pa.array([group["vec_id"].to_numpy()], pa.list_(pa.int64())), "low": pa.array([low], pa.list_(pa.float64())), "width": pa.array([width], pa.list_(pa.float64())), "codes": pa.array([codes.tobytes()], pa.binary())})
 
-    return held.select("dim", "b", "queues", "vec_id", "vec").groupBy("dim", "b").applyInArrow(run, "dim int, b int, queues int, ids array<bigint>, low array<double>, width array<double>, codes binary")
+    return held.select("dim", "b", "s", "queues", "vec_id", "vec").groupBy("dim", "b").applyInArrow(run, "dim int, s int, queues int, ids array<bigint>, low array<double>, width array<double>, codes binary")
 
 
 def _scanned(files: DataFrame, asks: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, upper, lower) of the rows that stay in each block for each query."""
+    """(query_id, vec_id, upper, lower) of the rows that each series of files leaves of each query."""
 
     def run(file: pa.Table, asking: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0)]]
-        if file.num_rows and asking.num_rows:
-            ids = file["ids"][0].values.to_numpy()
-            low, width = (file[c][0].values.to_numpy() for c in ("low", "width"))
-            codes = np.frombuffer(file["codes"][0].as_py(), np.uint8).reshape(len(ids), -1 if len(low) else 0)
-            queries, query_ids = matrix(asking["vec"]), asking["vec_id"].to_numpy()
+        queries, query_ids = (matrix(asking["vec"]), asking["vec_id"].to_numpy()) if asking.num_rows else (np.empty((0, 0)), np.empty(0, np.int64))
+        state = Running(len(query_ids), k)
+        for f in range(file.num_rows if asking.num_rows else 0):
+            ids = file["ids"][f].values.to_numpy()
+            low, width = (file[c][f].values.to_numpy() for c in ("low", "width"))
+            codes = np.frombuffer(file["codes"][f].as_py(), np.uint8).reshape(len(ids), -1 if len(low) else 0)
             step = max(1, SCORES // len(ids))
             for at in range(0, len(queries), step):
-                own = query_ids[at : at + step]
-                middle, off = bounds(queries[at : at + step], codes, low, width)
-                middle[own[:, None] == ids[None, :]] = -np.inf
-                r, c = survivors(middle, off, k)
-                for part, value in zip(out, (own[r], ids[c], middle[r, c] + off[r], middle[r, c] - off[r])):
-                    part.append(value)
-        return pa.table(dict(zip(("query_id", "vec_id", "upper", "lower"), map(np.concatenate, out))))
-
-    key = ["dim", "b", "q"]
+                rows = slice(at, min(len(queries), at + step))
+                middle, off = bounds(queries[rows], codes, low, width)
+                middle[query_ids[rows, None] == ids[None, :]] = -np.inf
+                state.seen(rows, middle, off, ids)
+        query, ids, upper, lower = state.left()
+        return pa.table({"query_id": query_ids[query], "vec_id": ids, "upper": upper, "lower": lower})
+
+    key = ["dim", "s", "q"]
     sent = files.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("queues") - 1)))
     return sent.groupBy(key).cogroup(asks.select(*key, "vec_id", "vec").groupBy(key)).applyInArrow(run, "query_id bigint, vec_id bigint, upper double, lower double")
 
@@ -144,14 +162,15 @@ def top_k(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     per = F.greatest(F.lit(64), F.least(F.lit(block), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim") + 1))))
     counted = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(asking, 1)).alias("asked"))
     share = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / per)).cast("int")
-    sizes = stored(counted.select("dim", "n", share("n").alias("blocks"), share("asked").alias("queues")), folder, "sizes")
+    series = F.least(F.lit(SERIES), F.ceil(F.col("blocks") / LEAST_SERIES)).cast("int")
+    sizes = stored(counted.select("dim", "n", share("n").alias("blocks"), share("asked").alias("queues")).withColumn("series", series), folder, "sizes")
     held = stored(first_copies(rows, k + 1), folder, "held")
     hot = hot_keys(sizes, ["dim"], "n")
-    dealt = joined_apart(held, sizes, hot, ["dim"]).withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    dealt = joined_apart(held, sizes, hot, ["dim"]).withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("s", F.floor(F.col("b") / F.col("series")).cast("int"))
     files = stored(_files(dealt), folder, "files")
     asks = rows.filter(asking)
     sent = joined_apart(asks, sizes, hot, ["dim"]).withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit("q")), F.col("queues")).cast("int"))
-    sent = sent.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.withColumn("s", F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / F.col("series")).cast("int"))))
     found = stored(_scanned(files, sent, k), folder, "found")
     left = found.join(_kth(found, "lower", k), "query_id", "left").filter("least is null or upper >= least").select("query_id", "vec_id", "upper")
     w = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id")

@@ -333,6 +333,24 @@ def test_va_file_against_all_products(spark, block):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_va_file_series_leave_few_rows():
+    """Files seen one after another leave each query the rows that can be among its k best, and not k of every file."""
+    rng, k = np.random.default_rng(8), 10
+    x, q = np.floor(64 * rng.normal(size=(16, 500, 32))), np.floor(64 * rng.normal(size=(40, 32)))
+    state = va_file.Running(len(q), k)
+    for b, block in enumerate(x):
+        codes, low, width = va_file.cells(block)
+        for at in (0, 25):
+            rows = slice(at, min(40, at + 25))
+            state.seen(rows, *va_file.bounds(q[rows], codes, low, width), np.arange(500) + 500 * b)
+    query, ids, upper, lower = state.left()
+    exact = q @ x.reshape(-1, 32).T
+    assert ((lower <= exact[query, ids]) & (exact[query, ids] <= upper)).all()
+    for i in range(40):
+        assert set(np.argsort(-exact[i])[:k]) <= set(ids[query == i].tolist())
+    assert len(query) < 2 * 40 * k < 16 * 40 * k / 2
+
+
 def test_suffix_arrays_and_prefixes():
     random.seed(1)
     for trial in range(120):
