@@ -21,7 +21,12 @@ MISS, one in a million, and so does the share of equal coordinates below which
 a pair is not looked at further (binomial, over the COORDINATES that all trees
 share). At p = 0.85 these are four trees (2.6e-7) and 39 of 64 coordinates, at
 0.80 five trees (1.0e-7) and 34. Links at p are thus missed with less than two
-in a million; each further level of a large node misses at most (1 - p)^2 a tree.
+in a million where nodes are small. A pair that shares large nodes down to the
+last level can be parted at each of LEVELS levels, with at most (1 - p)^2 each,
+so in a tree with at most (LEVELS + 1) (1 - p)^2, and in all trees with that to
+the power of their number: 1.6e-4 at 0.85 and 3.2e-4 at 0.80, were trees
+independent (below the roots they draw on the same coordinates, so it may be
+more). What branches apart is joined again by any third text that is linked to both.
 
 Defined results: null, empty and wordless texts have no shingles and stand
 alone; texts of fewer words than a shingle are one shingle; rows without doc_id
@@ -39,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stored
+from .common import joined, shared_folder, stored
 from .components import components
 from .shingles import COORDINATES, Groups, minhash, set_key, shingle_set
 
@@ -209,7 +214,7 @@ def candidates(reps: DataFrame, folder: str, percent: int) -> DataFrame:
         by_hash = F.struct(F.xxhash64("rep", F.lit(level)).alias("h"), F.col("rep").alias("r"))
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(by_hash)["r"].alias("p1"), F.max(by_hash)["r"].alias("p2"))
         nodes = stored(nodes.filter("low < high").drop("low", "high"), folder, f"nodes{level}")
-        members = rows.join(nodes, "node")
+        members = joined(rows, nodes, ["node"], "n")
         coded = members.join(reps.select("rep", "code"), "rep")
         found.append(stored(compared(coded.filter(F.col("n") <= SMALL), least), folder, f"small{level}"))
         large = nodes.filter(F.col("n") > SMALL)
@@ -226,14 +231,16 @@ def candidates(reps: DataFrame, folder: str, percent: int) -> DataFrame:
         big = stored(big, folder, f"big{level}")
         pivots = [big.filter(F.col("rep") == F.col(p)).select("node", F.col("sig").alias(f"{p}_sig")).dropDuplicates(["node"]) for p in ("p1", "p2")]
         same = lambda p: F.size(F.filter(F.zip_with("sig", f"{p}_sig", lambda x, y: x == y), lambda z: z)) >= NEAR * COORDINATES
-        near = big.join(pivots[0].join(pivots[1], "node"), "node").select("rep", F.explode(F.array(*[F.when(same(p) & (F.col("rep") != F.col(p)), F.col(p)) for p in ("p1", "p2")])).alias("b"))
+        pivots = stored(large.select("node", "n").join(pivots[0], "node").join(pivots[1], "node"), folder, f"pivots{level}")
+        near = joined(big, pivots, ["node"], "n").select("rep", F.explode(F.array(*[F.when(same(p) & (F.col("rep") != F.col(p)), F.col(p)) for p in ("p1", "p2")])).alias("b"))
         found.append(stored(near.filter("b is not null").select(F.col("rep").alias("a"), "b"), folder, f"near{level}"))
         # nodes whose members all belong together by now are done
         roots = components(_all(found), folder, f"labels{level}_")
         big = big.drop("label").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("root", "rep"))
         big = stored(big.select("node", "rep", "label", "sig", "code"), folder, f"labelled{level}")
-        mixed = big.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("node")
-        rows = _children(big.join(mixed, "node", "left_semi"), level, first)
+        mixed = big.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low < high")
+        mixed = stored(mixed.select("node", "n"), folder, f"mixed{level}")
+        rows = _children(joined(big, mixed, ["node"], "n"), level, first)
         reps = stored(big.select("rep", "sig", "code").dropDuplicates(["rep"]), folder, f"reps{level}")
     return _all(found)
 

@@ -203,6 +203,28 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, small, pairwise,
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_twins_in_large_nodes_stay_together(spark, monkeypatch):
+    """Families of texts that are half alike fill large nodes down to the last level; within them only twins are linked, at 0.85 to 0.9."""
+    monkeypatch.setattr(chosen_path, "SMALL", 4)
+    hot = []
+    real = chosen_path.joined
+    monkeypatch.setattr(chosen_path, "joined", lambda rows, side, keys, copies: hot.append(keys) or real(rows, side, keys, copies))
+    rng, rows = random.Random(17), []
+    for family in range(25):
+        base = [f"f{family}w{k}" for k in range(240)]
+        for twin in range(8):
+            own = [*base[:170], *[f"f{family}t{twin}x{k}" for k in range(70)]]
+            for copy in range(2):
+                text = own[:]
+                for _ in range(copy * 3):
+                    text[rng.randrange(240)] = f"y{rng.random()}"
+                rows.append((len(rows), " ".join(text)))
+    got = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    truth = _near_truth(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == truth and ["node"] in hot
+    assert 150 < len({c for _, c in truth.values()}) < 300
+
+
 @pytest.mark.parametrize("percent", [30, 50, 80, 85, 95])
 def test_chosen_path_misses_less_than_one_in_a_million(percent):
     p, n = percent / 100, chosen_path.COORDINATES
