@@ -5,9 +5,9 @@ counted over all documents, and one pass adds up, for the COMMON most frequent
 ones, the index vectors of their neighbours in all documents; partitions' sums
 meet sorted by word and are added as a stream. That sum is the word's vector. A
 rarer word, met too seldom for its neighbours to say much, has its own index
-vector instead. Vectors count at length one, and a document is pooled as the
-means of its words' vectors, of their squares, and of the products of neighbours,
-in which repetition shows. A network of two layers is fitted in numpy to a
+vector instead. Vectors count at length one, and a document is pooled as the mean
+of its words' vectors, and the means of squares and of products of neighbours (in
+which repetition shows) of their first FEW numbers. A network of two layers is fitted in numpy to a
 bounded sample (SAMPLE labelled documents of least hash, outside the held-out
 part); its temperature is set on a fifth of the sample that the layers don't see.
 
@@ -33,6 +33,8 @@ from .labelled import labelled_sample, remainder
 from .shingles import mixed, prefix_sums
 
 SAMPLE, COMMON, DIM, PLACES, WINDOW, HIDDEN, EPOCHS = 8000, 1 << 13, 256, 8, 2, 24, 60
+#: Numbers of a vector whose squares and products with the next word's are pooled: one part of the places.
+FEW = DIM // PLACES
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of texts read at a time, and words whose vectors are held at once, to bound a task's memory.
@@ -53,20 +55,17 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sparse(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """PLACES places of each word's index vector (they may coincide), and a sign at each."""
-    shift = np.arange(PLACES, dtype=np.uint64) * np.uint64(8)
-    places = (hashes[:, None] >> shift & np.uint64(DIM - 1)).astype(np.int64)
-    signs = (mixed(hashes + np.uint64(0x9E3779B97F4A7C15))[:, None] >> shift & np.uint64(1)).astype(np.float32)
-    return places, 1 - 2 * signs
+    """PLACES places of each word's index vector, one in each part of DIM / PLACES numbers, and a sign at each."""
+    part, at = DIM // PLACES, np.arange(PLACES, dtype=np.uint64)
+    bits = hashes[:, None] >> at * np.uint64(8)
+    return ((bits & np.uint64(part - 1)) + at * np.uint64(part)).astype(np.int64), 1 - 2 * (bits >> np.uint64(7) & np.uint64(1)).astype(np.float32)
 
 
 def index_vectors(hashes: np.ndarray) -> np.ndarray:
-    """The same as rows of DIM numbers."""
+    """The same as rows of DIM numbers, of length one."""
     x = np.zeros((len(hashes), DIM), np.float32)
     places, signs = sparse(hashes)
-    row = np.arange(len(hashes))
-    for k in range(PLACES):
-        x[row, places[:, k]] += signs[:, k]
+    np.put_along_axis(x, places, signs / np.float32(np.sqrt(PLACES)), 1)
     return x
 
 
@@ -166,27 +165,36 @@ def word_vectors(docs: DataFrame, words: np.ndarray) -> np.ndarray:
 
 
 def document_features(texts: list[str], words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Means of the word vectors of each text, of their squares, and of their products with the next word's; zeros for texts without words."""
-    out = np.zeros((len(texts), 3 * DIM), np.float32)
+    """Means over each text of its words' vectors, of their first FEW numbers squared, and of the products of these with the next word's; zeros without words."""
+    out = np.zeros((len(texts), DIM + 2 * FEW))
     hashes, first = words_of(texts)
     document = np.repeat(np.arange(len(texts)), np.diff(first))
-    last = None  # the vector and document of the word before a slice
+    last = None  # the first numbers and the document of the word before a slice
     for lo in range(0, len(hashes), SLICE):
         h, own = hashes[lo : lo + SLICE], document[lo : lo + SLICE]
         at, known = found_in(h, words)
-        v = vectors[at] if len(words) else np.zeros((len(h), DIM), np.float32)
-        v[~known] = unit(index_vectors(h[~known]))
+        v = np.zeros((len(h), FEW), np.float32)
+        common, rare = np.flatnonzero(known), np.flatnonzero(~known)
+        if len(common):
+            start = np.flatnonzero(np.r_[True, own[common[1:]] != own[common[:-1]]])
+            out[own[common[start]], :DIM] += np.add.reduceat(vectors[at[common]], start, axis=0)
+            v[common] = vectors[at[common], :FEW]
+        if len(rare):
+            places, signs = sparse(h[rare])
+            signs /= np.float32(np.sqrt(PLACES))
+            some = slice(own[rare[0]], own[rare[-1]] + 1)
+            sums = np.bincount(((own[rare] - some.start)[:, None] * DIM + places).ravel(), signs.ravel(), (some.stop - some.start) * DIM)
+            out[some, :DIM] += sums.reshape(-1, DIM)
+            v[rare, places[:, 0]] = signs[:, 0]
         start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        docs = own[start]
-        out[docs, :DIM] += np.add.reduceat(v, start, axis=0)
-        out[docs, DIM : 2 * DIM] += np.add.reduceat(v * v, start, axis=0)
         pairs = np.zeros_like(v)
         pairs[1:] = v[:-1] * v[1:] * (own[1:] == own[:-1])[:, None]
         if last is not None and last[1] == own[0]:
             pairs[0] = last[0] * v[0]
-        out[docs, 2 * DIM :] += np.add.reduceat(pairs, start, axis=0)
+        out[own[start], DIM : DIM + FEW] += np.add.reduceat(v * v, start, axis=0)
+        out[own[start], DIM + FEW :] += np.add.reduceat(pairs, start, axis=0)
         last = v[-1], own[-1]
-    return out / np.maximum(1, np.diff(first)).astype(np.float32)[:, None]
+    return (out / np.maximum(1, np.diff(first))[:, None]).astype(np.float32)
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:

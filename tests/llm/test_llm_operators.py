@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from coneflow.llm import bpe, chosen_path, cross_polytope, gru, lm_scoring, mixing, quality, queries, suffix_dedup, suffix_sort, toxicity, va_file, warc
 from coneflow.llm.components import components
 from coneflow.llm.common import shared_folder
-from coneflow.llm.shingles import mixed
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -614,7 +613,7 @@ def test_score_against_a_plain_loop(spark, docs, monkeypatch):
 def test_index_vectors_tell_words_apart():
     """Ten thousand words have as many vectors, and two of them have nothing in common on average."""
     hashes, _ = quality.words_of([" ".join(f"word{k}" for k in range(10_000))])
-    x = quality.unit(quality.index_vectors(hashes))
+    x = quality.index_vectors(hashes)
     assert len(np.unique(x, axis=0)) == 10_000
     cosines = (x[:2000] @ x[2000:4000].T).ravel()
     assert abs(cosines.mean()) < 0.002 and cosines.std() < 0.08
@@ -640,10 +639,9 @@ def test_quality_scores_against_plain_loops(spark, monkeypatch):
     def word(w):
         if w not in known:
             h = int(quality.words_of([w])[0][0])
-            signs = int(mixed(np.array([h], np.uint64) + np.uint64(0x9E3779B97F4A7C15))[0])
             v = np.zeros(quality.DIM)
-            for k in range(quality.PLACES):  # eight bytes are eight places
-                v[h >> 8 * k & 255] += 1 - 2 * (signs >> 8 * k & 1)
+            for k in range(8):  # of each byte five bits are a place among 32, and the last one is a sign
+                v[32 * k + (h >> 8 * k & 31)] = 1 - 2 * (h >> 8 * k + 7 & 1)
             known[w] = h, v
         return known[w]
 
@@ -664,7 +662,7 @@ def test_quality_scores_against_plain_loops(spark, monkeypatch):
             h, own = word(w)
             v.append(vectors[place[h]].astype(float) if h in place else own / (np.linalg.norm(own) or 1.0))  # signs may cancel
         v = np.array(v)
-        pooled = np.concatenate([v.mean(axis=0), (v * v).mean(axis=0), (v[:-1] * v[1:]).sum(axis=0) / len(v)])
+        pooled = np.concatenate([v.mean(axis=0), (v * v)[:, :32].mean(axis=0), (v[:-1] * v[1:])[:, :32].sum(axis=0) / len(v)])
         z = np.tanh((pooled - model["centre"]) / model["spread"] @ model["a"] + model["b"]) @ model["c"] + model["d"]
         assert got[i] == pytest.approx(float(1 / (1 + np.exp(-z[0] / model["temperature"][0]))), abs=1e-4)
     # the temperature is the best for the fifth that the layers don't see
