@@ -94,21 +94,30 @@ def match_chain(hybrid_det: DataFrame, det_true: DataFrame, event: str = "event_
     return a.join(b, [event, "det"]).select(event, "hybrid", "det", "true")
 
 
-#: Cells are this much wider than the largest distance, so that rounding parts no pair by more than one cell.
-_CELL_SLACK = 1.001
+#: Cells are so many distances wide, and a row reaches this much farther than the distance, so that rounding parts no pair.
+_CELL_WIDTH, _CELL_SLACK = 4, 1.001
+
+
+def _cell(x: Column, near: float) -> Column:
+    return F.floor(x / (near * _CELL_WIDTH))
+
+
+def cells_in_reach(rows: DataFrame, near: float) -> DataFrame:
+    """Each row once for every cell (__i, __j) that may hold what is ``near``."""
+    around = lambda x: F.explode(F.sequence(_cell(F.col(x) - near * _CELL_SLACK, near), _cell(F.col(x) + near * _CELL_SLACK, near)))
+    return rows.withColumn("__i", around("eta")).withColumn("__j", around("phi"))
 
 
 def near_pairs(generated: DataFrame, measured: DataFrame, key: str, near: float) -> DataFrame:
     """Rows of ``generated`` beside those of ``measured`` with the same key, within ``near`` in eta and in phi.
 
-    A measured row is sent to its own cell of the eta-phi plane and the eight
-    around it, so pairs come from an equi-join on (key, cell) and a jet of many
-    constituents is not compared with itself. Rows without eta or phi match nothing.
+    A measured row is sent to all cells of the eta-phi plane that lie within
+    reach, mostly one or two and at most four, so pairs come from an equi-join on
+    (key, cell) and a jet of many constituents is not compared with itself. Rows
+    without eta or phi match nothing.
     """
-    cell = lambda x: F.floor(F.col(x) / (near * _CELL_SLACK))
-    around = lambda x: F.explode(F.sequence(cell(x) - 1, cell(x) + 1))
-    m = measured.withColumn("__i", around("eta")).withColumn("__j", around("phi")).withColumnsRenamed({"eta": "__eta", "phi": "__phi"})
-    pairs = generated.withColumns({"__i": cell("eta"), "__j": cell("phi")}).join(m, [key, "__i", "__j"])
+    m = cells_in_reach(measured, near).withColumnsRenamed({"eta": "__eta", "phi": "__phi"})
+    pairs = generated.withColumns({"__i": _cell(F.col("eta"), near), "__j": _cell(F.col("phi"), near)}).join(m, [key, "__i", "__j"])
     return pairs.filter((F.abs(F.col("eta") - F.col("__eta")) <= near) & (F.abs(F.col("phi") - F.col("__phi")) <= near)).drop("__i", "__j", "__eta", "__phi")
 
 
