@@ -45,7 +45,8 @@ def cost_slots(costs: DataFrame, order: Sequence[str], slots: int) -> DataFrame:
     total = placed.agg(F.sum("cost")).first()[0]
     if not total:
         return placed.withColumn("slot", F.lit(0)).drop("before")
-    return placed.withColumn("slot", F.floor(F.col("before").cast("decimal(38,0)") * slots / F.lit(total).cast("decimal(38,0)")).cast("int")).drop("before")
+    # whole division: a quotient of decimals is rounded to six digits, which lifts an event just below a cut over it
+    return placed.withColumn("slot", F.expr(f"CAST(CAST(before AS DECIMAL(38,0)) * {slots} DIV CAST({total} AS DECIMAL(38,0)) AS INT)")).drop("before")
 
 
 def nested_by_cost(tracks: DataFrame, slots: int, event: str = "event_id", power: int = 2) -> DataFrame:

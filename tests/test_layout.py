@@ -46,6 +46,11 @@ def test_events_by_cost(spark):
     assert layout.nested_by_cost(tracks.limit(0), 4).count() == 0
 
 
+def test_event_just_below_a_cut(spark):
+    costs = spark.createDataFrame([(0, 9_999_999), (1, 1), (2, 10_000_000)], "event_id long, cost long")
+    assert {r.event_id: r.slot for r in layout.cost_slots(costs, ["event_id"], 2).collect()} == {0: 0, 1: 0, 2: 1}
+
+
 def test_running_cost_is_exact(spark):
     rows = spark.range(3000, numPartitions=5).select(F.col("id"), (F.col("id") * 37 % 101).alias("c"))
     got = {r.id: (r.before, r.cost) for r in layout.running_cost(rows, ["id"], F.col("c")).collect()}
