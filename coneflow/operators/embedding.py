@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinematics import UNTAGGED
 from .grooming import methods, splitting_number
-from .matching import subjet_pt, subjets_of
+from .matching import subjet_pt
 
 LEVELS = ("hybrid", "det_level", "true")
 #: Measured and generated level of the prong matchings; fractions in the measured jet are those of the first pair.
@@ -32,11 +32,15 @@ def _found(constituents: Column, ids: Column) -> Column:
     return F.aggregate(F.filter(constituents, lambda c: F.array_contains(ids, c["id"])), F.lit(0.0), lambda s, c: s + c["pt"])
 
 
-def _code(measured: Column, generated: Column, own: str, other: str, has_measured: Column, has_generated: Column) -> Column:
+def _prongs(subjets: Column, splitting: Column) -> Column:
+    """The two subjets of a splitting as (constituents, ids, size), each worked out once."""
+    own = F.filter(subjets, lambda s: s["parent_splitting_index"] == splitting)
+    return F.transform(own, lambda s: F.struct(s["constituents"].alias("constituents"), F.transform(s["constituents"], lambda c: c["id"]).alias("ids"), subjet_pt(s["constituents"]).alias("size")))
+
+
+def _code(measured: dict[str, Column], generated: Column, own: str, other: str, has_measured: Column, has_generated: Column) -> Column:
     """1: more than half of the generated prong lies in the measured one of its name, 2: of the other name, 3: in neither."""
-    prong = generated[own]["constituents"]
-    inside = lambda name: _found(prong, F.transform(measured[name]["constituents"], lambda c: c["id"])) > 0.5 * subjet_pt(prong)
-    hit = lambda name: F.coalesce(inside(name), F.lit(False))
+    hit = lambda name: F.coalesce(_found(generated["constituents"], measured[name]["ids"]) > 0.5 * generated["size"], F.lit(False))
     return F.when(~has_measured, -1).when(~has_generated, 0).when(hit(own), 1).when(hit(other), 2).otherwise(3)
 
 
@@ -57,21 +61,29 @@ def embedding_skim(jets: DataFrame, names: list[str], key: str = "jet_id", regis
     picks = F.explode(F.array(*[F.struct(F.lit(n).alias("method"), *[pick(level, n).alias(level) for level in LEVELS]) for n in names])).alias("picked")
     rows = jets.select(key, *LEVELS, picks)
     idx = lambda level: F.col(f"picked.{level}.idx")
-    prongs = {f"{level}_prongs": F.when(idx(level) >= 0, subjets_of(F.col(f"{level}.subjets"), idx(level))) for level in LEVELS}
+    prongs = {f"{level}_prongs": F.when(idx(level) >= 0, _prongs(F.col(f"{level}.subjets"), idx(level))) for level in LEVELS}
     chosen = {f"{level}_splitting": F.when(idx(level) >= 0, F.get(F.col(f"{level}.splittings"), idx(level))) for level in LEVELS}
-    rows = rows.withColumns(prongs | chosen)
+    everywhere = {"__ids": F.transform(F.col(f"{PAIRS[0][0]}.constituents"), lambda c: c["id"])}
+    rows = rows.withColumns(prongs | chosen | everywhere)
+    named = {}
+    for level in LEVELS:
+        a, b = F.get(f"{level}_prongs", F.lit(0)), F.get(f"{level}_prongs", F.lit(1))
+        first = a["size"] >= b["size"]
+        named |= {f"{level}_leading": F.when(first, a).otherwise(b), f"{level}_subleading": F.when(first, b).otherwise(a)}
+    rows = rows.withColumns(named)
+    prong = lambda level, name: F.col(f"{level}_{name}")
     out = []
     for level in LEVELS:
         out += [F.coalesce(F.col(f"{level}_splitting.{c}"), F.lit(UNTAGGED)).alias(f"{level}_{c}") for c in ("kt", "delta_r", "z")]
         steps = F.coalesce(splitting_number(F.col(f"{level}.splittings"), idx(level)), F.lit(0))
         out += [F.col(f"picked.{level}.n_passed").alias(f"{level}_n_passed"), steps.alias(f"{level}_n_to_split")]
     for measured, generated in PAIRS:
-        m, g = F.col(f"{measured}_prongs"), F.col(f"{generated}_prongs")
+        m = {name: prong(measured, name) for name in ("leading", "subleading")}
         for own, other in (("leading", "subleading"), ("subleading", "leading")):
-            out.append(_code(m, g, own, other, idx(measured) >= 0, idx(generated) >= 0).alias(f"{measured}_{generated}_matching_{own}"))
+            out.append(_code(m, prong(generated, own), own, other, idx(measured) >= 0, idx(generated) >= 0).alias(f"{measured}_{generated}_matching_{own}"))
     measured, generated = PAIRS[0]
     for own in ("leading", "subleading"):
-        prong, ids = F.col(f"{generated}_prongs")[own]["constituents"], F.transform(F.col(f"{measured}.constituents"), lambda c: c["id"])
-        share = F.when(subjet_pt(prong) > 0, _found(prong, ids) / subjet_pt(prong))
+        p = prong(generated, own)
+        share = F.when(p["size"] > 0, _found(p["constituents"], F.col("__ids")) / p["size"])
         out.append(F.coalesce(share, F.lit(0.0)).cast("float").alias(f"{generated}_{own}_subjet_momentum_fraction_in_{measured}_jet"))
     return rows.select(key, F.col("picked.method").alias("method"), *out)

@@ -176,9 +176,10 @@ def gathered(constituents: Column, indices: Column) -> Column:
 
 
 def subjet_pt(constituents: Column) -> Column:
-    px = F.aggregate(constituents, F.lit(0.0), lambda s, c: s + c["pt"] * F.cos(c["phi"]))
-    py = F.aggregate(constituents, F.lit(0.0), lambda s, c: s + c["pt"] * F.sin(c["phi"]))
-    return F.sqrt(px * px + py * py)
+    """Length of the vector sum, in one pass over the constituents."""
+    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    step = lambda s, c: F.struct((s["x"] + c["pt"] * F.cos(c["phi"])).alias("x"), (s["y"] + c["pt"] * F.sin(c["phi"])).alias("y"))
+    return F.aggregate(constituents, zero, step, lambda s: F.sqrt(s["x"] * s["x"] + s["y"] * s["y"]))
 
 
 def subjets_of(subjets: Column, splitting: Column) -> Column:
