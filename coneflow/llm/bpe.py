@@ -14,12 +14,14 @@ library; texts of any length are encoded whole. Other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import re
 import uuid
 from array import array
+from collections.abc import Callable
 from itertools import accumulate
 
 import numpy as np
@@ -33,7 +35,7 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 LATIN_PIECES = rf"'(?:[sdmt]|ll|ve|re)| ?[{LATIN}]+| ?[0-9]+| ?[^\s0-9{LATIN}]+|\s+(?!\S)|\s+"
 NOT_PLAIN = "[^\x00-\x1b\x20-\x7eÀ-ÖØ-öø-ÿ]"
 #: Pieces kept with their ids in a worker's memory, and the longest of them.
-CACHE, CACHE_CHARS = 400_000, 40
+CACHE, CACHE_CHARS = 200_000, 40
 
 
 def byte_letters() -> dict[str, int]:
@@ -142,10 +144,20 @@ class Codec(dict):
         return b"".join(map(self.strings.__getitem__, memoryview(packed).cast("I"))).decode("utf-8", "replace")
 
 
-#: One codec for each worker process and broadcast value.
+#: The codec of the broadcast value that a worker process met last.
 _codecs: dict[str, Codec] = {}
 
 
+def _codec(key: str, vocabulary: Callable[[], dict]) -> Codec:
+    """The worker's codec; it takes the place of one of another call, and what earlier stages left unused in the worker is given back."""
+    if key not in _codecs:
+        _codecs.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _codecs[key] = Codec(vocabulary())
+    return _codecs[key]
+
+
 def encode(docs: DataFrame, vocabulary_path: str, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """``keep`` columns, n_tokens, ids_sha256 and decoded_sha256 of every text; ``with_ids`` adds the ids and the decoded text."""
     keep = [c for c in (keep or ["doc_id"]) if c not in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")]
@@ -156,7 +168,7 @@ def encode(docs: DataFrame, vocabulary_path: str, keep: list[str] | None = None,
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def run(batches):
-        codec = _codecs.get(key) or _codecs.setdefault(key, Codec(shared.value))
+        codec = _codec(key, lambda: shared.value)
         for batch in batches:
             texts = batch.column(len(keep))
             for at in range(0, max(1, len(texts)), 256):

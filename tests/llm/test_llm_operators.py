@@ -94,6 +94,13 @@ def test_mixing_is_nested(docs):
     assert all(large[d] >= c for d, c in small.items())
 
 
+def test_a_worker_keeps_one_codec():
+    vocabulary = lambda: bpe.load_vocabulary(queries.vocabulary_path())
+    first = bpe._codec("a", vocabulary)
+    assert bpe._codec("a", vocabulary) is first and bpe._codec("b", vocabulary) is not first
+    assert list(bpe._codecs) == ["b"]
+
+
 def test_bpe_against_the_library(spark, docs, odd):
     from tokenizers import Tokenizer
 
