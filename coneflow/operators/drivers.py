@@ -23,7 +23,7 @@ def _jets(tracks: DataFrame, r: float, pt_min: float, system: str, ghost_area: f
 
 
 def _groomed(jets: DataFrame, method: str, level: str) -> DataFrame:
-    trees = jetfinding.recluster(jets)
+    trees = jetfinding.recluster(jets, with_subjets=False)
     out = grooming.groomed(trees, method).withColumn("n_to_split", grooming.splitting_number(F.col("splittings"), F.col("idx")))
     keep = ("kt", "delta_r", "z", "n_passed", "n_to_split")
     return out.join(jets.select("event_id", "jet", "pt"), ["event_id", "jet"]).select("event_id", F.col("jet").alias(level), F.col("pt").alias(f"{level}_jet_pt"), *[F.col(c).alias(f"{level}_{c}") for c in keep])

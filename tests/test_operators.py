@@ -151,6 +151,53 @@ def test_events_side_by_side():
     assert jetfinding.cluster(still, 0.4)[0] == [0, 1]
 
 
+@pytest.mark.parametrize("r, algorithm, pt_min, spacing", [(0.4, "anti-kt", 1.0, 0.05), (0.7, "anti-kt", 1.0, 0.02), (0.2, "kt", 0.0, 0.05)])
+def test_ghosts_are_dealt_not_clustered(monkeypatch, r, algorithm, pt_min, spacing):
+    """Areas are those of clustering with all ghosts, though only particles take steps."""
+    rng = np.random.default_rng(8)
+    make = lambda n: np.array([vector(float(pt), float(y), float(phi)) for pt, y, phi in zip(0.15 + rng.exponential(2, n), rng.uniform(-0.95, 0.95, n), rng.uniform(-math.pi, math.pi, n))])
+    events, grid, seen = [make(n) for n in (1, 3, 60, 90, 120)], jetfinding.ghosts(1.0, spacing), []
+    plain, clustered = [], jetfinding._clustered
+    for x, p in zip(clustered([np.concatenate([p, grid]) for p in events], r, algorithm, "E"), events):
+        jets, parents = x.jets.tolist(), list(map(tuple, x.parents.tolist()))
+        parts = [jetfinding.members(k, parents, len(p) + len(grid)) for k in jets]
+        plain.append(sorted(([i for i in m if i < len(p)], sum(i >= len(p) for i in m)) for m, v in zip(parts, x.vectors[x.jets]) if math.hypot(v[0], v[1]) >= pt_min))
+    monkeypatch.setattr(jetfinding, "_clustered", lambda e, *a: (seen.append(sum(map(len, e))), clustered(e, *a))[1])
+    at, vectors, n_ghosts, own = jetfinding._jets_with_area(events, grid, r, algorithm, "E", pt_min)
+    assert seen == [sum(map(len, events))]
+    first = 0
+    for e, p in enumerate(events):
+        mine = [k for k in np.flatnonzero(at == e).tolist() if math.hypot(*vectors[k, :2]) >= pt_min]
+        assert sorted(((np.flatnonzero(own[first : first + len(p)] == k)).tolist(), int(n_ghosts[k])) for k in mine) == plain[e]
+        first += len(p)
+
+
+def test_density_where_jets_are_found(spark):
+    """The median of a narrow pass is that over the rows of all kt jets."""
+    rng = np.random.default_rng(9)
+    rows = [(e, i, float(0.2 + rng.exponential(3)), float(rng.uniform(-0.8, 0.8)), float(rng.uniform(-3.1, 3.1))) for e in range(20) for i in range(1 + 20 * e)]
+    rows += [(99, 0, 200.0, 0.0, 0.0), (99, 1, 3.0, 0.1, 2.0)]
+    events = jetfinding.nested(spark.createDataFrame(rows, "event_id long, idx int, pt double, eta double, phi double"))
+    jets = jetfinding.find_jets(events, 0.2, "kt", ghost_area=0.05)
+    plain = {e: rho for e, rho in jetfinding.median_density(jets).collect()}
+    got = jetfinding.event_density(events)
+    assert "Exchange" in got._jdf.queryExecution().executedPlan().toString() and "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    got = {e: rho for e, rho in got.collect()}
+    assert got.keys() == plain.keys() and max(plain.values()) > 0.1 and all(got[e] == pytest.approx(plain[e], rel=1e-12) for e in plain)
+
+
+def test_splittings_without_subjets(spark):
+    """The same splittings whether or not subjets are asked for."""
+    rng = np.random.default_rng(10)
+    rows = [(e, e % 3, [(i, float(1 + rng.exponential(2)), float(rng.uniform(-0.3, 0.3)), float(rng.uniform(-0.3, 0.3)), 0.14) for i in range(1 + e % 9)]) for e in range(60)]
+    jets = spark.createDataFrame(rows, "event_id long, jet int, particles array<struct<index:int,pt:double,eta:double,phi:double,m:double>>")
+    both = [{(x["event_id"], x["jet"]): x["splittings"] for x in jetfinding.recluster(jets, with_subjets=w).collect()} for w in (True, False)]
+    assert both[0].keys() == both[1].keys() and len(both[0]) == 60
+    for k, own in both[0].items():
+        assert [(s["idx"], s["parent"]) for s in own] == [(s["idx"], s["parent"]) for s in both[1][k]]
+        assert [v for s in own for v in (s["kt"], s["delta_r"], s["z"])] == pytest.approx([v for s in both[1][k] for v in (s["kt"], s["delta_r"], s["z"])], rel=1e-9)
+
+
 def test_splitting_tree_depth_first():
     splittings, subjets = jetfinding.splitting_tree(np.array([vector(10, 0, 0), vector(4, 0, 0.1), vector(2, 0.3, 0)]))
     assert [s["parent"] for s in splittings] == [-1, 0]
