@@ -234,6 +234,32 @@ def prong_flags(shares: DataFrame, key: str = "jet_id") -> DataFrame:
     return shares.groupBy(key).agg(*[has(*p).alias(n) for n, p in pairs.items()])
 
 
+def prong_flags_in_one(rows: DataFrame, key: str = "jet_id") -> DataFrame:
+    """``prong_flags`` of two levels named ``by_vector_sum``, from rows of both together: (jet, measured, part, id, pt, phi).
+
+    ``part`` is 0 or 1, and a level of a jet has an id once. All is windows and
+    grouped sums by jet, or by jet and id, so rows that lie by jet don't travel
+    again. Jets without a shared id have no row.
+    """
+    c, w = F.col, Window.partitionBy(key)
+
+    def size(measured: bool, part: int) -> Column:
+        own = (c("measured") == measured) & (c("part") == part)
+        x, y = (F.sum(F.when(own, c("pt") * f("phi"))).over(w) for f in (F.cos, F.sin))
+        return F.round(F.sqrt(x * x + y * y), 9)
+
+    sizes = {f"__{int(m)}{p}": size(m, p) for m in (False, True) for p in (0, 1)}
+    first = lambda m: F.when(c(f"__{m}0").isNull() | (c(f"__{m}1") > c(f"__{m}0")), 1).otherwise(0)
+    named = rows.withColumns(sizes).withColumn("leading", c("part") == F.when(c("measured"), first(1)).otherwise(first(0)))
+    of = lambda m, x: F.max(F.when(c("measured") == m, x))
+    ids = named.groupBy(key, "id").agg(of(False, c("leading")).alias("__g"), of(True, c("leading")).alias("__m"), of(False, c("pt")).alias("__pt"))
+    total = {p: F.sum(F.when(c("__g") == p, c("__pt"))) for p in (True, False)}
+    flag = lambda p, o: F.coalesce(F.sum(F.when((c("__g") == p) & (c("__m") == o), c("__pt"))) / total[p] > 0.5, F.lit(False))
+    flags = {"leading_proper": flag(True, True), "leading_mistag": flag(True, False), "subleading_proper": flag(False, False), "subleading_mistag": flag(False, True)}
+    both = F.count(F.when(c("__g").isNotNull() & c("__m").isNotNull(), 1)).alias("__n")
+    return ids.groupBy(key).agg(both, *[x.alias(n) for n, x in flags.items()]).filter("__n > 0").drop("__n")
+
+
 def matching_class(leading: Column, subleading: Column, mixes: bool = False) -> Column:
     """Class of a jet by the codes of both prongs; null where a prong has no code.
 

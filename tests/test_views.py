@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coneflow.operators import grooming, matching
-from coneflow.plans import views
+from coneflow.plans import QUERIES, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,6 +28,25 @@ def test_splittings_travel_once(spark):
     assert events._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
+def test_prong_flags_travel_once(spark):
+    """Flags from rows of both levels together are those of joined subjets, ties and lone parts included, and shuffle lineitem once."""
+    rows = [(j, m, (i * j + m) % 2 if j % 5 else j % 2, i, 1.0 + (i * 7 + j) % 5, 0.0 if j % 7 == 0 else 0.1 * i * (m + 1)) for j in range(200) for m in (0, 1) for i in range(m * (j % 3), 1 + (j + 3 * m) % 9)]
+    both = spark.createDataFrame(rows, "jet_id long, m int, part int, id int, pt double, phi double")
+    sides = [both.filter(F.col("m") == m).drop("m") for m in (0, 1)]
+    joined = matching.prong_flags(matching.contained(*map(matching.by_vector_sum, sides)))
+    got = matching.prong_flags_in_one(both.select("jet_id", (F.col("m") == 1).alias("measured"), "part", "id", "pt", "phi"))
+    assert got.columns == joined.columns and 50 < got.count() == joined.count() and got.exceptAll(joined).count() == 0
+    plan = QUERIES["j17_prong_flags"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["tracks", "splittings"])
+def test_only_needed_columns_travel(spark, name):
+    """The order of a view's rows needs no column that its values don't."""
+    plan = views.view(spark, SF, name)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not any(c in plan for c in ("l_extendedprice", "l_quantity", "l_shipdate", "l_returnflag"))
+
+
 def test_near_pairs_on_edges_of_cells(spark):
     """All pairs at any place of a cell, and a row is sent to four cells at most, to far fewer than two on average of many."""
     spots = [k * 0.0025 - 0.1 for k in range(81)]
