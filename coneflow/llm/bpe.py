@@ -14,7 +14,6 @@ library; texts of any length are encoded whole. Other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import json
@@ -29,6 +28,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from . import common
+
 #: How byte-level BPE splits a text, and the same for texts of Latin letters only.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -145,17 +146,12 @@ class Codec(dict):
 
 
 #: The codec of the broadcast value that a worker process met last.
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = common._kept
 
 
 def _codec(key: str, vocabulary: Callable[[], dict]) -> Codec:
-    """The worker's codec; it takes the place of one of another call, and what earlier stages left unused in the worker is given back."""
-    if key not in _codecs:
-        _codecs.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        _codecs[key] = Codec(vocabulary())
-    return _codecs[key]
+    """The worker's codec; it takes the place of what another call kept."""
+    return common.worker_keeps(key, lambda: Codec(vocabulary()))
 
 
 def encode(docs: DataFrame, vocabulary_path: str, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:

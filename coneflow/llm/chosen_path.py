@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, shared_folder, stored
+from .common import given_back, joined, shared_folder, stored
 from .components import components
 from .shingles import COORDINATES, Groups, minhash, set_key, shingle_set
 
@@ -83,6 +83,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, set_key (null for an empty set), minhash signature and its low bytes of every row."""
 
     def run(batches):
+        given_back()
         for batch in batches:
             for at in range(0, max(1, batch.num_rows), 512):
                 part = batch.slice(at, 512)

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +37,28 @@ def discard(spark: SparkSession, folder: str, name: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What this worker process keeps from task to task, by the call that it belongs to: one call's at most.
+_kept: dict[str, Any] = {}
+
+
+def given_back() -> None:
+    """Let go of what earlier calls left in this worker process."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def worker_keeps(key: str, make: Callable[[], Any]) -> Any:
+    """What the worker keeps for the call ``key``; it takes the place of what another call kept."""
+    if key not in _kept:
+        given_back()
+        _kept[key] = make()
+    return _kept[key]
+
+
 #: Keys with more rows than this may count as hot, and so many hot keys at most are broadcast.
 HOT_ROWS, HOT_KEYS = 2048, 10_000
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, joined, shared_folder, stored
+from .common import discard, given_back, joined, shared_folder, stored
 from .shingles import mixed, prefix_sums
 from .suffix_sort import permuted_prefixes, suffix_array
 
@@ -80,6 +80,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     """kept, id, and the text as compressed bytes, which is what is stored and crosses the network."""
 
     def run(batches):
+        given_back()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -280,6 +281,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None,
     texts = rows.join(ranges, "id", "left").select("kept", "packed", "ranges")
 
     def run(batches):
+        given_back()
         for batch in batches:
             for lo in range(0, max(1, batch.num_rows), 64):
                 part = batch.slice(lo, 64)

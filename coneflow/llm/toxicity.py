@@ -24,6 +24,7 @@ kept columns that bear the name of a result are left out.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -32,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_keeps
 from .labelled import labelled_sample, remainder
 
 SAMPLE, CHANCE, ROUNDS, PRIOR = 8000, 15.0, 400, -9.0
@@ -59,9 +61,10 @@ def features(word: bytes) -> list[int]:
 
 def _counted(sample: DataFrame) -> DataFrame:
     """In how many toxic and other documents of the sample each feature occurs."""
+    key = uuid.uuid4().hex
 
     def run(batches):
-        seen: dict[bytes, list[int]] = {}
+        seen: dict[bytes, list[int]] = worker_keeps(key, dict)
         toxic, other = Counter(), Counter()
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -167,12 +170,12 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, keep:
     ranges within the lower-cased text and the sentences."""
     keep = [c for c in (keep or ["doc_id"]) if c not in ("held_out", "score", "predicted", "toxic_sentences", "offending")]
     by_feature, bias = train(docs, labels, mod, held)
-    shared = docs.sparkSession.sparkContext.broadcast(by_feature)
+    shared, key = docs.sparkSession.sparkContext.broadcast(by_feature), uuid.uuid4().hex
     rows = docs.select(F.struct(*keep).alias("kept"), (remainder(mod) == held).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     kept = f"kept {rows.schema['kept'].dataType.simpleString()}, held_out boolean"
 
     def run(batches):
-        weights = Weights(shared.value)
+        weights = worker_keeps(key, lambda: Weights(shared.value))
         for batch in batches:
             for at in range(0, max(1, batch.num_rows), 256):
                 part = batch.slice(at, 256)

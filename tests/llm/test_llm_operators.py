@@ -94,6 +94,21 @@ def test_mixing_is_nested(docs):
     assert all(large[d] >= c for d, c in small.items())
 
 
+def test_a_worker_keeps_what_one_call_needs():
+    """Words met by the classifier go when the encoder comes, and the codec when the classifier comes again."""
+    from coneflow.llm import common
+
+    vocabulary = lambda: bpe.load_vocabulary(queries.vocabulary_path())
+    seen = common.worker_keeps("classifier", dict)
+    assert common.worker_keeps("classifier", dict) is seen
+    bpe._codec("encoder", vocabulary)
+    assert list(common._kept) == ["encoder"]
+    common.worker_keeps("classifier again", dict)
+    assert list(common._kept) == ["classifier again"] == list(bpe._codecs)
+    common.given_back()
+    assert not common._kept
+
+
 def test_a_worker_keeps_one_codec():
     vocabulary = lambda: bpe.load_vocabulary(queries.vocabulary_path())
     first = bpe._codec("a", vocabulary)
