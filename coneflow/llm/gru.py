@@ -29,7 +29,11 @@ def class_of(ids: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
 def step(p: dict, table: np.ndarray, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -38,25 +42,39 @@ def step(p: dict, table: np.ndarray, ids: np.ndarray, h: np.ndarray) -> tuple[np
     rz = _sigmoid(gx[:, : 2 * STATE] + gh[:, : 2 * STATE])
     r, z = rz[:, :STATE], rz[:, STATE:]
     own = gh[:, 2 * STATE :]
-    n = np.tanh(gx[:, 2 * STATE :] + r * own)
-    return n + z * (h - n), r, z, n, own
+    n = r * own
+    n += gx[:, 2 * STATE :]
+    np.tanh(n, out=n)
+    h = h - n
+    h *= z
+    h += n
+    return h, r, z, n, own
 
 
 def log_probabilities(p: dict, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each next word (for rarer ones, of its class) from its state."""
-    k = class_of(ids)
-    out = h @ p["classes"] + p["class_bias"]
-    top = out.max(axis=1)
-    result = out[np.arange(len(ids)), k] - top - np.log(np.exp(out - top[:, None]).sum(axis=1))
-    order = np.argsort(k, kind="stable")
-    edges = np.searchsorted(k[order], np.arange(CLASSES + 1))
+    order = np.argsort(class_of(ids).astype(np.uint16), kind="stable")
+    h, ids = h[order], ids[order]
+    k, across = class_of(ids), np.ascontiguousarray(h.T)
+    out = p["classes"].T @ across  # a column for each state, so that sums run along memory
+    out += p["class_bias"][:, None]
+    out -= out.max(axis=0)
+    sorted_result = out[k, np.arange(len(ids))]
+    np.exp(out, out=out)
+    sorted_result -= np.log(out.sum(axis=0))
+    edges = np.searchsorted(k, np.arange(CLASSES + 1)).tolist()
     for c in range(CLASSES):
-        rows = order[edges[c] : edges[c + 1]]
-        if len(rows):
+        lo, hi = edges[c], edges[c + 1]
+        if hi > lo:
             own = slice(c * WIDTH, (c + 1) * WIDTH)
-            s = h[rows] @ p["words"][own].T + p["word_bias"][own]
-            top = s.max(axis=1)
-            result[rows] += s[np.arange(len(rows)), ids[rows] - c * WIDTH] - top - np.log(np.exp(s - top[:, None]).sum(axis=1))
+            s = p["words"][own] @ across[:, lo:hi]
+            s += p["word_bias"][own, None]
+            s -= s.max(axis=0)
+            sorted_result[lo:hi] += s[ids[lo:hi] - c * WIDTH, np.arange(hi - lo)]
+            np.exp(s, out=s)
+            sorted_result[lo:hi] -= np.log(s.sum(axis=0))
+    result = np.empty_like(sorted_result)
+    result[order] = sorted_result
     return result
 
 
@@ -65,28 +83,30 @@ def _head_gradients(p: dict, h: np.ndarray, ids: np.ndarray, g: dict) -> np.ndar
     m = len(ids)
     order = np.argsort(class_of(ids).astype(np.uint16), kind="stable")
     h, ids = h[order], ids[order]
-    k = class_of(ids)
-    e = h @ p["classes"] + p["class_bias"]
-    e -= e.max(axis=1, keepdims=True)
+    k, across = class_of(ids), np.ascontiguousarray(h.T)
+    e = p["classes"].T @ across  # a column for each state, so that sums run along memory
+    e += p["class_bias"][:, None]
+    e -= e.max(axis=0)
     np.exp(e, out=e)
-    e /= m * e.sum(axis=1, keepdims=True)
-    e[np.arange(m), k] -= 1 / m
-    g["classes"], g["class_bias"] = h.T @ e, e.sum(axis=0)
-    sorted_back = e @ p["classes"].T
+    e /= m * e.sum(axis=0)
+    e[k, np.arange(m)] -= 1 / m
+    g["classes"], g["class_bias"] = across @ e.T, e.sum(axis=1)
+    sorted_back = e.T @ p["classes"].T
     g["words"], g["word_bias"] = np.zeros_like(p["words"]), np.zeros_like(p["word_bias"])
     edges = np.searchsorted(k, np.arange(CLASSES + 1)).tolist()
     for c in range(CLASSES):
         lo, hi = edges[c], edges[c + 1]
         if hi > lo:
             own = slice(c * WIDTH, (c + 1) * WIDTH)
-            x, w = h[lo:hi], p["words"][own]
-            s = x @ w.T + p["word_bias"][own]
-            s -= s.max(axis=1, keepdims=True)
+            w = p["words"][own]
+            s = w @ across[:, lo:hi]
+            s += p["word_bias"][own, None]
+            s -= s.max(axis=0)
             np.exp(s, out=s)
-            s /= m * s.sum(axis=1, keepdims=True)
-            s[np.arange(hi - lo), ids[lo:hi] - c * WIDTH] -= 1 / m
-            g["words"][own], g["word_bias"][own] = s.T @ x, s.sum(axis=0)
-            sorted_back[lo:hi] += s @ w
+            s /= m * s.sum(axis=0)
+            s[ids[lo:hi] - c * WIDTH, np.arange(hi - lo)] -= 1 / m
+            g["words"][own], g["word_bias"][own] = s @ h[lo:hi], s.sum(axis=1)
+            sorted_back[lo:hi] += s.T @ w
     back = np.empty_like(sorted_back)
     back[order] = sorted_back
     return back
@@ -107,20 +127,25 @@ def window_gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, h: np.nda
         states.append(h)
     g: dict = {}
     head = _head_gradients(p, np.concatenate(states), targets.ravel(), g).reshape(len(inputs), *h.shape)
-    gates = np.empty((len(inputs), len(h), 3 * STATE), h.dtype)  # gradients by the input's part of the gates
-    inner = np.empty_like(gates)  # by the state's part
-    dh = np.zeros_like(h)
+    fresh, h0, r, z, n, own = (np.stack(x) for x in zip(*kept))
+    by_n = (1 - z) * (1 - n * n)  # how a step's gates hang on its state, for all steps at once
+    by_rz = np.concatenate([by_n * own * r * (1 - r), (h0 - n) * z * (1 - z)], axis=2)
+    states, back = np.empty((2, len(inputs), *h.shape), h.dtype)  # gradients by each state, and by the candidate of each
+    inner = np.empty((len(inputs), len(h), 3 * STATE), h.dtype)  # by the state's part of the gates
+    dh, turned = np.zeros_like(h), np.ascontiguousarray(p["wh"].T)
     for i in range(len(inputs) - 1, -1, -1):
-        fresh, h0, r, z, n, own = kept[i]
-        d = head[i] + dh
-        dn = d * (1 - z) * (1 - n * n)
-        gates[i, :, :STATE] = dn * own * r * (1 - r)
-        gates[i, :, STATE : 2 * STATE] = d * (h0 - n) * z * (1 - z)
-        gates[i, :, 2 * STATE :] = dn
-        inner[i, :, : 2 * STATE] = gates[i, :, : 2 * STATE]
-        inner[i, :, 2 * STATE :] = dn * r
-        dh = (d * z + inner[i] @ p["wh"].T) * fresh
-    g["wh"] = np.concatenate([k[1] for k in kept]).T @ inner.reshape(-1, 3 * STATE)
+        d = np.add(head[i], dh, out=states[i])
+        dn = np.multiply(d, by_n[i], out=back[i])
+        x = inner[i]
+        np.multiply(d, by_rz[i, :, :STATE], out=x[:, :STATE])
+        np.multiply(d, by_rz[i, :, STATE:], out=x[:, STATE : 2 * STATE])
+        np.multiply(dn, r[i], out=x[:, 2 * STATE :])
+        dh = x @ turned
+        dh += d * z[i]
+        dh *= fresh[i]
+    g["wh"] = h0.reshape(-1, STATE).T @ inner.reshape(-1, 3 * STATE)
+    gates = inner  # by the input's part: the same but for the candidate
+    gates[:, :, 2 * STATE :] = back
     words = inputs.ravel()
     order = np.argsort(words.astype(np.uint16), kind="stable")
     first = np.flatnonzero(np.r_[True, words[order][1:] != words[order][:-1]])
@@ -190,21 +215,19 @@ def score_texts(p: dict, texts: list[np.ndarray], end: int, window: int = 20_000
     h = np.zeros((len(texts), STATE), np.float32)
     sums = np.zeros(len(texts))
     states, owners, targets = [], [], []
-    held = 0
-    for t in range(int(length[0])):
-        live = int(np.searchsorted(-length, -t, side="left"))  # texts longer than t
-        x = flat[begin[:live] + t - 1] if t else np.full(live, end)
-        h = step(p, table, x, h[:live])[0]
+    held, x = 0, np.full(len(texts), end)
+    for t, live in enumerate(np.searchsorted(-length, -np.arange(length[0])).tolist()):  # texts longer than t
+        h = step(p, table, x[:live], h[:live])[0]
+        x = flat[begin[:live] + t]
         states.append(h)
         owners.append(live)
-        targets.append(flat[begin[:live] + t])
+        targets.append(x)
         held += live
         if held >= window or t == length[0] - 1:
             value = log_probabilities(p, np.concatenate(states), np.concatenate(targets))
-            at = 0
-            for n in owners:
-                sums[:n] += value[at : at + n]
-                at += n
+            n = np.array(owners)
+            own = np.arange(held) - np.repeat(np.cumsum(n) - n, n)
+            sums[: n[0]] += np.bincount(own, value, n[0])
             states, owners, targets, held = [], [], [], 0
     total[order] = sums
     return total
