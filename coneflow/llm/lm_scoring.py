@@ -11,8 +11,12 @@
    truncated backpropagation, and a grouped sum averages the copies by the words
    they read. So scores don't hang on how the table is partitioned.
 4. One pass scores every document word by word, the state carried over its whole
-   length. Counts of the COMMON most frequent words are broadcast (a fixed
-   bound); rarer words leave the pass as rows that are joined with the counts.
+   length.
+
+Texts are cut into words twice: for the counts, and when one pass stores them as
+the model's numbers for training and scoring. Counts of the COMMON most frequent
+words are broadcast to it (a fixed bound); rarer words leave it as rows that are
+joined with the counts.
 
 Frequent words get their probability from the network; a rarer word gets its
 class's probability times its share of the class's smoothed counts, in which
@@ -30,7 +34,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
@@ -108,26 +112,50 @@ def vocabulary(counts: DataFrame, common: int = COMMON) -> Vocabulary:
     return Vocabulary(*most_common(counts, common), total, distinct)
 
 
-def trained(docs: DataFrame, vocab: Vocabulary, folder: str, rounds: int = ROUNDS) -> dict:
-    """The model's weights after one pass over all documents, a part of them in each of ``rounds`` rounds."""
-    spark = docs.sparkSession
-    context, model, end = spark.sparkContext, gru.start(vocab.class_log, vocab.word_log), vocab.end
-    shared = context.broadcast(vocab)
+_NUMBERED = "kept {kept}, row bigint, n_tokens bigint, n_known bigint, base_score double, share double, rare array<bigint>, ids array<int>, h bigint, grp int, part int"
 
-    def numbered(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = [shared.value.numbers(tokens(t)).astype(np.int32) for t in part.column(0).to_pylist()]
-                flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([flat, *part.columns[1:]], names=["ids", "h", "grp", "part"])
 
-    groups = max(1, min(GROUPS, -(-vocab.total // (rounds * GROUP))))
+def numbered(docs: DataFrame, is_held: Column, keep: list[str], vocab: Vocabulary, path: str, rounds: int = ROUNDS) -> DataFrame:
+    """Each text once as the model's numbers, with all of its scores that need no model; stored by round (-1: held out)."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(vocab)
+    groups = _groups(vocab, rounds)
     by_hash = lambda what, n: F.pmod(F.xxhash64("doc_id", "text", F.lit(what)), F.lit(n)).cast("int")
-    path, schema = f"{folder}/numbered", "ids array<int>, h bigint, grp int, part int"
-    dealt = docs.select("text", F.xxhash64("doc_id", "text", F.lit("order")).alias("h"), by_hash("group", groups).alias("grp"), by_hash("lm", rounds).alias("part"))
-    dealt.mapInArrow(numbered, schema).write.partitionBy("part").parquet(path)
-    rows = spark.read.schema(schema).parquet(path)
+    dealt = docs.select(F.struct(*keep).alias("kept"), F.monotonically_increasing_id().alias("row"), "text", F.xxhash64("doc_id", "text", F.lit("order")).alias("h"), by_hash("group", groups).alias("grp"), F.when(is_held, -1).otherwise(by_hash("lm", rounds)).alias("part"))
+    schema = _NUMBERED.format(kept=dealt.schema["kept"].dataType.simpleString())
+    names = [c.split()[0] for c in _NUMBERED.replace("{kept}", "_").split(", ")]
+
+    def run(batches):
+        vocab = shared.value
+        some = bool(len(vocab.words))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                texts = [tokens(t) for t in part.column(2).to_pylist()]
+                n = np.array([len(t) for t in texts])
+                flat = np.concatenate(texts)
+                at, common = vocab.find(flat)
+                begin = np.r_[0, np.cumsum(n)[:-1]]
+                add = lambda x: np.add.reduceat(x, begin)  # noqa: B023, E731
+                known = add(common.astype(np.int32)).astype(np.int64)
+                base = add(np.where(common, vocab.smooth_log10[at], 0.0)) if some else np.zeros(len(n))
+                share = add(np.where(common, vocab.share_log10[at], -vocab.rare_log10)) if some else -n * vocab.rare_log10
+                ids = (np.where(common, vocab.ids[at], vocab.rare) if some else np.full(len(common), vocab.rare)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(k)].astype(np.int32)), pa.array(x)) for k, x in ((n - known, flat[~common].view(np.int64)), (n, ids))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(known), pa.array(base - n * vocab.base_log10), pa.array(share), *lists, *part.columns[3:]], names=names)
+
+    dealt.mapInArrow(run, schema).write.partitionBy("part").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _groups(vocab: Vocabulary, rounds: int) -> int:
+    return max(1, min(GROUPS, -(-vocab.total // (rounds * GROUP))))
+
+
+def trained(rows: DataFrame, vocab: Vocabulary, folder: str, rounds: int = ROUNDS) -> dict:
+    """The model's weights after one pass over all ``numbered`` rows that aren't held out, a part of them in each of ``rounds`` rounds."""
+    context, model, end = rows.sparkSession.sparkContext, gru.start(vocab.class_log, vocab.word_log), vocab.end
+    groups = _groups(vocab, rounds)
     names = sorted(model)
     for turn in range(rounds):
         weights = context.broadcast(model)
@@ -181,41 +209,24 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, keep: list[str] | None =
     training = docs.filter(~is_held).select("doc_id", "text")
     counts = stored(word_counts(training, lambda texts: np.concatenate([tokens(t) for t in texts])), folder, "counts")
     vocab = vocabulary(counts)
-    model = trained(training, vocab, folder)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((vocab, model))
-    rows = docs.select(F.struct(*keep).alias("kept"), is_held.alias("held_out"), F.monotonically_increasing_id().alias("row"), "text")
-    schema = f"kept {rows.schema['kept'].dataType.simpleString()}, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>"
+    rows = numbered(docs, is_held, keep, vocab, f"{folder}/numbered")
+    model = trained(rows, vocab, folder)
+    end, shared = vocab.end, docs.sparkSession.sparkContext.broadcast(model)
+    texts = rows.select("kept", (F.col("part") < 0).alias("held_out"), "row", "n_tokens", "n_known", "base_score", "share", "ids")
+    schema = f"kept {rows.schema['kept'].dataType.simpleString()}, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
     def run(batches):
-        vocab, model = shared.value
-        end = vocab.end
         for batch in batches:
-            texts = [tokens(t) for t in batch.column(3).to_pylist()]
-            if not texts:
+            if not batch.num_rows:
                 continue
-            n = np.array([len(t) for t in texts])
-            flat = np.concatenate(texts)
-            del texts  # a batch holds millions of words: nothing is kept longer than needed
-            at, common = vocab.find(flat)
-            begin = np.r_[0, np.cumsum(n)[:-1]]
-            add = lambda x: np.add.reduceat(x, begin)
-            known = add(common.astype(np.int32)).astype(np.int64)
-            offsets = np.r_[0, np.cumsum(n - known)].astype(np.int32)
-            rare = flat[~common]
-            del flat
-            some = bool(len(vocab.words))
-            base = add(np.where(common, vocab.smooth_log10[at], 0.0)) if some else np.zeros(len(n))
-            share = add(np.where(common, vocab.share_log10[at], -vocab.rare_log10)) if some else -n * vocab.rare_log10
-            ids = (np.where(common, vocab.ids[at], vocab.rare) if some else np.full(len(common), vocab.rare)).astype(np.int16)
-            del at, common
-            model_part = gru.score_texts(model, np.split(ids, begin[1:]), end) / math.log(10)
-            arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array(n.astype(np.int64)), pa.array(known), pa.array(base - n * vocab.base_log10), pa.array(model_part + share), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["kept", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "rare"])
-
-    scored = stored(rows.mapInArrow(run, schema), folder, "scored")
-    rare = scored.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
+            n = batch.column(3).to_numpy()
+            ids = batch.column(7).flatten().to_numpy(zero_copy_only=False).astype(np.int16)
+            model_part = gru.score_texts(shared.value, np.split(ids, np.cumsum(n)[:-1]), end) / math.log(10)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(model_part + batch.column(6).to_numpy())], names=["kept", "held_out", "row", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = stored(texts.mapInArrow(run, schema), folder, "scored")
+    rare = rows.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
     rare = rare.groupBy("row").agg(F.count("n").alias("known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"))
-    out = scored.drop("rare").join(rare, "row", "left")
+    out = scored.join(rare, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select("kept.*", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
