@@ -17,6 +17,8 @@ from ..cluster import new_folder
 
 #: A word, as every operator here counts it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch where several operators share the workers, and the setting that bounds them.
+BATCH_ROWS, ARROW_ROWS = 1024, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +33,16 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_texts_in_batches(spark: SparkSession) -> None:
+    """Send workers at most ``BATCH_ROWS`` rows at once, if the session doesn't ask for fewer.
+
+    Both sides hold a batch and what it grew from: with Spark's 10,000 rows, of whole texts, a hundred MB a task.
+    """
+    rows = int(spark.conf.get(ARROW_ROWS))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, BATCH_ROWS)
+
+
 def discard(spark: SparkSession, folder: str, name: str) -> None:
     """Delete a stored table that nothing reads any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
@@ -42,13 +54,12 @@ _kept: dict[str, Any] = {}
 
 
 def given_back() -> None:
-    """Let go of what earlier calls left in this worker process."""
-    if _kept:
-        _kept.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # where the C library can
-            ctypes.CDLL(None).malloc_trim(0)
+    """Let go of what earlier calls left in this worker process, whether it was kept or is only unused."""
+    _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def worker_keeps(key: str, make: Callable[[], Any]) -> Any:

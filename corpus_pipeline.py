@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from coneflow.cluster import ship_package
 from coneflow.llm import bpe, chosen_path, mixing, suffix_dedup, toxicity
-from coneflow.llm.common import shared_folder, stored
+from coneflow.llm.common import shared_folder, stored, whole_texts_in_batches
 from coneflow.llm.queries import vocabulary_path
 
 #: Percent of similarity from which documents are near-duplicates; operator 4 as a query has its own.
@@ -21,9 +21,14 @@ ALIKE = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _ready(spark: SparkSession) -> None:
+    ship_package(spark)
+    whole_texts_in_batches(spark)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject (operator 9)."""
-    ship_package(spark)
+    _ready(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.score(docs, labels, keep=COLUMNS).filter("predicted = 0").select(COLUMNS)
 
@@ -33,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat a doc_id are one document, of which the greatest row stays.
     """
-    ship_package(spark)
+    _ready(spark)
     found = chosen_path.near_duplicates(docs, words=5, percent=ALIKE)
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
@@ -47,21 +52,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur anywhere else (operator 8)."""
-    ship_package(spark)
+    _ready(spark)
     kept = suffix_dedup.dedup(docs, keep=["doc_id", "lang", "source"], with_text=True)
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix holds it (operator 1)."""
-    ship_package(spark)
+    _ready(spark)
     mixed = mixing.mix(docs, carry=COLUMNS)
     return mixed.select(*COLUMNS, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row (operator 2)."""
-    ship_package(spark)
+    _ready(spark)
     out = bpe.encode(docs, vocabulary_path(), keep=["doc_id", "source"], with_ids=True)
     return out.select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 

@@ -109,6 +109,19 @@ def test_a_worker_keeps_what_one_call_needs():
     assert not common._kept
 
 
+def test_a_worker_gives_back_what_it_does_not_keep(monkeypatch):
+    """What an earlier stage left goes even if that stage kept nothing."""
+    from coneflow.llm import common
+
+    common.given_back()
+    freed = []
+    monkeypatch.setattr(common.gc, "collect", lambda: freed.append("now"))
+    common.worker_keeps("codec", dict)
+    common.worker_keeps("codec", dict)
+    assert freed == ["now"]
+    common._kept.clear()
+
+
 def test_a_worker_keeps_one_codec():
     vocabulary = lambda: bpe.load_vocabulary(queries.vocabulary_path())
     first = bpe._codec("a", vocabulary)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,18 @@ def test_a_repeated_document_keeps_its_text(spark):
     docs = spark.createDataFrame([(7, text, "en", "s", 1)] * 2 + [(8, "another short text of six words", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     cut = pipeline.cut_repeats(spark, pipeline.drop_near_duplicates(spark, docs, SF), SF).collect()
     assert sorted((r.doc_id, r.text) for r in cut) == [(7, text), (8, "another short text of six words")]
+
+
+def test_workers_get_few_whole_texts_at_once(spark):
+    """A stage bounds the rows of a batch; fewer that the session asks for stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(k, "word " * (k % 7), "en", "s", 1) for k in range(5000)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    sizes = lambda df: df.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    try:
+        for given, most in (("10000", 1024), ("0", 1024), ("100", 100)):
+            spark.conf.set(name, given)
+            assert pipeline.encode(spark, docs, SF).count() == 5000
+            assert max(r.n for r in sizes(docs).collect()) == most
+    finally:
+        spark.conf.set(name, before)
