@@ -108,7 +108,11 @@ def jet_direction(constituents: Column) -> Column:
 
 def skim(splittings: DataFrame, jets: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Long flat skim: a row per jet, level and method, with the jet's columns."""
-    rows = nested(splittings)
+    return skim_of(nested(splittings), jets, names)
+
+
+def skim_of(rows: DataFrame, jets: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """The same from jets whose splittings are nested already."""
     registry = methods()
     picked = F.array(*[F.struct(F.lit(n).alias("method"), registry[n](F.col("splittings")).alias("p")) for n in (names or registry)])
     long = rows.withColumn("g", F.explode(picked)).withColumn("s", F.get("splittings", F.col("g.p.idx")))

@@ -28,6 +28,22 @@ def test_splittings_travel_once(spark):
     assert events._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize(("parent", "levels"), [("parent_index", (0, 1, 2)), ("parent_index_tree", (0, 1, 2)), ("parent_index", (0,))])
+def test_splittings_nested_where_they_are_sorted(spark, parent, levels):
+    got = views.nested_splittings(spark, SF, parent, levels)
+    plain = grooming.nested(views.view(spark, SF, "splittings").filter(F.col("lvl").isin(*levels)), parent=parent)
+    assert got.dtypes == plain.dtypes and got.count() == plain.count()
+    assert got.exceptAll(plain).count() == 0
+
+
+@pytest.mark.parametrize("name", ["j13_gathered", "g02_dynamical_kt", "g03_leading_kt", "g04_soft_drop_02", "g05_iterative_chain"])
+def test_rows_of_levels_are_not_sorted(spark, name):
+    """Only lineitem's own keys are shuffled and sorted; the rows of three levels with their values are not."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    assert "HashAggregate" not in plan and "SortAggregate" not in plan
+
+
 def test_prong_flags_travel_once(spark):
     """Flags from rows of both levels together are those of joined subjets, ties and lone parts included, and shuffle lineitem once."""
     rows = [(j, m, (i * j + m) % 2 if j % 5 else j % 2, i, 1.0 + (i * 7 + j) % 5, 0.0 if j % 7 == 0 else 0.1 * i * (m + 1)) for j in range(200) for m in (0, 1) for i in range(m * (j % 3), 1 + (j + 3 * m) % 9)]
