@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import given_back, joined, shared_folder, stored
+from .common import given_back, in_few_tasks, joined, shared_folder, stored
 from .components import components
 from .shingles import COORDINATES, Groups, minhash, set_key, shingle_set
 
@@ -214,7 +214,7 @@ def candidates(reps: DataFrame, folder: str, percent: int) -> DataFrame:
         rows = stored(rows, folder, f"rows{level}")
         by_hash = F.struct(F.xxhash64("rep", F.lit(level)).alias("h"), F.col("rep").alias("r"))
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(by_hash)["r"].alias("p1"), F.max(by_hash)["r"].alias("p2"))
-        nodes = stored(nodes.filter("low < high").drop("low", "high"), folder, f"nodes{level}")
+        nodes = stored(in_few_tasks(nodes.filter("low < high").drop("low", "high"), rows.count()), folder, f"nodes{level}")
         members = joined(rows, nodes, ["node"], "n")
         coded = members.join(reps.select("rep", "code"), "rep")
         found.append(stored(compared(coded.filter(F.col("n") <= SMALL), least), folder, f"small{level}"))
@@ -311,15 +311,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     """doc_id, n_shingles, component_id, kept: components of documents with 100 * intersection >= percent * union."""
     folder = shared_folder(docs.sparkSession)
     signed = stored(signatures(docs, words), folder, "signed")
-    classes = stored(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), folder, "classes")
+    documents = signed.count()
+    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    classes = stored(in_few_tasks(classes, documents), folder, "classes")
     reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").select(F.col("doc_id").alias("rep"), "sig", "code", "n_shingles").dropDuplicates(["rep"])
-    reps = stored(reps, folder, "reps")
+    reps = stored(in_few_tasks(reps, documents), folder, "reps")
     near = components(candidates(reps, folder, percent), folder, "near")
     near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
-    near = stored(near.join(reps.select("rep", "n_shingles"), "rep"), folder, "clusters")
+    near = stored(in_few_tasks(near.join(reps.select("rep", "n_shingles"), "rep"), documents), folder, "clusters")
     by_hash = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("r"))
     sizes = near.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.min(by_hash)["r"].alias("p1"), F.max(by_hash)["r"].alias("p2"))
-    placed = stored(near.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int")), folder, "placed")
+    placed = near.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
+    placed = stored(in_few_tasks(placed, documents), folder, "placed")
     pivot = (F.col("rep") == F.col("p1")) | (F.col("rep") == F.col("p2"))
     where = F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     none = F.lit(None).cast("boolean")
@@ -331,7 +334,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
         split = split.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
         parts = split.groupBy("cluster", "comp").count()
         main = parts.groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-        split = stored(split.join(main, "cluster").withColumn("asks", F.col("comp") != F.col("main")), folder, "split")
+        split = split.join(main, "cluster").withColumn("asks", F.col("comp") != F.col("main"))
+        split = stored(in_few_tasks(split, documents), folder, "split")
         queues = split.filter("asks").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("queues"))
         turn = F.pmod(F.xxhash64("rep", F.lit("queue")), F.col("queues")).cast("int")
         held = split.join(queues, "cluster").withColumn("queue", F.explode(F.sequence(F.lit(0), F.col("queues") - 1)))
@@ -339,9 +343,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
         columns = ["rep", "n_shingles", F.xxhash64("cluster", "block", "queue").alias("grp"), "asks", "comp"]
         second = held.withColumn("asks", F.lit(False)).select(columns).unionByName(asking.select(columns))
         more = stored(confirmed(docs, second, words, percent), folder, "more")
-        roots = components(links.unionByName(more), folder, "second")
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), folder, "second")
     mine = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("found"))
     # Two classes may share a repeated doc_id; a document has one component.
     out = signed.select("doc_id", "n_shingles", "set_key").join(mine, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return in_few_tasks(out, documents)

@@ -26,6 +26,18 @@ def shared_folder(spark: SparkSession) -> str:
     return new_folder(spark)
 
 
+#: Rows of keys and numbers that a task takes at least, where a table's size is known.
+TASK_ROWS = 50_000
+
+
+def in_few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more tasks than ``rows``, about its size, are worth, but in one for each core.
+
+    A shuffle makes as many partitions as the session says, however few its rows are; each would be a task and a file.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
     path = f"{folder}/{name}"

@@ -10,6 +10,7 @@ import re
 import struct
 import zipfile
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -273,6 +274,26 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(1, 21)}, 101: 100, 102: 100}
 
 
+def test_small_tables_take_few_tasks(spark):
+    """However many partitions a shuffle makes, a few edges or documents are not as many tasks and files, round by round."""
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    folder, cores = shared_folder(spark), spark.sparkContext.defaultParallelism
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        got = components(spark.createDataFrame([(k, k + 1 + k % 2) for k in range(0, 400)], "a long, b long"), folder, "t")
+        assert got.groupBy("root").count().count() >= 1
+        docs = spark.createDataFrame([(k, f"some words of text {k // 2}") for k in range(400)], "doc_id long, text string")
+        out = chosen_path.near_duplicates(docs)
+        assert out.filter("kept").count() == 200 and out.rdd.getNumPartitions() <= cores
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    tables = list(Path(folder.removeprefix("file:")).glob("t*"))
+    assert len(tables) > 5 and all(len(list(t.glob("part-*.parquet"))) <= cores for t in tables)
+
+
 def _vectors(n=1500, dim=24, seed=1):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, dim)) * rng.uniform(0.5, 1.5, (n, 1))
