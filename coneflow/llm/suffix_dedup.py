@@ -132,14 +132,13 @@ def _fetched(samples: DataFrame, rows: DataFrame, length: int) -> DataFrame:
 def repeated_windows(segments: list[bytes], counts: np.ndarray, length: int) -> list[np.ndarray]:
     """For each segment: which of its first ``counts`` windows start anywhere else in the shard."""
     sizes = np.array([len(s) for s in segments])
-    text = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8).astype(np.int64) + 1
+    text = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8).astype(np.int16) + np.int16(1)
     begin = np.r_[0, np.cumsum(sizes + 1)]
     text[begin[1:] - 1] = 0
     array = suffix_array(text)
     prefix = permuted_prefixes(text, array)
-    ahead = np.zeros(len(text), np.int64)
-    ahead[array[:-1]] = prefix[array[1:]]
-    repeated = np.maximum(prefix, ahead) >= length
+    repeated = prefix >= length
+    repeated[array[:-1]] |= repeated[array[1:]]
     return [repeated[b : b + c] for b, c in zip(begin, counts)]
 
 

@@ -13,27 +13,31 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Positions of texts up to this length are held in half the bytes.
+NARROW = 2**31 - 16
 #: With more than one letter to so many places, suffixes are induced run by run.
 MANY = 64
 
 
+def _positions(n: int) -> type:
+    return np.int32 if n <= NARROW else np.int64
+
+
 def _classes(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than its right neighbour; the last one is larger than nothing, so False."""
     n = len(t)
-    step = np.sign(np.diff(t.astype(np.int64)))  # +1: smaller than the right neighbour
-    decided = np.flatnonzero(step)
+    rises = t[:-1] < t[1:]  # smaller than the right neighbour
+    decided = np.flatnonzero(t[:-1] != t[1:])
     small = np.zeros(n, bool)
-    if len(decided):
-        upto = decided[-1] + 1
-        at = np.searchsorted(decided, np.arange(upto), side="left")
-        small[:upto] = step[decided[at]] > 0
+    if len(decided):  # what is equal to its right neighbour is as that one
+        small[: decided[-1] + 1] = np.repeat(rises[decided], np.diff(np.r_[-1, decided]))
     return small
 
 
 def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
     """Suffixes in order, induced from ``leftmost`` (leftmost-smaller positions in the order to begin with)."""
     n, narrow = len(t), len(ends) <= 1 << 16
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, _positions(n))
     starts = np.r_[0, ends[:-1]]
     # the seeds go to the end of their buckets, in order
     letters = t[leftmost]
@@ -157,7 +161,7 @@ def _induce_runs(t: np.ndarray, small: np.ndarray, ends: np.ndarray, leftmost: n
 def _same_substrings(t: np.ndarray, small: np.ndarray, is_left: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For leftmost-smaller substrings in order: whether each equals the one before it."""
     positions = np.flatnonzero(is_left)
-    following = np.empty(len(t), np.int64)
+    following = np.empty(len(t), _positions(len(t)))
     following[positions] = np.r_[positions[1:], len(t) - 1]
     length = following[order] - order + 1
     same = np.zeros(len(order), bool)
@@ -181,7 +185,6 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     n = len(t)
     if n < 2:
         return np.arange(n)
-    t = t.astype(np.int64, copy=False)
     if n < 24 or int(t.max()) > 4 * n:  # few suffixes, or names to be made dense first
         if n < 24:
             return np.array(sorted(range(n), key=lambda i: t[i:].tolist()))
@@ -190,8 +193,10 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     small = _classes(t)
     is_left = np.zeros(n, bool)
     is_left[1:] = small[1:] & ~small[:-1]
-    positions = np.flatnonzero(is_left)
+    positions = np.flatnonzero(is_left).astype(_positions(n))
     few = len(ends) <= n // MANY
+    if not few:  # codes of letter and class, and of places, are computed with it
+        t = t.astype(np.int64, copy=False)
     induce = _induce if few else _induce_runs
     if not len(positions):
         return induce(t, small, ends, positions)
@@ -199,15 +204,18 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         sa = _induce(t, small, ends, positions)
         order = sa[is_left[sa]]
         new = ~_same_substrings(t, small, is_left, order)
+        del sa
     else:
-        length = np.zeros(n, np.int64)
+        length = np.zeros(n, _positions(n))
         length[positions] = np.diff(np.r_[positions, n]) + 1
         order, new = _run_order(2 * t + small, positions, length)
     names = np.cumsum(new) - 1
     if names[-1] + 1 < len(order):
-        by_place = np.empty(n, np.int64)
+        by_place = np.empty(n, _positions(n))
         by_place[order] = names
-        order = positions[suffix_array(by_place[positions])]
+        named = by_place[positions]
+        del by_place, names, new, order  # not held while the names are sorted
+        order = positions[suffix_array(named)]
     return induce(t, small, ends, order)
 
 
@@ -220,17 +228,18 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     n = len(t)
     if not n:
         return np.empty(0, np.int64)
-    before = np.full(n, -1, np.int64)
+    kind = _positions(n)
+    before = np.full(n, -1, kind)
     before[sa[1:]] = sa[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=kind)
     known = before >= 0
     follows = known & (at > 0) & (before > 0)
     follows[follows] = t[at[follows] - 1] == t[before[follows] - 1]
     follows[1:] &= before[:-1][...] >= 0
-    own = np.flatnonzero(known & ~follows)
-    length = np.zeros(n, np.int64)
+    own = np.flatnonzero(known & ~follows).astype(kind)
+    length = np.zeros(n, kind)
     live, k = own, 0
-    padded = np.r_[t, np.full(8, -1)].astype(np.int64)
+    padded = np.append(t, t[:1])  # read where either suffix has ended, and not heeded
     while len(live):
         a, b = live + k, before[live] + k
         inside = (a < n) & (b < n)
@@ -238,5 +247,9 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
         length[live[~equal]] = k
         live = live[equal]
         k += 1
-    value = np.where(follows, 0, length + at)
-    return np.where(known, np.maximum.accumulate(value) - at, 0)
+    length += at
+    length[follows] = 0
+    np.maximum.accumulate(length, out=length)
+    length -= at
+    length[~known] = 0
+    return length

@@ -8,6 +8,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zipfile
 import zlib
 from pathlib import Path
@@ -428,6 +429,25 @@ def test_va_file_series_leave_few_rows():
     assert len(query) < 2 * 40 * k < 16 * 40 * k / 2
 
 
+def test_shards_are_sorted_in_little_memory():
+    """A worker holds less than 50 bytes for each byte of a shard; marks are those of a plain count."""
+    rng, segments = random.Random(3), []
+    words = [f"w{rng.randrange(10**6)}" for _ in range(5000)]
+    for _ in range(300):
+        text = bytearray(" ".join(rng.choice(words) for _ in range(60)).encode()[:330])
+        for k in range(3):
+            text[rng.randrange(330)] = 65 + k
+            segments.append(bytes(text))
+    counts = np.full(len(segments), 131)
+    tracemalloc.start()
+    got = suffix_dedup.repeated_windows(segments, counts, 200)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    seen = collections.Counter(s[k : k + 200] for s in segments for k in range(131))
+    assert [g.tolist() for g in got] == [[seen[s[k : k + 200]] > 1 for k in range(131)] for s in segments]
+    assert most < 50 * sum(map(len, segments))
+
+
 def test_suffix_arrays_and_prefixes():
     random.seed(1)
     for trial in range(120):
