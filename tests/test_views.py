@@ -44,6 +44,13 @@ def test_rows_of_levels_are_not_sorted(spark, name):
     assert "HashAggregate" not in plan and "SortAggregate" not in plan
 
 
+@pytest.mark.parametrize("name", ["g02_dynamical_core", "g02_dynamical_time", "g02_dynamical_z", "g03_leading_kt_z_cut_02", "g03_leading_kt_z_cut_04", "g04_g06_g08_soft_drop_04"])
+def test_other_groomings_sort_keys_only(spark, name):
+    """The same of the other queries of the step: one exchange and one sort, of three numbers a row."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "Aggregate" not in plan
+
+
 def test_prong_flags_travel_once(spark):
     """Flags from rows of both levels together are those of joined subjets, ties and lone parts included, and shuffle lineitem once."""
     rows = [(j, m, (i * j + m) % 2 if j % 5 else j % 2, i, 1.0 + (i * 7 + j) % 5, 0.0 if j % 7 == 0 else 0.1 * i * (m + 1)) for j in range(200) for m in (0, 1) for i in range(m * (j % 3), 1 + (j + 3 * m) % 9)]
